@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, packing, sharding, warc
+from sori.llm import binary, bpe, minhash, packing, sharding, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
+    return {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
 
 
 WARC_SQL = """
@@ -58,5 +62,30 @@ FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes >=
 """
 
 
+MINHASH_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS set
+  FROM w
+), n AS (
+  SELECT doc_id, len(set) AS n FROM s
+), t AS (
+  SELECT doc_id, unnest(set) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id AS root, doc_id AS id FROM documents UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.id
+), m AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m ON m.id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL}
+    return {"op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}

@@ -28,6 +28,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs no more than the tasks since then."""
     spark = df.sparkSession
+    # Shuffle files of a finished write are of no more use; without this they stay until the driver collects garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
