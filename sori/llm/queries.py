@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, minhash, packing, sharding, warc
+from sori.llm import binary, bpe, minhash, neardup_vectors, packing, search, sharding, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,10 +30,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op9_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.crc32_of(binary.read_tokens(binary.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER)))
 
@@ -44,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op6_bpe": op6_bpe, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
+    return {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
 
 
 WARC_SQL = """
@@ -87,5 +95,39 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, n.doc_id = m
 """
 
 
+SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), r AS (
+  SELECT vec_id AS root, vec_id AS id FROM embeddings UNION SELECT r.root, l.b FROM r JOIN l ON l.a = r.id
+), m AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
+    return {"op5_search": SEARCH_SQL, "op8_embeddings": EMBEDDINGS_SQL, "op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
