@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, minhash, neardup_vectors, packing, search, sharding, warc
+from sori.llm import binary, bpe, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
+    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
 
 
 WARC_SQL = """
