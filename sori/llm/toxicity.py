@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +123,13 @@ def self_kernel(words: list[str]) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all subsequences of LENGTH (three) characters of a word of n."""
+    at = np.array(list(combinations(range(n), LENGTH)), dtype=np.int64).reshape(-1, LENGTH)
+    return at[:, 0], at[:, 1], at[:, 2]
+
+
 class Model:
     """Margins of words; a document's margin is that of its most toxic word, its score a logistic function of it."""
 
@@ -128,21 +137,51 @@ class Model:
         self.landmarks, self.weights, self.bias, self.slope, self.shift, self.prior = landmarks, weights, bias, slope, shift, prior
         self.norm = np.sqrt(np.maximum(self_kernel(landmarks), 1e-12))
         self.cache: dict[str, float] = {}
+        if landmarks:
+            self.expand()
 
     def features(self, words: list[str]) -> np.ndarray:
         own = np.sqrt(np.maximum(self_kernel(words), 1e-12))
         return kernel(words, self.landmarks) / own[:, None] / self.norm[None, :]
 
+    def expand(self) -> None:
+        """The machine's weight of each subsequence: the sum over landmarks of what it holds of it.
+
+        A margin is linear in the kernel, and the kernel is a product over subsequences; summed over the landmarks
+        beforehand, a word's subsequences are looked up once instead of being compared with each landmark.
+        """
+        letters = sorted(set("".join(self.landmarks)))
+        self.place = {ord(c): i + 1 for i, c in enumerate(letters)}  # 0: any other character
+        n = len(letters) + 1
+        self.table = np.zeros((n, n, n))
+        for word, w, norm in zip(self.landmarks, self.weights, self.norm, strict=True):
+            s = [self.place[ord(c)] for c in word]
+            i, j, k = triples(len(s))
+            s = np.array(s)
+            np.add.at(self.table, (s[i], s[j], s[k]), w / norm * DECAY ** (k - i + 1))
+
+    def word_margins(self, words: list[str]) -> np.ndarray:
+        """Margins of pieces: kernel sums with all landmarks at once, normalised by the word's own kernel."""
+        out = np.zeros(len(words))
+        by_length: dict[int, list[int]] = {}
+        for x, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(x)
+        for length, rows in by_length.items():
+            i, j, k = triples(length)
+            weight = DECAY ** (k - i + 1.0)
+            step = max(1, 500_000 // max(1, len(i)))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                s = np.array([[self.place.get(ord(c), 0) for c in words[x]] for x in part])
+                out[part] = self.table[s[:, i], s[:, j], s[:, k]] @ weight
+        return out / np.sqrt(np.maximum(self_kernel(words), 1e-12)) + self.bias
+
     def learn(self, words: list[str]) -> None:
-        parts = [(w, p) for w in words for p in pieces(w)]
-        for w in words:
-            self.cache[w] = self.bias
-        for i in range(0, len(parts), 4096):
-            chunk = parts[i : i + 4096]
-            distinct = list(dict.fromkeys(p for _, p in chunk))
-            found = dict(zip(distinct, (self.features(distinct) @ self.weights + self.bias).tolist(), strict=True))
-            for w, p in chunk:
-                self.cache[w] = max(self.cache[w], found[p])
+        parts = {w: pieces(w) for w in words}
+        distinct = list({p for ps in parts.values() for p in ps})
+        found = dict(zip(distinct, self.word_margins(distinct).tolist(), strict=True)) if distinct else {}
+        for w, ps in parts.items():
+            self.cache[w] = max((found[p] for p in ps), default=self.bias)
 
     def margins(self, texts: list[str | None]) -> list[float]:
         if self.prior is not None:
