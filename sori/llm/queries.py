@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
+from sori.llm import binary, bpe, linededup, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,6 +42,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_duplicate_lines(table(spark, sf_dir, "documents"))
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    return out.select("doc_id", F.when(F.col("text") != "", lines).otherwise(F.lit(0)).alias("lines_kept"), F.col("lines_removed").cast("long").alias("lines_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -56,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
+    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
 
 
 WARC_SQL = """
