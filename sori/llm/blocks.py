@@ -20,8 +20,8 @@ Verify = Callable[[list[int], list[bytes], int], list[tuple[int, int]]]
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """Rows (key, id) whose key has two ids or more, with their number n."""
-    rows = cut(rows.select("key", "id"), "keys")
+    """Rows (key, id) whose key has two ids or more, with their number n; ``rows`` must be cheap to make twice."""
+    rows = rows.select("key", "id")
     counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-counts")
     return cut(rows.join(counts, "key"), "shared-keys")
 
