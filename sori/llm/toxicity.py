@@ -44,11 +44,18 @@ def tokens(text: str | None) -> list[str]:
 
 
 def pieces(word: str) -> list[str]:
-    """A word without punctuation at its ends, with an edge mark before it; long words as overlapping pieces."""
-    word = "^" + word.strip(EDGES)
-    if len(word) <= PIECE:
-        return [word] if len(word) > 1 else []
-    return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    """A word without punctuation at its ends, with an edge mark before it; long words as overlapping pieces.
+
+    A word with other characters inside than letters and digits ("i-d*i.o-t") counts without these, too.
+    """
+    word = word.strip(EDGES)
+    if not word:
+        return []
+    plain = word if word.isalnum() else "".join(c for c in word if c.isalnum())
+    out = []
+    for w in {"^" + word, "^" + plain} - {"^"}:
+        out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def signs(text: str | None) -> set[str]:
