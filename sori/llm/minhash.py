@@ -33,7 +33,7 @@ class WordHashes(dict):
     """64-bit hashes of words (bytes), kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -16,7 +16,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 #: Fixed value: the byte-level split, as the tokenizer file's pre-tokenizer defines it, over Latin-1.
 LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Words that a worker's cache holds; it is emptied when full, which changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def byte_alphabet() -> list[str]:

@@ -24,7 +24,7 @@ LENGTH, DECAY, PIECE = 3, 0.6, 24
 SLACK = 2.0
 #: Lengths, with the edge mark, of the beginnings of words that count beside whole words when telling words are sought.
 STEMS = (5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 EDGES = string.punctuation + "«»“”‘’„…–—¡¿"
 
 
