@@ -132,3 +132,16 @@ def suppress(new: DataFrame, prior: DataFrame) -> DataFrame:
     days = F.datediff("window_end", F.col("last.window_end"))
     decision = F.when(F.col("last").isNull() | (days >= C.RENOTIFY_DAYS), "publish").when(F.col("rate") - F.col("last.rate") >= C.RENOTIFY_JUMP - 1e-9, "update").otherwise("suppress")
     return rows.withColumn("decision", decision).drop("last")
+
+
+def baseline_fallback(grid: DataFrame, rate: str = "fallback_rate") -> DataFrame:
+    """Baselines rebuilt from a configured rate where there is one: none at all, or half of it or more was taken out.
+
+    Without a baseline the current volume, stretched to the baseline's days, is the number of documents. Null rates
+    change nothing. Halves round to even.
+    """
+    assumed = F.bround(F.col("cur_total") * (C.PAST_DAYS / C.CURRENT_DAYS)).cast("long")
+    none, few = F.col("past_total") == 0, F.col("past_total") * 2 <= F.col("unfiltered_total")
+    total = F.when(F.col(rate).isNotNull() & none, assumed).otherwise(F.col("past_total"))
+    neg = F.when(F.col(rate).isNotNull() & (none | few), F.bround(F.col(rate) * total).cast("long")).otherwise(F.col("past_neg"))
+    return grid.withColumns({"past_neg": neg, "past_total": total})

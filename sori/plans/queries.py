@@ -383,3 +383,45 @@ def t11_permutation(spark, sf):
     tests = M.permutation_test(pairs)
     tests = stats.benjamini_hochberg(tests, [])  # one row for each product and pair of channels
     return tests.withColumn("severity", M.severity(F.col("jsd"), F.col("baseline"), F.col("bh_significant")))
+
+
+@query(GRID + """, x AS (SELECT DISTINCT product, channel, day FROM w WHERE NOT now AND k < 30), g AS (
+  SELECT w.product, w.channel, w.source, '색상' AS aspect, count(*) AS gt, count(*) FILTER (sentiment = -1 AND w.aspect = '색상') AS gn FROM w JOIN x USING (product, channel, day) WHERE NOT now GROUP BY ALL
+), f AS (SELECT grid.*, past_total - coalesce(gt, 0) AS pt, past_neg - coalesce(gn, 0) AS pn FROM grid LEFT JOIN g USING (product, channel, source, aspect))
+SELECT product, channel, source, aspect, CASE WHEN pt = 0 THEN cur_total * 4 ELSE pt END AS past_total,
+  CASE WHEN pt = 0 THEN CAST(round_even(0.05 * cur_total * 4, 0) AS BIGINT) WHEN pt * 2 <= past_total THEN CAST(round_even(0.05 * pt, 0) AS BIGINT) ELSE pn END AS past_neg FROM f""")
+def a05_baseline_fallback(spark, sf):
+    docs = documents(spark, sf)
+    age = F.datediff(F.lit(END).cast("date"), F.col("day"))
+    gone = docs.where((F.col("k") < 30) & age.between(7, 34)).select("product", F.lit("색상").alias("aspect"), "channel", "day")
+    grid = D.slots(docs, END, gone).withColumn("fallback_rate", F.lit(0.05))
+    return D.baseline_fallback(grid).select("product", "channel", "source", "aspect", "past_total", "past_neg")
+
+
+@query("SELECT gold, pred, count(*) AS n FROM (SELECT toxic AS gold, CASE WHEN contains(lower(text), 'idiot') THEN 1 ELSE 0 END AS pred FROM labels JOIN documents USING (doc_id)) GROUP BY ALL")
+def e07_confusion(spark, sf):
+    rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id")
+    pred = F.when(F.contains(F.lower("text"), F.lit("idiot")), 1).otherwise(0)
+    return rows.groupBy(F.col("toxic").alias("gold"), pred.alias("pred")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT product, vote, n, n = total AS agreed FROM (SELECT product, aspect AS vote, count(*) AS n, min(item_id) AS first, sum(count(*)) OVER (PARTITION BY product) AS total FROM voc WHERE day = DATE '2024-01-30' GROUP BY product, aspect) QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, first) = 1")
+def a36_majority_vote(spark, sf):
+    votes = documents(spark, sf).where(F.col("day") == END).groupBy("product", F.col("aspect").alias("vote")).agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
+    whole = Window.partitionBy("product")
+    rows = votes.withColumn("agreed", F.col("n") == F.sum("n").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "first")))
+    return rows.where("r = 1").select("product", "vote", "n", "agreed")
+
+
+@query("SELECT product, sentiment, CAST(sentiment < 0 AS BOOLEAN) AS any_negative, mixed FROM (SELECT product, CASE WHEN min(sentiment) = -1 THEN -1 WHEN max(sentiment) = 1 THEN 1 ELSE 0 END AS sentiment, count(DISTINCT sentiment) > 1 AS mixed FROM voc WHERE k = 5 GROUP BY product)")
+def z08_polarity_merge(spark, sf):
+    s = F.when(F.min("sentiment") == -1, -1).when(F.max("sentiment") == 1, 1).otherwise(0)
+    rows = documents(spark, sf).where("k = 5").groupBy("product").agg(s.alias("sentiment"), (F.countDistinct("sentiment") > 1).alias("mixed"))
+    return rows.select("product", "sentiment", (F.col("sentiment") < 0).alias("any_negative"), "mixed")
+
+
+@query("SELECT product, day, start FROM (SELECT product, day, min(day) OVER (PARTITION BY product, day - CAST(r AS INTEGER)) AS start FROM (SELECT product, day, row_number() OVER (PARTITION BY product ORDER BY day) AS r FROM (SELECT DISTINCT product, day FROM voc WHERE sentiment = -1 AND k < 20)))", dates=("day", "start"))
+def t19_streaks(spark, sf):
+    days = documents(spark, sf).where("sentiment = -1 AND k < 20").select("product", "day").distinct()
+    rows = days.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy("product").orderBy("day"))))
+    return rows.select("product", "day", F.min("day").over(Window.partitionBy("product", "island")).alias("start"))

@@ -69,3 +69,19 @@ def test_streaming_drain_drops_copies(spark, tmp_path):
     spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 1))], schema).write.parquet(str(tmp_path / "in"))
     drain(spark, str(tmp_path / "in"), schema, str(tmp_path / "cp"), lambda df, n: seen.extend(r.event_id for r in df.collect()))
     assert sorted(seen) == [1, 2]
+
+
+def test_baseline_fallback(spark):
+    rows = [(20, 0, 0, 0, 0.05), (20, 5, 40, 100, 0.05), (20, 5, 60, 100, 0.05), (20, 0, 0, 0, None)]
+    df = spark.createDataFrame(rows, "cur_total long, past_neg long, past_total long, unfiltered_total long, fallback_rate double")
+    assert [(r.past_neg, r.past_total) for r in D.baseline_fallback(df).collect()] == [(4, 80), (2, 40), (5, 60), (0, 0)]
+
+
+def test_text_checks(spark):
+    from pyspark.sql import functions as F
+
+    from sori.functions.text import forbidden, label_parts_found, ungrounded
+
+    row = spark.createDataFrame([("The fdr and P = 0.03", [12.4, 30.0], [12.0, 50.0], "사진_색감_오차", "사진 색감이 다르다")], "t string, n array<double>, a array<double>, l string, r string")
+    got = row.select(forbidden(F.col("t")).alias("f"), ungrounded(F.col("n"), F.col("a"), 0.5).alias("u"), label_parts_found(F.col("l"), F.col("r")).alias("p")).first()
+    assert got.f == ["FDR", "p-value pattern"] and got.u == [30.0] and got.p
