@@ -23,3 +23,10 @@ MIN_SAMPLE, MIN_DELTA, FDR_Q = 10, 0.03, 0.05
 CONSISTENT_RATIO, CONSISTENT_COUNT = 0.5, 5
 RENOTIFY_DAYS, RENOTIFY_JUMP = 7, 0.05
 DRIFT_RISK, JSD_MIN, JSD_CRISIS, JSD_TOTAL = 0.03, 0.10, 0.20, 30
+#: How the two sources' signals read.
+READINGS = {"both": "강한 신호(양 소스)", "cs": "CS 선행 신호 — 리뷰는 시차로 미반영 가능", "review": "리뷰 지연 반영 또는 CS 미표출"}
+#: Causes that neither text nor image can solve.
+UNSOLVABLE = ("실물_염색_편차", "실제_원단_문제")
+#: Attributes that reviews may be about, and names of sentiments and attributes that answers may use.
+REVIEW_ASPECTS = ("색상", "사이즈", "소재")
+SENTIMENT_NAMES = {"1": 1, "+1": 1, "긍정": 1, "positive": 1, "-1": -1, "부정": -1, "negative": -1, "0": 0, "중립": 0, "neutral": 0}

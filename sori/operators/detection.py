@@ -17,24 +17,38 @@ def aspects(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(values))
 
 
+def daily_counts(docs: DataFrame) -> DataFrame:
+    """Documents (n) and negative ones of each attribute (n0, n1, ...) per slot and day: the one pass over documents."""
+    neg = F.col("sentiment") == -1
+    return docs.groupBy(*SLOT, "day").agg(F.count("*").alias("n"), *(F.count_if(neg & (F.col("aspect") == a)).alias(f"n{i}") for i, a in enumerate(C.ASPECTS)))
+
+
 def slots(docs: DataFrame, window_end: str, excluded: DataFrame | None = None) -> DataFrame:
     """Counts of documents and negative documents in the current window and the baseline for every slot and attribute.
 
-    One pass: documents are counted once in both windows by conditional sums. ``excluded`` (product, aspect, channel,
-    day) takes days of earlier alerts out of an attribute's baseline; the two sums of what is taken out are joined.
+    ``excluded`` (product, aspect, channel, day) takes days of earlier alerts out of an attribute's baseline.
     """
     age = F.datediff(F.lit(window_end).cast("date"), F.col("day"))
-    rows = docs.where(age.between(0, C.CURRENT_DAYS + C.PAST_DAYS - 1)).withColumn("now", age < C.CURRENT_DAYS)
-    rows = rows.withColumn("neg", F.col("sentiment") == -1)
-    per_aspect = [F.count_if(F.col("neg") & (F.col("aspect") == a) & w).alias(f"{n}{i}") for i, a in enumerate(C.ASPECTS) for n, w in (("c", F.col("now")), ("p", ~F.col("now")))]
-    wide = rows.groupBy(*SLOT).agg(F.count_if("now").alias("cur_total"), F.count_if(~F.col("now")).alias("past_total"), *per_aspect)
-    cells = F.array(*(F.struct(F.lit(i).alias("aspect_no"), F.lit(a).alias("aspect"), F.col(f"c{i}").alias("cur_neg"), F.col(f"p{i}").alias("past_neg")) for i, a in enumerate(C.ASPECTS)))
-    grid = wide.select(*SLOT, "cur_total", "past_total", F.inline(cells)).withColumn("unfiltered_total", F.col("past_total"))
+    return slots_of_days(daily_counts(docs.where(age.between(0, C.CURRENT_DAYS + C.PAST_DAYS - 1))), window_end, excluded)
+
+
+def slots_of_days(daily: DataFrame, window_end: str, excluded: DataFrame | None = None) -> DataFrame:
+    """:func:`slots` over :func:`daily_counts`. Excluded days meet daily counts, never documents."""
+    age = F.datediff(F.lit(window_end).cast("date"), F.col("day"))
+    rows = daily.where(age.between(0, C.CURRENT_DAYS + C.PAST_DAYS - 1)).withColumn("now", age < C.CURRENT_DAYS)
     if excluded is not None:
-        gone = rows.where(~F.col("now")).withColumnRenamed("aspect", "own").join(F.broadcast(excluded.distinct()), ["product", "channel", "day"])
-        gone = gone.groupBy(*SLOT, "aspect").agg(F.count("*").alias("g_total"), F.count_if(F.col("neg") & (F.col("own") == F.col("aspect"))).alias("g_neg"))
-        grid = grid.join(gone, [*SLOT, "aspect"], "left").withColumn("past_total", F.col("past_total") - F.coalesce("g_total", F.lit(0))).withColumn("past_neg", F.col("past_neg") - F.coalesce("g_neg", F.lit(0))).drop("g_total", "g_neg")
-    return grid
+        gone = excluded.groupBy("product", "channel", "day").agg(F.collect_set("aspect").alias("gone"))  # six at most
+        rows = rows.join(gone, ["product", "channel", "day"], "left")
+    else:
+        rows = rows.withColumn("gone", F.lit(None).cast("array<string>"))
+    total = lambda when, c: F.sum(F.when(when, F.col(c)).otherwise(0))
+    sums = []
+    for i, a in enumerate(C.ASPECTS):
+        past = ~F.col("now") & ~F.coalesce(F.array_contains("gone", a), F.lit(False))
+        sums += [total(F.col("now"), f"n{i}").alias(f"c{i}"), total(past, f"n{i}").alias(f"p{i}"), total(past, "n").alias(f"t{i}")]
+    wide = rows.groupBy(*SLOT).agg(total(F.col("now"), "n").alias("cur_total"), total(~F.col("now"), "n").alias("unfiltered_total"), *sums)
+    cells = F.array(*(F.struct(F.lit(i).alias("aspect_no"), F.lit(a).alias("aspect"), F.col(f"c{i}").alias("cur_neg"), F.col(f"p{i}").alias("past_neg"), F.col(f"t{i}").alias("past_total")) for i, a in enumerate(C.ASPECTS)))
+    return wide.select(*SLOT, "cur_total", "unfiltered_total", F.inline(cells))
 
 
 def held_slots(grid: DataFrame, unreliable: DataFrame | None = None) -> DataFrame:

@@ -1 +1,5 @@
-"""Plans of the engine."""
+"""Queries of the engine; importing the modules registers them."""
+
+from sori.plans import audits, intake, metrics, queries
+
+__all__ = ["audits", "intake", "metrics", "queries"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,41 +10,10 @@ from sori.functions import stats
 from sori.operators import detection as D
 from sori.operators import monthly as M
 from sori.operators import snapshots as S
+from sori.operators.nearest import nearest
+from sori.plans.registry import END, query
 from sori.sources.voc import documents
 
-END = "2024-01-30"
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, dates: tuple[str, ...] = ()):
-    """Register a function under its name, with its SQL over the view voc if there is one; ``dates`` become text in both."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, sf: f(spark, sf).withColumns({d: F.col(d).cast("string") for d in dates}) if dates else f(spark, sf)
-        if sql is not None:
-            text = "*" if not dates else "* REPLACE (" + ", ".join(f"CAST(CAST({d} AS DATE) AS VARCHAR) AS {d}" for d in dates) + ")"
-            SQL[f.__name__] = f"SELECT {text} FROM (WITH {VOC}{sql})"
-        return f
-
-    return add
-
-
-VOC = """e AS (
-  SELECT event_id AS item_id, 'P' || lpad(CAST(user_id % 12 + 1 AS VARCHAR), 3, '0') AS product,
-    CASE event_id % 3 WHEN 0 THEN 'COUPANG' WHEN 1 THEN 'NAVER' ELSE 'ZIGZAG' END AS channel,
-    CASE WHEN event_id % 4 = 3 THEN 'review' ELSE 'cs' END AS source, ts AS occurred_at, CAST(ts AS DATE) AS day, event_type,
-    CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
-), h AS (
-  SELECT *, source = 'cs' AND day >= DATE '2024-01-24' AND k % 2 = 0 AND product = 'P001' AND channel = 'COUPANG' AS one,
-    source = 'cs' AND day >= DATE '2024-01-24' AND k % 2 = 0 AND product = 'P002' AS two FROM e
-), voc AS (
-  SELECT item_id, product, channel, source, occurred_at, day, k,
-    ['색상', '사이즈', '소재', '파손', '오배송', '기타'][CASE WHEN one THEN 0 WHEN two THEN 1 WHEN source = 'review' THEN k % 3 ELSE k % 6 END + 1] AS aspect,
-    CASE WHEN event_type = 'error' OR one OR two THEN -1 WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS sentiment FROM h
-)
-"""
 GRID = f""", w AS (
   SELECT *, date_diff('day', day, DATE '{END}') < 7 AS now FROM voc WHERE date_diff('day', day, DATE '{END}') BETWEEN 0 AND 34
 ), t AS (
@@ -330,14 +297,11 @@ def a35_exact_duplicates(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").groupBy(F.md5(F.lower("text")).alias("text_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("SELECT q.vec_id AS query_id, v.vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 10) v JOIN embeddings q ON q.vec_id = v.query_id WHERE rank <= 3")
+@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 3")
 def v01_filtered_nearest(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    a = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    square = F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = e.join(F.broadcast(a), "label").where("vec_id <> query_id").withColumn("d", F.round(F.sqrt(square), 9))  # ten queries
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id")))
-    return rows.where("rank <= 3").select("query_id", "vec_id", "rank")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return nearest(queries, e, 3).select("query_id", "vec_id", "rank")
 
 
 @query("SELECT product, aspect FROM voc WHERE source = 'cs' GROUP BY ALL EXCEPT SELECT product, aspect FROM voc WHERE source = 'review' GROUP BY ALL")
@@ -405,23 +369,23 @@ def e07_confusion(spark, sf):
     return rows.groupBy(F.col("toxic").alias("gold"), pred.alias("pred")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT product, vote, n, n = total AS agreed FROM (SELECT product, aspect AS vote, count(*) AS n, min(item_id) AS first, sum(count(*)) OVER (PARTITION BY product) AS total FROM voc WHERE day = DATE '2024-01-30' GROUP BY product, aspect) QUALIFY row_number() OVER (PARTITION BY product ORDER BY n DESC, first) = 1")
+@query("SELECT product, day, vote, n, n = total AS agreed FROM (SELECT product, day, aspect AS vote, count(*) AS n, min(item_id) AS first, sum(count(*)) OVER (PARTITION BY product, day) AS total FROM voc GROUP BY product, day, aspect) QUALIFY row_number() OVER (PARTITION BY product, day ORDER BY n DESC, first) = 1", dates=("day",))
 def a36_majority_vote(spark, sf):
-    votes = documents(spark, sf).where(F.col("day") == END).groupBy("product", F.col("aspect").alias("vote")).agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
-    whole = Window.partitionBy("product")
+    votes = documents(spark, sf).groupBy("product", "day", F.col("aspect").alias("vote")).agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
+    whole = Window.partitionBy("product", "day")
     rows = votes.withColumn("agreed", F.col("n") == F.sum("n").over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "first")))
-    return rows.where("r = 1").select("product", "vote", "n", "agreed")
+    return rows.where("r = 1").select("product", "day", "vote", "n", "agreed")
 
 
-@query("SELECT product, sentiment, CAST(sentiment < 0 AS BOOLEAN) AS any_negative, mixed FROM (SELECT product, CASE WHEN min(sentiment) = -1 THEN -1 WHEN max(sentiment) = 1 THEN 1 ELSE 0 END AS sentiment, count(DISTINCT sentiment) > 1 AS mixed FROM voc WHERE k = 5 GROUP BY product)")
+@query("SELECT product, day, aspect, sentiment, CAST(sentiment < 0 AS BOOLEAN) AS any_negative, mixed FROM (SELECT product, day, aspect, CASE WHEN min(sentiment) = -1 THEN -1 WHEN max(sentiment) = 1 THEN 1 ELSE 0 END AS sentiment, count(DISTINCT sentiment) > 1 AS mixed FROM voc GROUP BY product, day, aspect)", dates=("day",))
 def z08_polarity_merge(spark, sf):
     s = F.when(F.min("sentiment") == -1, -1).when(F.max("sentiment") == 1, 1).otherwise(0)
-    rows = documents(spark, sf).where("k = 5").groupBy("product").agg(s.alias("sentiment"), (F.countDistinct("sentiment") > 1).alias("mixed"))
-    return rows.select("product", "sentiment", (F.col("sentiment") < 0).alias("any_negative"), "mixed")
+    rows = documents(spark, sf).groupBy("product", "day", "aspect").agg(s.alias("sentiment"), (F.countDistinct("sentiment") > 1).alias("mixed"))
+    return rows.select("product", "day", "aspect", "sentiment", (F.col("sentiment") < 0).alias("any_negative"), "mixed")
 
 
-@query("SELECT product, day, start FROM (SELECT product, day, min(day) OVER (PARTITION BY product, day - CAST(r AS INTEGER)) AS start FROM (SELECT product, day, row_number() OVER (PARTITION BY product ORDER BY day) AS r FROM (SELECT DISTINCT product, day FROM voc WHERE sentiment = -1 AND k < 20)))", dates=("day", "start"))
+@query("SELECT product, day, start FROM (SELECT product, day, min(day) OVER (PARTITION BY product, day - CAST(r AS INTEGER)) AS start FROM (SELECT product, day, row_number() OVER (PARTITION BY product ORDER BY day) AS r FROM (SELECT product, day FROM voc GROUP BY product, day HAVING count(*) FILTER (sentiment = -1) * 5 > count(*))))", dates=("day", "start"))
 def t19_streaks(spark, sf):
-    days = documents(spark, sf).where("sentiment = -1 AND k < 20").select("product", "day").distinct()
+    days = documents(spark, sf).groupBy("product", "day").agg(F.count_if(F.col("sentiment") == -1).alias("neg"), F.count("*").alias("n")).where("neg * 5 > n").select("product", "day")
     rows = days.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy("product").orderBy("day"))))
     return rows.select("product", "day", F.min("day").over(Window.partitionBy("product", "island")).alias("start"))

@@ -1,5 +1,5 @@
 import __spark_entry__ as entry
-from sori.plans import queries as plans
+from sori.plans import registry as plans
 
 
 def test_entry_and_names(spark):
