@@ -159,3 +159,19 @@ def baseline_fallback(grid: DataFrame, rate: str = "fallback_rate") -> DataFrame
     total = F.when(F.col(rate).isNotNull() & none, assumed).otherwise(F.col("past_total"))
     neg = F.when(F.col(rate).isNotNull() & (none | few), F.bround(F.col(rate) * total).cast("long")).otherwise(F.col("past_neg"))
     return grid.withColumns({"past_neg": neg, "past_total": total})
+
+
+def robustness(tests: DataFrame) -> DataFrame:
+    """Whether each test fires with one negative document less and one more, its product's family tested anew each time.
+
+    ``tests`` is from :func:`tested`. A family has a product's slots and attributes only (36 with three channels), so
+    the join within a product is of a fixed size.
+    """
+    slot = ["channel", "source", "aspect"]
+    probes = tests.select("product", *(F.col(c).alias(f"p_{c}") for c in slot), F.col("fired").alias("before"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("step"))
+    rows = tests.select("product", *slot, "cur_neg", "cur_total", "past_neg", "past_total").join(probes, "product")
+    own = (F.col("channel") == F.col("p_channel")) & (F.col("source") == F.col("p_source")) & (F.col("aspect") == F.col("p_aspect"))
+    moved = F.least(F.greatest(F.col("cur_neg") + F.col("step"), F.lit(0)), "cur_total")
+    rows = rows.withColumn("own", own).withColumn("cur_neg", F.when(F.col("own"), moved).otherwise(F.col("cur_neg"))).withColumn("hold", F.lit(None).cast("string"))
+    again = tested(rows, ("product", "p_channel", "p_source", "p_aspect", "step"))
+    return again.where("own").select("product", *slot, "step", "before", F.col("fired").alias("after"))

@@ -47,6 +47,17 @@ def severity(jsd, baseline, significant):
     return F.when(~significant | (excess < C.JSD_MIN), "SAFE").when(excess < C.JSD_CRISIS, "CAUTION").otherwise("CRISIS")
 
 
+def divergence_rollup(pairs: DataFrame) -> DataFrame:
+    """Worst pair of each product by severity, then excess, then order of names; whether any is not SAFE. Null if all are held.
+
+    ``pairs`` has product, channel_a, channel_b, severity and excess (both null if held).
+    """
+    rank = F.when(F.col("severity") == "CRISIS", 2).when(F.col("severity") == "CAUTION", 1).when(F.col("severity") == "SAFE", 0)
+    pair = F.struct((-rank).alias("r"), (-F.col("excess")).alias("e"), F.col("channel_a"), F.col("channel_b"), F.col("severity"))
+    rows = pairs.groupBy("product").agg(F.min(F.when(rank.isNotNull(), pair)).alias("w"), F.bool_or(rank > 0).alias("crisis"))
+    return rows.select("product", F.concat_ws("-", "w.channel_a", "w.channel_b").alias("pair"), F.col("w.severity").alias("severity"), "crisis")
+
+
 def product_names(labels: DataFrame) -> DataFrame:
     """The name of each group: per channel the commonest (ties: largest name), of these the commonest (ties: ZIGZAG, NAVER, COUPANG, then others by name).
 

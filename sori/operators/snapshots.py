@@ -39,3 +39,8 @@ def quarantine(rows: DataFrame, reasons: dict[str, F.Column]) -> tuple[DataFrame
         reason = F.when(when, name).otherwise(reason)
     marked = rows.withColumn("reason", reason)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that several rows have, with their number: none if the columns are a key."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -10,8 +10,9 @@ from sori.functions import stats
 from sori.operators import detection as D
 from sori.operators import monthly as M
 from sori.operators import snapshots as S
+from sori.operators import validation as V
 from sori.operators.nearest import nearest
-from sori.plans.registry import END, query
+from sori.plans.registry import END, SQL, query
 from sori.sources.voc import documents
 
 GRID = f""", w AS (
@@ -389,3 +390,39 @@ def t19_streaks(spark, sf):
     days = documents(spark, sf).groupBy("product", "day").agg(F.count_if(F.col("sentiment") == -1).alias("neg"), F.count("*").alias("n")).where("neg * 5 > n").select("product", "day")
     rows = days.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy("product").orderBy("day"))))
     return rows.select("product", "day", F.min("day").over(Window.partitionBy("product", "island")).alias("start"))
+
+
+@query(TESTS + f""", pb AS (SELECT product, channel AS pc, source AS ps, aspect AS pa, fired AS before, unnest([-1, 1]) AS step FROM tests
+), x AS (
+  SELECT t.product, pc, ps, pa, step, before, channel = pc AND source = ps AND aspect = pa AS own, CASE WHEN channel = pc AND source = ps AND aspect = pa THEN least(greatest(cur_neg + step, 0), cur_total) ELSE cur_neg END AS cur_neg, cur_total, past_neg, past_total
+  FROM tests t JOIN pb ON t.product = pb.product
+), y AS (SELECT *, {FISHER} AS p_value FROM x
+), z AS (
+  SELECT *, count(*) OVER (PARTITION BY product, pc, ps, pa, step ORDER BY p_value) AS r, count(*) OVER (PARTITION BY product, pc, ps, pa, step) AS m FROM y
+), u AS (
+  SELECT *, coalesce(r <= max(CASE WHEN p_value <= CAST(r AS DOUBLE) / m * CAST(0.05 AS DOUBLE) THEN r END) OVER (PARTITION BY product, pc, ps, pa, step), FALSE) AS sig FROM z
+) SELECT product, pc AS channel, ps AS source, pa AS aspect, step, before, sig AND CAST(cur_neg AS DOUBLE) / cur_total - CAST(past_neg AS DOUBLE) / past_total >= 0.03 AS after FROM u WHERE own""")
+def t15_robustness(spark, sf):
+    return D.robustness(tests_of(spark, sf))
+
+
+@query(", one AS (SELECT 1), dv AS (SELECT *, CASE WHEN jsd < 0.1 THEN 0 WHEN jsd < 0.2 THEN 1 WHEN jsd IS NOT NULL THEN 2 END AS rank FROM (" + SQL["t10_divergence"] + """)), w AS (SELECT * FROM dv QUALIFY row_number() OVER (PARTITION BY product ORDER BY rank DESC NULLS LAST, jsd DESC NULLS LAST, channel_a, channel_b) = 1)
+SELECT product, CASE WHEN w.rank IS NULL THEN '' ELSE channel_a || '-' || channel_b END AS pair, ['SAFE', 'CAUTION', 'CRISIS'][w.rank + 1] AS severity, (SELECT bool_or(rank > 0) FROM dv WHERE dv.product = w.product) AS crisis FROM w""")
+def a25_rollup(spark, sf):
+    pairs = M.channel_divergence(documents(spark, sf)).withColumn("excess", F.round("jsd", 9))
+    level = F.when(F.col("jsd").isNotNull(), M.severity(F.col("excess"), F.lit(0.0), F.lit(True)))
+    return M.divergence_rollup(pairs.withColumn("severity", level))
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
+def s13_repeated_keys(spark, sf):
+    return S.repeated_keys(spark.read.parquet(f"{sf}/orders.parquet"), ["o_custkey", "o_orderpriority"])
+
+
+@query("SELECT item_id, concat_ws(';', CASE WHEN k > 90 THEN 'count over total' END, CASE WHEN k % 3 = 0 THEN 'ratios' END, CASE WHEN k % 5 = 0 THEN 'both ids' END) AS errors FROM voc")
+def z11_constraints(spark, sf):
+    k = F.col("k")
+    ratio = F.when(k % 3 == 0, 0.4).otherwise(0.5)
+    first, second = F.lit("a"), F.when(k % 5 == 0, "b")
+    checks = [("count over total", k > 90), ("ratios", F.abs(ratio + 0.5 - 1) > 1e-6), ("both ids", first.isNotNull() & second.isNotNull())]
+    return documents(spark, sf).select("item_id", F.concat_ws(";", V.errors(checks)).alias("errors"))
