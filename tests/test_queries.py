@@ -1,4 +1,4 @@
-"""Every query of the engine that has SQL returns what DuckDB returns for it on the smallest tables."""
+"""Every query of the engine that has SQL returns what DuckDB returns for it on tables large enough to be tested."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from sori.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
