@@ -1,5 +1,5 @@
 """Queries of the engine; importing the modules registers them."""
 
-from sori.plans import audits, intake, metrics, queries
+from sori.plans import audits, casework, intake, lookups, metrics, queries
 
-__all__ = ["audits", "intake", "metrics", "queries"]
+__all__ = ["audits", "casework", "intake", "lookups", "metrics", "queries"]
