@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -17,7 +18,7 @@ from sori.llm.store import cut, small_batches
 TOXIC_DOCS, CLEAN_DOCS = 3000, 5000
 #: Words (the shortest sentences) that a fit uses at most: candidates, telling ones, others of clean documents; rounds of training.
 CANDIDATES, TELLING_WORDS, CLEAN_WORDS, ROUNDS = 3000, 600, 8_000, 3
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 56, 16
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, NEAR_LANDMARKS = 56, 16, 24
 #: Kernel: length of the common subsequences, decay for each character that they span; longest piece of a word.
 LENGTH, DECAY, PIECE = 3, 0.6, 24
 #: Nats of evidence that a telling word may lack; the machine's other words outvote those taken by chance.
@@ -285,21 +286,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not positives:
         return Model([], np.zeros(0), 0.0, prior=0.0)
     landmarks = [*positives[:TOXIC_LANDMARKS], *common[:CLEAN_LANDMARKS]]
-    model = Model(landmarks, np.zeros(len(landmarks)), 0.0)
-    k = model.features(landmarks).astype(float)
-    value, vector = np.linalg.eigh((k + k.T) / 2)
-    root = vector / np.sqrt(np.maximum(value, 0) + 1e-3)
-    negatives = list(dict.fromkeys([*common, *other]))
+    negatives, near = list(dict.fromkeys([*common, *other])), []
     for _ in range(ROUNDS):
+        held = list(dict.fromkeys([*landmarks, *near]))
+        model = Model(held, np.zeros(len(held)), 0.0)
+        k = model.features(held).astype(float)
+        value, vector = np.linalg.eigh((k + k.T) / 2)
+        root = vector / np.sqrt(np.maximum(value, 0) + 1e-3)
         x = np.vstack([model.features(positives), model.features(negatives)]) @ root
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         weight = np.where(y > 0, 1 / len(positives), 1 / len(negatives))
         w, bias = linear_svm(x, y, weight / weight.mean())
-        model = Model(landmarks, root @ w, bias)
+        model = Model(held, root @ w, bias)
         got = best_words(sample, model)
-        # the word that a toxic document is told by, and the words of clean documents that come too near
-        positives = list(dict.fromkeys([*positives, *(r["word"] for r in got if r["y"] == 1 and r["m"] > 0)]))[:TELLING_WORDS]
-        negatives = list(dict.fromkeys([*(r["word"] for r in got if r["y"] == 0 and r["m"] > -1 and r["word"] not in rated), *negatives]))[: 2 * CLEAN_WORDS]
+        # A word is toxic if it tells more toxic documents than clean ones. The beginning of a telling word may be
+        # a clean word by itself, so what counts here is the whole word, whatever its letters begin elsewhere.
+        told = Counter()
+        for r in got:
+            told[r["word"]] += 1 if r["y"] == 1 else -1
+        positives = list(dict.fromkeys([*positives, *(r["word"] for r in got if r["y"] == 1 and r["m"] > 0 and told[r["word"]] > 0)]))[:TELLING_WORDS]
+        clean = [r["word"] for r in got if r["y"] == 0 and r["m"] > -1 and told[r["word"]] < 0]
+        positives = [p for p in positives if told[p] >= 0] or positives
+        near = [*near, *(n for n, _ in Counter(w for w in clean if w not in near).most_common(NEAR_LANDMARKS // ROUNDS))]
+        negatives = list(dict.fromkeys([*clean, *negatives]))[: 2 * CLEAN_WORDS]
     model.slope, model.shift = logistic(np.array([r["m"] for r in got]), np.array([float(r["y"]) for r in got]))
     return model
 
