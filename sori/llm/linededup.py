@@ -1,9 +1,8 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: sketches of character n-grams, edit similarity, connected groups."""
 
 from __future__ import annotations
 
 import string
-from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +14,20 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sori.llm.blocks import candidate_blocks, forest, shared_keys, verified_edges
 from sori.llm.graph import components
-from sori.llm.minhash import WordHashes, mix
+from sori.llm.minhash import EMPTY, GOLD, WordHashes, mix
 from sori.llm.store import cut, drop_table, small_batches
 
 #: Lines of fewer words (after normalising) are never compared or removed.
 MIN_WORDS = 5
-#: Lines whose 64-bit fingerprints share two of so many parts are candidates: surely all that differ in two bits.
-PARTS = 4
+#: Slots of a sketch: each keeps the smallest hash of the n-grams that fall to it. Lines that share two are candidates.
+SLOTS, SHARED = 24, 2
+#: Bytes of an n-gram for lines of so many characters. Ranges overlap by the tenth that similar lines may differ in length.
+TIERS = ((3, 1, 20), (5, 18, 44), (8, 39, 110), (11, 99, 1 << 62))
+#: Width (of the logarithm) of the length classes that are part of a slot's key; each slot has its classes shifted.
+LENGTH_CLASS = 0.4
+SHIFTS = np.arange(SLOTS) * 0.618 % 1
+#: Keys of more lines than this lead to candidates only together with a second key.
+HOT = 32
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
 EDIT_SIMILARITY = 0.9
 #: Bytes that normalising leaves out.
@@ -65,64 +71,96 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
-#: For each byte its eight bits, lowest first, as eight lanes of a 64-bit number, so that one addition counts eight bits.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+def sketches(lines: list[bytes], chars: np.ndarray) -> np.ndarray:
+    """Keys (lines x 2 x SLOTS, 0 for none) of the lines' character n-grams, for neighbouring tiers in turn.
 
-
-def fingerprints(lines: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit identity and 64-bit SimHash (over pairs of adjacent words) of each line; every line has two words or more."""
+    A tier's n-grams are dealt to the slots by their hash, and each slot keeps the smallest. An n-gram survives edits
+    elsewhere, so a slot of two lines agrees with the probability of their n-grams' Jaccard coefficient.
+    """
+    buf = b"".join(lines) + bytes(16)
     sizes = np.array([len(x) for x in lines], np.int64)
-    total = int(sizes.sum())
-    words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), np.uint64, total)
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(total) - np.repeat(starts, sizes)
-    identity = mix(np.bitwise_xor.reduceat(mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts) + sizes.astype(np.uint64))
-    pairs = mix(words[:-1] * np.uint64(3) + words[1:])[place[1:] > 0]
-    lanes = LANES[pairs.view(np.uint8).reshape(-1, 8)]
-    # lanes hold up to 255: lines are summed in stretches of so many pairs, and these again
-    n = sizes - 1
-    stretches = -(-n // 255)
-    line_at = np.cumsum(stretches) - stretches
-    inside = np.arange(int(stretches.sum())) - np.repeat(line_at, stretches)
-    at = np.repeat(np.cumsum(n) - n, stretches) + 255 * inside
-    votes = np.add.reduceat(np.add.reduceat(lanes, at, axis=0).view(np.uint8).astype(np.int32), line_at, axis=0)
-    simhash = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return identity.view(np.int64), simhash.view(np.int64)
-
-
-def block_keys() -> list[tuple[int, int]]:
-    """Masks of the pairs of parts, each with its number."""
-    edges = [round(64 * k / PARTS) for k in range(PARTS + 1)]
-    masks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(PARTS)]
-    return [(n, a | b) for n, (a, b) in enumerate(combinations(masks, 2))]
+    window = np.ndarray((len(buf) - 8,), "<u8", buf, 0, (1,))  # the eight bytes from each place on
+    least = np.full(len(lines) * 2 * SLOTS, EMPTY, np.uint64)
+    for t, (q, low, high) in enumerate(TIERS):
+        rows = np.flatnonzero((chars >= low) & (chars <= high) & (sizes >= q))
+        if not len(rows):
+            continue
+        n = sizes[rows] - q + 1
+        at = np.arange(int(n.sum())) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+        h = window[at] if q >= 8 else window[at] & np.uint64((1 << 8 * q) - 1)
+        h = mix(h * GOLD + np.uint64(t + 1))
+        if q > 8:
+            h = mix(h ^ window[at + q - 8] * GOLD)
+        slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(least, np.repeat(rows * 2 * SLOTS + t % 2 * SLOTS, n) + slot, h)
+    least = least.reshape(-1, 2, SLOTS)
+    classes = np.floor(np.log(np.maximum(chars, 1))[:, None] / LENGTH_CLASS + SHIFTS).astype(np.uint64)
+    keys = (mix(least + classes[:, None, :] * GOLD) >> np.uint64(32)).astype(np.uint32)
+    keys[least == EMPTY] = 0
+    return keys
+
+
+def fingerprints(lines: list[list[bytes]], hashes: WordHashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit identity, length marks and sketch of each line; every line has a word. ``hashes`` is not needed any more.
+
+    The four 16-bit length marks are classes of the logarithm of the length in characters, each shifted by a quarter
+    of their width: lines whose lengths differ by a tenth at most, as all of similarity EDIT_SIMILARITY do, share two.
+    """
+    joined = [b" ".join(x) for x in lines]
+    identity = np.array([xxhash.xxh3_64_intdigest(x) for x in joined], np.uint64)
+    chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in joined], np.int64)
+    marks = np.floor(np.log(chars)[:, None] / 0.22 + np.arange(4) / 4).astype(np.uint16)
+    return identity.view(np.int64), marks.view("<i8").ravel(), sketches(joined, chars)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (64-bit identity of the normalised line), print (SimHash) of all lines that count."""
+    """doc_id, line_no, line (64-bit identity of the normalised line), keys (sketch) of all lines that count."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), 64):
                 found = [(d, n, w) for d, t in zip(ids[i : i + 64], texts[i : i + 64], strict=True) if d is not None and t for n, x in enumerate(t.split("\n")) if len(w := normalise(x)) >= MIN_WORDS]
                 if found:
-                    line, simhash = fingerprints([w for _, _, w in found], hashes)
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array(line), pa.array(simhash)], ["doc_id", "line_no", "line", "print"])
+                    line, _, keys = fingerprints([w for _, _, w in found])
+                    there = keys.any(axis=2)
+                    ends = pa.array(np.r_[0, np.cumsum(there.sum(axis=1) * SLOTS)].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array(line), pa.ListArray.from_arrays(ends, pa.array(keys[there].ravel().view(np.int32)))], ["doc_id", "line_no", "line", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line_no int, line long, keys array<int>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line_no int, line long, print long")
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Rows (key, id, n) as shared keys of lines that share SHARED keys of their sketches.
+
+    Lines of a key that few have are paired at once; a key of many (a frequent n-gram) counts only together with
+    each other key of its lines, so that its lines are not all compared with each other. No pair that shares two is left out.
+    """
+    keys = classes.select(F.col("line").alias("id"), F.posexplode("keys").alias("pos", "v")).where("v != 0")
+    shared = shared_keys(keys.select(((F.col("pos") % SLOTS).cast("long") * (1 << 32) + F.col("v")).alias("key"), "id"))
+    cold, hot = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
+    pairs = cold.select("key", F.col("id").alias("a")).join(cold.select("key", F.col("id").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    pairs = cut(pairs.select("a", "b", F.xxhash64("a", "b").alias("key")), "line-pairs")
+    other = shared.select("id", F.col("key").alias("other"))
+    both = hot.join(other, "id").where("key != other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+    both = cut(both, "hot-pairs")
+    drop_table(shared)
+    return shared_keys(both).unionByName(pairs.select("key", F.explode(F.array("a", "b")).alias("id"), F.lit(2).cast("long").alias("n")))
 
 
 def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int, int]]:
     """Spanning links of candidates whose edit similarity is high enough."""
-    prints = np.array([np.frombuffer(p[:8], np.uint16) for p in payloads])  # the four parts
-    texts = [p[8:].decode("utf-8", "replace") for p in payloads]
+    _, marks, keys = fingerprints([p.split() for p in payloads])
+    marks, keys = marks.view(np.uint16).reshape(-1, 4), keys.reshape(len(ids), -1)
+    texts = [p.decode("utf-8", "replace") for p in payloads]
 
     def partners(k: int, group: np.ndarray):
         if split and k >= split:
             return
-        near = (prints == prints[k]).sum(axis=1) >= 2
+        near = ((keys == keys[k]) & (keys[k] != 0)).sum(axis=1) >= SHARED
+        near &= (marks == marks[k]).sum(axis=1) >= 2
         near[: max(k + 1, split)] = False
         for p in np.flatnonzero(near & (group != group[k])):
             if group[p] != group[k]:
@@ -137,21 +175,20 @@ def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int,
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """Lines that repeat an earlier one of their group: doc_id, lines (their numbers from 0, ascending).
 
-    Lines of at least MIN_WORDS words are normalised; equal ones are one class. Classes whose SimHash fingerprints
-    share two parts of four (by the pigeonhole principle all that differ in two bits at most) are candidates, whose
-    edit similarity is verified block by block; linked classes are one group. A group keeps its first line, by doc_id and number.
+    Lines of at least MIN_WORDS words are normalised; equal ones are one class. Classes that share two keys of their
+    sketches of character n-grams are candidates, whose edit similarity is verified block by block; linked classes are
+    one group. A group keeps its first line, by doc_id and number.
 
     Rows that share a doc_id are not told apart. Null doc_id or text: no lines. Empty table: no rows.
     """
     lines = cut(line_rows(docs), "lines")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n"), F.min("print").alias("print")), "line-classes")
-    keys = F.array(*(F.xxhash64(F.lit(n), F.col("print").bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64)))) for n, mask in block_keys()))
-    shared = shared_keys(classes.select(F.explode(keys).alias("key"), F.col("line").alias("id")))
+    classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys")), "line-classes")
+    shared = candidates(classes)
     members, block_pairs = candidate_blocks(shared, classes.select(F.col("line").alias("id"), F.lit(100).alias("size")), 1)
     drop_table(shared)
-    wanted = classes.join(members, classes["line"] == members["id"]).select("id", "print", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id", "print")).alias("wanted"))  # lines of one document
+    wanted = classes.join(members, classes["line"] == members["id"]).select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
 
     def pick(batches):
@@ -162,7 +199,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                 for g in group:
                     words = normalise(parts[g["line_no"]]) if g["line_no"] < len(parts) else []
                     ids.append(g["id"])
-                    payloads.append(np.array([g["print"]], np.int64).tobytes() + b" ".join(words))
+                    payloads.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], ["id", "payload"])
 
     payloads = texts.select("text", "wanted").mapInArrow(pick, "id long, payload binary").dropDuplicates(["id"])

@@ -309,6 +309,30 @@ def test_lines(spark, none):
     assert linededup.drop_duplicate_lines(none).count() == 0
 
 
+def test_lines_recall(spark):
+    """Against brute force over all pairs of lines, without fingerprints: lines at an edit similarity of 0.9 to 0.99."""
+    r, rows, pairs = random.Random(5), [], 0
+    letters = "etaoinshrdlucmfwyp"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 8)))
+    lines = []
+    for words in (5, 6, 8, 10, 14, 20, 30, 50, 100) * 12:
+        line = " ".join(word() for _ in range(words))
+        other = list(line)
+        for at in r.sample(range(len(line)), r.randint(1, max(1, int(0.1 * len(line))))):
+            if other[at] != " ":
+                other[at] = r.choice(letters)
+        lines += [line, "".join(other)]
+    rows = list(enumerate(lines))
+    near = set()
+    for (a, x), (b, y) in combinations(rows, 2):
+        most = int(0.1 * max(len(x), len(y)) + 1e-9)
+        if abs(len(x) - len(y)) <= most and linededup.edit_distance(x, y, most) <= most:
+            near.add((a, b))
+    gone = {x.doc_id for x in linededup.duplicate_lines(frame(spark, rows)).collect()}
+    pairs, found = len(near), sum(b in gone for _, b in near)
+    assert pairs >= 95 and found >= 0.97 * pairs and gone <= {b for _, b in near}
+
+
 def toxic_corpus(n=600):
     r, bad = random.Random(6), ["blockhead", "scoundrel"]
     rows, labels = [], []
