@@ -17,7 +17,9 @@ from sori.llm.graph import components
 from sori.llm.minhash import EMPTY, GOLD, WordHashes, mix
 from sori.llm.store import cut, drop_table, small_batches
 
-#: Lines of fewer words (after normalising) are never compared or removed.
+#: Bytes (UTF-8, after normalising) from which lines count at all, and from which they are also compared with unequal ones.
+MIN_BYTES, FUZZY_BYTES = 11, 20
+#: Lines of so many words count and are compared even if they have fewer bytes.
 MIN_WORDS = 5
 #: Slots of a sketch: each keeps the smallest hash of the n-grams that fall to it. Lines that share two are candidates.
 SLOTS, SHARED = 24, 2
@@ -39,6 +41,11 @@ def normalise(line: str) -> list[bytes]:
     return line.lower().encode("utf-8", "replace").translate(None, DROP).split()
 
 
+def counts(words: list[bytes], least: int) -> bool:
+    """Whether a line has enough words, or enough bytes with one space between words."""
+    return len(words) >= MIN_WORDS or sum(map(len, words)) + len(words) - 1 >= least
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance by bit-parallel rows (one integer per row); may stop with any value above ``most``."""
     n = min(len(a), len(b))
@@ -122,10 +129,10 @@ def line_rows(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), 64):
-                found = [(d, n, w) for d, t in zip(ids[i : i + 64], texts[i : i + 64], strict=True) if d is not None and t for n, x in enumerate(t.split("\n")) if len(w := normalise(x)) >= MIN_WORDS]
+                found = [(d, n, w) for d, t in zip(ids[i : i + 64], texts[i : i + 64], strict=True) if d is not None and t for n, x in enumerate(t.split("\n")) if counts(w := normalise(x), MIN_BYTES)]
                 if found:
                     line, _, keys = fingerprints([w for _, _, w in found])
-                    there = keys.any(axis=2)
+                    there = keys.any(axis=2) & np.array([counts(w, FUZZY_BYTES) for _, _, w in found])[:, None]
                     ends = pa.array(np.r_[0, np.cumsum(there.sum(axis=1) * SLOTS)].astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array(line), pa.ListArray.from_arrays(ends, pa.array(keys[there].ravel().view(np.int32)))], ["doc_id", "line_no", "line", "keys"])
 
@@ -175,9 +182,10 @@ def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int,
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """Lines that repeat an earlier one of their group: doc_id, lines (their numbers from 0, ascending).
 
-    Lines of at least MIN_WORDS words are normalised; equal ones are one class. Classes that share two keys of their
-    sketches of character n-grams are candidates, whose edit similarity is verified block by block; linked classes are
-    one group. A group keeps its first line, by doc_id and number.
+    Lines are normalised; equal ones of at least MIN_BYTES bytes or MIN_WORDS words are one class. Classes of at least
+    FUZZY_BYTES bytes or MIN_WORDS words that share two keys of their sketches of character n-grams are candidates,
+    whose edit similarity is verified block by block; linked classes are one group. A group keeps its first line, by
+    doc_id and number.
 
     Rows that share a doc_id are not told apart. Null doc_id or text: no lines. Empty table: no rows.
     """

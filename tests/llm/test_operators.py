@@ -333,6 +333,14 @@ def test_lines_recall(spark):
     assert pairs >= 95 and found >= 0.97 * pairs and gone <= {b for _, b in near}
 
 
+def test_short_lines(spark):
+    """Short boilerplate, long lines without spaces and scripts without spaces count; very short fragments stay."""
+    url = "https://example.org/" + "a/long/path/" * 9
+    rows = [(1, "All rights reserved.\nMenu\n" + url), (2, "ALL RIGHTS RESERVED\nMenu\n" + url + "x"), (3, "版权所有\nTerms of use\nMenu"), (4, "版权所有\nterms of use\nTerms of uses")]
+    gone = {x.doc_id: x.lines for x in linededup.duplicate_lines(frame(spark, rows)).collect()}
+    assert gone == {2: [0, 2], 4: [0, 1]}
+
+
 def toxic_corpus(n=600):
     r, bad = random.Random(6), ["blockhead", "scoundrel"]
     rows, labels = [], []
