@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sori.llm.blocks import candidate_blocks, forest, shared_keys, verified_edges
+from sori.llm.blocks import SMALL_BUCKET, candidate_blocks, forest, shared_keys, verified_edges
 from sori.llm.graph import components
 from sori.llm.minhash import EMPTY, GOLD, WordHashes, mix
 from sori.llm.store import cut, drop_table, small_batches
@@ -24,7 +24,7 @@ MIN_WORDS = 5
 #: Slots of a sketch: each keeps the smallest hash of the n-grams that fall to it. Lines that share two are candidates.
 SLOTS, SHARED = 24, 2
 #: Bytes of an n-gram for lines of so many characters. Ranges overlap by the tenth that similar lines may differ in length.
-TIERS = ((3, 1, 20), (5, 18, 44), (8, 39, 110), (11, 99, 1 << 62))
+TIERS = ((3, 1, 20), (5, 18, 44), (8, 39, 70), (9, 63, 110), (12, 99, 1 << 62))
 #: Width (of the logarithm) of the length classes that are part of a slot's key; each slot has its classes shifted.
 LENGTH_CLASS = 0.4
 SHIFTS = np.arange(SLOTS) * 0.618 % 1
@@ -139,8 +139,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line_no int, line long, keys array<int>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Rows (key, id, n) as shared keys of lines that share SHARED keys of their sketches.
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of lines that share SHARED keys of their sketches, and larger groups of such (key, id, n).
 
     Lines of a key that few have are paired at once; a key of many (a frequent n-gram) counts only together with
     each other key of its lines, so that its lines are not all compared with each other. No pair that shares two is left out.
@@ -148,13 +148,43 @@ def candidates(classes: DataFrame) -> DataFrame:
     keys = classes.select(F.col("line").alias("id"), F.posexplode("keys").alias("pos", "v")).where("v != 0")
     shared = shared_keys(keys.select(((F.col("pos") % SLOTS).cast("long") * (1 << 32) + F.col("v")).alias("key"), "id"))
     cold, hot = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
-    pairs = cold.select("key", F.col("id").alias("a")).join(cold.select("key", F.col("id").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-    pairs = cut(pairs.select("a", "b", F.xxhash64("a", "b").alias("key")), "line-pairs")
+    pairs = pairs_of(cold).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
+    pairs = cut(pairs, "line-pairs")
     other = shared.select("id", F.col("key").alias("other"))
     both = hot.join(other, "id").where("key != other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
     both = cut(both, "hot-pairs")
     drop_table(shared)
-    return shared_keys(both).unionByName(pairs.select("key", F.explode(F.array("a", "b")).alias("id"), F.lit(2).cast("long").alias("n")))
+    groups = shared_keys(both)
+    drop_table(both)
+    return pairs.unionByName(pairs_of(groups.where(F.col("n") <= SMALL_BUCKET))).distinct(), groups.where(F.col("n") > SMALL_BUCKET)
+
+
+def pairs_of(shared: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of the ids of each key."""
+    return shared.select("key", F.col("id").alias("a")).join(shared.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is high enough; counts of letters rule most others out."""
+    longer = max(len(a), len(b))
+    most = int((1 - EDIT_SIMILARITY) * longer + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for t in (a, b))
+    more = x - y
+    return more[more > 0].sum() <= most and -more[more < 0].sum() <= most and edit_distance(a, b, most) <= most
+
+
+def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
+
+    def run(batches):
+        for b in batches:
+            good = [similar(x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
+    return left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int, int]]:
@@ -171,9 +201,7 @@ def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int,
         near[: max(k + 1, split)] = False
         for p in np.flatnonzero(near & (group != group[k])):
             if group[p] != group[k]:
-                longer = max(len(texts[k]), len(texts[p]))
-                most = int((1 - EDIT_SIMILARITY) * longer + 1e-9)
-                if edit_distance(texts[k], texts[p], most) <= most:
+                if similar(texts[k], texts[p]):
                     yield p
 
     return forest(ids, partners)
@@ -184,7 +212,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     Lines are normalised; equal ones of at least MIN_BYTES bytes or MIN_WORDS words are one class. Classes of at least
     FUZZY_BYTES bytes or MIN_WORDS words that share two keys of their sketches of character n-grams are candidates,
-    whose edit similarity is verified block by block; linked classes are one group. A group keeps its first line, by
+    whose edit similarity is verified pair by pair, and block by block in large groups; linked classes are one group. A group keeps its first line, by
     doc_id and number.
 
     Rows that share a doc_id are not told apart. Null doc_id or text: no lines. Empty table: no rows.
@@ -192,10 +220,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs), "lines")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys")), "line-classes")
-    shared = candidates(classes)
+    pairs, shared = candidates(classes)
+    pairs = cut(pairs, "candidate-lines")
     members, block_pairs = candidate_blocks(shared, classes.select(F.col("line").alias("id"), F.lit(100).alias("size")), 1)
     drop_table(shared)
-    wanted = classes.join(members, classes["line"] == members["id"]).select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.join(ids, classes["line"] == ids["id"]).select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
 
@@ -211,7 +241,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], ["id", "payload"])
 
     payloads = texts.select("text", "wanted").mapInArrow(pick, "id long, payload binary").dropDuplicates(["id"])
-    edges = verified_edges(members, block_pairs, payloads, verify)
+    payloads = cut(payloads, "line-texts")
+    edges = cut(verified_edges(members, block_pairs, payloads, verify).unionByName(pair_edges(pairs, payloads)), "line-links")
+    drop_table(payloads)
+    drop_table(pairs)
     groups = cut(components(edges), "line-groups")
     grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
     alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
