@@ -1,8 +1,9 @@
-"""Fuzzy line deduplication: sketches of character n-grams, edit similarity, connected groups."""
+"""Fuzzy line deduplication: sketches of n-grams, edit similarity of candidates, connected groups."""
 
 from __future__ import annotations
 
 import string
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -12,38 +13,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sori.llm.blocks import SMALL_BUCKET, candidate_blocks, forest, shared_keys, verified_edges
+from sori.llm.blocks import forest
 from sori.llm.graph import components
-from sori.llm.minhash import EMPTY, GOLD, WordHashes, mix
+from sori.llm.minhash import GOLD, mix
 from sori.llm.store import cut, drop_table, small_batches
 
 #: Bytes (UTF-8, after normalising) from which lines count at all, and from which they are also compared with unequal ones.
 MIN_BYTES, FUZZY_BYTES = 11, 20
 #: Lines of so many words count and are compared even if they have fewer bytes.
 MIN_WORDS = 5
-#: Slots of a sketch: each keeps the smallest hash of the n-grams that fall to it. Lines that share two are candidates.
-SLOTS, SHARED = 24, 2
-#: Bytes of an n-gram for lines of so many characters. Ranges overlap by the tenth that similar lines may differ in length.
-TIERS = ((3, 1, 20), (5, 18, 44), (8, 39, 70), (9, 63, 110), (12, 99, 1 << 62))
-#: Width (of the logarithm) of the length classes that are part of a slot's key; each slot has its classes shifted.
-LENGTH_CLASS = 0.4
-SHIFTS = np.arange(SLOTS) * 0.618 % 1
-#: Keys of more lines than this lead to candidates only together with a second key.
-HOT = 32
+#: Sketches of lines of so many characters: (unit, units in an n-gram, from, to, permutations in a key, keys). Ranges overlap by
+#: the tenth that similar lines may differ in length. A word counts by its first letter and whether it is long, so that of
+#: edits scattered over a line few reach an n-gram. The last tier is for lines of more than WIDE characters a word.
+TIERS = (("bytes", 4, 1, 30, 2, 16), ("bytes", 6, 27, 64, 2, 16), ("bytes", 9, 57, 130, 2, 16), ("words", 7, 117, 1 << 62, 1, 10), ("bytes", 12, 117, 1 << 62, 2, 8))
+KEYS, WIDE, LONG_WORD = 16, 10, 5
+#: Groups of up to so many lines give pairs at once; larger ones are first compared with one line, the rest in blocks.
+SMALL_GROUP = 32
+#: Characters of a block.
+BLOCK_CHARS = 100_000
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
 EDIT_SIMILARITY = 0.9
-#: Bytes that normalising leaves out.
+#: Bytes that normalising leaves out, and white space other than the space.
 DROP = bytes(c for c in range(256) if chr(c) in string.punctuation)
+SPACES = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
+RANDOM = np.random.default_rng(7)
+#: A number for each byte (for each of a letter's first three bytes), and odd multipliers that stand for the permutations.
+LETTERS = RANDOM.integers(1, 2**63, (3, 256)).astype(np.uint64)
+FACTORS = RANDOM.integers(1, 2**63, (KEYS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = int(GOLD)
 
 
-def normalise(line: str) -> list[bytes]:
-    """Words of a line: lower case, without ASCII punctuation, split at white space."""
-    return line.lower().encode("utf-8", "replace").translate(None, DROP).split()
+def normalise(text: str) -> list[bytes]:
+    """The lines of a text in lower case, without ASCII punctuation, with one space between words."""
+    lines = text.lower().encode("utf-8", "replace").translate(SPACES, DROP).split(b"\n")
+    return [b" ".join(x.split()) if b"  " in x or x[:1] == b" " or x[-1:] == b" " else x for x in lines]
 
 
-def counts(words: list[bytes], least: int) -> bool:
-    """Whether a line has enough words, or enough bytes with one space between words."""
-    return len(words) >= MIN_WORDS or sum(map(len, words)) + len(words) - 1 >= least
+def counts(line: bytes, least: int) -> bool:
+    """Whether a normalised line has enough bytes or enough words."""
+    return len(line) >= least or line.count(b" ") >= MIN_WORDS - 1
+
+
+def powers(n: int, known: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    if not known or len(known[0]) < n:
+        known[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 16), x % (1 << 64), np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return known[0], known[1]
+
+
+def running(codes: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of each stretch of ``codes`` can be told."""
+    return np.r_[np.uint64(0), np.cumsum(codes * powers(len(codes))[0][: len(codes)])]
+
+
+def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in characters, and keys (lines x 3 x KEYS, 0 for none) for a line's tiers in turn.
+
+    A key holds the n-gram that comes first in one permutation, or in each of two. It agrees with the Jaccard
+    coefficient of two lines' n-grams, or its square, as probability.
+    """
+    buf = np.frombuffer(b" ".join(lines) + b"   ", np.uint8)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    inner = np.r_[0, np.cumsum((buf & 0xC0) == 0x80)]
+    chars = sizes - (inner[starts + sizes] - inner[starts])
+    ends = np.flatnonzero(buf[:-2] == 32)
+    begins = np.r_[0, ends[:-1] + 1]
+    first_word = np.searchsorted(begins, starts)
+    words = np.diff(np.r_[first_word, len(begins)])
+    head = buf[begins]
+    code = LETTERS[0][head] + LETTERS[1][buf[begins + 1]] * (head >= 0xC0) + LETTERS[2][buf[begins + 2]] * (head >= 0xE0)
+    before = {"bytes": running(LETTERS[0][buf]), "words": running(mix(code + (ends - begins >= LONG_WORD)))}
+    inverse = powers(len(buf))[1]
+    keys = np.zeros((len(lines), 3, KEYS), np.uint64)
+    for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
+        rows = np.flatnonzero((chars >= low) & (chars <= high) & ((t < len(TIERS) - 1) | (chars > WIDE * words)))
+        if not len(rows):
+            continue
+        amount, place = (sizes[rows], starts[rows]) if unit == "bytes" else (words[rows], first_word[rows])
+        n = np.maximum(amount - q + 1, 1)
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(place - first, n)
+        last = at + np.repeat(np.minimum(amount, q), n)
+        h = mix((before[unit][last] - before[unit][at]) * inverse[at] + np.uint64(t))
+        for k, factors in enumerate(FACTORS[:count]):
+            key = np.full(len(rows), k + 1, np.uint64)
+            for f in factors[:permutations]:
+                key = mix(key * GOLD + np.minimum.reduceat(h * f, first))
+            keys[rows, t % 3, k] = key
+    return chars, keys
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -78,101 +136,132 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
-def sketches(lines: list[bytes], chars: np.ndarray) -> np.ndarray:
-    """Keys (lines x 2 x SLOTS, 0 for none) of the lines' character n-grams, for neighbouring tiers in turn.
+def within(a: str, b: str, most: int) -> bool:
+    """Whether one alignment by words (the nearest equal words after each difference) costs at most ``most`` edits.
 
-    A tier's n-grams are dealt to the slots by their hash, and each slot keeps the smallest. An n-gram survives edits
-    elsewhere, so a slot of two lines agrees with the probability of their n-grams' Jaccard coefficient.
+    That alignment is an upper bound of the edit distance, so True is sure, False is not.
     """
-    buf = b"".join(lines) + bytes(16)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    window = np.ndarray((len(buf) - 8,), "<u8", buf, 0, (1,))  # the eight bytes from each place on
-    least = np.full(len(lines) * 2 * SLOTS, EMPTY, np.uint64)
-    for t, (q, low, high) in enumerate(TIERS):
-        rows = np.flatnonzero((chars >= low) & (chars <= high) & (sizes >= q))
-        if not len(rows):
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
             continue
-        n = sizes[rows] - q + 1
-        at = np.arange(int(n.sum())) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
-        h = window[at] if q >= 8 else window[at] & np.uint64((1 << 8 * q) - 1)
-        h = mix(h * GOLD + np.uint64(t + 1))
-        if q > 8:
-            h = mix(h ^ window[at + q - 8] * GOLD)
-        slot = ((h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(least, np.repeat(rows * 2 * SLOTS + t % 2 * SLOTS, n) + slot, h)
-    least = least.reshape(-1, 2, SLOTS)
-    classes = np.floor(np.log(np.maximum(chars, 1))[:, None] / LENGTH_CLASS + SHIFTS).astype(np.uint64)
-    keys = (mix(least + classes[:, None, :] * GOLD) >> np.uint64(32)).astype(np.uint32)
-    keys[least == EMPTY] = 0
-    return keys
-
-
-def fingerprints(lines: list[list[bytes]], hashes: WordHashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit identity, length marks and sketch of each line; every line has a word. ``hashes`` is not needed any more.
-
-    The four 16-bit length marks are classes of the logarithm of the length in characters, each shifted by a quarter
-    of their width: lines whose lengths differ by a tenth at most, as all of similarity EDIT_SIMILARITY do, share two.
-    """
-    joined = [b" ".join(x) for x in lines]
-    identity = np.array([xxhash.xxh3_64_intdigest(x) for x in joined], np.uint64)
-    chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in joined], np.int64)
-    marks = np.floor(np.log(chars)[:, None] / 0.22 + np.arange(4) / 4).astype(np.uint16)
-    return identity.view(np.int64), marks.view("<i8").ravel(), sketches(joined, chars)
+        skips = ((d, step - d) for step in range(1, 7) for d in range(step + 1))
+        found = next(((d, e) for d, e in skips if i + d < len(x) and j + e < len(y) and x[i + d] == y[j + e]), None)
+        if found is None:
+            break
+        d, e = found
+        cost += max(sum(map(len, x[i : i + d])) + d, sum(map(len, y[j : j + e])) + e)
+        if cost > most:
+            return False
+        i, j = i + d, j + e
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (64-bit identity of the normalised line), keys (sketch) of all lines that count."""
-    small_batches(docs.sparkSession)
+def letters(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+
+
+def allowed(a: str, b: str) -> int:
+    """Edits that two lines may differ by."""
+    return int((1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9)
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is high enough; an alignment by words settles most that are, counts of letters most that are not."""
+    most = allowed(a, b)
+    if abs(len(a) - len(b)) > most:
+        return False
+    if within(a, b, most):
+        return True
+    more = letters(a) - letters(b)
+    return more[more > 0].sum() <= most and -more[more < 0].sum() <= most and edit_distance(a, b, most) <= most
 
-    def run(batches):
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                found = [(d, n, w) for d, t in zip(ids[i : i + 64], texts[i : i + 64], strict=True) if d is not None and t for n, x in enumerate(t.split("\n")) if counts(w := normalise(x), MIN_BYTES)]
-                if found:
-                    line, _, keys = fingerprints([w for _, _, w in found])
-                    there = keys.any(axis=2) & np.array([counts(w, FUZZY_BYTES) for _, _, w in found])[:, None]
-                    ends = pa.array(np.r_[0, np.cumsum(there.sum(axis=1) * SLOTS)].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array(line), pa.ListArray.from_arrays(ends, pa.array(keys[there].ravel().view(np.int32)))], ["doc_id", "line_no", "line", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line_no int, line long, keys array<int>")
+def row_key() -> F.Column:
+    """A number for each document: rows of one doc_id and unlike texts are told apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of lines that share SHARED keys of their sketches, and larger groups of such (key, id, n).
+def line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (number of the document), line_no, line (64-bit identity), chars, keys (sketch; null in repeats) of all lines that count."""
+    small_batches(docs.sparkSession)
 
-    Lines of a key that few have are paired at once; a key of many (a frequent n-gram) counts only together with
-    each other key of its lines, so that its lines are not all compared with each other. No pair that shares two is left out.
+    def run(batches):
+        known: set[int] = set()  # lines whose keys this task has returned already
+        for b in batches:
+            ids, rows, texts = (b.column(i).to_pylist() for i in range(3))
+            for at in range(0, len(texts), 64):
+                found = [(d, r, n, x) for d, r, t in zip(ids[at : at + 64], rows[at : at + 64], texts[at : at + 64], strict=True) if t for n, x in enumerate(normalise(t)) if counts(x, MIN_BYTES)]
+                if not found:
+                    continue
+                doc, row, no, lines = zip(*found, strict=True)
+                line = [xxhash.xxh3_64_intdigest(x) for x in lines]
+                if len(known) > 200_000:
+                    known.clear()
+                fresh = np.zeros(len(lines), bool)
+                for i, h in enumerate(line):
+                    if h not in known and counts(lines[i], FUZZY_BYTES):
+                        known.add(h)
+                        fresh[i] = True
+                chars, keys = np.zeros(len(lines), np.int32), np.zeros((len(lines), 3, KEYS), np.uint64)
+                if fresh.any():
+                    chars[fresh], keys[fresh] = sketches([x for x, f in zip(lines, fresh, strict=True) if f])
+                there = keys != 0
+                ends = np.r_[0, np.cumsum(there.sum(axis=(1, 2)))].astype(np.int32)
+                cols = [pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(chars), pa.ListArray.from_arrays(ends, pa.array(keys[there].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line_no", "line", "chars", "keys"])
+
+    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
+    return found.mapInArrow(run, "doc_id long, row long, line_no int, line long, chars int, keys array<long>")
+
+
+def close(a: str, b: str) -> F.Column:
+    """Whether two lengths allow the edit similarity."""
+    return F.abs(F.col(a) - F.col(b)) * 10 <= F.greatest(a, b)
+
+
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different lines to compare first, and the larger groups (key, line, chars, lead).
+
+    Lines of nearly equal length that share a key are candidates, whatever the size of its group. Pairs of the larger
+    groups are not written out: their lines are first compared with the group's lead alone.
     """
-    keys = classes.select(F.col("line").alias("id"), F.posexplode("keys").alias("pos", "v")).where("v != 0")
-    shared = shared_keys(keys.select(((F.col("pos") % SLOTS).cast("long") * (1 << 32) + F.col("v")).alias("key"), "id"))
-    cold, hot = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
-    pairs = pairs_of(cold).groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED).select("a", "b")
-    pairs = cut(pairs, "line-pairs")
-    other = shared.select("id", F.col("key").alias("other"))
-    both = hot.join(other, "id").where("key != other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
-    both = cut(both, "hot-pairs")
-    drop_table(shared)
-    groups = shared_keys(both)
-    drop_table(both)
-    return pairs.unionByName(pairs_of(groups.where(F.col("n") <= SMALL_BUCKET))).distinct(), groups.where(F.col("n") > SMALL_BUCKET)
+    keys = lines.select(F.explode("keys").alias("key"), "line", "chars")
+    shared = keys.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last")).where("lead < last").select("key", "lead")
+    shared = cut(shared, "shared-keys")
+    rows = cut(keys.join(shared.hint("shuffle_hash"), "key"), "keyed-lines")
+    rows = rows.groupBy("key", "line", "chars", "lead").agg(F.lit(1))
+    rows = cut(rows.select("key", "line", "chars", "lead"), "distinct-keyed-lines")
+    sized = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "groups-of-lines")
+    small, large = sized.where(F.col("n") <= SMALL_GROUP), sized.where(F.col("n") > SMALL_GROUP).drop("n")
+    left, right = small.select("key", F.col("line").alias("a"), F.col("chars").alias("x")), small.select("key", F.col("line").alias("b"), F.col("chars").alias("y"))
+    pairs = left.join(right, "key").where(F.col("a") < F.col("b")).where(close("x", "y")).select("a", "b")
+    leads = large.where("line <> lead").select(F.col("lead").alias("a"), F.col("line").alias("b"))
+    out = cut(pairs.unionByName(leads).distinct(), "candidate-lines"), cut(large, "large-groups")
+    for t in (shared, rows, sized):
+        drop_table(t)
+    return out
 
 
-def pairs_of(shared: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of the ids of each key."""
-    return shared.select("key", F.col("id").alias("a")).join(shared.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, payload: the normalised bytes of the lines ``ids``, taken from the first document that has each."""
+    wanted = classes.join(ids, classes["line"] == ids["id"]).select("id", F.col("first.row").alias("_row"), F.col("first.line_no").alias("line_no"))
+    wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
+    texts = docs.where("doc_id IS NOT NULL").select(row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["_row"]).select("text", "wanted.line_no", "wanted.id")
 
+    def pick(batches):
+        for b in batches:
+            ids, payloads = [], []
+            for text, places, group in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                parts = text.split("\n")
+                ids += group
+                payloads += [normalise(parts[n])[0] for n in places]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], ["id", "payload"])
 
-def similar(a: str, b: str) -> bool:
-    """Whether the edit similarity is high enough; counts of letters rule most others out."""
-    longer = max(len(a), len(b))
-    most = int((1 - EDIT_SIMILARITY) * longer + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = (np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for t in (a, b))
-    more = x - y
-    return more[more > 0].sum() <= most and -more[more < 0].sum() <= most and edit_distance(a, b, most) <= most
+    return texts.mapInArrow(pick, "id long, payload binary")
 
 
 def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -187,73 +276,90 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
     return left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int, int]]:
-    """Spanning links of candidates whose edit similarity is high enough."""
-    _, marks, keys = fingerprints([p.split() for p in payloads])
-    marks, keys = marks.view(np.uint16).reshape(-1, 4), keys.reshape(len(ids), -1)
-    texts = [p.decode("utf-8", "replace") for p in payloads]
+def block_edges(large: DataFrame, edges: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Links within large groups of lines that are not linked to their group's lead, with all lines of the group.
 
-    def partners(k: int, group: np.ndarray):
-        if split and k >= split:
-            return
-        near = ((keys == keys[k]) & (keys[k] != 0)).sum(axis=1) >= SHARED
-        near &= (marks == marks[k]).sum(axis=1) >= 2
-        near[: max(k + 1, split)] = False
-        for p in np.flatnonzero(near & (group != group[k])):
-            if group[p] != group[k]:
-                if similar(texts[k], texts[p]):
-                    yield p
+    Lines linked to the lead belong together already. The others meet the group's lines of neighbouring length
+    classes in blocks of bounded size; a task returns the links of a spanning forest.
+    """
+    linked = edges.select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
+    class_ = F.floor(F.log("chars") / F.lit(-log(EDIT_SIMILARITY))).cast("int").alias("class")
+    rows = cut(large.join(linked, ["lead", "line"], "left").where("line <> lead").select("key", "line", "chars", class_, F.col("linked").isNull().alias("rest")), "rest-of-groups")
+    rest, rows = rows.where("rest"), rows.join(rows.where("rest").select("key").distinct(), "key", "left_semi")
 
-    return forest(ids, partners)
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        parts = rows.groupBy("key", "class").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).alias("parts"))
+        rows = rows.join(parts, ["key", "class"]).withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
+        rows = rows.join(payloads.withColumnRenamed("id", "line"), "line")
+        return cut(rows.groupBy("key", "class", "part").agg(F.collect_list("line").alias("ids"), F.collect_list("payload").alias("texts")), name)  # bounded by BLOCK_CHARS
+
+    left, right = dealt(rest, "left-blocks"), dealt(rows, "right-blocks")
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    jobs = left.select("key", near, "ids", "texts").join(right.select("key", "class", F.col("ids").alias("others"), F.col("texts").alias("their")), ["key", "class"]).select("ids", "texts", "others", "their")
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for ids, own, others, their in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                texts = [x.decode("utf-8", "replace") for x in own + their]
+                size, letter = np.array([len(t) for t in texts]), np.array([letters(t) for t in texts])
+                split, names = len(ids), np.array(ids + others)
+
+                def partners(k: int, group: np.ndarray):
+                    if k >= split:
+                        return
+                    most = (0.1 * np.maximum(size[split:], size[k]) + 1e-9).astype(np.int64)
+                    more = letter[split:] - letter[k]
+                    up = np.maximum(more, 0).sum(axis=1)
+                    fit = (np.abs(size[split:] - size[k]) <= most) & (up <= most) & (up - more.sum(axis=1) <= most) & (names[split:] != names[k])
+                    for p in np.flatnonzero(fit) + split:
+                        if group[p] != group[k] and similar(texts[k], texts[p]):
+                            yield p
+
+                out += forest(names.tolist(), partners)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    spark = large.sparkSession
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        return cut(jobs.mapInArrow(run, "a long, b long"), "block-links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+        for t in (left, right):
+            drop_table(t)
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """Lines that repeat an earlier one of their group: doc_id, lines (their numbers from 0, ascending).
+    """Lines that repeat an earlier one of their group: doc_id, row (:func:`row_key` of the document), lines (numbers from 0, ascending).
 
     Lines are normalised; equal ones of at least MIN_BYTES bytes or MIN_WORDS words are one class. Classes of at least
-    FUZZY_BYTES bytes or MIN_WORDS words that share two keys of their sketches of character n-grams are candidates,
-    whose edit similarity is verified pair by pair, and block by block in large groups; linked classes are one group. A group keeps its first line, by
-    doc_id and number.
+    FUZZY_BYTES bytes or MIN_WORDS words that share a key of their sketches of n-grams are candidates, whose edit
+    similarity is verified; linked classes are one group. A group keeps its first line, by doc_id and number.
 
-    Rows that share a doc_id are not told apart. Null doc_id or text: no lines. Empty table: no rows.
+    Rows of one doc_id are told apart by their texts (and ordered by a hash of these); rows that are equal in both
+    count as one document. Null doc_id or text, empty text: no lines. Very long lines: compared whole. Ties (equal
+    lines): the first stays. Empty table: no rows. Other columns are ignored.
     """
     lines = cut(line_rows(docs), "lines")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys")), "line-classes")
-    pairs, shared = candidates(classes)
-    pairs = cut(pairs, "candidate-lines")
-    members, block_pairs = candidate_blocks(shared, classes.select(F.col("line").alias("id"), F.lit(100).alias("size")), 1)
-    drop_table(shared)
-    ids = members.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = classes.join(ids, classes["line"] == ids["id"]).select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id")
-
-    def pick(batches):
-        for b in batches:
-            ids, payloads = [], []
-            for text, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                for g in group:
-                    words = normalise(parts[g["line_no"]]) if g["line_no"] < len(parts) else []
-                    ids.append(g["id"])
-                    payloads.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], ["id", "payload"])
-
-    payloads = texts.select("text", "wanted").mapInArrow(pick, "id long, payload binary").dropDuplicates(["id"])
-    payloads = cut(payloads, "line-texts")
-    edges = cut(verified_edges(members, block_pairs, payloads, verify).unionByName(pair_edges(pairs, payloads)), "line-links")
-    drop_table(payloads)
-    drop_table(pairs)
-    groups = cut(components(edges), "line-groups")
+    first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
+    classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
+    pairs, large = candidates(lines)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("line").alias("id"))).distinct()
+    payloads = cut(payloads_of(docs, classes, ids).dropDuplicates(["id"]), "line-texts")
+    edges = cut(pair_edges(pairs, payloads), "line-links")
+    more = block_edges(large, edges, payloads)
+    for t in (payloads, pairs, large):
+        drop_table(t)
+    groups = cut(components(edges.unionByName(more)), "line-groups")
     grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
     alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
     linked = cut(grouped.where("linked"), "linked-lines")
     firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
     repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
-    gone = lines.join(repeated, "line").where(F.struct("doc_id", "line_no") > F.col("keep"))
-    out = cut(gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
-    for t in (lines, classes, linked, repeated):
+    gone = lines.drop("keys").join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
+    out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
+    for t in (lines, classes, edges, more, groups, linked, repeated):
         drop_table(t)
     return out
 
@@ -263,19 +369,19 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
 
     A document keeps its other lines in order, joined as before; one that loses all its lines keeps an empty text.
     ``n_chars``, if there is such a column, becomes the new length. Null text stays null. A column lines_removed of
-    the input is replaced.
+    the input is replaced. Rows without doc_id keep all lines.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lines_removed")
-    gone = duplicate_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_lines"))
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_doc"], "left").drop("_doc")
+    gone = duplicate_lines(docs).select(F.col("row").alias("_row"), F.col("lines").alias("_lines"))
+    joined = docs.join(gone.hint("shuffle_hash"), row_key() == gone["_row"], "left").drop("_row")
     names, place = docs.columns, docs.columns.index("text")
-    size = names.index("n_chars") if "n_chars" in names else None
+    size, known = (names.index(c) if c in names else None for c in ("n_chars", "doc_id"))
 
     def run(batches):
         for b in batches:
             cols, counts = [*b.columns[:-1]], np.zeros(b.num_rows, np.int32)
-            hit = pc.and_(pc.is_valid(b.columns[-1]), pc.is_valid(b.column(place)))
+            hit = pc.and_(pc.and_(pc.is_valid(b.columns[-1]), pc.is_valid(b.column(place))), pc.is_valid(b.column(known)))
             rows = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
             if len(rows):
                 texts = []

@@ -283,32 +283,52 @@ def test_edit_distance(a, b):
     assert (linededup.edit_distance(a, b, 3) <= 3) == (levenshtein(a, b) <= 3)
 
 
-def test_lines(spark, none):
-    r = random.Random(8)
-    lines = [prose(50 + i, 30) for i in range(40)]
-    near = [x.replace("alpha", "alphq", 1) for x in lines]
-    rows = [(i, "\n".join([r.choice(lines), prose(900 + i, 20), r.choice(near).upper(), "short line", r.choice(lines) + "!"])) for i in range(30)]
-    rows += [(90, None), (91, ""), (None, lines[0]), (92, lines[0]), (92, lines[0])]
-    norm = lambda x: linededup.normalise(x)
-    found = [(d, n, b" ".join(w)) for d, t in rows if d is not None and t for n, x in enumerate(t.split("\n")) if len(w := norm(x)) >= 5]
-    distinct = sorted({x for _, _, x in found})
-    prints = dict(zip(distinct, linededup.fingerprints([x.split() for x in distinct], minhash.WordHashes())[1].view(np.uint16).reshape(-1, 4), strict=True))
+def expected_lines(rows):
+    """Texts without repeated lines, by comparing all pairs of lines."""
+    found = sorted({(d, t, n, x) for d, t in rows if d is not None and t for n, x in enumerate(linededup.normalise(t)) if linededup.counts(x, linededup.MIN_BYTES)})
+    distinct = sorted({x for *_, x in found})
     root = {x: x for x in distinct}
-    for a, b in combinations(distinct, 2):
-        longer = max(len(a), len(b))
-        if (prints[a] == prints[b]).sum() >= 2 and levenshtein(a.decode(), b.decode()) <= int(0.1 * longer + 1e-9):
+    for a, b in combinations([x for x in distinct if linededup.counts(x, linededup.FUZZY_BYTES)], 2):
+        most = int(0.1 * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) <= most and linededup.edit_distance(a.decode(), b.decode(), most) <= most:
             low, high = sorted((root[a], root[b]))
             root = {k: low if v == high else v for k, v in root.items()}
     keep = {}
-    for d, n, x in found:
-        keep[root[x]] = min(keep.get(root[x], (d, n)), (d, n))
-    gone = {(d, n) for d, n, x in found if keep[root[x]] != (d, n)}
-    want = Counter((d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in rows)
+    for d, t, n, x in found:
+        keep[root[x]] = min(keep.get(root[x], (d, t, n)), (d, t, n))
+    gone = {(d, t, n) for d, t, n, x in found if keep[root[x]] != (d, t, n)}
+    return Counter((d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, t, n) not in gone)) for d, t in rows)
+
+
+@pytest.mark.parametrize("small", [32, 2])  # with 2, all larger groups are compared with their lead and in blocks
+def test_lines(spark, none, monkeypatch, small):
+    monkeypatch.setattr(linededup, "SMALL_GROUP", small)
+    monkeypatch.setattr(linededup, "BLOCK_CHARS", 400)
+    r = random.Random(8)
+    lines = [prose(50 + i, 30) for i in range(40)]
+    near = [x.replace("alpha", "alphq", 1) for x in lines]
+    family = [edit(edit(lines[0], r.randrange(30)), r.randrange(30)) for _ in range(30)]  # not all similar to each other
+    rows = [(i, "\n".join([r.choice(lines), prose(900 + i, 20), r.choice(near).upper(), "short line", r.choice(lines) + "!", family[i]])) for i in range(30)]
+    rows += [(90, None), (91, ""), (None, lines[0]), (92, lines[0]), (92, lines[0]), (93, "x" * 40_000), (94, "x" * 39_999 + "y")]
+    want = expected_lines(rows)
     out = linededup.drop_duplicate_lines(frame(spark, rows))
-    assert Counter((x.doc_id, x.text) for x in out.collect()) == want and gone
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == want and want != Counter(rows)
     assert linededup.drop_duplicate_lines(none).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, prose(1, 20) + "\n" + prose(2, 20)), (1, prose(3, 20) + "\n" + prose(2, 20)), (2, prose(4, 20) + "\n" + prose(2, 20)), (2, prose(2, 20) + "\n" + prose(5, 20))]
+    out = sorted(x.text for x in linededup.drop_duplicate_lines(frame(spark, rows)).collect())
+    assert sum(x.count(prose(2, 20)) for x in out) == 1 and all(any(prose(i, 20) in x for x in out) for i in (1, 3, 4, 5))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "ccc", "dd"]), max_size=9), st.lists(st.sampled_from(["a", "bb", "ccc", "dd"]), max_size=9), st.integers(0, 12))
+def test_alignment_by_words_is_an_upper_bound(x, y, most):
+    a, b = " ".join(x), " ".join(y)
+    assert not linededup.within(a, b, most) or levenshtein(a, b) <= most
+
+
 def test_lines_recall(spark):
     """Against brute force over all pairs of lines, without fingerprints: lines at an edit similarity of 0.9 to 0.99."""
     r, rows, pairs = random.Random(5), [], 0
