@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sori.llm.blocks import forest
 from sori.llm.graph import components
 from sori.llm.minhash import GOLD, mix
 from sori.llm.store import cut, drop_table, small_batches
@@ -23,11 +22,11 @@ MIN_BYTES, FUZZY_BYTES = 11, 20
 #: Lines of so many words count and are compared even if they have fewer bytes.
 MIN_WORDS = 5
 #: Sketches of lines of so many characters: (unit, units in an n-gram, from, to, permutations in a key, keys). Ranges overlap by
-#: the tenth that similar lines may differ in length. A word counts by its first letter and whether it is long, so that of
+#: the tenth that similar lines may differ in length. A word counts by its first letter and its class of length, so that of
 #: edits scattered over a line few reach an n-gram. The last tier is for lines of more than WIDE characters a word.
-TIERS = (("bytes", 4, 1, 30, 2, 16), ("bytes", 6, 27, 64, 2, 16), ("bytes", 9, 57, 130, 2, 16), ("words", 7, 117, 1 << 62, 1, 10), ("bytes", 12, 117, 1 << 62, 2, 8))
-KEYS, WIDE, LONG_WORD = 16, 10, 5
-#: Groups of up to so many lines give pairs at once; larger ones are first compared with one line, the rest in blocks.
+TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("bytes", 10, 57, 130, 2, 20), ("words", 7, 117, 1 << 62, 1, 10), ("bytes", 12, 117, 1 << 62, 2, 10))
+KEYS, WIDE, WORD_LENGTHS = 28, 10, (3, 4, 6, 9)
+#: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared in blocks.
 SMALL_GROUP = 32
 #: Characters of a block.
 BLOCK_CHARS = 100_000
@@ -36,10 +35,10 @@ EDIT_SIMILARITY = 0.9
 #: Bytes that normalising leaves out, and white space other than the space.
 DROP = bytes(c for c in range(256) if chr(c) in string.punctuation)
 SPACES = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
-RANDOM = np.random.default_rng(7)
+RANDOM = np.random.default_rng(8)
 #: A number for each byte (for each of a letter's first three bytes), and odd multipliers that stand for the permutations.
 LETTERS = RANDOM.integers(1, 2**63, (3, 256)).astype(np.uint64)
-FACTORS = RANDOM.integers(1, 2**63, (KEYS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = RANDOM.integers(1, 2**63, (KEYS, 3)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(GOLD)
 
 
@@ -61,43 +60,47 @@ def powers(n: int, known: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa:
     return known[0], known[1]
 
 
-def running(codes: np.ndarray) -> np.ndarray:
-    """Running sums from which the hash of each stretch of ``codes`` can be told."""
-    return np.r_[np.uint64(0), np.cumsum(codes * powers(len(codes))[0][: len(codes)])]
+def ngrams(codes: np.ndarray, starts: np.ndarray, amounts: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches of ``q`` codes (of all, if there are fewer) of each line, and where each line's begin."""
+    power, inverse = powers(len(codes) + 1)
+    before = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=before[1:])
+    n = np.maximum(amounts - q + 1, 1)
+    first = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat(starts - first, n)
+    return mix((before[at + np.repeat(np.minimum(amounts, q), n)] - before[at]) * inverse[at]), first
 
 
-def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths in characters, and keys (lines x 3 x KEYS, 0 for none) for a line's tiers in turn.
-
-    A key holds the n-gram that comes first in one permutation, or in each of two. It agrees with the Jaccard
-    coefficient of two lines' n-grams, or its square, as probability.
-    """
+def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, of its first letter and its class of length, and the number of words of each line."""
     buf = np.frombuffer(b" ".join(lines) + b"   ", np.uint8)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    inner = np.r_[0, np.cumsum((buf & 0xC0) == 0x80)]
-    chars = sizes - (inner[starts + sizes] - inner[starts])
     ends = np.flatnonzero(buf[:-2] == 32)
     begins = np.r_[0, ends[:-1] + 1]
-    first_word = np.searchsorted(begins, starts)
-    words = np.diff(np.r_[first_word, len(begins)])
     head = buf[begins]
-    code = LETTERS[0][head] + LETTERS[1][buf[begins + 1]] * (head >= 0xC0) + LETTERS[2][buf[begins + 2]] * (head >= 0xE0)
-    before = {"bytes": running(LETTERS[0][buf]), "words": running(mix(code + (ends - begins >= LONG_WORD)))}
-    inverse = powers(len(buf))[1]
+    code = LETTERS[0][head]
+    wide = np.flatnonzero(head >= 0xC0)  # letters of two bytes or three
+    code[wide] += LETTERS[1][buf[begins[wide] + 1]] + LETTERS[2][buf[begins[wide] + 2]] * (head[wide] >= 0xE0)
+    return mix(code + np.searchsorted(WORD_LENGTHS, ends - begins, "right").astype(np.uint64)), np.array([x.count(b" ") + 1 for x in lines], np.int64)
+
+
+def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in characters, and keys (lines x 3 x KEYS, 0 for none) for a line's tiers in turn.
+
+    A key holds the n-gram that comes first in one permutation, or in each of two or three. It agrees with the
+    Jaccard coefficient of two lines' n-grams, or its power, as probability.
+    """
+    chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
+    spaces = np.array([x.count(b" ") for x in lines], np.int64)
     keys = np.zeros((len(lines), 3, KEYS), np.uint64)
     for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
-        rows = np.flatnonzero((chars >= low) & (chars <= high) & ((t < len(TIERS) - 1) | (chars > WIDE * words)))
+        rows = np.flatnonzero((chars >= low) & (chars <= high) & ((t < len(TIERS) - 1) | (chars > WIDE * (spaces + 1))))
         if not len(rows):
             continue
-        amount, place = (sizes[rows], starts[rows]) if unit == "bytes" else (words[rows], first_word[rows])
-        n = np.maximum(amount - q + 1, 1)
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(place - first, n)
-        last = at + np.repeat(np.minimum(amount, q), n)
-        h = mix((before[unit][last] - before[unit][at]) * inverse[at] + np.uint64(t))
+        chosen = [lines[i] for i in rows]
+        codes, amounts = word_codes(chosen) if unit == "words" else (LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], np.array([len(x) for x in chosen], np.int64))
+        h, first = ngrams(codes, np.cumsum(amounts) - amounts, amounts, q)
         for k, factors in enumerate(FACTORS[:count]):
-            key = np.full(len(rows), k + 1, np.uint64)
+            key = np.full(len(rows), t * KEYS + k + 1, np.uint64)
             for f in factors[:permutations]:
                 key = mix(key * GOLD + np.minimum.reduceat(h * f, first))
             keys[rows, t % 3, k] = key
@@ -152,15 +155,17 @@ def within(a: str, b: str, most: int) -> bool:
         if found is None:
             break
         d, e = found
-        cost += max(sum(map(len, x[i : i + d])) + d, sum(map(len, y[j : j + e])) + e)
+        cost += edit_distance(" ".join([*x[i : i + d], ""]), " ".join([*y[j : j + e], ""]), most)
         if cost > most:
             return False
         i, j = i + d, j + e
     return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
 
 
-def letters(text: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+def profile(text: str) -> np.ndarray:
+    """Counts of a text's triples of characters, in bins."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount((c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) & np.uint32(1023), minlength=1024).astype(np.int16 if len(c) < 30_000 else np.int32)
 
 
 def allowed(a: str, b: str) -> int:
@@ -168,15 +173,22 @@ def allowed(a: str, b: str) -> int:
     return int((1 - EDIT_SIMILARITY) * max(len(a), len(b)) + 1e-9)
 
 
+def apart(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether two profiles differ by more than ``most`` edits can bring about."""
+    net, gross = int(x.sum()) - int(y.sum()), int(np.abs(x - y).sum())
+    return gross + abs(net) > 6 * most
+
+
 def similar(a: str, b: str) -> bool:
-    """Whether the edit similarity is high enough; an alignment by words settles most that are, counts of letters most that are not."""
+    """Whether the edit similarity is high enough.
+
+    An edit takes away three triples of characters at most and brings three: counts of triples rule out most lines that
+    are not similar, an alignment by words accepts most that are, and the edit distance settles the rest.
+    """
     most = allowed(a, b)
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or apart(profile(a), profile(b), most):
         return False
-    if within(a, b, most):
-        return True
-    more = letters(a) - letters(b)
-    return more[more > 0].sum() <= most and -more[more < 0].sum() <= most and edit_distance(a, b, most) <= most
+    return within(a, b, most) or edit_distance(a, b, most) <= most
 
 
 def row_key() -> F.Column:
@@ -222,29 +234,55 @@ def close(a: str, b: str) -> F.Column:
     return F.abs(F.col(a) - F.col(b)) * 10 <= F.greatest(a, b)
 
 
-def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different lines to compare first, and the larger groups (key, line, chars, lead).
+def candidates(lines: DataFrame) -> DataFrame:
+    """Groups of different lines that share a key: key, line, chars, class (of lengths), lead (the group's smallest line), lead_chars, n.
 
-    Lines of nearly equal length that share a key are candidates, whatever the size of its group. Pairs of the larger
-    groups are not written out: their lines are first compared with the group's lead alone.
+    Lines of nearly equal length in one group are candidates, whatever its size. Lines without any such partner are
+    left out; classes are so wide that lines of similar length lie in the same or in neighbouring ones.
     """
     keys = lines.select(F.explode("keys").alias("key"), "line", "chars")
-    shared = keys.groupBy("key").agg(F.min("line").alias("lead"), F.max("line").alias("last")).where("lead < last").select("key", "lead")
+    shared = keys.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key")
     shared = cut(shared, "shared-keys")
-    rows = cut(keys.join(shared.hint("shuffle_hash"), "key"), "keyed-lines")
-    rows = rows.groupBy("key", "line", "chars", "lead").agg(F.lit(1))
-    rows = cut(rows.select("key", "line", "chars", "lead"), "distinct-keyed-lines")
-    sized = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "groups-of-lines")
-    small, large = sized.where(F.col("n") <= SMALL_GROUP), sized.where(F.col("n") > SMALL_GROUP).drop("n")
-    left, right = small.select("key", F.col("line").alias("a"), F.col("chars").alias("x")), small.select("key", F.col("line").alias("b"), F.col("chars").alias("y"))
-    pairs = left.join(right, "key").where(F.col("a") < F.col("b")).where(close("x", "y")).select("a", "b")
-    leads = large.where("line <> lead").select(F.col("lead").alias("a"), F.col("line").alias("b"))
-    out = cut(pairs.unionByName(leads).distinct(), "candidate-lines"), cut(large, "large-groups")
-    for t in (shared, rows, sized):
+    class_ = F.floor(F.log("chars") / F.lit(-log(EDIT_SIMILARITY))).cast("int")
+    rows = keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line", "chars").agg(F.lit(1)).select("key", "line", "chars", class_.alias("class"))
+    rows = cut(rows, "keyed-lines")
+    counts = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    around = counts.select("key", neighbours(), "n").groupBy("key", "class").agg(F.sum("n").alias("n")).where("n > 1").select("key", "class")
+    rows = rows.join(around, ["key", "class"], "left_semi")
+    rows = cut(rows, "partnered-lines")
+    leads = rows.groupBy("key").agg(F.min("line").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leads = leads.join(rows.select("key", F.col("line").alias("lead"), F.col("chars").alias("lead_chars")), ["key", "lead"])
+    out = cut(rows.join(leads, "key"), "groups-of-lines")
+    for t in (shared, rows):
         drop_table(t)
     return out
 
 
+def neighbours() -> F.Column:
+    """A class of lengths and those beside it."""
+    return F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+
+
+def leading_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups' leads and lines of nearly equal length."""
+    return groups.where((F.col("line") != F.col("lead")) & close("chars", "lead_chars")).select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct()
+
+
+def marked(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """Groups with linked: whether a line is its group's lead or linked to it. Groups of linked lines only are left out."""
+    links = edges.select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
+    rows = groups.join(links, ["lead", "line"], "left").withColumn("linked", F.col("linked").isNotNull() | (F.col("line") == F.col("lead")))
+    rows = cut(rows, "marked-groups")
+    return rows.join(rows.where("NOT linked").select("key").distinct(), "key", "left_semi")
+
+
+def remaining_pairs(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small groups that their leads have not settled: neither the lead's own nor both linked to it."""
+    side = lambda line, chars, linked: small.select("key", "lead", F.col("line").alias(line), F.col("chars").alias(chars), F.col("linked").alias(linked))
+    both = side("a", "x", "p").join(side("b", "y", "q").drop("lead"), "key").where("a < b AND a <> lead AND NOT (p AND q)")
+    return both.where(close("x", "y")).select("a", "b").distinct()
+
+
 def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, payload: the normalised bytes of the lines ``ids``, taken from the first document that has each."""
     wanted = classes.join(ids, classes["line"] == ids["id"]).select("id", F.col("first.row").alias("_row"), F.col("first.line_no").alias("line_no"))
@@ -276,50 +314,48 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
     return left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_edges(large: DataFrame, edges: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Links within large groups of lines that are not linked to their group's lead, with all lines of the group.
+def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Links within large groups: the lines that are not linked to the group's lead, with all lines of the group.
 
-    Lines linked to the lead belong together already. The others meet the group's lines of neighbouring length
-    classes in blocks of bounded size; a task returns the links of a spanning forest.
+    Lines meet those of neighbouring classes of length, in blocks of bounded size; a task returns the links of a
+    spanning forest, in which those linked to the lead are one from the start.
     """
-    linked = edges.select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
-    class_ = F.floor(F.log("chars") / F.lit(-log(EDIT_SIMILARITY))).cast("int").alias("class")
-    rows = cut(large.join(linked, ["lead", "line"], "left").where("line <> lead").select("key", "line", "chars", class_, F.col("linked").isNull().alias("rest")), "rest-of-groups")
-    rest, rows = rows.where("rest"), rows.join(rows.where("rest").select("key").distinct(), "key", "left_semi")
+    rows = rows.select("key", "line", "chars", "class", (~F.col("linked")).alias("rest"))
+    rest = rows.where("rest")
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
         parts = rows.groupBy("key", "class").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).alias("parts"))
         rows = rows.join(parts, ["key", "class"]).withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
         rows = rows.join(payloads.withColumnRenamed("id", "line"), "line")
-        return cut(rows.groupBy("key", "class", "part").agg(F.collect_list("line").alias("ids"), F.collect_list("payload").alias("texts")), name)  # bounded by BLOCK_CHARS
+        return cut(rows.groupBy("key", "class", "part").agg(F.collect_list("line").alias("ids"), F.collect_list("payload").alias("texts"), F.collect_list("rest").alias("rest")), name)  # bounded by BLOCK_CHARS
 
     left, right = dealt(rest, "left-blocks"), dealt(rows, "right-blocks")
-    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-    jobs = left.select("key", near, "ids", "texts").join(right.select("key", "class", F.col("ids").alias("others"), F.col("texts").alias("their")), ["key", "class"]).select("ids", "texts", "others", "their")
+    jobs = left.select("key", neighbours(), "ids", "texts").join(right.select("key", "class", F.col("ids").alias("others"), F.col("texts").alias("their"), F.col("rest").alias("unlinked")), ["key", "class"])
+    jobs = jobs.select("ids", "texts", "others", "their", "unlinked")
 
     def run(batches):
         for b in batches:
             out: list[tuple[int, int]] = []
-            for ids, own, others, their in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                texts = [x.decode("utf-8", "replace") for x in own + their]
-                size, letter = np.array([len(t) for t in texts]), np.array([letters(t) for t in texts])
-                split, names = len(ids), np.array(ids + others)
-
-                def partners(k: int, group: np.ndarray):
-                    if k >= split:
-                        return
-                    most = (0.1 * np.maximum(size[split:], size[k]) + 1e-9).astype(np.int64)
-                    more = letter[split:] - letter[k]
+            for ids, own, others, their, unlinked in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                payload = dict(zip(ids + others, own + their, strict=True))
+                names, texts = list(payload), [x.decode("utf-8", "replace") for x in payload.values()]
+                size, counts = np.array([len(t) for t in texts]), np.array([profile(t) for t in texts])
+                group, place = np.arange(len(names)), {n: i for i, n in enumerate(names)}
+                group[[place[i] for i, u in zip(others, unlinked, strict=True) if not u]] = -1  # linked by their lead
+                for k in range(len(ids)):
+                    most = (0.1 * np.maximum(size, size[k]) + 1e-9).astype(np.int64)
+                    fit = np.flatnonzero((np.abs(size - size[k]) <= most) & (group != group[k]))
+                    more = counts[fit] - counts[k]
                     up = np.maximum(more, 0).sum(axis=1)
-                    fit = (np.abs(size[split:] - size[k]) <= most) & (up <= most) & (up - more.sum(axis=1) <= most) & (names[split:] != names[k])
-                    for p in np.flatnonzero(fit) + split:
+                    down = up - more.sum(axis=1)
+                    good = (up <= 3 * most[fit]) & (down <= 3 * most[fit])
+                    for p in fit[good][np.argsort((up + down)[good], kind="stable")]:
                         if group[p] != group[k] and similar(texts[k], texts[p]):
-                            yield p
-
-                out += forest(names.tolist(), partners)
+                            out.append((names[k], names[p]))
+                            group[group == group[k]] = group[p]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    spark = large.sparkSession
+    spark = rows.sparkSession
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
@@ -344,14 +380,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs), "lines")
     first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
     classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
-    pairs, large = candidates(lines)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("line").alias("id"))).distinct()
-    payloads = cut(payloads_of(docs, classes, ids).dropDuplicates(["id"]), "line-texts")
-    edges = cut(pair_edges(pairs, payloads), "line-links")
-    more = block_edges(large, edges, payloads)
-    for t in (payloads, pairs, large):
+    groups = candidates(lines)
+    payloads = cut(payloads_of(docs, classes, groups.select(F.col("line").alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
+    edges = cut(pair_edges(leading_pairs(groups), payloads), "line-links")
+    open_ = cut(marked(groups, edges), "open-groups")
+    small, large = open_.where(F.col("n") <= SMALL_GROUP), open_.where(F.col("n") > SMALL_GROUP)
+    more = cut(pair_edges(remaining_pairs(small), payloads), "more-line-links"), block_edges(large, payloads)
+    for t in (payloads, groups, open_):
         drop_table(t)
-    groups = cut(components(edges.unionByName(more)), "line-groups")
+    groups = cut(components(edges.unionByName(more[0]).unionByName(more[1])), "line-groups")
     grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
     alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
     linked = cut(grouped.where("linked"), "linked-lines")
@@ -359,7 +396,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
     gone = lines.drop("keys").join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
     out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
-    for t in (lines, classes, edges, more, groups, linked, repeated):
+    for t in (lines, classes, edges, *more, groups, linked, repeated):
         drop_table(t)
     return out
 
