@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sori.llm.store import cut, drop_table
+from sori.llm.store import cut, drop_table, heavy
 
 #: Buckets of up to so many members give pairs at once; larger ones are taken in blocks.
 SMALL_BUCKET = 16
@@ -79,12 +79,8 @@ def verified_edges(members: DataFrame, block_pairs: DataFrame, payloads: DataFra
                     z.append(q)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    try:
+    with heavy(spark, 16):
         edges = cut(jobs.mapInArrow(run, "a long, b long"), "links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     drop_table(blocks)
     return edges
 

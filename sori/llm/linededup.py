@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sori.llm.graph import components
 from sori.llm.minhash import GOLD, mix
-from sori.llm.store import cut, drop_table, small_batches
+from sori.llm.store import cut, drop_table, heavy, small_batches
 
 #: Bytes (UTF-8, after normalising) from which lines count at all, and from which they are also compared with unequal ones.
 MIN_BYTES, FUZZY_BYTES = 11, 20
@@ -28,6 +28,8 @@ TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("bytes", 10,
 KEYS, WIDE, WORD_LENGTHS = 28, 10, (3, 4, 6, 9)
 #: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared in blocks.
 SMALL_GROUP = 32
+#: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
+AHEAD = ((16, 2), (1024, 2), (16, 1))
 #: Characters of a block.
 BLOCK_CHARS = 100_000
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
@@ -136,25 +138,33 @@ def edit_distance(a: str, b: str, most: int) -> int:
             return most + 1
         up, down = ((up << 1) | 1) & full, (down << 1) & full
         plus, minus = (down | ~(zero | up)) & full, up & zero
+        row = len(a) - len(b) + j + 1  # on the diagonal to the end, along which distances never fall
+        if j & 15 == 15 and row > 0 and j + 1 + (plus & (1 << row) - 1).bit_count() - (minus & (1 << row) - 1).bit_count() > most:
+            return most + 1
     return distance
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether one alignment by words (the nearest equal words after each difference) costs at most ``most`` edits.
+def within(x: list[str], y: list[str], most: int) -> bool:
+    """Whether one alignment by words (after each difference, at the next equal words) costs at most ``most`` edits.
 
-    That alignment is an upper bound of the edit distance, so True is sure, False is not.
+    That alignment is an upper bound of the edit distance of the words joined by spaces, so True is sure, False is not.
     """
-    x, y = a.split(" "), b.split(" ")
     i = j = cost = 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
-        skips = ((d, step - d) for step in range(1, 7) for d in range(step + 1))
-        found = next(((d, e) for d, e in skips if i + d < len(x) and j + e < len(y) and x[i + d] == y[j + e]), None)
-        if found is None:
+        best = None
+        for ahead, run in AHEAD:
+            near, far = x[i : i + ahead], y[j : j + ahead]
+            p, q = (zip(near, near[1:]), list(zip(far, far[1:]))) if run == 2 else (near, far)
+            at = {w: e for e, w in reversed(list(enumerate(q)))}
+            best = min(((d + at[w], d) for d, w in enumerate(p) if w in at), default=None)
+            if best is not None:
+                break
+        if best is None:
             break
-        d, e = found
+        d, e = best[1], best[0] - best[1]
         cost += edit_distance(" ".join([*x[i : i + d], ""]), " ".join([*y[j : j + e], ""]), most)
         if cost > most:
             return False
@@ -182,13 +192,16 @@ def apart(x: np.ndarray, y: np.ndarray, most: int) -> bool:
 def similar(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough.
 
-    An edit takes away three triples of characters at most and brings three: counts of triples rule out most lines that
-    are not similar, an alignment by words accepts most that are, and the edit distance settles the rest.
+    An alignment by words accepts most lines that are. An edit takes away three triples of characters at most and brings
+    three: counts of triples rule out most lines that are not. The edit distance settles the rest.
     """
     most = allowed(a, b)
-    if abs(len(a) - len(b)) > most or apart(profile(a), profile(b), most):
+    if abs(len(a) - len(b)) > most:
         return False
-    return within(a, b, most) or edit_distance(a, b, most) <= most
+    x, y = a.split(" "), b.split(" ")
+    if 2 * len(set(x) & set(y)) >= len(x) / 2 and within(x, y, most):
+        return True
+    return not apart(profile(a), profile(b), most) and edit_distance(a, b, most) <= most
 
 
 def row_key() -> F.Column:
@@ -235,10 +248,11 @@ def close(a: str, b: str) -> F.Column:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Groups of different lines that share a key: key, line, chars, class (of lengths), lead (the group's smallest line), lead_chars, n.
+    """Groups of different lines that share a key: key, line, chars, class (of lengths), lead, lead_chars, n.
 
     Lines of nearly equal length in one group are candidates, whatever its size. Lines without any such partner are
-    left out; classes are so wide that lines of similar length lie in the same or in neighbouring ones.
+    left out; classes are so wide that lines of similar length lie in the same or in neighbouring ones. A group's lead
+    is the line that meets most others in all its groups: of a family, the one that its variants come from.
     """
     keys = lines.select(F.explode("keys").alias("key"), "line", "chars")
     shared = keys.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key")
@@ -250,10 +264,12 @@ def candidates(lines: DataFrame) -> DataFrame:
     around = counts.select("key", neighbours(), "n").groupBy("key", "class").agg(F.sum("n").alias("n")).where("n > 1").select("key", "class")
     rows = rows.join(around, ["key", "class"], "left_semi")
     rows = cut(rows, "partnered-lines")
-    leads = rows.groupBy("key").agg(F.min("line").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leads = leads.join(rows.select("key", F.col("line").alias("lead"), F.col("chars").alias("lead_chars")), ["key", "lead"])
-    out = cut(rows.join(leads, "key"), "groups-of-lines")
-    for t in (shared, rows):
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = cut(rows.join(sizes, "key"), "sized-groups")
+    rated = sized.join(sized.groupBy("line").agg(F.sum("n").alias("degree")), "line")  # how many lines a line meets in all its groups
+    leads = rated.groupBy("key").agg(F.max(F.struct("degree", "line", "chars")).alias("top")).select("key", F.col("top.line").alias("lead"), F.col("top.chars").alias("lead_chars"))
+    out = cut(sized.join(leads, "key"), "groups-of-lines")
+    for t in (shared, rows, sized):
         drop_table(t)
     return out
 
@@ -265,12 +281,12 @@ def neighbours() -> F.Column:
 
 def leading_pairs(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of groups' leads and lines of nearly equal length."""
-    return groups.where((F.col("line") != F.col("lead")) & close("chars", "lead_chars")).select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct()
+    return groups.where((F.col("line") != F.col("lead")) & close("chars", "lead_chars")).select(F.least("lead", "line").alias("a"), F.greatest("lead", "line").alias("b")).distinct()
 
 
 def marked(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """Groups with linked: whether a line is its group's lead or linked to it. Groups of linked lines only are left out."""
-    links = edges.select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
+    links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
     rows = groups.join(links, ["lead", "line"], "left").withColumn("linked", F.col("linked").isNotNull() | (F.col("line") == F.col("lead")))
     rows = cut(rows, "marked-groups")
     return rows.join(rows.where("NOT linked").select("key").distinct(), "key", "left_semi")
@@ -279,7 +295,7 @@ def marked(groups: DataFrame, edges: DataFrame) -> DataFrame:
 def remaining_pairs(small: DataFrame) -> DataFrame:
     """Pairs (a, b) of small groups that their leads have not settled: neither the lead's own nor both linked to it."""
     side = lambda line, chars, linked: small.select("key", "lead", F.col("line").alias(line), F.col("chars").alias(chars), F.col("linked").alias(linked))
-    both = side("a", "x", "p").join(side("b", "y", "q").drop("lead"), "key").where("a < b AND a <> lead AND NOT (p AND q)")
+    both = side("a", "x", "p").join(side("b", "y", "q").drop("lead"), "key").where("a < b AND a <> lead AND b <> lead AND NOT (p AND q)")
     return both.where(close("x", "y")).select("a", "b").distinct()
 
 
@@ -302,8 +318,8 @@ def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFram
     return texts.mapInArrow(pick, "id long, payload binary")
 
 
-def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
+def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, as a table."""
 
     def run(batches):
         for b in batches:
@@ -311,7 +327,9 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
-    return left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y")
+    with heavy(pairs.sparkSession, 500):
+        return cut(both.mapInArrow(run, "a long, b long"), name)
 
 
 def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -340,30 +358,28 @@ def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
                 payload = dict(zip(ids + others, own + their, strict=True))
                 names, texts = list(payload), [x.decode("utf-8", "replace") for x in payload.values()]
                 size, counts = np.array([len(t) for t in texts]), np.array([profile(t) for t in texts])
+                coarse = counts.reshape(len(texts), 64, -1).sum(axis=2, dtype=np.int32)  # rules most lines out with less work
                 group, place = np.arange(len(names)), {n: i for i, n in enumerate(names)}
                 group[[place[i] for i, u in zip(others, unlinked, strict=True) if not u]] = -1  # linked by their lead
                 for k in range(len(ids)):
                     most = (0.1 * np.maximum(size, size[k]) + 1e-9).astype(np.int64)
                     fit = np.flatnonzero((np.abs(size - size[k]) <= most) & (group != group[k]))
-                    more = counts[fit] - counts[k]
-                    up = np.maximum(more, 0).sum(axis=1)
-                    down = up - more.sum(axis=1)
-                    good = (up <= 3 * most[fit]) & (down <= 3 * most[fit])
-                    for p in fit[good][np.argsort((up + down)[good], kind="stable")]:
+                    for table in (coarse, counts):
+                        more = table[fit] - table[k]
+                        gross, net = np.abs(more).sum(axis=1), np.abs(more.sum(axis=1))
+                        good = gross + net <= 6 * most[fit]
+                        fit, gross = fit[good], gross[good]
+                    for p in fit[np.argsort(gross, kind="stable")]:
                         if group[p] != group[k] and similar(texts[k], texts[p]):
                             out.append((names[k], names[p]))
                             group[group == group[k]] = group[p]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    spark = rows.sparkSession
-    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    try:
-        return cut(jobs.mapInArrow(run, "a long, b long"), "block-links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-        for t in (left, right):
-            drop_table(t)
+    with heavy(rows.sparkSession, 8):
+        out = cut(jobs.mapInArrow(run, "a long, b long"), "block-links")
+    for t in (left, right):
+        drop_table(t)
+    return out
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -382,10 +398,10 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
     groups = candidates(lines)
     payloads = cut(payloads_of(docs, classes, groups.select(F.col("line").alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
-    edges = cut(pair_edges(leading_pairs(groups), payloads), "line-links")
+    edges = pair_edges(leading_pairs(groups), payloads, "line-links")
     open_ = cut(marked(groups, edges), "open-groups")
     small, large = open_.where(F.col("n") <= SMALL_GROUP), open_.where(F.col("n") > SMALL_GROUP)
-    more = cut(pair_edges(remaining_pairs(small), payloads), "more-line-links"), block_edges(large, payloads)
+    more = pair_edges(remaining_pairs(small), payloads, "more-line-links"), block_edges(large, payloads)
     for t in (payloads, groups, open_):
         drop_table(t)
     groups = cut(components(edges.unionByName(more[0]).unionByName(more[1])), "line-groups")

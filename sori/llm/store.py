@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a new one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset, and only on one machine, a new one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sori-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,6 +54,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings (dots as __) for the jobs that run inside, back to what they were afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    held = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def heavy(spark: SparkSession, rows: int):
+    """For work that costs far more than its bytes: shuffled partitions stay small, and so do Arrow batches."""
+    return settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="512k", spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
 def with_base(totals: DataFrame, key: str, amount: str, base: str = "base") -> DataFrame:
     """Exclusive prefix sums of ``amount`` in the order of the integer ``key`` (one row per key).
 

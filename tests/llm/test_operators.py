@@ -326,7 +326,8 @@ def test_lines_of_rows_that_share_an_id(spark):
 @given(st.lists(st.sampled_from(["a", "bb", "ccc", "dd"]), max_size=9), st.lists(st.sampled_from(["a", "bb", "ccc", "dd"]), max_size=9), st.integers(0, 12))
 def test_alignment_by_words_is_an_upper_bound(x, y, most):
     a, b = " ".join(x), " ".join(y)
-    assert not linededup.within(a, b, most) or levenshtein(a, b) <= most
+    assert not linededup.within(a.split(" "), b.split(" "), most) or levenshtein(a, b) <= most
+    assert linededup.edit_distance(a * 3, b * 3, most) <= most or levenshtein(a * 3, b * 3) > most
 
 
 def test_lines_recall(spark):
