@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from sori.llm.blocks import candidate_blocks, verified_edges
 from sori.llm.graph import components
 from sori.llm.minhash import GOLD, mix
 from sori.llm.store import cut, drop_table, heavy, small_batches
@@ -30,8 +31,6 @@ KEYS, WIDE, WORD_LENGTHS = 28, 10, (3, 4, 6, 9)
 SMALL_GROUP = 32
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
 AHEAD = ((16, 2), (1024, 2), (16, 1))
-#: Characters of a block.
-BLOCK_CHARS = 100_000
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
 EDIT_SIMILARITY = 0.9
 #: Bytes that normalising leaves out, and white space other than the space.
@@ -332,52 +331,40 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
         return cut(both.mapInArrow(run, "a long, b long"), name)
 
 
-def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Links within large groups: the lines that are not linked to the group's lead, with all lines of the group.
-
-    Lines meet those of neighbouring classes of length, in blocks of bounded size; a task returns the links of a
-    spanning forest, in which those linked to the lead are one from the start.
-    """
-    rows = rows.select("key", "line", "chars", "class", (~F.col("linked")).alias("rest"))
-    rest = rows.where("rest")
+def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int, int]]:
+    """Spanning links of similar lines; a payload is a label of eight bytes and the line. Equal labels are linked already."""
+    texts = [p[8:].decode("utf-8", "replace") for p in payloads]
+    _, group = np.unique(np.array([p[:8] for p in payloads]), return_inverse=True)
+    size, counts = np.array([len(t) for t in texts]), np.array([profile(t) for t in texts])
+    coarse = counts.reshape(len(texts), 64, -1).sum(axis=2, dtype=np.int32)  # rules most lines out with less work
+    place, out = np.arange(len(ids)), []
+    for k in range(split or len(ids)):
+        most = (0.1 * np.maximum(size, size[k]) + 1e-9).astype(np.int64)
+        fit = np.flatnonzero((np.abs(size - size[k]) <= most) & (group != group[k]) & (place >= max(k + 1, split)))
+        for table in (coarse, counts):
+            more = table[fit] - table[k]
+            gross, net = np.abs(more).sum(axis=1), np.abs(more.sum(axis=1))
+            good = gross + net <= 6 * most[fit]
+            fit, gross = fit[good], gross[good]
+        for p in fit[np.argsort(gross, kind="stable")]:
+            if group[p] != group[k] and similar(texts[k], texts[p]):
+                out.append((ids[k], ids[p]))
+                group[group == group[k]] = group[p]
+    return out
 
-    def dealt(rows: DataFrame, name: str) -> DataFrame:
-        parts = rows.groupBy("key", "class").agg(F.ceil(F.sum("chars") / BLOCK_CHARS).alias("parts"))
-        rows = rows.join(parts, ["key", "class"]).withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
-        rows = rows.join(payloads.withColumnRenamed("id", "line"), "line")
-        return cut(rows.groupBy("key", "class", "part").agg(F.collect_list("line").alias("ids"), F.collect_list("payload").alias("texts"), F.collect_list("rest").alias("rest")), name)  # bounded by BLOCK_CHARS
 
-    left, right = dealt(rest, "left-blocks"), dealt(rows, "right-blocks")
-    jobs = left.select("key", neighbours(), "ids", "texts").join(right.select("key", "class", F.col("ids").alias("others"), F.col("texts").alias("their"), F.col("rest").alias("unlinked")), ["key", "class"])
-    jobs = jobs.select("ids", "texts", "others", "their", "unlinked")
+def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Links within large groups, in blocks of bounded size that meet once, however many groups their lines share.
 
-    def run(batches):
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for ids, own, others, their, unlinked in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                payload = dict(zip(ids + others, own + their, strict=True))
-                names, texts = list(payload), [x.decode("utf-8", "replace") for x in payload.values()]
-                size, counts = np.array([len(t) for t in texts]), np.array([profile(t) for t in texts])
-                coarse = counts.reshape(len(texts), 64, -1).sum(axis=2, dtype=np.int32)  # rules most lines out with less work
-                group, place = np.arange(len(names)), {n: i for i, n in enumerate(names)}
-                group[[place[i] for i, u in zip(others, unlinked, strict=True) if not u]] = -1  # linked by their lead
-                for k in range(len(ids)):
-                    most = (0.1 * np.maximum(size, size[k]) + 1e-9).astype(np.int64)
-                    fit = np.flatnonzero((np.abs(size - size[k]) <= most) & (group != group[k]))
-                    for table in (coarse, counts):
-                        more = table[fit] - table[k]
-                        gross, net = np.abs(more).sum(axis=1), np.abs(more.sum(axis=1))
-                        good = gross + net <= 6 * most[fit]
-                        fit, gross = fit[good], gross[good]
-                    for p in fit[np.argsort(gross, kind="stable")]:
-                        if group[p] != group[k] and similar(texts[k], texts[p]):
-                            out.append((names[k], names[p]))
-                            group[group == group[k]] = group[p]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    with heavy(rows.sparkSession, 8):
-        out = cut(jobs.mapInArrow(run, "a long, b long"), "block-links")
-    for t in (left, right):
+    Lines that are linked to the same lead carry its label and are one from the start.
+    """
+    sizes = rows.groupBy(F.col("line").alias("id")).agg(F.min(F.when(F.col("linked"), F.col("lead")).otherwise(F.col("line"))).alias("label"), F.max(F.greatest(F.lit(100), F.ceil(F.col("chars") / 4))).alias("size"))
+    sizes = cut(sizes, "sizes")
+    members, block_pairs = candidate_blocks(rows.select("key", F.col("line").alias("id"), "n"), sizes.select("id", "size"), 1)
+    label = F.to_binary(F.lpad(F.hex("label"), 16, "0"), F.lit("hex"))
+    labelled = payloads.join(sizes, "id").select("id", F.concat(label, "payload").alias("payload"))
+    out = verified_edges(members, block_pairs, labelled, verify)
+    for t in (members, block_pairs, sizes):
         drop_table(t)
     return out
 
@@ -417,10 +404,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, keep_whole: bool = False) -> DataFrame:
     """``docs`` without repeated lines (see :func:`duplicate_lines`), with lines_removed; other columns stay.
 
-    A document keeps its other lines in order, joined as before; one that loses all its lines keeps an empty text.
+    A document keeps its other lines in order, joined as before. One that would lose every line with a word keeps an
+    empty text; with ``keep_whole`` it stays as it is instead, for document deduplication to judge as a whole.
     ``n_chars``, if there is such a column, becomes the new length. Null text stays null. A column lines_removed of
     the input is replaced. Rows without doc_id keep all lines.
     """
@@ -440,8 +428,10 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
                 texts = []
                 for i, text, drop in zip(rows, b.column(place).filter(hit).cast(pa.string()).to_pylist(), b.columns[-1].filter(hit).to_pylist(), strict=True):
                     out = set(drop)
-                    texts.append("\n".join(x for n, x in enumerate(text.split("\n")) if n not in out))
-                    counts[i] = len(out)
+                    left = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in out)
+                    whole = keep_whole and not left.strip()
+                    texts.append(text if whole else left)
+                    counts[i] = 0 if whole else len(out)
                 cols[place] = pc.replace_with_mask(cols[place], hit, pa.array(texts, cols[place].type))
                 if size is not None:
                     cols[size] = pc.replace_with_mask(cols[size], hit, pa.array([len(t) for t in texts], cols[size].type))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sori.llm import binary, bpe, graph, linededup, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
+from sori.llm import binary, blocks, bpe, graph, linededup, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
 from sori.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -303,7 +303,8 @@ def expected_lines(rows):
 @pytest.mark.parametrize("small", [32, 2])  # with 2, all larger groups are compared with their lead and in blocks
 def test_lines(spark, none, monkeypatch, small):
     monkeypatch.setattr(linededup, "SMALL_GROUP", small)
-    monkeypatch.setattr(linededup, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(blocks, "BLOCK_AMOUNT", 1000)
+    monkeypatch.setattr(blocks, "SMALL_BUCKET", min(small, blocks.SMALL_BUCKET))
     r = random.Random(8)
     lines = [prose(50 + i, 30) for i in range(40)]
     near = [x.replace("alpha", "alphq", 1) for x in lines]
