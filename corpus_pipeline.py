@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one."""
-    return linededup.drop_duplicate_lines(docs).drop("lines_removed")
+    """All documents, without lines that repeat an earlier one; those that are nothing but such lines are left to the next stage."""
+    return linededup.drop_duplicate_lines(docs, keep_whole=True).drop("lines_removed")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
