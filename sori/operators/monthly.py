@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sori import constants as C
-from sori.functions.stats import jensen_shannon_bits
+from sori.functions.stats import benjamini_hochberg, jensen_shannon_bits, log_choose
 
 
 def sentiment_ratios(docs: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def drift(ratios: DataFrame) -> DataFrame:
     return rows.select("product", "month", "aspect", "drift", F.when(F.col("drift") >= C.DRIFT_RISK, "RISK").otherwise("SAFE").alias("status"))
 
 
-def channel_divergence(docs: DataFrame) -> DataFrame:
-    """Per product and pair of channels: divergence of negative attribute counts, the gate, severity by raw excess over 0.
+def channel_pairs(docs: DataFrame) -> DataFrame:
+    """Per product all pairs of the three channels: negative counts by attribute (x, y), their sums, the gate's hold_reason.
 
-    All pairs of the three channels are listed; a channel without negatives counts as empty.
+    A channel without negatives counts as empty.
     """
     counts = F.array(*(F.count_if((F.col("sentiment") == -1) & (F.col("aspect") == a)).cast("double") for a in C.ASPECTS))
     rows = docs.groupBy("product", F.upper("channel").alias("channel")).agg(counts.alias("v"))
@@ -37,8 +37,28 @@ def channel_divergence(docs: DataFrame) -> DataFrame:
     rows = wide.select("product", F.inline(cells))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, n: s + n)
     rows = rows.withColumn("n_a", total("x").cast("long")).withColumn("n_b", total("y").cast("long"))
-    hold = F.when(F.least("n_a", "n_b") < 1, "EMPTY_CHANNEL").when(F.col("n_a") + F.col("n_b") < C.JSD_TOTAL, "INSUFFICIENT_SAMPLE")
-    return rows.withColumn("hold_reason", hold).withColumn("jsd", F.when(F.col("hold_reason").isNull(), jensen_shannon_bits(F.col("x"), F.col("y")))).drop("x", "y")
+    return rows.withColumn("hold_reason", divergence_gate(F.col("n_a"), F.col("n_b")))
+
+
+def divergence_gate(n_a, n_b):
+    """Why a pair is not tested: an empty channel, or too few in both; null if it is."""
+    return F.when(F.least(n_a, n_b) < 1, "EMPTY_CHANNEL").when(n_a + n_b < C.JSD_TOTAL, "INSUFFICIENT_SAMPLE")
+
+
+def channel_divergence(docs: DataFrame) -> DataFrame:
+    """:func:`channel_pairs` with the divergence of those that pass the gate."""
+    rows = channel_pairs(docs)
+    return rows.withColumn("jsd", F.when(F.col("hold_reason").isNull(), jensen_shannon_bits(F.col("x"), F.col("y")))).drop("x", "y")
+
+
+def finalized(pairs: DataFrame) -> DataFrame:
+    """Second phase over all pairs: one family of the tested ones, then excess and severity; held pairs stay, with nulls.
+
+    ``pairs`` has hold_reason and, where it is null, jsd, baseline and p_value. A row for each product and pair of channels.
+    """
+    tested = benjamini_hochberg(pairs.where("hold_reason IS NULL"), [])
+    tested = tested.withColumn("excess", F.col("jsd") - F.col("baseline")).withColumn("severity", severity(F.col("jsd"), F.col("baseline"), F.col("bh_significant")))
+    return tested.unionByName(pairs.where("hold_reason IS NOT NULL"), allowMissingColumns=True)
 
 
 def severity(jsd, baseline, significant):
@@ -100,3 +120,19 @@ def permutation_test(pairs: DataFrame, b: int = 10_000, seed: int = 42) -> DataF
             yield f[["product", "channel_a", "channel_b"]].assign(jsd=[o[0] for o in out], baseline=[o[1] for o in out], p_value=[o[2] for o in out])
 
     return pairs.select("product", "channel_a", "channel_b", "x", "y").mapInPandas(run, "product string, channel_a string, channel_b string, jsd double, baseline double, p_value double")
+
+
+def exact_test(x, y, n_x, n_y):
+    """(baseline, p_value) of the divergence of two two-way splits, (x, n_x - x) and (y, n_y - y), over all tables of their margins.
+
+    What the permutations of :func:`permutation_test` estimate, for two categories: each count that the first may have
+    is weighed by its hypergeometric chance. Steps grow with the smaller margin.
+    """
+    x, y, n_x, n_y = (c.cast("double") for c in (x, y, n_x, n_y))
+    m, total = x + y, n_x + n_y
+    bits = lambda a, b: jensen_shannon_bits(F.array(a, n_x - a), F.array(b, n_y - b))
+    seen, low = bits(x, y), F.greatest(F.lit(0.0), n_x + m - total)
+    cells = F.transform(F.sequence(low.cast("int"), F.least(n_x, m).cast("int")), lambda k: F.struct(F.exp(log_choose(m, k) + log_choose(total - m, n_x - k) - log_choose(total, n_x)).alias("w"), bits(k.cast("double"), m - k).alias("d")))
+    baseline = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["w"] * c["d"])
+    p = F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(c["d"] >= seen - 1e-12, c["w"]).otherwise(0.0))
+    return baseline, F.least(F.lit(1.0), p)

@@ -28,9 +28,50 @@ def retained(snapshot: DataFrame, new: DataFrame, key: str, time: str, since: st
     return merged.where(F.col(time) >= F.lit(since).cast(snapshot.schema[time].dataType))
 
 
+def within_limit(size: Column) -> Column:
+    """Whether an object may be stored."""
+    return (size > 0) & (size <= MAX_BYTES)
+
+
+def expiry(created: Column, object_days: Column, link_days: Column) -> tuple[Column, Column]:
+    """When an object and its link end; a link never outlives its object."""
+    object_end = F.date_add(created, object_days)
+    return object_end, F.least(F.date_add(created, link_days), object_end)
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    """Rows of tables of unlike columns under the union of their headers, in the order in which columns first appear."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header, for spreadsheets."""
-    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    """CSV files with a header and a byte order mark, so that spreadsheets read them as UTF-8."""
+    names = rows.columns
+    first = rows.columns[0]
+    rows.toDF("\ufeff" + first, *names[1:]).write.option("header", True).option("quoteAll", True).option("encoding", "UTF-8").csv(path)
+
+
+def swap(rows: DataFrame, path: str) -> None:
+    """Replace the table at ``path`` as a whole: written beside it, then renamed; readers see the old or the new one."""
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, now, old = hadoop(f"{path}.new"), hadoop(path), hadoop(f"{path}.old")
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(new, now)
+    fs.delete(old, True)
+
+
+def partitioned_or_aside(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that a sink takes and those that it would refuse (null counts as refused), so that one bad row stops no batch."""
+    ok = F.coalesce(valid, F.lit(False))
+    return rows.where(ok), rows.where(~ok)
 
 
 def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:

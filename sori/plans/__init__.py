@@ -1,5 +1,5 @@
 """Queries of the engine; importing the modules registers them."""
 
-from sori.plans import audits, casework, intake, lookups, metrics, queries
+from sori.plans import audits, casework, inputs, intake, lookups, metrics, queries, reports, worker
 
-__all__ = ["audits", "casework", "intake", "lookups", "metrics", "queries"]
+__all__ = ["audits", "casework", "inputs", "intake", "lookups", "metrics", "queries", "reports", "worker"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from sori.operators import sampling as S
 from sori.operators import validation as V
 from sori.operators.replay import replay
 from sori.plans.registry import query
+from sori.sources.shared import shared_path
 from sori.sources.voc import documents
 
 
@@ -169,5 +168,4 @@ def k07_retained(spark, sf):
 
 @query()
 def r09_replay(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sori-replay-")
-    return replay(documents(spark, sf), "2024-01-24", "2024-01-30", f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}")
+    return replay(documents(spark, sf), "2024-01-24", "2024-01-30", shared_path(spark, "replay"))

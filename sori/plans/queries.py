@@ -10,6 +10,7 @@ from sori.functions import stats
 from sori.operators import detection as D
 from sori.operators import monthly as M
 from sori.operators import snapshots as S
+from sori.operators import trends
 from sori.operators import validation as V
 from sori.operators.nearest import nearest
 from sori.plans.registry import END, SQL, query
@@ -258,12 +259,15 @@ def a20_top_cause(spark, sf):
     return rows.select("product", "cause", "n", "total", ((F.col("n") / F.col("total") >= C.CONSISTENT_RATIO) & (F.col("n") >= C.CONSISTENT_COUNT)).alias("consistent"))
 
 
-@query("SELECT product, day, n, CASE WHEN streak >= 3 THEN 1 ELSE 0 END AS persistent FROM (SELECT *, sum(hit) OVER (PARTITION BY product ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS streak FROM (SELECT product, day, count(*) FILTER (sentiment = -1) AS n, CASE WHEN n * 4 > count(*) THEN 1 ELSE 0 END AS hit FROM voc GROUP BY product, day))", dates=("day",))
+@query(""", d AS (SELECT product, day, count(*) FILTER (sentiment = -1) AS n, count(*) AS total FROM voc WHERE k < 40 GROUP BY product, day
+), r AS (SELECT product, min(day) AS lo, max(day) AS hi FROM d GROUP BY product), s AS (SELECT product, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM r
+), f AS (SELECT s.product, s.day, coalesce(n, 0) AS n, coalesce(n * 4 > total, FALSE) AS hit FROM s LEFT JOIN d USING (product, day))
+SELECT product, day, n, CASE WHEN (SELECT count(*) FROM f g WHERE g.product = f.product AND g.hit AND g.day BETWEEN f.day - INTERVAL 2 DAY AND f.day) = 3 THEN 1 ELSE 0 END AS persistent FROM f""", dates=("day",))
 def t18_persistence(spark, sf):
-    rows = documents(spark, sf).groupBy("product", "day").agg(F.count_if(F.col("sentiment") == -1).alias("n"), F.count("*").alias("all"))
-    recent = Window.partitionBy("product").orderBy("day").rowsBetween(-2, 0)
-    streak = F.sum((F.col("n") * 4 > F.col("all")).cast("int")).over(recent)
-    return rows.withColumn("persistent", (streak >= 3).cast("int")).select("product", "day", "n", "persistent")
+    """Documents of some ``k`` only count, so that there are days without any."""
+    rows = documents(spark, sf).where("k < 40").groupBy("product", "day").agg(F.count_if(F.col("sentiment") == -1).alias("n"), F.count("*").alias("total"))
+    dense = trends.persistence(rows, ["product"], F.coalesce(F.col("n") * 4 > F.col("total"), F.lit(False)), 3)
+    return dense.select("product", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("persistent").cast("int").alias("persistent"))
 
 
 @query("SELECT item_id, occurred_at FROM voc WHERE (occurred_at, item_id) > (TIMESTAMP '2024-01-10 00:00:00', 100) ORDER BY occurred_at, item_id LIMIT 500")
@@ -342,12 +346,10 @@ def w03_sliding_windows(spark, sf):
 
 @query()
 def t11_permutation(spark, sf):
-    counts = F.array(*(F.count_if((F.col("sentiment") == -1) & (F.col("aspect") == a)).cast("double") for a in C.ASPECTS))
-    rows = documents(spark, sf).groupBy("product", "channel").agg(counts.alias("v"))
-    pairs = rows.toDF("product", "channel_a", "x").join(rows.toDF("product", "channel_b", "y"), "product").where("channel_a < channel_b")
-    tests = M.permutation_test(pairs)
-    tests = stats.benjamini_hochberg(tests, [])  # one row for each product and pair of channels
-    return tests.withColumn("severity", M.severity(F.col("jsd"), F.col("baseline"), F.col("bh_significant")))
+    pairs = M.channel_pairs(documents(spark, sf))
+    tests = M.permutation_test(pairs.where("hold_reason IS NULL"))
+    rows = pairs.drop("x", "y").join(tests, ["product", "channel_a", "channel_b"], "left")
+    return M.finalized(rows)
 
 
 @query(GRID + """, x AS (SELECT DISTINCT product, channel, day FROM w WHERE NOT now AND k < 30), g AS (

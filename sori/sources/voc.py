@@ -10,7 +10,11 @@ from sori.constants import ASPECTS, CHANNELS
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: item_id, product, channel, source, occurred_at, day, aspect, sentiment."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return projected(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def projected(e: DataFrame) -> DataFrame:
+    """Documents of a table (or batch) of events."""
     k = F.get_json_object("props", "$.k").cast("int")
     product = F.concat(F.lit("P"), F.lpad((F.col("user_id") % 12 + 1).cast("string"), 3, "0"))
     channel = F.element_at(F.array(*map(F.lit, CHANNELS)), (F.col("event_id") % 3 + 1).cast("int"))

@@ -1,3 +1,5 @@
+import math
+from fractions import Fraction
 from math import comb
 
 import pytest
@@ -20,6 +22,51 @@ def test_fisher_against_integers(spark):
         assert r.p == pytest.approx(exact(r.a, r.n1, r.c, r.n2), rel=1e-9)
 
 
+def exact_large(a, n1, c, n2):
+    """Exact integers, each term from the one before."""
+    m, total = a + c, n1 + n2
+    k, end = max(0, n1 + m - total), min(n1, m)
+    term, above, whole = comb(m, k) * comb(total - m, n1 - k), 0, comb(total, n1)
+    while k <= end:
+        above += term if k >= a else 0
+        term = term * (m - k) * (n1 - k) // ((k + 1) * (total - m - n1 + k + 1))
+        k += 1
+    return Fraction(above, whole)
+
+
+LARGE = [(20, 5000, 4000, 20000), (100, 10000, 8000, 40000), (0, 4000, 3000, 16000), (2500, 10000, 9000, 40000), (1700, 10000, 6000, 40000), (1000, 30000, 3000, 90000), (5000, 20000, 0, 20000)]
+
+
+def test_fisher_on_large_counts(spark):
+    rows = spark.createDataFrame(LARGE, "a long, n1 long, c long, n2 long").withColumn("p", fisher_greater(*map(F.col, ("a", "n1", "c", "n2")))).collect()
+    for r in rows:
+        assert r.p == pytest.approx(float(exact_large(r.a, r.n1, r.c, r.n2)), rel=1e-8, abs=1e-300)
+
+
+def by_weights(a, n1, c, n2):
+    """Ratio of sums over terms relative to the mode's, twenty deviations around it."""
+    m, total = a + c, n1 + n2
+    mode, share = (n1 + 1) * (m + 1) // (total + 2), m / total
+    wide = int(20 * math.sqrt(n1 * share * (1 - share) * (total - n1) / total)) + 50
+    up, down = [1.0], []
+    for k in range(mode, min(mode + wide, n1, m)):
+        up.append(up[-1] * (m - k) * (n1 - k) / ((k + 1) * (total - m - n1 + k + 1)))
+    last = 1.0
+    for k in range(mode, max(mode - wide, 0, n1 + m - total), -1):
+        last *= k * (total - m - n1 + k) / ((m - k + 1) * (n1 - k + 1))
+        down.append(last)
+    terms = {mode + i: w for i, w in enumerate(up)} | {mode - 1 - i: w for i, w in enumerate(down)}
+    return math.fsum(w for k, w in terms.items() if k >= a) / math.fsum(terms.values())
+
+
+def test_fisher_on_very_large_counts(spark):
+    cases = [(1000, 100_000, 20_000, 400_000), (2_001_000, 10_000_000, 8_000_000, 40_000_000), (1_999_000, 10_000_000, 8_000_000, 40_000_000), (2_010_000, 10_000_000, 8_000_000, 40_000_000), (20_002_000, 100_000_000, 80_000_000, 400_000_000), (50_000_000, 100_000_000, 80_000_000, 400_000_000)]
+    rows = spark.createDataFrame(cases, "a long, n1 long, c long, n2 long").withColumn("p", fisher_greater(*map(F.col, ("a", "n1", "c", "n2")))).collect()
+    for r in rows:
+        want = 0.0 if r.a == 50_000_000 else by_weights(r.a, r.n1, r.c, r.n2)
+        assert r.p == pytest.approx(want, rel=1e-5, abs=1e-12)
+
+
 def test_bh_toy_and_families(spark):
     p = [("x", i, v) for i, v in enumerate([0.001, 0.008, 0.030, 0.045, 0.060])] + [("A", 9, 0.02)] + [("B", 10 + i, 0.9) for i in range(9)]
     got = {r.i: r.bh_significant for r in benjamini_hochberg(spark.createDataFrame(p, "f string, i int, p_value double"), ["f"]).collect()}
