@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20240501) -> DataFrame:
     another random order, in parts by the leading bits of the second key, whose totals give each part's first slot.
     Nothing random is drawn in a task, so a task that runs again gives the same rows.
 
-    Null text: size 8, crc of nothing (0). Null doc_id: kept. Repeated rows: each gets a slot of its own. Empty
+    Null text: size 8, crc of nothing (0). Null doc_id: kept. Repeated rows: each gets a slot of its own, dealt independently of its copies. Empty
     table: no rows. Texts are never moved, only their sizes and checksums; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -93,17 +93,17 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20240501) -> DataFrame:
     for (part, _), line in zip(counts, communication_matrix([n for _, n in counts], shards, seed), strict=True):
         lines.append({"part": part, "upto": [sum(line[: s + 1]) for s in range(shards)]})
     matrix = spark.sql("SELECT inline(from_json(:lines, 'array<struct<part:int,upto:array<bigint>>>'))", args={"lines": json.dumps(lines)})
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), *row), *row)
+    copy = F.row_number().over(Window.partitionBy("part", *row).orderBy("part"))  # tells rows apart that are equal
+    rows = rows.withColumn("copy", copy)
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), *row, "copy"), *row, "copy")
     dealt = rows.withColumn("r", F.row_number().over(local)).join(F.broadcast(matrix), "part")  # MATRIX_ROWS lines at most
-    key = F.xxhash64(F.lit(seed + 1), *row)
+    key = F.xxhash64(F.lit(seed + 1), *row, "part", "copy")
     dealt = dealt.select(*row, F.size(F.filter("upto", lambda x: x < F.col("r"))).cast("int").alias("shard"), key.alias("key"))
     dealt = cut(dealt.withColumn("sub", F.shiftrightunsigned("key", 56).cast("int")), "shard-dealt")
     parts = dealt.groupBy("shard", "sub").agg(F.count("*").alias("n")).withColumn("cell", F.col("shard") * SHARD_PARTS + F.col("sub"))
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("shard", "sub").orderBy(F.shiftleft("key", 8), *row)
+    order = Window.partitionBy("shard", "sub").orderBy("key", *row)
     placed = dealt.withColumn("place", F.row_number().over(order))
     # shards * SHARD_PARTS rows at most
     return placed.join(F.broadcast(parts), ["shard", "sub"]).select(*row, "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"))
-
-

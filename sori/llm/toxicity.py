@@ -26,6 +26,8 @@ SLACK = 2.0
 #: Lengths, with the edge mark, of the beginnings of words that count beside whole words when telling words are sought.
 STEMS = (5, 6)
 CACHE_WORDS = 250_000
+#: Letters (and one for all others) up to which a model has a weight for every triple, found or not: 8 bytes for each.
+DENSE_LETTERS = 96
 EDGES = string.punctuation + "«»“”‘’„…–—¡¿"
 
 
@@ -160,13 +162,29 @@ class Model:
         """
         letters = sorted(set("".join(self.landmarks)))
         self.place = {ord(c): i + 1 for i, c in enumerate(letters)}  # 0: any other character
-        n = len(letters) + 1
-        self.table = np.zeros((n, n, n))
+        self.width = len(letters) + 1
+        codes, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
         for word, w, norm in zip(self.landmarks, self.weights, self.norm, strict=True):
-            s = [self.place[ord(c)] for c in word]
+            s = np.array([self.place[ord(c)] for c in word], np.int64)
             i, j, k = triples(len(s))
-            s = np.array(s)
-            np.add.at(self.table, (s[i], s[j], s[k]), w / norm * DECAY ** (k - i + 1))
+            codes.append((s[i] * self.width + s[j]) * self.width + s[k])
+            weights.append(w / norm * DECAY ** (k - i + 1.0))
+        self.codes, which = np.unique(np.concatenate(codes), return_inverse=True)
+        self.sums = np.bincount(which, np.concatenate(weights), minlength=len(self.codes))
+        # A table of all triples where it is small; of many letters (scripts with thousands) only those that occur.
+        self.table = None
+        if self.width <= DENSE_LETTERS:
+            self.table = np.zeros(self.width**3)
+            self.table[self.codes] = self.sums
+
+    def weight_of(self, codes: np.ndarray) -> np.ndarray:
+        """Summed weights of triples, 0 for those that no landmark has."""
+        if self.table is not None:
+            return self.table[codes]
+        if not len(self.codes):
+            return np.zeros(codes.shape)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.sums[at], 0.0)
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """Margins of pieces: kernel sums with all landmarks at once, normalised by the word's own kernel."""
@@ -180,8 +198,8 @@ class Model:
             step = max(1, 500_000 // max(1, len(i)))
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                s = np.array([[self.place.get(ord(c), 0) for c in words[x]] for x in part])
-                out[part] = self.table[s[:, i], s[:, j], s[:, k]] @ weight
+                s = np.array([[self.place.get(ord(c), 0) for c in words[x]] for x in part], np.int64)
+                out[part] = self.weight_of((s[:, i] * self.width + s[:, j]) * self.width + s[:, k]) @ weight
         return out / np.sqrt(np.maximum(self_kernel(words), 1e-12)) + self.bias
 
     def learn(self, words: list[str]) -> None:
@@ -356,6 +374,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Every word of a whole text is compared with the landmarks; gaps and inserted characters only lower the kernel.
     A text that only a long word or few words make toxic is found wherever they stand. Inputs are texts alone.
 
+    Very long text: every word counts, in time like its length. Ties: equal texts have equal scores. If no word passes
+    the bound on evidence (few toxic labels), all scores are 0, as if the class were missing.
+
     Null or empty text: the score of a text without words (low). Null doc_id: scored, held_out true. Repeated rows:
     each is scored. Empty table: no rows. Labels that lack a class: a constant score of the class that is there
     (0 if there are none). Null labels are not learnt from; of several labels of a document the largest counts. Other

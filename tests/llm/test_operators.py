@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sori.llm import binary, blocks, bpe, graph, linededup, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
+from sori.llm import binary, blocks, bpe, graph, linededup, minhash, neardup_vectors, packing, queries, search, sharding, toxicity, warc
 from sori.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,7 +101,7 @@ def test_bpe_and_binary(docs, none):
 @given(st.text(alphabet=st.sampled_from("ab tion'sé\n 😀東1 "), max_size=90))
 def test_encoders_equal_the_library(text):
     assert np.frombuffer(bpe.bpe(PATH).encode([text])[0], "<u4").tolist() == ids_of(text)
-    assert np.frombuffer(Encoder(PATH).encode([text])[0], "<u4").tolist() == ids_of(text) if len(text) < 20 else True
+    assert np.frombuffer(Encoder(PATH).encode([text])[0], "<u4").tolist() == ids_of(text)
 
 
 def test_container_reads_ranges_and_finds_damage(tmp_path):
@@ -256,6 +256,28 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_deals_equal_rows_apart(spark, docs):
+    """600 equal rows among 600 others: their shards and neighbours are as mixed as those of rows that differ."""
+    rows = sharding.shard(frame(spark, [(1, "same")] * 600 + [(i, str(i)) for i in range(2, 602)]), 6).collect()
+    same = Counter(r.shard for r in rows if r.doc_id == 1)
+    assert len(same) == 6 and all(60 <= n <= 140 for n in same.values())
+    order = sorted((r.shard, r.slot, r.doc_id == 1) for r in rows)
+    runs = sum(a[2] != b[2] for a, b in zip(order, order[1:]))
+    assert 500 <= runs <= 700
+
+
+def test_queries_return_their_columns(spark):
+    """Every query runs on small tables and gives the columns of its contract."""
+    want = {
+        "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op2_toxicity": "doc_id held_out score predicted", "op3_minhash": "doc_id n_shingles component_id kept",
+        "op4_warc": "page_id payload_bytes payload_digest record_type refers_to", "op5_search": "query_id rank vec_id score", "op6_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op7_lines": "doc_id lines_kept lines_removed text_sha256", "op8_embeddings": "vec_id n_links component_id kept", "op9_binary": "doc_id start n_tokens ids_crc32", "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    }
+    for name, query in queries.queries().items():
+        df = query(spark, "/root/testdata/sf0.001")
+        assert set(want[name].split()) <= set(df.columns) and df.count() > 0, name
+
+
 def test_hypergeometric_law():
     rng = random.Random(4)
     seen = Counter(sharding.hypergeometric(rng, 7, 13, 6) for _ in range(20_000))
@@ -391,7 +413,9 @@ def test_toxicity(spark, none):
     assert {g.predicted for g in toxicity.toxicity(frame(spark, extra), nothing).collect()} == {0}
 
 
-def test_subsequence_weights_equal_the_kernel():
+@pytest.mark.parametrize("dense", [96, 0])
+def test_subsequence_weights_equal_the_kernel(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE_LETTERS", dense)
     m = toxicity.Model(["^idiot", "^clown", "^the"], np.array([1.0, 0.5, -1.0]), -0.3)
     words = ["^idiot", "^id-iot", "^xyz", "^ab", "^idiotic" * 3]
     assert m.word_margins(words) == pytest.approx(m.features(words) @ m.weights + m.bias, abs=1e-5)
