@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that a stratum is dealt to.
+PARTS = 64
+
+
 def drawn(key: str, seed: int) -> Column:
     """Order in which rows are drawn."""
     return F.md5(F.concat_ws(":", F.lit(seed), key))
 
 
 def quota_sample(rows: DataFrame, stratum: list[str], key: str, quota: Column, seed: int) -> DataFrame:
-    """The first rows of each stratum in drawing order, up to its quota."""
-    order = Window.partitionBy(*stratum).orderBy(drawn(key, seed), key)
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= quota).drop("_r")
+    """The first rows of each stratum in drawing order, up to its quota.
+
+    Each stratum is dealt to PARTS parts, of which none can give more than the quota; only what they leave is put in
+    one order, so that a large stratum is not sorted in one task.
+    """
+    place = lambda *by: F.row_number().over(Window.partitionBy(*stratum, *by).orderBy(drawn(key, seed), key))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).withColumn("_r", place("_part")).where(F.col("_r") <= quota)
+    return dealt.withColumn("_r", place()).where(F.col("_r") <= quota).drop("_r", "_part")
 
 
 def balanced_sample(rows: DataFrame, flag: str, key: str, limit: int, seed: int) -> DataFrame:

@@ -331,8 +331,10 @@ def w09_stratified_sample(spark, sf):
     docs = documents(spark, sf).select("product", "item_id")
     sizes = docs.groupBy("product").agg(F.count("*").alias("n"))
     quota = sizes.join(F.broadcast(docs.agg(F.count("*").alias("all"))), how="cross").select("product", F.greatest(F.lit(1), F.bround(200.0 * F.col("n") / F.col("all"))).alias("quota"))
-    order = Window.partitionBy("product").orderBy(F.md5(F.col("item_id").cast("string")), "item_id")
-    return docs.withColumn("r", F.row_number().over(order)).join(quota, "product").where("r <= quota").select("product", "item_id")
+    place = lambda *by: F.row_number().over(Window.partitionBy("product", *by).orderBy(F.md5(F.col("item_id").cast("string")), "item_id"))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(64))  # no part gives more than the quota, so that no stratum is sorted as a whole
+    first = docs.withColumn("part", part).withColumn("r", place("part")).join(quota, "product").where("r <= quota")
+    return first.withColumn("r", place()).where("r <= quota").select("product", "item_id")
 
 
 @query(", s AS (SELECT CAST(d AS DATE) AS window_end FROM range(DATE '2024-01-14', DATE '2024-01-31', INTERVAL 1 DAY) r(d)) SELECT s.window_end, product, count(*) FILTER (date_diff('day', day, s.window_end) < 7) AS current, count(*) FILTER (date_diff('day', day, s.window_end) >= 7) AS past FROM s JOIN voc ON date_diff('day', voc.day, s.window_end) BETWEEN 0 AND 34 GROUP BY ALL", dates=("window_end",))
