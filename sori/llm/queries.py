@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, linededup, minhash, neardup_vectors, packing, search, sharding, toxicity, warc
+from sori.llm import binary, bpe, fim, linededup, minhash, neardup_vectors, packing, periodic, search, sharding, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -61,8 +61,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.rearranged(table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    chars = (F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle"))
+    return rows.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs, min_length=6, min_exponent=4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding}
+    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding, "op11_fim": op11_fim, "op13_runs": op13_runs}
 
 
 WARC_SQL = """
@@ -139,5 +151,23 @@ FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+FIM_SQL = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || x[8 * i + 1:8 * i + 8] AS BIGINT)) AS h FROM u
+), f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(units[1:lo], '') AS prefix, array_to_string(units[lo + 1:hi], '') AS middle, array_to_string(units[hi + 1:n], '') AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_search": SEARCH_SQL, "op8_embeddings": EMBEDDINGS_SQL, "op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
+    return {"op11_fim": FIM_SQL, "op5_search": SEARCH_SQL, "op8_embeddings": EMBEDDINGS_SQL, "op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
