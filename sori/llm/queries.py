@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sori.llm import binary, bpe, fim, linededup, minhash, neardup_vectors, packing, periodic, search, sharding, toxicity, warc
+from sori.llm import binary, bpe, fim, linededup, minhash, neardup_vectors, packing, periodic, search, sharding, substring, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -68,13 +68,18 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.drop_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic.digests(periodic.periodic_runs(docs, min_length=6, min_exponent=4))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding, "op11_fim": op11_fim, "op13_runs": op13_runs}
+    return {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op3_minhash": op3_minhash, "op4_warc": op4_warc, "op5_search": op5_search, "op6_bpe": op6_bpe, "op7_lines": op7_lines, "op8_embeddings": op8_embeddings, "op9_binary": op9_binary, "op10_sharding": op10_sharding, "op11_fim": op11_fim, "op12_substring": op12_substring, "op13_runs": op13_runs}
 
 
 WARC_SQL = """

@@ -272,7 +272,7 @@ def test_queries_return_their_columns(spark):
         "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op2_toxicity": "doc_id held_out score predicted", "op3_minhash": "doc_id n_shingles component_id kept",
         "op4_warc": "page_id payload_bytes payload_digest record_type refers_to", "op5_search": "query_id rank vec_id score", "op6_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op7_lines": "doc_id lines_kept lines_removed text_sha256", "op8_embeddings": "vec_id n_links component_id kept", "op9_binary": "doc_id start n_tokens ids_crc32", "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
-        "op11_fim": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op13_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+        "op12_substring": "doc_id n_words n_removed kept_sha256", "op11_fim": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op13_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     }
     for name, query in queries.queries().items():
         df = query(spark, "/root/testdata/sf0.001")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sori.llm import fim, periodic, queries, suffixes
+from sori.llm import fim, periodic, queries, substring, suffixes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 CLASH = "id long, key string, block int, n string, runs int, units int, words string, form int, g long, a int, p int, row long, first int, prefix int, digest int, best int, size string"
@@ -145,3 +145,67 @@ def test_periodic_runs(spark, tmp_path, monkeypatch):
     assert texts[4].text == "a" and texts[4].n_words == 50 and [tuple(x) for x in texts[5].runs] == [(0, 61, 2)] and texts[1].text == "" and texts[1].runs == []
     with pytest.raises(ValueError, match="at least 3"):
         periodic.periodic_runs(frame(spark, rows), min_exponent=2)
+
+
+def expected_repeats(rows, window):
+    texts = [(d, (t or "").encode().split()) for d, t in rows]
+    seen = Counter(tuple(w[i : i + window]) for _, w in texts for i in range(len(w) - window + 1))
+    out = []
+    for d, w in texts:
+        gone = {i + k for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for k in range(window)}
+        out.append((d, len(w), len(gone), sha(b" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return Counter(out)
+
+
+def repeated_corpus():
+    """Exact and near copies, passages shared by many, by two and within a text, one word again and again."""
+    r = random.Random(9)
+    passages = [prose(700 + i, r.randint(34, 80)) for i in range(12)]
+    rows = [(i, " ".join([prose(i, r.randint(0, 60)), *((r.choice(passages), prose(i + 5000, r.randint(0, 50))) * r.randint(0, 2)), "\n\t end"])) for i in range(80)]
+    copy = prose(42, 300)
+    rows += [(200 + i, copy) for i in range(9)]
+    for i in range(25):
+        words = copy.split()
+        for _ in range(3):
+            words[r.randrange(300)] = "edited"
+        rows.append((300 + i, " ".join(words)))
+    rows += [(400, "a " * 120), (401, "a " * 36 + "b " + "a " * 35), (402, prose(77, 40) + " x " + prose(77, 40)), (403, prose(78, 34) + " y " + prose(78, 34)), (404, None), (405, ""), (406, " \n "), (None, passages[0]), (407, prose(79, 9000)), (407, prose(79, 9000)), (408, "Ünï cödé " * 30)]
+    return rows
+
+
+@pytest.mark.parametrize("group", [256, 3, 1])  # with 3 and 1, larger groups are split by longer prefixes
+def test_repeated_passages(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "PORTION", 20_000)
+    rows = repeated_corpus()
+    want = expected_repeats(rows, 35)
+    assert Counter(map(tuple, run_query(spark, tmp_path, queries.op12_substring, rows).collect())) == want
+    assert sum(x[2] > 0 for x in want) > 40 and sum(x[2] == 0 for x in want) > 10
+    if group == 3:
+        assert run_query(spark, tmp_path / "none", queries.op12_substring, []).count() == 0
+
+
+@pytest.mark.parametrize("window", [2, 5, 9, 64, 70])
+def test_repeats_of_other_sizes(spark, window):
+    rows = [(d, t) for d, t in repeated_corpus() if d != 407]
+    out = substring.drop_repeats(frame(spark, rows), window).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_removed, sha(x.text)) for x in out) == expected_repeats(rows, window)
+    assert all(sum(e - s for s, e in x.spans) == x.n_removed and all(a[1] < b[0] for a, b in zip(x.spans, x.spans[1:])) for x in out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=60), st.integers(1, 9))
+def test_deep_leaves(x, depth):
+    at = [i for i in range(len(x) - depth + 1) if sum(x[i : i + depth] == x[j : j + depth] for j in range(len(x) - depth + 1)) > 1]
+    assert substring.deep_leaves(np.array([*x, 99]), depth).tolist() == at
+
+
+def test_rolling_hashes_and_first_smallest():
+    r = np.random.default_rng(2)
+    v = r.integers(0, 2**63, 50).astype(np.uint64)
+    v[30:40] = v[5:15]
+    h = substring.Rolling(v, substring.BASES[0])
+    assert h(np.array([30]), np.array([40])) == h(np.array([5]), np.array([15])) == h.all(10)[5] and len(np.unique(h.all(3))) == 40
+    small = r.integers(0, 4, 60)
+    for w in (1, 2, 7, 28):
+        assert substring.first_smallest(small, w).tolist() == [i + int(np.argmin(small[i : i + w])) for i in range(60 - w + 1)]
