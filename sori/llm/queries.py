@@ -156,6 +156,24 @@ FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+SUBSTRING_SQL = """
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), x AS (
+  SELECT r, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS x, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35
+), d AS (
+  SELECT r, i, count(*) OVER (PARTITION BY x) > 1 AS again FROM x
+), c AS (
+  SELECT r, i, word, coalesce(bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), FALSE) AS gone FROM p LEFT JOIN d USING (r, i)
+), g AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (r)
+"""
+
+
 FIM_SQL = """
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
@@ -175,4 +193,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fim": FIM_SQL, "op5_search": SEARCH_SQL, "op8_embeddings": EMBEDDINGS_SQL, "op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
+    return {"op11_fim": FIM_SQL, "op12_substring": SUBSTRING_SQL, "op5_search": SEARCH_SQL, "op8_embeddings": EMBEDDINGS_SQL, "op3_minhash": MINHASH_SQL, "op4_warc": WARC_SQL}
