@@ -9,6 +9,7 @@ from sori.plans.registry import query
 from sori.sources.shared import shared_path
 from sori.sources.voc import documents, projected
 from sori.streaming import worker as W
+from sori.streaming.ingest import drain
 
 RESULTS = """, x AS (
   SELECT *, k % 9 = 0 AS bad, CASE WHEN k % 2 = 0 THEN 'timeout' ELSE 'parse' END AS error, k % 9 = 0 AND k % 2 = 0 AS call_failed FROM voc
@@ -66,6 +67,54 @@ def r02_followed(spark, sf):
     return flat(W.current(spark, path))
 
 
+#: Events in five parts by day, the parts in no order of time; copies of a part's events come again with the next one.
+PARTS = 5
+PART = f"date_diff('day', DATE '2024-01-01', day) * 2 % {PARTS}"
+ARRIVED = f""", a AS (
+  SELECT item_id, occurred_at, {PART} AS part FROM voc
+), m AS (
+  SELECT part, count(*) AS documents, max(max(occurred_at)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM a GROUP BY part
+)"""
+
+
+def arriving(spark: SparkSession, sf: str, name: str):
+    """Paths to which the parts are written one after another, each with copies of some events of the part before it."""
+    path, events = shared_path(spark, name), spark.read.parquet(f"{sf}/events.parquet")
+    part = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) * 2 % PARTS
+    rows = events.withColumn("_part", part)
+    for n in range(PARTS):
+        mine = (F.col("_part") == n) | ((F.col("_part") == n - 1) & (F.col("event_id") % 5 == 0))
+        rows.where(mine).drop("_part").write.mode("append").parquet(f"{path}/in")
+        yield path, events.schema
+
+
+@query(ARRIVED + "SELECT part AS batch, count(*) AS documents, count(DISTINCT item_id) AS ids FROM a GROUP BY part")
+def r03_drained(spark, sf):
+    """A stream drained whenever files have come, and stopped: parts out of order and copies, each event written once."""
+    for path, schema in arriving(spark, sf, "drained"):
+        drain(spark, f"{path}/in", schema, f"{path}/checkpoint", lambda rows, n, at=path: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), files_per_batch=100_000)
+    return spark.read.parquet(f"{path}/out").groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("documents"), F.countDistinct("event_id").alias("ids"))
+
+
+@query(RESULTS + """SELECT 'item' AS kind, item_id, 'v1' AS name, CAST(1 AS BIGINT) AS n FROM x WHERE NOT bad
+UNION ALL SELECT 'label', item_id, aspect, sentiment FROM x WHERE NOT bad AND sentiment <> 0
+UNION ALL SELECT 'failure', item_id, error, 1 FROM x WHERE bad
+UNION ALL SELECT * FROM (SELECT 'cursor', item_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S'), 1 FROM x ORDER BY occurred_at DESC, item_id DESC LIMIT 1)""")
+def r02_late_files(spark, sf):
+    """Files in no order of time, weeks late, with copies, over several runs and folds: the state is that of one batch."""
+    for path, schema in arriving(spark, sf, "late"):
+        W.follow(spark, f"{path}/in", schema, f"{path}/state", projected, results, "v1", files_per_batch=100_000, fold_every=2)
+    return flat(W.current(spark, f"{path}/state"))
+
+
+@query(ARRIVED + ", l AS (SELECT part, count(*) FILTER (occurred_at < furthest) AS late FROM a JOIN m USING (part) GROUP BY part) SELECT part AS batch, documents, late FROM m JOIN l USING (part)")
+def r12_arrivals(spark, sf):
+    """New documents of each batch, and how many of them are older than what was there: counted, not dropped."""
+    for path, schema in arriving(spark, sf, "arrivals"):
+        W.follow(spark, f"{path}/in", schema, f"{path}/state", projected, results, "v1", files_per_batch=100_000)
+    return W.arrivals(spark, f"{path}/state")
+
+
 @query(RESULTS + """, f AS (SELECT item_id, k, sentiment, aspect, 1 + k % 4 AS attempts FROM x WHERE bad)
 SELECT item_id, CASE WHEN attempts >= 3 THEN 'left' WHEN k % 27 = 0 THEN 'failed again' ELSE 'recovered' END AS outcome, CASE WHEN attempts >= 3 THEN attempts WHEN k % 27 = 0 THEN attempts + 1 ELSE 0 END AS attempts FROM f""")
 def r04_retried(spark, sf):
