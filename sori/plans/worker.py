@@ -10,6 +10,8 @@ from sori.sources.shared import shared_path
 from sori.sources.voc import documents, projected
 from sori.streaming import worker as W
 from sori.streaming.ingest import drain
+from sori.streaming.sinks import Table, follow_tables, read_table, required
+from sori.streaming.suppression import OUTPUT, suppressed
 
 RESULTS = """, x AS (
   SELECT *, k % 9 = 0 AS bad, CASE WHEN k % 2 = 0 THEN 'timeout' ELSE 'parse' END AS error, k % 9 = 0 AND k % 2 = 0 AS call_failed FROM voc
@@ -115,6 +117,81 @@ def r12_arrivals(spark, sf):
     return W.arrivals(spark, f"{path}/state")
 
 
+#: Alerts of keys whose worst rate of a day is known; every fifth by its hundredths has been dealt with on its day.
+ALERTS = """, a AS (
+  SELECT product || '-' || aspect || '-' || channel || '-' || strftime(day, '%Y%m%d') AS alert_id, product, aspect AS main_aspect, channel, day AS window_end, CAST(max(k) AS DOUBLE) / 100 AS rate FROM voc WHERE sentiment = -1 GROUP BY ALL
+), s AS (
+  SELECT *, CAST(round(rate * 100) AS INTEGER) % 5 = 0 AS resolved, row_number() OVER (PARTITION BY product, main_aspect, channel ORDER BY window_end) AS n FROM a
+)"""
+
+
+@query(ALERTS + """, r AS (
+  SELECT * FROM (WITH RECURSIVE r AS (
+    SELECT *, 'publish' AS decision, CAST(NULL AS VARCHAR) AS updates_alert_id, CASE WHEN NOT resolved THEN alert_id END AS la, CASE WHEN NOT resolved THEN window_end END AS lw, CASE WHEN NOT resolved THEN rate END AS lr FROM s WHERE n = 1
+    UNION ALL
+    SELECT x.* EXCLUDE (la0, lw0, lr0), CASE WHEN decision <> 'suppress' AND NOT resolved THEN alert_id ELSE la0 END, CASE WHEN decision <> 'suppress' AND NOT resolved THEN window_end ELSE lw0 END, CASE WHEN decision <> 'suppress' AND NOT resolved THEN rate ELSE lr0 END FROM (
+      SELECT s.*, CASE WHEN lw IS NULL OR date_diff('day', lw, s.window_end) >= 7 THEN 'publish' WHEN s.rate - lr >= 0.05 - 1e-9 THEN 'update' ELSE 'suppress' END AS decision,
+        CASE WHEN date_diff('day', lw, s.window_end) < 7 AND s.rate - lr >= 0.05 - 1e-9 THEN la END AS updates_alert_id, la AS la0, lw AS lw0, lr AS lr0
+      FROM r JOIN s ON s.product = r.product AND s.main_aspect = r.main_aspect AND s.channel = r.channel AND s.n = r.n + 1) x
+  ) SELECT * FROM r)
+) SELECT alert_id, product, main_aspect, channel, window_end, rate, decision, updates_alert_id FROM r""", dates=("window_end",))
+def r08_suppressed(spark, sf):
+    """Alerts of all days as a stream in three parts; its state silences those that follow too soon without a jump."""
+    path, docs = shared_path(spark, "suppressed"), documents(spark, sf).where("sentiment = -1")
+    alerts = docs.groupBy("product", F.col("aspect").alias("main_aspect"), "channel", F.col("day").alias("window_end")).agg((F.max("k").cast("double") / 100).alias("rate"))
+    alerts = alerts.withColumn("alert_id", F.concat_ws("-", "product", "main_aspect", "channel", F.date_format("window_end", "yyyyMMdd")))
+    done = alerts.where(F.round(F.col("rate") * 100).cast("int") % 5 == 0).withColumn("resolved", F.lit(True))
+    rows = alerts.withColumn("resolved", F.lit(False)).unionByName(done)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for low, high in (("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01")):
+            rows.where((F.col("window_end") >= low) & (F.col("window_end") < high)).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+            suppressed(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(OUTPUT).parquet(f"{path}/out")
+
+
+#: Two rows in ten thousand have an amount that is no number or are without a product.
+DELIVERED = """, d AS (
+  SELECT item_id, CASE WHEN source = 'cs' THEN 'inquiries' ELSE 'reviews' END AS table_name, k, sentiment, item_id % 10000 = 4321 AND source = 'cs' AS letters, item_id % 10000 = 1234 AS nameless FROM voc
+)"""
+
+
+@query(DELIVERED + """SELECT table_name, 'taken' AS outcome, count(*) AS n, CAST(sum(k) AS BIGINT) AS amount FROM d WHERE NOT letters AND NOT nameless GROUP BY table_name
+UNION ALL SELECT 'negatives', 'taken', count(*), CAST(sum(k) AS BIGINT) FROM d WHERE sentiment = -1 AND NOT letters
+UNION ALL SELECT table_name, CASE WHEN letters THEN '[CAST_INVALID_INPUT]' ELSE '[USER_RAISED_EXCEPTION] product is missing' END, count(*), CAST(0 AS BIGINT) FROM d WHERE letters OR nameless GROUP BY ALL
+UNION ALL SELECT 'negatives', '[CAST_INVALID_INPUT]', count(*), CAST(0 AS BIGINT) FROM d WHERE letters AND sentiment = -1 HAVING count(*) > 0""")
+def k06_tables(spark, sf):
+    """Documents into three tables at once; rows with an amount that is no number or without product stand aside alone."""
+    path, events = shared_path(spark, "tables"), spark.read.parquet(f"{sf}/events.parquet")
+
+    def prepare(rows):
+        docs, item = projected(rows), F.col("item_id")
+        letters = (item % 10000 == 4321) & (F.col("source") == "cs")
+        return docs.withColumns({"amount": F.when(letters, "n/a").otherwise(F.col("k").cast("string")), "product": F.when(item % 10000 == 1234, None).otherwise(F.col("product"))})
+
+    amount = F.col("amount").try_cast("int")
+    strict = F.when(amount.isNull(), F.expr("CAST(amount AS INT)")).otherwise(amount) if spark.conf.get("spark.sql.ansi.enabled") == "true" else required(amount, "amount")
+    columns = ("item_id", required(F.col("product"), "product").alias("product"), strict.alias("amount"))
+    tables = {
+        "inquiries": Table(F.col("source") == "cs", columns),
+        "reviews": Table(F.col("source") == "review", columns),
+        "negatives": Table(F.col("sentiment") == -1, ("item_id", "aspect", strict.alias("amount"))),
+    }
+    follow_tables(spark, f"{sf}/event[s].parquet", events.schema, path, prepare, tables, "item_id")
+    out = None
+    for name in tables:
+        rows = read_table(spark, f"{path}/batches", name, "item_id long, amount int").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).select(F.lit(name).alias("table_name"), F.lit("taken").alias("outcome"), "n", "amount")
+        out = rows if out is None else out.unionByName(rows)
+    aside = read_table(spark, f"{path}/batches", "aside", "table_name string, key string, reason string")
+    reason = F.when(F.col("reason").startswith("[CAST_INVALID_INPUT]"), "[CAST_INVALID_INPUT]").otherwise(F.col("reason"))
+    return out.unionByName(aside.groupBy("table_name", reason.alias("outcome")).agg(F.count("*").alias("n")).withColumn("amount", F.lit(0).cast("long")))
+
+
 @query(RESULTS + """, f AS (SELECT item_id, k, sentiment, aspect, 1 + k % 4 AS attempts FROM x WHERE bad)
 SELECT item_id, CASE WHEN attempts >= 3 THEN 'left' WHEN k % 27 = 0 THEN 'failed again' ELSE 'recovered' END AS outcome, CASE WHEN attempts >= 3 THEN attempts WHEN k % 27 = 0 THEN attempts + 1 ELSE 0 END AS attempts FROM f""")
 def r04_retried(spark, sf):

@@ -131,3 +131,70 @@ def test_folds_change_nothing_and_drop_old_entries(spark, tmp_path):
             W.fold(spark, path, n)
         assert contents(W.current(spark, path)) == before == contents(plain)
     assert sorted(p.name for p in (tmp_path / "s/folded").iterdir()) == ["3", "4"] and sorted(p.name for p in (tmp_path / "s/changes").iterdir()) == ["4", "5"]
+
+
+def decided_day_by_day(spark, alerts, resolved):
+    """What the batch rule decides, one day after another, with what was published so far."""
+    from sori.operators import detection as D
+
+    prior, out = [], {}
+    for day in sorted({a[4] for a in alerts}):
+        new = spark.createDataFrame([a for a in alerts if a[4] == day], "alert_id string, product string, main_aspect string, channel string, window_end date, rate double")
+        rows = [(a[1], a[2], a[3], a[4], a[5], a[0] in resolved) for a in prior]
+        got = D.suppress(new, spark.createDataFrame(rows, "product string, main_aspect string, channel string, window_end date, rate double, resolved boolean")).collect()
+        out |= {r.alert_id: r.decision for r in got}
+        prior += [a for a in alerts if out.get(a[0]) in ("publish", "update") and a not in prior]
+    return out
+
+
+def test_suppression_stream_equals_the_rule_day_by_day(spark, tmp_path):
+    import random
+
+    from sori.streaming.suppression import suppressed
+
+    r, alerts = random.Random(5), []
+    for d in range(1, 26, 2):
+        for p in ("P1", "P2"):
+            if r.random() < 0.8:
+                alerts.append((f"{p}-{d}", p, "색상", "ALL", (at(1) + dt.timedelta(d)).date(), round(r.choice([0.1, 0.12, 0.16, 0.3]), 2)))
+    done = {a[0] for a in alerts if r.random() < 0.3}
+    rows = [(*a, False) for a in alerts] + [(*a, True) for a in alerts if a[0] in done]
+    schema = "alert_id string, product string, main_aspect string, channel string, window_end date, rate double, resolved boolean"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for low, high in ((0, 9), (9, 99)):  # the state goes on from one run to the next
+            part = [x for x in rows if low <= (x[4] - at(1).date()).days < high]
+            spark.createDataFrame(r.sample(part, len(part)), schema).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = suppressed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = decided_day_by_day(spark, alerts, done)
+    assert {x.alert_id: x.decision for x in got} == want and len(got) == len(alerts) and len(set(want.values())) == 3
+    ids = {a[0] for a in alerts}
+    assert all((x.updates_alert_id in ids - done) == (x.decision == "update") for x in got)
+
+
+def test_bad_rows_stand_alone(spark, tmp_path):
+    """Rows of 64 that a table refuses, two of one key, some by the one table, some by the other; null keys; a table without rows."""
+    from sori.streaming import sinks
+
+    rows = [(str(i), "x" if i in (5, 40) else str(i), None if i in (7, 40) else "p") for i in range(64)] + [("5", "y", "p"), (None, "1", "p")]
+    df = spark.createDataFrame(rows, "id string, amount string, name string")
+    number = F.expr("CAST(amount AS INT) AS amount")
+    tables = {"a": sinks.Table(F.lit(True), ("id", number)), "b": sinks.Table(F.col("amount") != "9", ("id", sinks.required(F.col("name"), "name").alias("name"))), "c": sinks.Table(F.lit(False), ("id",))}
+    path = str(tmp_path / "s")
+    for _ in range(2):
+        sinks.write_batch(df, 0, path, tables, "id")
+    a, b = (sinks.read_table(spark, path, t, s).collect() for t, s in (("a", "id string, amount int"), ("b", "id string, name string")))
+    assert sorted((r.id for r in a), key=str) == sorted((i for i, *_ in rows if i not in ("5", "40")), key=str)
+    assert sorted((r.id for r in b), key=str) == sorted((i for i, x, _ in rows if i not in ("7", "40") and x != "9"), key=str)
+    aside = {(r.table_name, r.key): r.reason for r in sinks.read_table(spark, path, "aside", sinks.ASIDE).collect()}
+    assert set(aside) == {("a", "5"), ("a", "40"), ("b", "7"), ("b", "40")} and "name is missing" in aside["b", "7"] and "CAST_INVALID_INPUT" in aside["a", "5"]
+    assert sinks.read_table(spark, path, "c", "id string").count() == 0
+    sinks.delete(spark, f"{path}/0/aside")  # as if the writer was lost before the end
+    assert sinks.read_table(spark, path, "a", "id string, amount int").count() == 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sinks.write_batch(df, 1, path, tables, "id", most=1)
