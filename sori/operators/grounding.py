@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sori.functions.matching import longest_pieces
+
 #: Fixed value: share of a quote that must stand in the source in one piece.
 SIMILARITY = 0.8
 
@@ -22,10 +25,11 @@ def plain(text: Column) -> Column:
 def longest_match(quote: pd.Series, source: pd.Series) -> pd.Series:
     """Share of a quote that the longest piece it has in common with the source makes up; frequent characters of long sources start no piece."""
 
-    def one(q: str | None, s: str | None) -> float | None:
-        return SequenceMatcher(None, q, s).find_longest_match().size / len(q) if q and s is not None else None
-
-    return pd.Series([one(q, s) for q, s in zip(quote, source, strict=True)], dtype="float64")
+    there = ((quote.notna() & (quote != "")) & source.notna()).to_numpy(bool)
+    quotes, sources = quote[there].tolist(), source[there].tolist()
+    out = pd.Series([None] * len(quote), dtype="float64", index=quote.index)
+    out[there] = longest_pieces(quotes, sources) / np.array([len(q) for q in quotes], float)
+    return out
 
 
 def with_evidence(rows: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:

@@ -136,3 +136,47 @@ def exact_test(x, y, n_x, n_y):
     baseline = F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["w"] * c["d"])
     p = F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.when(c["d"] >= seen - 1e-12, c["w"]).otherwise(0.0))
     return baseline, F.least(F.lit(1.0), p)
+
+
+#: Pairs with more tables than this are drawn, not enumerated: the product of (total of an attribute + 1) bounds the work.
+MOST_TABLES = 1_000_000
+
+
+def exact_permutation_test(pairs: DataFrame, key: list[str], categories: int = len(C.ASPECTS)) -> DataFrame:
+    """What :func:`permutation_test` estimates, exactly: key, jsd, baseline, p_value over all tables of a pair's margins.
+
+    Divergence is a sum over categories, and so is a table drawn without replacement a chain of hypergeometric draws.
+    The state after some categories is how many of x's documents are placed and the sum so far; tables that agree in
+    both are one row with their chance. Every category is one explosion and one grouping with partial sums, so the work
+    spreads over pairs and tables alike. :func:`exact_test` is the case of two categories in one expression.
+
+    ``pairs`` has the key, x and y (arrays of ``categories`` counts). A pair with an empty side gets 0, 0, 1.
+    """
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, n: s + n)
+    rows = pairs.select(*key, F.transform("x", lambda v: v.cast("double")).alias("x"), F.transform("y", lambda v: v.cast("double")).alias("y"))
+    rows = rows.withColumns({"n": total("x"), "all": total("x") + total("y"), "m": F.zip_with("x", "y", lambda a, b: a + b), "jsd": jensen_shannon_bits(F.col("x"), F.col("y"))})
+    fixed = [*key, "n", "all", "m", "jsd"]
+    states = rows.where((F.col("n") > 0) & (F.col("all") > F.col("n"))).select(*fixed, F.lit(0.0).alias("used"), F.lit(0.0).alias("bits"), F.lit(1.0).alias("chance"))
+    for j in range(categories):
+        m, left = F.col("m")[j], F.aggregate(F.slice("m", j + 1, categories), F.lit(0.0), lambda s, v: s + v)
+        open_ = F.col("n") - F.col("used")
+        low, high = F.greatest(F.lit(0.0), open_ - (left - m)), F.least(m, open_)
+        states = states.withColumn("k", F.explode(F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda v: v.cast("double"))))
+        p, q = F.col("k") / F.col("n"), (m - F.col("k")) / (F.col("all") - F.col("n"))
+        term = lambda v: F.when(v > 0, v * F.log2(2 * v / (p + q))).otherwise(0.0)  # noqa: B023, E731
+        chance = F.col("chance") * F.exp(log_choose(m, F.col("k")) + log_choose(left - m, open_ - F.col("k")) - log_choose(left, open_))
+        states = states.select(*fixed, (F.col("used") + F.col("k")).alias("used"), F.round(F.col("bits") + (term(p) + term(q)) / 2, 12).alias("bits"), chance.alias("chance"))
+        states = states.groupBy(*fixed, "used", "bits").agg(F.sum("chance").alias("chance"))
+    at_least = F.when(F.col("bits") >= F.col("jsd") - 1e-10, F.col("chance")).otherwise(0.0)
+    tested = states.groupBy(*key, "jsd").agg(F.sum(F.col("bits") * F.col("chance")).alias("baseline"), F.least(F.lit(1.0), F.sum(at_least)).alias("p_value"))
+    empty = rows.where((F.col("n") == 0) | (F.col("all") == F.col("n"))).select(*key, F.lit(0.0).alias("jsd"), F.lit(0.0).alias("baseline"), F.lit(1.0).alias("p_value"))
+    return tested.unionByName(empty)
+
+
+def tested_pairs(pairs: DataFrame, most: int = MOST_TABLES) -> DataFrame:
+    """jsd, baseline and p_value of each pair: exact where its tables are at most ``most``, by draws beyond."""
+    key = ["product", "channel_a", "channel_b"]
+    tables = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") + b.cast("double")), F.lit(1.0), lambda s, m: s * (m + 1))
+    few = tables <= most
+    exact = exact_permutation_test(pairs.where(few), key)
+    return exact.unionByName(permutation_test(pairs.where(~few)).select(*exact.columns))

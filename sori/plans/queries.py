@@ -354,6 +354,32 @@ def t11_permutation(spark, sf):
     return M.finalized(rows)
 
 
+#: Opinions (no neutral ones) of two channels on one product and day by attribute: few enough to go through all tables.
+DAY_PAIRS = """, c AS (
+  SELECT product || ' ' || strftime(day, '%Y-%m-%d') AS product, channel, [count(*) FILTER (aspect = '색상'), count(*) FILTER (aspect = '사이즈'), count(*) FILTER (aspect = '소재'), count(*) FILTER (aspect = '파손'), count(*) FILTER (aspect = '오배송'), count(*) FILTER (aspect = '기타')] AS v
+  FROM voc WHERE sentiment <> 0 GROUP BY product || ' ' || strftime(day, '%Y-%m-%d'), channel
+), p AS (
+  SELECT a.product, a.channel AS channel_a, b.channel AS channel_b, a.v AS x, list_sum(a.v) AS n, list_sum(b.v) AS o, list_transform(range(1, 7), lambda i: a.v[i] + b.v[i]) AS m FROM c a JOIN c b ON a.product = b.product AND a.channel < b.channel
+), t AS (
+  SELECT product, channel_a, channel_b, n, o, m, x = z AS own, z FROM (SELECT *, [a.k, b.k, c.k, d.k, e.k, n - a.k - b.k - c.k - d.k - e.k] AS z FROM p, range(0, m[1] + 1) a(k), range(0, m[2] + 1) b(k), range(0, m[3] + 1) c(k), range(0, m[4] + 1) d(k), range(0, m[5] + 1) e(k)) WHERE z[6] BETWEEN 0 AND m[6]
+), f AS (
+  SELECT *, exp(list_sum(list_transform(range(1, 7), lambda i: lgamma(m[i] + 1) - lgamma(z[i] + 1) - lgamma(m[i] - z[i] + 1))) - lgamma(n + o + 1) + lgamma(n + 1) + lgamma(o + 1)) AS w,
+    list_sum(list_transform(range(1, 7), lambda i: (CASE WHEN z[i] > 0 THEN z[i] / n * log2(2 * z[i] / n / (z[i] / n + (m[i] - z[i]) / o)) ELSE 0 END + CASE WHEN m[i] > z[i] THEN (m[i] - z[i]) / o * log2(2 * (m[i] - z[i]) / o / (z[i] / n + (m[i] - z[i]) / o)) ELSE 0 END) / 2)) AS d FROM t
+), s AS (SELECT product, channel_a, channel_b, max(d) FILTER (own) AS seen FROM f GROUP BY ALL)
+"""
+
+
+@query(DAY_PAIRS + "SELECT product, channel_a, channel_b, round(any_value(seen), 4) AS jsd, round(sum(w * d), 4) AS baseline, round(sum(w) FILTER (d >= seen - 1e-10), 4) AS p_value FROM f JOIN s USING (product, channel_a, channel_b) GROUP BY product, channel_a, channel_b")
+def t11_exact(spark, sf):
+    """The permutation test of six attributes over all tables of a pair's margins."""
+    counts = F.array(*(F.count_if(F.col("aspect") == a) for a in C.ASPECTS))
+    name = F.concat_ws(" ", "product", F.date_format("day", "yyyy-MM-dd"))
+    rows = documents(spark, sf).where("sentiment <> 0").groupBy(name.alias("product"), "channel").agg(counts.alias("v"))
+    pairs = rows.toDF("product", "channel_a", "x").join(rows.toDF("product", "channel_b", "y"), "product").where("channel_a < channel_b")
+    tested = M.tested_pairs(pairs)
+    return tested.select("product", "channel_a", "channel_b", *(F.round(c, 4).alias(c) for c in ("jsd", "baseline", "p_value")))
+
+
 @query(GRID + """, x AS (SELECT DISTINCT product, channel, day FROM w WHERE NOT now AND k < 30), g AS (
   SELECT w.product, w.channel, w.source, '색상' AS aspect, count(*) AS gt, count(*) FILTER (sentiment = -1 AND w.aspect = '색상') AS gn FROM w JOIN x USING (product, channel, day) WHERE NOT now GROUP BY ALL
 ), f AS (SELECT grid.*, past_total - coalesce(gt, 0) AS pt, past_neg - coalesce(gn, 0) AS pn FROM grid LEFT JOIN g USING (product, channel, source, aspect))

@@ -80,3 +80,48 @@ def test_csv_has_a_mark_and_swap_replaces(spark, tmp_path):
 def test_notice_and_stage(spark):
     row = spark.range(1).select(R.notice(F.array(F.lit("ab"), F.lit("cd"), F.lit("efghij")), 6).alias("n"), R.notice(F.array().cast("array<string>"), 6).alias("e"), R.stage_errors(F.lit(None).cast("string"), F.lit("x")).alias("s")).first()
     assert (row.n, row.e, row.s) == ("ab cd +1", "", "")
+
+
+def test_longest_pieces_equal_the_library(monkeypatch):
+    """Frequent characters of long sources, ties, pairs without a common character, empty texts, several portions."""
+    from sori.functions import matching
+
+    monkeypatch.setattr(matching, "PORTION", 5000)
+    r, quotes, sources = random.Random(1), ["", "", "a", "\ud800b"], ["", "x", "", "b\ud800"]
+    for _ in range(800):
+        letters = r.choice(["ab", "abc", "abcdefgh", "가나다라마바사아자차"])
+        quotes.append("".join(r.choice(letters) for _ in range(r.randint(0, 30))))
+        sources.append("".join(r.choice(letters + r.choice(["", "xyz" * 5])) for _ in range(r.choice([0, 3, 20, 60, 199, 200, 250, 400]))))
+    got = matching.longest_pieces(quotes, sources).tolist()
+    assert got == [SequenceMatcher(None, q, s).find_longest_match(0, len(q), 0, len(s)).size for q, s in zip(quotes, sources)]
+    assert matching.longest_pieces([], []).tolist() == []
+
+
+def test_exact_permutations(spark):
+    """Against all tables one by one, the case of two categories, draws, and empty sides."""
+    from itertools import product
+    from math import comb, log2
+
+    from sori.operators import monthly as M
+
+    rows = [("a", "x", "y", [3, 0, 2, 1, 0, 1], [1, 2, 0, 4, 0, 0]), ("b", "x", "y", [1, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0]), ("c", "x", "y", [0] * 6, [1, 1, 0, 0, 0, 0]), ("d", "x", "y", [40, 2, 0, 0, 0, 0], [30, 15, 0, 0, 0, 0])]
+    pairs = spark.createDataFrame(rows, "product string, channel_a string, channel_b string, x array<long>, y array<long>")
+    got = {r["product"]: r for r in M.tested_pairs(pairs).collect()}
+    drawn = {r["product"]: r for r in M.tested_pairs(pairs, most=0).collect()}
+
+    def bits(x, y):
+        n, o = sum(x), sum(y)
+        return sum((v / n * log2(2 * v / n / (v / n + w / o)) if v else 0) + (w / o * log2(2 * w / o / (v / n + w / o)) if w else 0) for v, w in zip(x, y)) / 2
+
+    for name, _, _, x, y in rows[:2]:
+        m = [a + b for a, b in zip(x, y)]
+        weigh = lambda z: 1.0 if not z else comb(m[len(z) - 1], z[-1]) * weigh(z[:-1])  # noqa: B023, E731
+        tables = [(z, weigh(z)) for z in product(*(range(k + 1) for k in m)) if sum(z) == sum(x)]
+        every = sum(w for _, w in tables)
+        null = [(bits(z, [a - b for a, b in zip(m, z)]), w / every) for z, w in tables]
+        assert got[name].jsd == pytest.approx(bits(x, y)) and got[name].baseline == pytest.approx(sum(d * w for d, w in null), abs=1e-8)
+        assert got[name].p_value == pytest.approx(sum(w for d, w in null if d >= bits(x, y) - 1e-10), abs=1e-8)
+    assert tuple(got["c"])[3:] == (0.0, 0.0, 1.0)
+    two = spark.range(1).select(*M.exact_test(F.lit(40), F.lit(30), F.lit(42), F.lit(45))).first()
+    assert (got["d"].baseline, got["d"].p_value) == pytest.approx(tuple(two), abs=1e-8)
+    assert all(drawn[k].p_value == pytest.approx(got[k].p_value, abs=0.02) for k in "abd") and len(drawn) == 4
