@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of reports, days that their objects and links last, largest size in bytes.
@@ -48,26 +48,89 @@ def united(tables: list[DataFrame]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV files with a header and a byte order mark, so that spreadsheets read them as UTF-8."""
-    names = rows.columns
-    first = rows.columns[0]
-    rows.toDF("\ufeff" + first, *names[1:]).write.option("header", True).option("quoteAll", True).option("encoding", "UTF-8").csv(path)
+    """CSV files with a header behind a byte order mark, so that spreadsheets read them as UTF-8.
+
+    Values are quoted where they have to be; the first header stays unquoted, so that the mark is what a file begins
+    with. Each part file is complete, mark and header included.
+    """
+    first, *names = rows.columns
+    rows.toDF("\ufeff" + first, *names).write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+
+
+def dump(collection: DataFrame, path: str, fields: list[str], tenant: str | None = None, tenant_key: str = "company_id") -> DataFrame:
+    """Write a collection's documents (id, metadata, document) as CSV: id, tenant, the metadata ``fields``, document.
+
+    Only those of ``tenant``, or all if it is null; what the metadata lack is empty. Returns the rows that are written.
+    """
+    rows = collection if tenant is None else collection.where(F.col("metadata")[tenant_key] == tenant)
+    columns = [F.coalesce(F.col("metadata")[f], F.lit("")).alias(f) for f in (tenant_key, *fields)]
+    rows = rows.select("id", *columns, F.coalesce("document", F.lit("")).alias("document"))
+    write_csv(rows, path)
+    return rows
 
 
 def swap(rows: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` as a whole: written beside it, then renamed; readers see the old or the new one."""
+    """Replace the table at ``path``: written beside it, then renamed. Between the two renames the path is missing for a moment.
+
+    For readers that must never see that, there is :func:`publish`.
+    """
     spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new, now, old = hadoop(f"{path}.new"), hadoop(path), hadoop(f"{path}.old")
     fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows.write.mode("overwrite").parquet(f"{path}.new")
     fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, now):
+        raise OSError(f"{path}.new could not be moved to {path}")
     fs.delete(old, True)
 
 
+def publish(rows: DataFrame, path: str) -> int:
+    """Write ``rows`` as the next version of the table at ``path`` and point readers to it; returns its number.
+
+    A version is a folder of its own. The pointer is a small file that is replaced by one rename over the old one, so
+    readers see the old version or the new one, whole. The version before stays for those that have begun to read it,
+    older ones go.
+    """
+    spark, jvm = rows.sparkSession, rows.sparkSession.sparkContext._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = hadoop.Path(path).getFileSystem(conf)
+    before = _pointed(spark, path)
+    number = (before or 0) + 1
+    rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+    new = hadoop.Path(f"{path}/_next")
+    out = fs.create(new, True)
+    out.writeBytes(str(number))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(hadoop.Path(f"{path}/_current")), over)
+    for n in range(max(1, number - 3), number - 1):
+        fs.delete(hadoop.Path(f"{path}/v{n}"), True)
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table made by :func:`publish`."""
+    number = _pointed(spark, path)
+    if number is None:
+        raise FileNotFoundError(f"nothing has been published at {path}")
+    return spark.read.parquet(f"{path}/v{number}")
+
+
+def _pointed(spark: SparkSession, path: str) -> int | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    file = fs.open(at)
+    text = file.readLine()
+    file.close()
+    return int(text)
+
+
 def partitioned_or_aside(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that a sink takes and those that it would refuse (null counts as refused), so that one bad row stops no batch."""
     ok = F.coalesce(valid, F.lit(False))

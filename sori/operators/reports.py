@@ -86,13 +86,76 @@ def stage_errors(severity: Column, title: Column) -> Column:
     return F.when(severity.isNotNull(), F.concat_ws("; ", missing, *others)).otherwise("")
 
 
-def notice(texts: Column, budget: int) -> Column:
-    """Texts joined within a budget of characters: those that fit whole, in order, then how many are left out."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-    step = lambda s, t: F.when(s["full"] | (F.length(s["text"]) + F.length(t) + F.when(s["n"] > 0, 1).otherwise(0) > budget), F.struct(s["text"].alias("text"), s["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat_ws(" ", F.when(s["n"] > 0, s["text"]), t).alias("text"), (s["n"] + 1).alias("n"), F.lit(False).alias("full")))
-    end = F.aggregate(texts, start, step)
-    left = F.size(texts) - end["n"]
-    return F.concat(end["text"], F.when(left > 0, F.concat(F.lit(" +"), left.cast("string"))).otherwise(""))
+#: How a list that is folded ends, what replaces a cut name's end, what stands for a held pair.
+FOLDED, COUNTED, CUT, HELD = " 외 %d개", "%d개", "…", "보류"
+
+
+def shortened(label: Column, room: Column) -> Column:
+    """A label within ``room`` characters: a code in brackets at its end is kept and the name before it cut, if both find room."""
+    code = F.when(label.endswith(")"), F.regexp_extract(label, r"(\([^(]*)$", 1)).otherwise("")
+    keep = room - F.length(code) - 1
+    coded = F.concat(F.substring(label, F.lit(1), keep), F.lit(CUT), code)
+    plain = F.concat(F.substring(label, F.lit(1), room - 1), F.lit(CUT))
+    return F.when(F.length(label) <= room, label).when(room <= 1, F.substring(label, F.lit(1), room)).when((code != "") & (keep >= 1), coded).otherwise(plain)
+
+
+def notice(labels: Column, budget: int) -> Column:
+    """Labels joined by commas in at most ``budget`` characters: those that fit, in order, and how many are left out.
+
+    The tail's room is taken off first, for the largest number it can name. At least one label is shown, shortened if
+    need be; without room for that, only the number of labels. Nothing, or no budget: an empty text.
+    """
+    n = F.size(labels)
+    whole = F.array_join(labels, ", ")
+    room = F.lit(budget) - F.length(F.format_string(FOLDED, n))
+    first = shortened(F.get(labels, F.lit(0)), room)
+    start = F.struct(F.length(first).alias("used"), F.lit(1).alias("shown"))
+    rest = F.slice(labels, F.lit(2), F.greatest(n - 1, F.lit(0)))
+    # what a label takes counts for those after it even if it does not fit, so nothing is shown behind a gap
+    ends = F.aggregate(rest, start, lambda s, x: F.struct((s["used"] + F.length(x) + 2).alias("used"), (s["shown"] + (s["used"] + F.length(x) + 2 <= room).cast("int")).alias("shown")))
+    shown = ends["shown"]
+    listed = F.array_join(F.concat(F.array(first), F.slice(labels, F.lit(2), shown - 1)), ", ")
+    folded = F.concat(listed, F.when(n > shown, F.format_string(FOLDED, n - shown)).otherwise(""))
+    number = F.substring(F.format_string(COUNTED, n), 1, budget)
+    return F.when((n <= 0) | F.lit(budget <= 0), "").when(F.length(whole) <= budget, whole).when(room < 1, number).otherwise(folded)
+
+
+def number_text(value: Column) -> Column:
+    """A number with at most six significant digits and no zeros at the end of its decimals (20.0 is 20); plain from 0.0001 to 999999."""
+    size = F.abs(value)
+    digits = F.lit(9)
+    for k, d in ((0.001, 8), (0.01, 7), (0.1, 6), (1, 5), (10, 4), (100, 3), (1000, 2), (10000, 1), (100000, 0)):
+        digits = F.when(size >= k, F.lit(d)).otherwise(digits)
+    rounded = F.lit(None).cast("string")
+    for d in range(10):
+        rounded = F.when(digits == d, F.round(value, d).cast("decimal(38,9)").cast("string")).otherwise(rounded)
+    return F.regexp_replace(rounded, r"\.?0+$", "")
+
+
+def aspect_table(rows: DataFrame, order: dict) -> DataFrame:
+    """Each product's table of attributes for a prompt: name, total, three shares in percent, drift with its sign, status.
+
+    ``rows``: product, aspect, total, pos, neu, neg (shares from 0 to 1), drift, status (null if there is none: "-").
+    Lines are in ``order`` (attribute: place). At most as many lines as there are attributes.
+    """
+    place = F.create_map(*(F.lit(x) for k in order.items() for x in k))[F.col("aspect")]
+    sign = F.when(F.col("drift") >= 0, "+").otherwise("")
+    drift = F.coalesce(F.concat(sign, number_text(F.col("drift") * 100)), F.lit("-"))
+    line = F.concat_ws("|", "aspect", F.col("total").cast("string"), *(number_text(F.col(c) * 100) for c in ("pos", "neu", "neg")), drift, F.coalesce("status", F.lit("-")))
+    lines = F.array_sort(F.collect_list(F.struct(place.alias("place"), line.alias("line"))))
+    return rows.groupBy("product").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("aspect_table"))
+
+
+def pair_table(rows: DataFrame) -> DataFrame:
+    """Each product's table of pairs of channels: names, sample, divergence to two places, severity; a held pair has neither.
+
+    ``rows``: product, channel_a, channel_b, sample, jsd, severity, hold_reason.
+    """
+    held = F.col("hold_reason").isNotNull()
+    pair = F.concat_ws("-", "channel_a", "channel_b")
+    line = F.concat_ws("|", pair, F.col("sample").cast("string"), F.when(held, "-").otherwise(number_text(F.round("jsd", 2))), F.when(held, HELD).otherwise(F.col("severity")))
+    lines = F.array_sort(F.collect_list(F.struct(pair.alias("pair"), line.alias("line"))))
+    return rows.groupBy("product").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("pair_table"))
 
 
 def table_cell(text: Column) -> Column:
@@ -116,22 +179,34 @@ def quote_list(texts: Column, n: int = 5) -> Column:
     return F.when(F.size(some) > 0, F.concat_ws("\n", F.transform(some, lambda t: F.concat(F.lit("- "), F.trim(t))))).otherwise(NO_DETAIL)
 
 
+#: Why an alert matches no planned case.
+EXCLUDED, NO_CASE, EARLY, LATE, OTHER = "scoring_excluded_window", "no_golden_case_same_product_aspect_source", "early_same_case", "late_same_case", "same_product_aspect_source_but_other_channel"
+
+
 def false_reasons(alerts: DataFrame, windows: DataFrame, ignored: DataFrame) -> DataFrame:
     """Why an alert matches no planned case: excluded window, no case, early or late for its own, another channel.
 
-    ``alerts``: alert_id, product, aspect, source, channel, day; ``windows`` and ``ignored``: the key, start, end. Cases
-    of a key are few. The channel's first case by start that the day lies outside of decides between early and late.
+    ``alerts``: alert_id, product, aspect, source, channel, day and, if there is one, channels: the significant ones,
+    which stand for the alert's own (an alert of all channels has only these); ``windows`` and ``ignored``: the key with
+    one channel, start, end, and in ``windows`` place, the order of cases (else by start). Cases of a key are few. The
+    first case on one of the alert's channels that its day lies outside of decides between early and late.
     """
     key = ["product", "aspect", "source"]
-    out = ignored.select(*key, "channel", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    excluded = alerts.join(out, [*key, "channel"]).where((F.col("day") >= F.col("_s")) & (F.col("day") <= F.col("_e") + 6)).select("alert_id").distinct().withColumn("excluded", F.lit(True))
-    cases = windows.select(*key, F.col("channel").alias("case_channel"), "start", "end")
+    channels = F.array("channel")
+    if "channels" in alerts.columns:
+        channels = F.when(F.size("channels") > 0, F.col("channels")).otherwise(channels)
+    alerts = alerts.withColumn("channels", channels)
+    each = alerts.select("alert_id", *key, "day", F.explode("channels").alias("channel"))
+    spans = ignored.select(*key, "channel", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    excluded = each.join(spans, [*key, "channel"]).where((F.col("day") >= F.col("_s")) & (F.col("day") <= F.col("_e") + 6)).select("alert_id").distinct().withColumn("excluded", F.lit(True))
+    place = F.col("place") if "place" in windows.columns else F.col("start")
+    cases = windows.select(*key, F.col("channel").alias("case_channel"), "start", "end", place.alias("place"))
     joined = alerts.join(cases, key, "left")
-    own = F.col("case_channel") == F.col("channel")
-    outside = own & ((F.col("day") < F.col("start")) | (F.col("day") > F.col("end")))
-    facts = joined.groupBy("alert_id").agg(F.count("case_channel").alias("cases"), F.min(F.when(outside, F.struct("start", (F.col("day") < F.col("start")).alias("early")))).alias("first"))
+    early = F.col("day") < F.col("start")
+    outside = F.array_contains("channels", F.col("case_channel")) & (early | (F.col("day") > F.col("end")))
+    facts = joined.groupBy("alert_id").agg(F.count("case_channel").alias("cases"), F.min(F.when(outside, F.struct("place", "start", early.alias("early")))).alias("first"))
     rows = facts.join(excluded, "alert_id", "left")
-    reason = F.when(F.col("excluded"), "scoring_excluded_window").when(F.col("cases") == 0, "no_golden_case_same_product_aspect_source").when(F.col("first.early"), "early_same_case").when(F.col("first").isNotNull(), "late_same_case").otherwise("same_product_aspect_source_but_other_channel")
+    reason = F.when(F.col("excluded"), EXCLUDED).when(F.col("cases") == 0, NO_CASE).when(F.col("first.early"), EARLY).when(F.col("first").isNotNull(), LATE).otherwise(OTHER)
     return rows.select("alert_id", reason.alias("reason"))
 
 
@@ -164,24 +239,39 @@ def late(done: Column, total: Column, seconds: Column, left: Column) -> Column:
     return eta(done, total, seconds) > left
 
 
-def cases_scored(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row: counts of cases found, missed, falsely raised and rightly quiet, and of right verdicts, attributes, biases.
+def cases_scored(gold: DataFrame, predicted: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row: counts of cases found, missed, falsely raised and rightly quiet, and of what else is right.
+
+    ``gold``: case_id, source, product, channel, verdict, is_biased (null if not claimed), main_aspect, confidence (null
+    if not claimed), root_cause, channel_significant, scoring_included; a row for each channel, of which the first by
+    channel counts for the case. Rows that are not included count nowhere. ``predicted``: product, source, channel,
+    verdict, main_aspect, confidence; the first by channel stands for a case, none means normal. ``tests``: product,
+    aspect, channel, source, fired.
 
-    ``gold``: case_id, source, product, verdict, is_biased (null if not claimed), main_aspect; a row for each channel,
-    of which the first by channel counts. ``predicted``: product, source, channel, verdict, main_aspect; the first by
-    channel counts, none means normal. Bias is scored where claimed, the attribute only for anomalies.
+    Bias and confidence are scored where gold claims them, the attribute only for anomalies. ``cause_skipped`` counts
+    anomalies within the scope of causes to which gold gives none. For biased cases each channel counts: whether it is
+    significant in gold and whether the predicted attribute's test fired there.
     """
+    gold = gold.where("scoring_included")
     first = Window.partitionBy("case_id", "source").orderBy("channel")
     g = gold.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    p = predicted.groupBy("product", "source").agg(F.min_by("verdict", "channel").alias("p_verdict"), F.min_by("main_aspect", "channel").alias("p_aspect"))
+    best = (F.min_by(c, "channel").alias(f"p_{c}") for c in ("verdict", "main_aspect", "confidence"))
+    p = predicted.groupBy("product", "source").agg(*best)
     rows = g.join(p, ["product", "source"], "left").withColumn("p_verdict", F.coalesce("p_verdict", F.lit(C.NORMAL)))
     bad, raised = F.col("verdict") != C.NORMAL, F.col("p_verdict") != C.NORMAL
-    claims = F.col("is_biased").isNotNull()
-    return rows.agg(
+    claims, sure = F.col("is_biased").isNotNull(), F.col("confidence").isNotNull()
+    cases = rows.agg(
         F.count_if(bad & raised).alias("found"), F.count_if(bad & ~raised).alias("missed"), F.count_if(~bad & raised).alias("false"), F.count_if(~bad & ~raised).alias("quiet"),
-        F.count_if(F.col("verdict") == F.col("p_verdict")).alias("verdicts"), F.count_if(bad & F.col("main_aspect").eqNullSafe(F.col("p_aspect"))).alias("aspects"),
+        F.count_if(F.col("verdict") == F.col("p_verdict")).alias("verdicts"), F.count_if(bad & F.col("main_aspect").eqNullSafe(F.col("p_main_aspect"))).alias("aspects"),
         F.count_if(claims).alias("bias_claimed"), F.count_if(claims & (F.col("is_biased") == (F.col("p_verdict") == C.BIASED))).alias("bias_right"),
+        F.count_if(sure).alias("confidence_claimed"), F.count_if(sure & (F.col("confidence") == F.col("p_confidence"))).alias("confidence_right"),
+        F.count_if(bad & F.col("root_cause").isNull() & F.col("main_aspect").isin(*C.SCOPE)).alias("cause_skipped"),
     )
+    biased = gold.where(F.col("verdict") == C.BIASED).select("product", "source", "channel", "channel_significant").join(p.select("product", "source", F.col("p_main_aspect").alias("aspect")), ["product", "source"], "left")
+    biased = biased.join(tests.select("product", "aspect", "channel", "source", "fired"), ["product", "aspect", "channel", "source"], "left")
+    right = F.coalesce("channel_significant", F.lit(False)) == F.coalesce("fired", F.lit(False))
+    channels = biased.agg(F.count("*").alias("channels"), F.count_if(right).alias("channels_right"))
+    return cases.join(F.broadcast(channels), how="cross")  # one row and one row
 
 
 def negative_scope(rows: DataFrame) -> DataFrame:

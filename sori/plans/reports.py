@@ -244,20 +244,6 @@ def d21_evaluated(spark, sf):
     return documents(spark, sf).select("item_id", r["passed"].alias("passed"), r["reasons"].alias("reasons"))
 
 
-@query(""", al AS (SELECT item_id AS alert_id, product, aspect, source, channel, 60 - date_diff('day', day, DATE '2024-01-30') AS d FROM voc WHERE sentiment = -1 AND k % 4 = 0
-), wn AS (SELECT DISTINCT product, aspect, source, channel, 60 - date_diff('day', day, DATE '2024-01-30') AS s, 62 - date_diff('day', day, DATE '2024-01-30') AS e FROM voc WHERE sentiment = -1 AND k = 21 AND product > 'P002'
-), ig AS (SELECT DISTINCT product, aspect, source, channel, 60 - date_diff('day', day, DATE '2024-01-30') AS s, 61 - date_diff('day', day, DATE '2024-01-30') AS e FROM voc WHERE sentiment = -1 AND k = 23
-), j AS (SELECT al.*, wn.s, wn.e, wn.channel AS wc FROM al LEFT JOIN wn USING (product, aspect, source)
-), f AS (SELECT alert_id, count(wc) AS cases, arg_min(d < s, s) FILTER (wc = channel AND (d < s OR d > e)) AS early FROM j GROUP BY alert_id
-), x AS (SELECT DISTINCT alert_id FROM al JOIN ig USING (product, aspect, source, channel) WHERE d BETWEEN s AND e + 6)
-SELECT alert_id, CASE WHEN alert_id IN (SELECT alert_id FROM x) THEN 'scoring_excluded_window' WHEN cases = 0 THEN 'no_golden_case_same_product_aspect_source' WHEN early THEN 'early_same_case' WHEN NOT early THEN 'late_same_case' ELSE 'same_product_aspect_source_but_other_channel' END AS reason FROM f""")
-def d26_false_reasons(spark, sf):
-    docs = documents(spark, sf).where("sentiment = -1").withColumn("d", times.day_number(F.col("day"), END))
-    alerts = docs.where("k % 4 = 0").select(F.col("item_id").alias("alert_id"), "product", "aspect", "source", "channel", F.col("d").alias("day"))
-    span = lambda rows, n: rows.select("product", "aspect", "source", "channel", F.col("d").alias("start"), (F.col("d") + n).alias("end")).distinct()
-    return R.false_reasons(alerts, span(docs.where("k = 21 AND product > 'P002'"), 2), span(docs.where("k = 23"), 1))
-
-
 @query("SELECT item_id, CASE k % 4 WHEN 0 THEN '안정 단계' WHEN 1 THEN '주의 단계' WHEN 2 THEN '위험 단계' ELSE '안정 단계' END AS label, CASE WHEN k % 4 = 3 THEN '' ELSE concat_ws('; ', CASE WHEN NOT (k % 4 = k % 3) THEN 'missing ' || ['안정 단계', '주의 단계', '위험 단계'][k % 4 + 1] END, CASE WHEN k % 3 <> k % 4 THEN 'other ' || ['안정 단계', '주의 단계', '위험 단계'][k % 3 + 1] END) END AS errors FROM voc")
 def d31_stage_labels(spark, sf):
     names = F.array(*map(F.lit, R.STAGES))
@@ -267,11 +253,6 @@ def d31_stage_labels(spark, sf):
     return documents(spark, sf).select("item_id", R.stage_label(severity).alias("label"), R.stage_errors(severity, title).alias("errors"))
 
 
-@query("SELECT p_partkey, CASE WHEN length(p_name) <= 9 THEN p_name || CASE WHEN length(p_name) + 1 + length(p_brand) <= 20 THEN ' ' || p_brand ELSE ' +1' END WHEN length(p_name) > 20 THEN ' +2' WHEN length(p_name) + 1 + length(p_brand) <= 20 THEN p_name || ' ' || p_brand ELSE p_name || ' +1' END AS notice FROM part")
-def d30_notices(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", R.notice(F.array("p_name", "p_brand"), 20).alias("notice"))
-
-
 @query("SELECT conv_id, turn, trim(replace(replace(text, '|', '/'), chr(10), ' ')) AS cell FROM conversations")
 def x14_table_cells(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", R.table_cell(F.col("text")).alias("cell"))
@@ -358,14 +339,6 @@ def m21_relabelled(spark, sf):
     return R.relabelled(rows.drop("k"), rows.where("k % 3 = 0").select("item_id", F.sha2(judged, 256).alias("text_sha"), F.lit("new").alias("new_label")))
 
 
-@query(""", m AS (SELECT product, aspect, count(*) AS n, count(*) FILTER (sentiment = -1) AS neg FROM voc GROUP BY ALL)
-SELECT product, string_agg(aspect || '|' || n || '|' || CAST(CAST(floor(neg * 100 / n) AS BIGINT) AS VARCHAR), chr(10) ORDER BY aspect) AS lines FROM m GROUP BY product""")
-def m16_prompt_tables(spark, sf):
-    rows = documents(spark, sf).groupBy("product", "aspect").agg(rows_n(), F.count_if(F.col("sentiment") == -1).alias("neg"))
-    line = F.concat_ws("|", "aspect", F.col("n").cast("string"), F.floor(F.col("neg") * 100 / F.col("n")).cast("string"))
-    return rows.groupBy("product").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))  # six rows
-
-
 @query(f"SELECT item_id, CASE WHEN k % 3 = 0 THEN '{R.NO_DETAIL}' ELSE 'CS ' || (k + 5) || '건 중 ' || k || '건이 ''' || aspect || ''' 관련 언급' END AS summary, CASE WHEN k % 4 = 0 THEN '{R.NO_DETAIL}' ELSE '- ' || aspect END AS quotes FROM voc")
 def m17_evidence(spark, sf):
     k = F.col("k")
@@ -373,29 +346,6 @@ def m17_evidence(spark, sf):
     return documents(spark, sf).select("item_id", R.summary_sentence(F.when(k % 3 != 0, F.col("aspect")), k, k + 5).alias("summary"), R.quote_list(texts).alias("quotes"))
 
 
-@query("SELECT CASE WHEN date_diff('day', day, DATE '2024-01-30') < 7 THEN 'current' ELSE 'past' END AS part, aspect, count(*) AS n FROM voc WHERE product = 'P001' AND date_diff('day', day, DATE '2024-01-30') BETWEEN 0 AND 34 GROUP BY ALL")
-def m14_case_context(spark, sf):
-    age = F.datediff(F.lit(END).cast("date"), "day")
-    rows = documents(spark, sf).where((F.col("product") == "P001") & age.between(0, 34))
-    return rows.groupBy(F.when(age < 7, "current").otherwise("past").alias("part"), "aspect").agg(rows_n())
-
-
-@query("SELECT product, aspect, count(*) FILTER (sentiment = -1) AS gold, count(*) FILTER (sentiment = -1 AND k % 5 <> 0) AS predicted, count(*) FILTER (sentiment = -1 AND k % 5 <> 0) - count(*) FILTER (sentiment = -1) AS delta FROM voc GROUP BY ALL")
-def m12_slot_comparison(spark, sf):
-    """Counts of slots under several label sets, side by side; a set without a slot counts 0."""
-    docs = documents(spark, sf)
-    gold = docs.withColumn("set", F.lit("gold"))
-    both = gold.unionByName(docs.where("k % 5 <> 0").withColumn("set", F.lit("predicted")))
-    rows = both.groupBy("product", "aspect").pivot("set", ["gold", "predicted"]).agg(F.count_if(F.col("sentiment") == -1)).fillna(0)
-    return rows.withColumn("delta", F.col("predicted") - F.col("gold"))
-
-
-@query("SELECT product, round(count(*) FILTER (sentiment = -1 AND day < DATE '2024-01-24') / count(*) FILTER (day < DATE '2024-01-24'), 9) AS observed, abs(count(*) FILTER (sentiment = -1 AND day < DATE '2024-01-24') / count(*) FILTER (day < DATE '2024-01-24') - 0.2) <= 0.02 AS matches FROM voc GROUP BY product")
-def m13_past_rates(spark, sf):
-    rows = documents(spark, sf).where("day < '2024-01-24'").groupBy("product").agg(F.avg((F.col("sentiment") == -1).cast("double")).alias("rate"))
-    return rows.select("product", F.round("rate", 9).alias("observed"), (F.abs(F.col("rate") - 0.2) <= 0.02).alias("matches"))
-
-
 @query(""", al AS (SELECT product, aspect, day FROM voc WHERE sentiment = -1 AND k = 1), wn AS (SELECT min(item_id) AS case_id, product, aspect, day AS s, day + 4 AS e FROM voc WHERE sentiment = -1 AND k = 2 GROUP BY product, aspect, day)
 SELECT case_id, count(*) FILTER (day = e) > 0 AS at_end, count(*) FILTER (day BETWEEN s AND e) AS inside, count(*) FILTER (day NOT BETWEEN s AND e) AS outside FROM wn LEFT JOIN al USING (product, aspect) GROUP BY case_id""")
 def m10_day_scores(spark, sf):
@@ -404,20 +354,6 @@ def m10_day_scores(spark, sf):
     return R.day_scores(docs.where("k = 1").select("product", "aspect", "day"), windows)
 
 
-@query(f""", g AS (SELECT min(item_id) AS case_id, source, product, channel, CASE WHEN min(k) < 2 THEN '{C.BIASED}' ELSE '{C.NORMAL}' END AS verdict, CASE WHEN min(k) < 2 THEN min(k) = 0 END AS is_biased, min(aspect) AS main_aspect FROM voc WHERE k < 4 GROUP BY source, product, channel
-), g1 AS (SELECT product || source AS case_id, * EXCLUDE (case_id) FROM g QUALIFY row_number() OVER (PARTITION BY product, source ORDER BY channel) = 1
-), p AS (SELECT source, product, arg_min(verdict, channel) AS pv, arg_min(aspect, channel) AS pa FROM (SELECT source, product, channel, CASE WHEN min(k) = 5 THEN '{C.BIASED}' ELSE '{C.GLOBAL}' END AS verdict, min(aspect) AS aspect FROM voc WHERE k BETWEEN 5 AND 6 AND product < 'P008' GROUP BY source, product, channel) GROUP BY ALL
-), s AS (SELECT g1.*, coalesce(pv, '{C.NORMAL}') AS pv, pa FROM g1 LEFT JOIN p USING (product, source))
-SELECT count(*) FILTER (verdict <> '{C.NORMAL}' AND pv <> '{C.NORMAL}') AS found, count(*) FILTER (verdict <> '{C.NORMAL}' AND pv = '{C.NORMAL}') AS missed, count(*) FILTER (verdict = '{C.NORMAL}' AND pv <> '{C.NORMAL}') AS false, count(*) FILTER (verdict = '{C.NORMAL}' AND pv = '{C.NORMAL}') AS quiet,
-  count(*) FILTER (verdict = pv) AS verdicts, count(*) FILTER (verdict <> '{C.NORMAL}' AND main_aspect IS NOT DISTINCT FROM pa) AS aspects, count(*) FILTER (is_biased IS NOT NULL) AS bias_claimed, count(*) FILTER (is_biased IS NOT NULL AND is_biased = (pv = '{C.BIASED}')) AS bias_right FROM s""")
-def e08_cases_scored(spark, sf):
-    docs = documents(spark, sf)
-    k = F.min("k")
-    gold = docs.where("k < 4").groupBy("source", "product", "channel").agg(F.when(k < 2, C.BIASED).otherwise(C.NORMAL).alias("verdict"), F.when(k < 2, k == 0).alias("is_biased"), F.min("aspect").alias("main_aspect"))
-    predicted = docs.where("k BETWEEN 5 AND 6 AND product < 'P008'").groupBy("source", "product", "channel").agg(F.when(k == 5, C.BIASED).otherwise(C.GLOBAL).alias("verdict"), F.min("aspect").alias("main_aspect"))
-    return R.cases_scored(gold.withColumn("case_id", F.concat("product", "source")), predicted)
-
-
 @query("SELECT count(*) FILTER (sentiment = -1 AND k % 3 <> 0) AS tp, count(*) FILTER (sentiment = -1 AND k % 3 = 0) AS fn, CAST(coalesce(sum(CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) FILTER (sentiment = -1), 0) AS BIGINT) AS fp, count(*) FILTER (k % 5 = 0) AS several, count(*) AS n, count(*) FILTER (sentiment = -1 AND k % 3 <> 0) / (count(*) FILTER (sentiment = -1 AND k % 3 <> 0) + sum(CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) FILTER (sentiment = -1)) AS accuracy, count(*) FILTER (k % 5 = 0) / count(*) AS several_rate FROM voc")
 def e03_negative_scope(spark, sf):
     k = F.col("k")
@@ -479,24 +415,8 @@ def k15_limits(spark, sf):
     return documents(spark, sf).select("item_id", O.within_limit(F.col("k") * 1_000_000).alias("stored"), object_end.cast("string").alias("object_end"), link_end.cast("string").alias("link_end"))
 
 
-@query("SELECT item_id, product, NULL AS channel FROM voc WHERE k = 1 UNION ALL SELECT item_id, NULL, channel FROM voc WHERE k = 2")
-def k09_united_headers(spark, sf):
-    docs = documents(spark, sf)
-    return O.united([docs.where("k = 1").select("item_id", "product"), docs.where("k = 2").select("item_id", "channel")])
-
-
 @query("SELECT coalesce(k % 7 <> 3, FALSE) AS taken, count(*) AS n FROM voc GROUP BY ALL")
 def k06_sink_split(spark, sf):
     rows = documents(spark, sf).withColumn("amount", F.when(F.col("k") % 7 != 3, F.col("k")))
     taken, aside = O.partitioned_or_aside(rows, F.col("amount") >= 0)
     return taken.agg(rows_n()).select(F.lit(True).alias("taken"), "n").unionByName(aside.agg(rows_n()).select(F.lit(False).alias("taken"), "n"))
-
-
-@query("SELECT item_id, 'new' AS state FROM voc WHERE k % 2 = 0")
-def k08_swapped(spark, sf):
-    from sori.sources.shared import shared_path
-
-    path, docs = shared_path(spark, "swapped"), documents(spark, sf)
-    O.swap(docs.select("item_id", F.lit("old").alias("state")), path)
-    O.swap(docs.where("k % 2 = 0").select("item_id", F.lit("new").alias("state")), path)
-    return spark.read.parquet(path)
