@@ -139,7 +139,7 @@ def j29_preferred(spark, sf):
 
 
 #: Results of each source by product and channel, as given by counts.
-RESULTS = f""", rs AS (SELECT product, channel, source, CASE WHEN count(*) % 3 = 0 THEN '{C.GLOBAL}' ELSE '{C.BIASED}' END AS verdict, CASE WHEN count(*) % 2 = 0 THEN '{C.LOW}' ELSE '{C.MEDIUM}' END AS confidence, count(*) % 5 <> 0 AS fired FROM voc WHERE k < 97 OR source = 'cs' GROUP BY ALL
+RESULTS = f""", rs AS (SELECT product, channel, source, CASE WHEN count(*) % 3 = 0 THEN '{C.GLOBAL}' ELSE '{C.BIASED}' END AS verdict, CASE WHEN count(*) % 2 = 0 THEN '{C.LOW}' ELSE '{C.MEDIUM}' END AS confidence, count(*) % 5 <> 0 AS fired FROM voc GROUP BY ALL
 ), both_ AS (SELECT product, channel, c.verdict AS cv, c.confidence AS cc, c.fired AS cf, r.confidence AS rc, r.fired AS rf FROM (SELECT * FROM rs WHERE source = 'cs') c FULL JOIN (SELECT * FROM rs WHERE source = 'review') r USING (product, channel))
 """
 
@@ -149,6 +149,6 @@ RESULTS = f""", rs AS (SELECT product, channel, source, CASE WHEN count(*) % 3 =
   CASE WHEN cf AND rf THEN '{C.READINGS['both']}' WHEN cf THEN '{C.READINGS['cs']}' WHEN rf THEN '{C.READINGS['review']}' END AS reading, cf AS cs_signal, rf AS review_signal FROM both_""")
 def d10_combined(spark, sf):
     n = F.col("n")
-    rows = documents(spark, sf).where("k < 97 OR source = 'cs'").groupBy("product", "channel", "source").agg(F.count("*").alias("n"))
+    rows = documents(spark, sf).groupBy("product", "channel", "source").agg(F.count("*").alias("n"))
     rows = rows.select("product", "channel", "source", F.when(n % 3 == 0, C.GLOBAL).otherwise(C.BIASED).alias("verdict"), F.when(n % 2 == 0, C.LOW).otherwise(C.MEDIUM).alias("confidence"), (n % 5 != 0).alias("fired"))
     return J.combined(rows.where("source = 'cs'"), rows.where("source = 'review'"))

@@ -43,19 +43,19 @@ def m05_hot_channels(spark, sf):
     return K.hot_channels(K.case_windows(config(spark, sf)))
 
 
-@query(""", cs AS (SELECT product, source, max(day) AS fin FROM voc WHERE k = 0 AND sentiment = -1 GROUP BY ALL), nd AS (SELECT *, unnest([1, 2, 3]) AS need FROM cs)
+@query(""", cs AS (SELECT product, source, max(day) AS fin FROM voc WHERE sentiment = -1 GROUP BY ALL), nd AS (SELECT *, unnest([1, 2, 3]) AS need FROM cs)
 SELECT need, count(*) FILTER (k % 6 = 1) AS missing, count(*) AS total FROM nd JOIN voc ON voc.product = nd.product AND voc.source = nd.source AND date_diff('day', voc.day, nd.fin) BETWEEN 0 AND 5 + need GROUP BY need""")
 def m09_prediction_coverage(spark, sf):
     docs = documents(spark, sf).withColumn("predicted", F.col("k") % 6 != 1)
-    ends = docs.where("k = 0 AND sentiment = -1").groupBy("product", "source").agg(F.max("day").alias("end"))
+    ends = docs.where("sentiment = -1").groupBy("product", "source").agg(F.max("day").alias("end"))
     return K.missing_predictions(ends, docs)
 
 
-@query(""", cs AS (SELECT product, source, max(day) AS fin FROM voc WHERE k = 0 AND sentiment = -1 GROUP BY ALL)
+@query(""", cs AS (SELECT product, source, max(day) AS fin FROM voc WHERE sentiment = -1 GROUP BY ALL)
 SELECT v.product, v.source, count(*) AS n FROM cs JOIN voc v ON v.product = cs.product AND v.source = cs.source AND v.day BETWEEN cs.fin - INTERVAL 8 DAY AND cs.fin GROUP BY ALL""")
 def m11_widened_windows(spark, sf):
     docs = documents(spark, sf)
-    ends = docs.where("k = 0 AND sentiment = -1").groupBy("product", "source").agg(F.max("day").alias("end"))
+    ends = docs.where("sentiment = -1").groupBy("product", "source").agg(F.max("day").alias("end"))
     days = ends.withColumn("day", F.explode(F.sequence(F.date_sub("end", C.CURRENT_DAYS + 1), F.col("end"))))
     daily = docs.groupBy("product", "source", "day").agg(rows_n())
     return days.join(daily, ["product", "source", "day"]).groupBy("product", "source").agg(F.sum("n").alias("n"))

@@ -138,10 +138,10 @@ def j26_grid(spark, sf):
     return K.grid(docs, tuple(C.ASPECTS), config, 42)
 
 
-@query(""", n AS (SELECT product, aspect, count(*) FILTER (channel = 'COUPANG') AS c, count(*) FILTER (channel = 'NAVER') AS v, count(*) FILTER (channel = 'ZIGZAG') AS z FROM voc WHERE k < 8 GROUP BY ALL)
+@query(""", n AS (SELECT product, aspect, count(*) FILTER (channel = 'COUPANG') AS c, count(*) FILTER (channel = 'NAVER') AS v, count(*) FILTER (channel = 'ZIGZAG') AS z FROM voc GROUP BY ALL)
 SELECT product, aspect, 'COUPANG' AS a, 'NAVER' AS b, c AS n_a, v AS n_b FROM n UNION ALL SELECT product, aspect, 'COUPANG', 'ZIGZAG', c, z FROM n UNION ALL SELECT product, aspect, 'NAVER', 'ZIGZAG', v, z FROM n""")
 def j28_channel_pairs(spark, sf):
-    return K.channel_pairs(documents(spark, sf).where("k < 8"), ["product", "aspect"])
+    return K.channel_pairs(documents(spark, sf), ["product", "aspect"])
 
 
 @query("SELECT product, channel, source, count(*) AS total, count(*) FILTER (sentiment = -1) AS neg FROM voc WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY ALL")
@@ -218,9 +218,9 @@ def a33_count_check(spark, sf):
     return rows.withColumn("pass", F.abs(F.col("n") - 400) <= 0.1 * 400)
 
 
-@query("SELECT product, count(DISTINCT channel) AS channels, count(DISTINCT channel) = 3 AS complete, round(count(*) / (SELECT count(*) FROM voc WHERE k < 5), 9) AS share FROM voc WHERE k < 5 GROUP BY product")
+@query("SELECT product, count(DISTINCT channel) AS channels, count(DISTINCT channel) = 3 AS complete, round(count(*) / (SELECT count(*) FROM voc), 9) AS share FROM voc GROUP BY product")
 def a34_distribution(spark, sf):
-    rows = documents(spark, sf).where("k < 5").groupBy("product", "channel").agg(rows_n())
+    rows = documents(spark, sf).groupBy("product", "channel").agg(rows_n())
     out = rows.groupBy("product").agg(F.count("*").alias("channels"), F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row for each product
     return out.select("product", "channels", (F.col("channels") == len(C.CHANNELS)).alias("complete"), F.round(share, 9).alias("share"))
@@ -251,10 +251,10 @@ def w08_alert_budget(spark, sf):
     return rows.orderBy(F.desc("n"), "product", "aspect", "channel").limit(20)
 
 
-@query(", s AS (SELECT product, aspect, list_sort(list(DISTINCT channel) FILTER (source = 'cs')) AS a, list_sort(list(DISTINCT channel) FILTER (source = 'review')) AS b FROM voc WHERE sentiment = -1 AND k < 20 GROUP BY ALL) SELECT product, aspect, array_to_string(list_filter(coalesce(a, []), lambda x: list_contains(coalesce(b, []), x)), ',') AS shared FROM s")
+@query(", s AS (SELECT product, aspect, list_sort(list(DISTINCT channel) FILTER (source = 'cs')) AS a, list_sort(list(DISTINCT channel) FILTER (source = 'review')) AS b FROM voc WHERE sentiment = -1 GROUP BY ALL) SELECT product, aspect, array_to_string(list_filter(coalesce(a, []), lambda x: list_contains(coalesce(b, []), x)), ',') AS shared FROM s")
 def u04_shared_channels(spark, sf):
     sides = [F.collect_set(F.when(F.col("source") == s, F.col("channel"))) for s in ("cs", "review")]
-    rows = documents(spark, sf).where("sentiment = -1 AND k < 20").groupBy("product", "aspect").agg(sides[0].alias("a"), sides[1].alias("b"))
+    rows = documents(spark, sf).where("sentiment = -1").groupBy("product", "aspect").agg(sides[0].alias("a"), sides[1].alias("b"))
     return rows.select("product", "aspect", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("shared"))
 
 

@@ -259,15 +259,17 @@ def a20_top_cause(spark, sf):
     return rows.select("product", "cause", "n", "total", ((F.col("n") / F.col("total") >= C.CONSISTENT_RATIO) & (F.col("n") >= C.CONSISTENT_COUNT)).alias("consistent"))
 
 
-@query(""", d AS (SELECT product, day, count(*) FILTER (sentiment = -1) AS n, count(*) AS total FROM voc WHERE k < 40 GROUP BY product, day
-), r AS (SELECT product, min(day) AS lo, max(day) AS hi FROM d GROUP BY product), s AS (SELECT product, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM r
-), f AS (SELECT s.product, s.day, coalesce(n, 0) AS n, coalesce(n * 4 > total, FALSE) AS hit FROM s LEFT JOIN d USING (product, day))
-SELECT product, day, n, CASE WHEN (SELECT count(*) FROM f g WHERE g.product = f.product AND g.hit AND g.day BETWEEN f.day - INTERVAL 2 DAY AND f.day) = 3 THEN 1 ELSE 0 END AS persistent FROM f""", dates=("day",))
+@query(""", d AS (SELECT product, channel, aspect, day, count(*) FILTER (sentiment = -1) AS n, count(*) AS total FROM voc GROUP BY product, channel, aspect, day
+), r AS (SELECT product, channel, aspect, min(day) AS lo, max(day) AS hi FROM d GROUP BY product, channel, aspect
+), s AS (SELECT product, channel, aspect, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM r
+), f AS (SELECT s.*, coalesce(n, 0) AS n, coalesce(n * 4 > total, FALSE) AS hit FROM s LEFT JOIN d USING (product, channel, aspect, day))
+SELECT product, channel, aspect, day, n, CAST(count(*) FILTER (hit) OVER (PARTITION BY product, channel, aspect ORDER BY day RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) = 3 AS INTEGER) AS persistent FROM f""", dates=("day",))
 def t18_persistence(spark, sf):
-    """Documents of some ``k`` only count, so that there are days without any."""
-    rows = documents(spark, sf).where("k < 40").groupBy("product", "day").agg(F.count_if(F.col("sentiment") == -1).alias("n"), F.count("*").alias("total"))
-    dense = trends.persistence(rows, ["product"], F.coalesce(F.col("n") * 4 > F.col("total"), F.lit(False)), 3)
-    return dense.select("product", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("persistent").cast("int").alias("persistent"))
+    """Slots small enough that some days have no document."""
+    slot = ["product", "channel", "aspect"]
+    rows = documents(spark, sf).groupBy(*slot, "day").agg(F.count_if(F.col("sentiment") == -1).alias("n"), F.count("*").alias("total"))
+    dense = trends.persistence(rows, slot, F.coalesce(F.col("n") * 4 > F.col("total"), F.lit(False)), 3)
+    return dense.select(*slot, "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("persistent").cast("int").alias("persistent"))
 
 
 @query("SELECT item_id, occurred_at FROM voc WHERE (occurred_at, item_id) > (TIMESTAMP '2024-01-10 00:00:00', 100) ORDER BY occurred_at, item_id LIMIT 500")

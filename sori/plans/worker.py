@@ -12,6 +12,7 @@ from sori.streaming import worker as W
 from sori.streaming.ingest import drain
 from sori.streaming.sinks import Table, follow_tables, read_table, required
 from sori.streaming.suppression import OUTPUT, suppressed
+from sori.streaming.windows import keep_updates, newest_counts, sliding_counts
 
 RESULTS = """, x AS (
   SELECT *, k % 9 = 0 AS bad, CASE WHEN k % 2 = 0 THEN 'timeout' ELSE 'parse' END AS error, k % 9 = 0 AND k % 2 = 0 AS call_failed FROM voc
@@ -109,6 +110,15 @@ def r02_late_files(spark, sf):
     return flat(W.current(spark, f"{path}/state"))
 
 
+@query(", s AS (SELECT CAST(d AS DATE) AS window_end FROM range(DATE '2024-01-14', DATE '2024-01-31', INTERVAL 1 DAY) r(d)) SELECT s.window_end, product, count(*) FILTER (date_diff('day', day, s.window_end) < 7) AS current, count(*) FILTER (date_diff('day', day, s.window_end) >= 7) AS past FROM s JOIN voc ON date_diff('day', voc.day, s.window_end) BETWEEN 0 AND 34 GROUP BY ALL", dates=("window_end",))
+def r07_sliding(spark, sf):
+    """Windows of every day as a stream whose days arrive in no order: after the last part they are those of a batch."""
+    for path, schema in arriving(spark, sf, "sliding"):
+        docs = projected(spark.readStream.schema(schema).parquet(f"{path}/in").dropDuplicates(["event_id"]))
+        keep_updates(sliding_counts(docs, ["product"]), f"{path}/out", f"{path}/checkpoint")
+    return newest_counts(spark, f"{path}/out", ["product"]).where(F.col("window_end").between("2024-01-14", "2024-01-30"))
+
+
 @query(ARRIVED + ", l AS (SELECT part, count(*) FILTER (occurred_at < furthest) AS late FROM a JOIN m USING (part) GROUP BY part) SELECT part AS batch, documents, late FROM m JOIN l USING (part)")
 def r12_arrivals(spark, sf):
     """New documents of each batch, and how many of them are older than what was there: counted, not dropped."""

@@ -198,3 +198,21 @@ def test_bad_rows_stand_alone(spark, tmp_path):
     assert sinks.read_table(spark, path, "a", "id string, amount int").count() == 0
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         sinks.write_batch(df, 1, path, tables, "id", most=1)
+
+
+def test_sliding_windows_take_late_days(spark, tmp_path):
+    """Days in no order, one of them 30 days late; a repeated run adds nothing."""
+    from sori.streaming.windows import keep_updates, newest_counts, sliding_counts
+
+    days, seen = [(40, 3), (41, 1), (10, 2), (36, 5), (12, 4)], []
+    for day, n in days:
+        spark.createDataFrame([("P", at(day).date())] * n, "product string, day date").write.mode("append").parquet(str(tmp_path / "in"))
+        seen.append((day, n))
+        for _ in range(2):
+            stream = spark.readStream.schema("product string, day date").parquet(str(tmp_path / "in"))
+            keep_updates(sliding_counts(stream, ["product"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+        got = {r.window_end: (r.current, r.past) for r in newest_counts(spark, str(tmp_path / "out"), ["product"]).collect()}
+        for end in (12, 16, 40, 41, 44, 50, 75):
+            age = [(end - d, n) for d, n in seen]
+            want = sum(n for a, n in age if 0 <= a < 7), sum(n for a, n in age if 7 <= a < 35)
+            assert got.get(at(end).date(), (0, 0)) == want
