@@ -62,7 +62,7 @@ def longest_pieces(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
     such a piece, what both texts begin with. Lengths are found by bisection for all pairs of a portion together, as
     hashes of pieces that both sides have; the piece taken is then compared character by character.
     """
-    out = [_portion(quotes[part], sources[part]) for part in portions(quotes, sources)]
+    out = [_longest(*_pair_up(quotes[part], sources[part]))[2] for part in portions(quotes, sources)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -73,7 +73,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _portion(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
+def _pair_up(quotes: Sequence[str], sources: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """Characters of both sides, where texts begin, and which characters may start no piece (frequent ones of long sources)."""
     a, a_at = _joined(quotes)
     b, b_at = _joined(sources)
     size = np.diff(b_at)
@@ -83,12 +84,18 @@ def _portion(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
     barred = np.zeros(len(b), bool)
     barred[far] = frequent[which]
     own = np.repeat(np.arange(len(size)), np.diff(a_at)) * 0x110000 + a
-    left, right = _Side(a, a_at, _among(own, letters[frequent])), _Side(b, b_at, barred)
-    low, high = np.zeros(len(size), np.int64), np.minimum(np.diff(a_at), size)
+    return a, a_at, _among(own, letters[frequent]), b, b_at, barred
+
+
+def _longest(a: np.ndarray, a_at: np.ndarray, a_barred: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in a, place in b and length of each pair's longest piece, extended."""
+    pairs = len(a_at) - 1
+    left, right = _Side(a, a_at, a_barred), _Side(b, b_at, b_barred)
+    low, high = np.zeros(pairs, np.int64), np.minimum(np.diff(a_at), np.diff(b_at))
     while (todo := low < high).any():
         mid = (low + high + 1) // 2
         at, found = left.pieces(mid, todo)
-        hit = np.zeros(len(size), bool)
+        hit = np.zeros(pairs, bool)
         hit[left.owner[at[_among(found, np.sort(right.pieces(mid, todo)[1]))]]] = True
         low, high = np.where(todo & hit, mid, low), np.where(todo & ~hit, mid - 1, high)
     i, j = a_at[:-1].copy(), b_at[:-1].copy()
@@ -102,14 +109,48 @@ def _portion(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
     i[own] = at[lead]
     j[own] = there[np.searchsorted(known, found[lead])]
     end = i + low
-    todo = np.arange(len(size))
+    todo = np.arange(pairs)
     while len(todo := todo[(i[todo] > a_at[todo]) & (j[todo] > b_at[todo])]):
         todo = todo[a[i[todo] - 1] == b[j[todo] - 1]]
         i[todo] -= 1
         j[todo] -= 1
-    ahead, todo = j + (end - i), np.arange(len(size))
+    ahead, todo = j + (end - i), np.arange(pairs)
     while len(todo := todo[(end[todo] < a_at[todo + 1]) & (ahead[todo] < b_at[todo + 1])]):
         todo = todo[a[end[todo]] == b[ahead[todo]]]
         end[todo] += 1
         ahead[todo] += 1
-    return end - i
+    return i, j, end - i
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges one after another, and where each range begins among them (and all end)."""
+    ends = np.concatenate([[0], np.cumsum(high - low)])
+    return np.repeat(low - ends[:-1], high - low) + np.arange(ends[-1]), ends
+
+
+def matched_characters(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
+    """For each pair, the characters in matching blocks: the longest piece, then those of what is before and behind it, and so on.
+
+    The parts of all pairs that are left in one step are searched together.
+    """
+    out = [_blocks(quotes[part], sources[part]) for part in portions(quotes, sources)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _blocks(quotes: Sequence[str], sources: Sequence[str]) -> np.ndarray:
+    a, a_at, a_barred, b, b_at, b_barred = _pair_up(quotes, sources)
+    total = np.zeros(len(a_at) - 1, np.int64)
+    pair, a_low, a_high, b_low, b_high = np.arange(len(total)), a_at[:-1], a_at[1:], b_at[:-1], b_at[1:]
+    while len(pair):
+        at, a_begin = _ranges(a_low, a_high)
+        there, b_begin = _ranges(b_low, b_high)
+        i, j, size = _longest(a[at], a_begin, a_barred[at], b[there], b_begin, b_barred[there])
+        np.add.at(total, pair, size)
+        some = np.flatnonzero(size)
+        i, j, size, pair = (i - a_begin[:-1] + a_low)[some], (j - b_begin[:-1] + b_low)[some], size[some], pair[some]
+        a_low, a_high = np.concatenate([a_low[some], i + size]), np.concatenate([i, a_high[some]])
+        b_low, b_high = np.concatenate([b_low[some], j + size]), np.concatenate([j, b_high[some]])
+        pair = np.concatenate([pair, pair])
+        open_ = np.flatnonzero((a_low < a_high) & (b_low < b_high))
+        pair, a_low, a_high, b_low, b_high = pair[open_], a_low[open_], a_high[open_], b_low[open_], b_high[open_]
+    return total

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sori.functions.matching import longest_pieces
+from sori.functions.matching import longest_pieces, matched_characters
 
 #: Fixed value: share of a quote that must stand in the source in one piece.
 SIMILARITY = 0.8
@@ -48,24 +46,62 @@ def with_evidence(rows: DataFrame, quote: str = "quote", source: str = "source")
 def leaks(texts: DataFrame, examples: list[str], threshold: float) -> DataFrame:
     """For each distinct text: similarity to the most similar example, whether it leaks, that example (null if not).
 
-    ``examples`` are those of one prompt: a handful. A cheap upper bound rules most of them out.
+    ``examples`` are those of one prompt: a handful, compared with every text. For many there is :func:`leaked_from`.
     """
 
     def run(frames):
         for f in frames:
-            out = []
-            for t in f.text:
-                best, which = 0.0, None
-                for e in examples:
-                    m = SequenceMatcher(None, t, e)
-                    if m.real_quick_ratio() > best and m.quick_ratio() > best and (r := m.ratio()) > best:
-                        best, which = r, e
-                out.append((t, round(best, 4), best >= threshold, which if best >= threshold else None))
-            yield pd.DataFrame(out, columns=["text", "similarity", "leaked", "example"])
+            best, which = np.zeros(len(f)), np.full(len(f), None, object)
+            for e in examples:
+                sizes = f["text"].str.len().to_numpy() + len(e)
+                ratio = np.where(sizes > 0, 2 * matched_characters(f["text"].tolist(), [e] * len(f)) / np.maximum(sizes, 1), 1.0)
+                which[ratio > best] = e
+                best = np.maximum(best, ratio)
+            leaked = best >= threshold
+            yield pd.DataFrame({"text": f["text"], "similarity": best.round(4), "leaked": leaked, "example": np.where(leaked, which, None)})
 
     return texts.select("text").where("text IS NOT NULL").distinct().mapInPandas(run, "text string, similarity double, leaked boolean, example string")
 
 
+#: Classes that characters are counted in, for an upper bound of what two texts have in common.
+CLASSES = 64
+
+
+def leaked_from(texts: DataFrame, examples: DataFrame, threshold: float) -> DataFrame:
+    """Texts that resemble an example: text, example_id, similarity of the most similar one, ties to the smaller id.
+
+    ``texts`` has text, ``examples`` example_id and text: any number of each. Two texts of a similarity of ``threshold``
+    differ in length by a factor of (2 - threshold) / threshold at most, so a text meets the examples of its own class
+    of length and of those beside it; of these, pairs whose characters (counted in CLASSES classes) can't suffice go
+    before anything is aligned. Matching blocks are searched for the rest only, for a batch of pairs at once. Empty
+    texts and examples resemble nothing; null ones are left out.
+    """
+    factor = (2 - threshold) / threshold
+    level = F.floor(F.log(F.length("text")) / float(np.log(factor))).cast("int") if factor > 1 else F.length("text")
+    letters = F.transform(F.split("text", ""), lambda c: F.pmod(F.ascii(c), F.lit(CLASSES)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: F.size(F.filter(letters, lambda c: c == k)))
+    one = texts.select("text").where("text <> ''").distinct().withColumns({"counts": counts, "level": level})
+    near = F.array(*(F.col("level") + d for d in (-1, 0, 1))) if factor > 1 else F.array("level")
+    one = one.withColumn("level", F.explode(near))
+    other = examples.where("text <> ''").select("example_id", F.col("text").alias("example"), counts.alias("others"), level.alias("level"))
+    total = F.length("text") + F.length("example")
+    common = F.aggregate(F.zip_with("counts", "others", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
+    short = F.least(F.length("text"), F.length("example"))
+    pairs = one.join(other, "level").where((2 * short >= threshold * total) & (2 * common >= threshold * total)).select("text", "example_id", "example")
+
+    def run(frames):
+        for f in frames:
+            sizes = f["text"].str.len() + f["example"].str.len()
+            ratio = 2 * matched_characters(f["text"].tolist(), f["example"].tolist()) / sizes.to_numpy()
+            f = f.assign(similarity=ratio)[ratio >= threshold]
+            yield f[["text", "example_id", "similarity"]]
+
+    kind = examples.schema["example_id"].dataType.simpleString()
+    found = pairs.mapInPandas(run, f"text string, example_id {kind}, similarity double")
+    best = found.groupBy("text").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "example_id")).alias("b"))
+    return best.select("text", "b.example_id", F.round(-F.col("b.s"), 4).alias("similarity"))
+
+
 def without_leaks(rows: DataFrame, examples: list[str], threshold: float) -> DataFrame:
     """Adds leaked and similarity to all rows by their text (false and 0 for null)."""
     found = leaks(rows, examples, threshold).select("text", "similarity", "leaked")

@@ -258,6 +258,15 @@ def x04_leaks(spark, sf):
     return G.without_leaks(rows, examples, 0.75).select("item_id", "similarity", "leaked")
 
 
+@query()
+def x04_leaked_examples(spark, sf):
+    """Benchmark texts without their beginnings against all of them as examples; compared with the library over all pairs in tests."""
+    rows = table(spark, sf, "benchmark")
+    texts = rows.select(F.substring("text", (F.col("item_id") % 40 + 1).cast("int"), F.length("text")).alias("text"))
+    found = G.leaked_from(texts, rows.select(F.col("item_id").alias("example_id"), "text"), 0.75)
+    return found.select(F.sha2("text", 256).alias("text_sha256"), "example_id", "similarity")
+
+
 @query(", w AS (SELECT p_partkey, p_brand, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part), s AS (SELECT p_partkey, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, count(*) AS shared FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.word = b.word AND a.p_partkey < b.p_partkey GROUP BY ALL) SELECT a, b, round(shared / (x.n + y.n - shared), 9) AS jaccard FROM p JOIN s x ON x.p_partkey = a JOIN s y ON y.p_partkey = b WHERE shared / (x.n + y.n - shared) > 0.3")
 def a35_keyword_overlap(spark, sf):
     """Pairs of one case (brand) whose keyword sets overlap; only rows that share a keyword meet."""

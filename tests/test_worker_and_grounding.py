@@ -125,3 +125,36 @@ def test_exact_permutations(spark):
     two = spark.range(1).select(*M.exact_test(F.lit(40), F.lit(30), F.lit(42), F.lit(45))).first()
     assert (got["d"].baseline, got["d"].p_value) == pytest.approx(tuple(two), abs=1e-8)
     assert all(drawn[k].p_value == pytest.approx(got[k].p_value, abs=0.02) for k in "abd") and len(drawn) == 4
+
+
+def test_matching_blocks_equal_the_library():
+    from sori.functions import matching
+
+    r, a, b = random.Random(2), ["", "x", ""], ["", "", "y"]
+    for _ in range(500):
+        letters = r.choice(["ab", "abc", "abcdefgh ", "가나다라마바사아자차"])
+        x = "".join(r.choice(letters) for _ in range(r.choice([1, 5, 30, 120, 210])))
+        y = "".join(c if r.random() < 0.8 else r.choice(letters + "zz") for c in x) if r.random() < 0.6 else "".join(r.choice(letters) for _ in range(r.choice([3, 40, 205])))
+        a.append(x)
+        b.append(y)
+    assert matching.matched_characters(a, b).tolist() == [sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
+def test_leaks_of_many_examples(spark, threshold):
+    """Against all pairs: texts that are edited examples, near ones at the bounds of length, ties, empty and null ones."""
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefghij klmno") for _ in range(n))
+    examples = [(i, prose(r.choice([1, 4, 20, 60, 130]))) for i in range(60)] + [(60, ""), (61, None)]
+    examples += [(100, examples[5][1])]
+    texts = []
+    for i, e in examples[:60]:
+        texts += [e, e + prose(r.randint(0, len(e))), "".join(c if r.random() < 0.9 else "x" for c in e), e[len(e) // 3 :]]
+    texts += ["", None, "zzz"]
+    got = {x.text: (x.example_id, x.similarity) for x in G.leaked_from(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(examples, "example_id long, text string"), threshold).collect()}
+    want = {}
+    for t in {t for t in texts if t}:
+        best = min((-SequenceMatcher(None, t, e).ratio(), i) for i, e in examples if e)
+        if -best[0] >= threshold:
+            want[t] = (best[1], round(-best[0], 4))
+    assert got == want and len(want) > 50
