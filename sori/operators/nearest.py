@@ -1,10 +1,14 @@
-"""Exact nearest neighbours under a metadata filter."""
+"""Exact nearest neighbours under a metadata filter, with and without an index of pivots."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sori.sources.shared import shared_path
+
 #: Parts that the candidates of a filter value are dealt to, so that a hot value spreads over tasks.
 PARTS = 32
 
@@ -27,3 +31,91 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "label") ->
     first = Window.partitionBy("query_id", "part").orderBy("distance", "vec_id")
     pairs = pairs.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k).drop("r", "part")
+
+
+#: Pivots of a filter value, and rings around each.
+PIVOTS, RINGS = 16, 24
+#: What rounding may take from a distance; bounds are widened by it.
+SLACK = 1e-6
+
+
+@dataclass
+class Index:
+    """Rows by their nearest pivot and ring, and what each ring holds; both are written tables."""
+
+    pivots: DataFrame  # key, pivot, p
+    rows: DataFrame  # vec_id, embedding, key, pivot, ring
+    rings: DataFrame  # key, pivot, ring, low, high, n
+    key: str
+
+
+def index(rows: DataFrame, key: str = "label", pivots: int = PIVOTS, rings: int = RINGS) -> Index:
+    """Key every row by the nearest of its filter value's pivots and the ring, by distance, that it lies in.
+
+    ``rows`` has vec_id, embedding and the key. Pivots are ``pivots`` rows of each value, by a hash of their ids; every
+    row is compared with them only. Rings cut a pivot's distances into equal steps.
+    """
+    order = Window.partitionBy(key).orderBy("h", "vec_id")
+    part = F.pmod(F.col("h"), F.lit(PARTS))
+    picked = rows.select(key, "vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
+    picked = picked.withColumn("_r", F.row_number().over(Window.partitionBy(key, part).orderBy("h", "vec_id"))).where(F.col("_r") <= pivots)  # no value is sorted in one task
+    picked = picked.withColumn("pivot", F.row_number().over(order)).where(F.col("pivot") <= pivots)
+    found = _written(picked.select(key, "pivot", F.col("embedding").alias("p")), "pivots")
+    near = rows.select("vec_id", "embedding", key).join(found, key).withColumn("d", euclidean(F.col("embedding"), F.col("p")))
+    near = near.groupBy("vec_id", key).agg(F.min(F.struct("d", "pivot")).alias("near"), F.first("embedding").alias("embedding"))
+    near = _written(near.select("vec_id", "embedding", key, "near.pivot", "near.d"), "near")
+    far = near.groupBy(key, "pivot").agg(F.max("d").alias("far"))
+    keyed = near.join(far, [key, "pivot"]).withColumn("ring", F.least(F.floor(F.col("d") * rings / F.greatest("far", F.lit(1e-12))), F.lit(rings - 1)).cast("int"))
+    keyed = _written(keyed.select("vec_id", "embedding", key, "pivot", "ring", "d"), "keyed")
+    held = keyed.groupBy(key, "pivot", "ring").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+    return Index(found, keyed.drop("d"), _written(held, "rings"), key)
+
+
+def nearest_indexed(queries: DataFrame, idx: Index, k: int) -> tuple[DataFrame, DataFrame]:
+    """What :func:`nearest` returns, and how many rows each query was compared with (query_id, compared).
+
+    A ring around a pivot can hold nothing nearer to a query than the gap between the query's own distance to the pivot
+    and the ring. Queries first visit their rings of least gap until these hold k rows; then those whose gap is within
+    the k-th distance found, nearest first, up to eight times as many rows; then all others whose gap is still within.
+    What is left out can't be among the k nearest, so the result is exact.
+    """
+    key = idx.key
+    own = queries.select("query_id", "q", key).join(idx.pivots, key).select("query_id", key, "pivot", euclidean(F.col("q"), F.col("p")).alias("d"))
+    gap = F.greatest(F.lit(0.0), F.col("d") - F.col("high"), F.col("low") - F.col("d")) - SLACK
+    gaps = own.join(idx.rings, [key, "pivot"]).select("query_id", key, "pivot", "ring", "n", gap.alias("gap"))
+    before = Window.partitionBy("query_id").orderBy("gap", "pivot", "ring").rowsBetween(Window.unboundedPreceding, -1)  # a query's rings: a few hundred
+    gaps = _written(gaps.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "gaps")
+
+    def visit(chosen: DataFrame, name: str) -> DataFrame:
+        met = idx.rows.join(chosen.select("query_id", key, "pivot", "ring"), [key, "pivot", "ring"]).join(queries.select("query_id", "q"), "query_id").where("vec_id <> query_id")
+        return _best(met.select("query_id", "vec_id", F.round(euclidean(F.col("q"), F.col("embedding")), 9).alias("distance")), k, name)
+
+    first = F.col("before") < k + 1  # one more, as the query itself may be stored
+    best = visit(gaps.where(first), "first")
+    chosen = gaps.where(first)
+    for limit in (8 * (k + 1), None):
+        worst = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("worst"))
+        within = F.col("worst").isNull() | (F.col("gap") <= F.col("worst"))
+        rest = gaps.where(~first).join(worst, "query_id", "left").where(within).drop("worst")
+        now = rest if limit is None else rest.where(F.col("before") < limit)
+        first = first | (F.col("before") < limit) if limit else first
+        chosen = chosen.unionByName(now)
+        best = _best(best.unionByName(visit(now, "more")), k, "best")
+    compared = chosen.groupBy("query_id").agg(F.sum("n").alias("compared"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return best.withColumn("rank", place), compared
+
+
+def _best(pairs: DataFrame, k: int, name: str) -> DataFrame:
+    """Each query's k nearest of ``pairs``: those of every part first, so that no query is sorted as a whole."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))
+    inner = pairs.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_p").orderBy("distance", "vec_id"))).where(F.col("_r") <= k)
+    outer = inner.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("_r") <= k)
+    return _written(outer.select("query_id", "vec_id", "distance"), name)
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    spark = rows.sparkSession
+    path = shared_path(spark, f"nearest-{name}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -12,7 +12,7 @@ from sori.operators import monthly as M
 from sori.operators import snapshots as S
 from sori.operators import trends
 from sori.operators import validation as V
-from sori.operators.nearest import nearest
+from sori.operators.nearest import index, nearest, nearest_indexed
 from sori.plans.registry import END, SQL, query
 from sori.sources.voc import documents
 
@@ -311,6 +311,14 @@ def v01_filtered_nearest(spark, sf):
     return nearest(queries, e, 3).select("query_id", "vec_id", "rank")
 
 
+@query("SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 3")
+def v01_indexed_nearest(spark, sf):
+    """The same through an index of pivots and rings."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return nearest_indexed(queries, index(e), 3)[0].select("query_id", "vec_id", "rank")
+
+
 @query("SELECT product, aspect FROM voc WHERE source = 'cs' GROUP BY ALL EXCEPT SELECT product, aspect FROM voc WHERE source = 'review' GROUP BY ALL")
 def u03_difference(spark, sf):
     pairs = documents(spark, sf).select("product", "aspect", "source")
