@@ -31,6 +31,11 @@ def active_version(source: Column, prompt: Column, model: Column, pipeline: Colu
     return prompt.eqNullSafe(wanted) & model.eqNullSafe(F.lit(active_model)) & pipeline.eqNullSafe(F.lit(active_pipeline))
 
 
+def of_sources(source: Column, names: list[str]) -> Column:
+    """Whether a document is from one of the sources; from none if no source is named, and never if its source is null."""
+    return F.coalesce(source.isin(*names), F.lit(False)) if names else F.lit(False)
+
+
 def has_content(text: Column) -> Column:
     return text.isNotNull() & (F.trim(text) != "")
 

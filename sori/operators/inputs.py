@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sori import constants as C
@@ -104,3 +106,34 @@ def columns_missing(df: DataFrame, wanted: dict[str, str]) -> list[str]:
     """Columns that a table of an older layout lacks or has under another type: empty if it is current."""
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return sorted(n for n, t in wanted.items() if have.get(n) != t)
+
+
+def layouts(tables: dict[str, DataFrame], wanted: dict[str, str], key: list[str]) -> DataFrame:
+    """What stands against reading each table as one of the current layout: name, missing, rows, repeated, ok.
+
+    ``missing`` are columns that are absent or of another type; ``repeated`` the rows beyond one for each key, for
+    tables from before the key was unique (null where a key column is absent). Tables are read once each.
+    """
+    out = None
+    for name, df in tables.items():
+        absent = [c for c in key if c not in df.columns]
+        if absent:
+            counts = df.agg(F.count("*").alias("rows"), F.lit(None).cast("long").alias("repeated"))
+        else:
+            keys = df.groupBy(*key).agg(F.count("*").alias("n"))
+            counts = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+        missing = ",".join(columns_missing(df, wanted))
+        rows = counts.select(F.lit(name).alias("name"), F.lit(missing).alias("missing"), "rows", "repeated", ((F.lit(missing) == "") & F.coalesce(F.col("repeated") == 0, F.lit(False))).alias("ok"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def parameterised(spark: SparkSession, sql: str, values: list, **views: DataFrame) -> DataFrame:
+    """Rows of a statement with a ``?`` for each of ``values``, which travel beside the text and never in it.
+
+    Question marks in quoted text are text. ``{name}`` stands for the view of that name.
+    """
+    bare = re.sub(r"'(?:[^']|'')*'", "", sql)
+    if bare.count("?") != len(values):
+        raise ValueError(f"{bare.count('?')} places for {len(values)} values")
+    return spark.sql(sql, args=values, **views)

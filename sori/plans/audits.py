@@ -152,3 +152,14 @@ def d10_combined(spark, sf):
     rows = documents(spark, sf).groupBy("product", "channel", "source").agg(F.count("*").alias("n"))
     rows = rows.select("product", "channel", "source", F.when(n % 3 == 0, C.GLOBAL).otherwise(C.BIASED).alias("verdict"), F.when(n % 2 == 0, C.LOW).otherwise(C.MEDIUM).alias("confidence"), (n % 5 != 0).alias("fired"))
     return J.combined(rows.where("source = 'cs'"), rows.where("source = 'review'"))
+
+
+@query("""SELECT product, channel, CASE WHEN cn > 0 THEN cneg * 4 > cn END AS cs_signal, CASE WHEN rn > 0 THEN rneg * 4 > rn END AS review_signal FROM (
+  SELECT product, channel, count(*) FILTER (source = 'cs') AS cn, count(*) FILTER (source = 'cs' AND sentiment = -1) AS cneg, count(*) FILTER (source = 'review') AS rn, count(*) FILTER (source = 'review' AND sentiment = -1) AS rneg
+  FROM voc WHERE NOT (source = 'cs' AND product < 'P004') AND NOT (source = 'review' AND product > 'P009') GROUP BY product, channel)""")
+def d12_signals(spark, sf):
+    """Whether each source fired: true, false, or null where it was not evaluated (products that only one source speaks of)."""
+    docs = documents(spark, sf).where("NOT (source = 'cs' AND product < 'P004') AND NOT (source = 'review' AND product > 'P009')")
+    fired = F.count_if(F.col("sentiment") == -1) * 4 > F.count("*")
+    rows = docs.groupBy("product", "channel", "source").agg(fired.alias("fired")).withColumns({"verdict": F.lit(C.GLOBAL), "confidence": F.lit(C.LOW)})
+    return J.combined(rows.where("source = 'cs'"), rows.where("source = 'review'")).select("product", "channel", "cs_signal", "review_signal")

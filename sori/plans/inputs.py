@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,12 +110,16 @@ def s15_fetched(spark, sf):
     return I.fetched(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id"), {"label": 3}, ["label"], 20)
 
 
-@query("SELECT 'events' AS name, '' AS missing UNION ALL SELECT 'older', 'props,ts'")
+@query("""SELECT 'events' AS name, '' AS missing, count(*) AS rows, CAST(0 AS BIGINT) AS repeated, TRUE AS ok FROM events
+UNION ALL SELECT 'older', 'props,ts', count(*), 0, FALSE FROM events
+UNION ALL SELECT 'before the key', '', count(*) + count(*) FILTER (event_id % 10 = 3), count(*) FILTER (event_id % 10 = 3), FALSE FROM events
+UNION ALL SELECT 'without the key', 'event_id', count(*), NULL, FALSE FROM events""")
 def s14_older_layouts(spark, sf):
+    """The event table, two older layouts of it, and one in which some rows are stored twice."""
     e = table(spark, sf, "events")
     wanted = {f.name: f.dataType.simpleString() for f in e.schema.fields}
-    older = e.drop("props").withColumn("ts", F.col("ts").cast("string"))
-    return spark.createDataFrame([(n, ",".join(I.columns_missing(d, wanted))) for n, d in (("events", e), ("older", older))], "name string, missing string")
+    tables = {"events": e, "older": e.drop("props").withColumn("ts", F.col("ts").cast("string")), "before the key": e.unionByName(e.where("event_id % 10 = 3")), "without the key": e.drop("event_id")}
+    return I.layouts(tables, wanted, ["event_id"])
 
 
 @query(", o AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 't:' ELSE 'u:' END || vec_id AS id, label FROM embeddings WHERE vec_id % 2 = 0), n AS (SELECT 't:' || vec_id AS id, label + 100 AS label FROM embeddings WHERE vec_id % 5 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
@@ -147,7 +153,7 @@ def p04_with_content(spark, sf):
 
 @query("SELECT source, count(*) AS n FROM voc WHERE source IN ('cs', 'chat') GROUP BY source")
 def p05_sources(spark, sf):
-    return documents(spark, sf).where(F.col("source").isin("cs", "chat")).groupBy("source").agg(rows_n())
+    return documents(spark, sf).where(P.of_sources(F.col("source"), ["cs", "chat"])).groupBy("source").agg(rows_n())
 
 
 @query("SELECT item_id FROM voc WHERE (occurred_at, item_id) > (TIMESTAMP '2024-01-20 12:00:00', 500)")
@@ -225,10 +231,10 @@ def w04_sorted_events(spark, sf):
     return I.ordered_texts(rows, ["one"], F.lit(True)).select(F.col("item_id").alias("event_id"), F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT item_id, source FROM voc WHERE source = 'cs' AND day >= DATE '2024-01-25'")
+@query("SELECT item_id, source, '?' AS mark FROM voc WHERE source = 'cs' AND day >= DATE '2024-01-25'")
 def x12_named_parameters(spark, sf):
-    """Values travel as named parameters, never inside the text."""
-    return spark.sql("SELECT item_id, source FROM {docs} WHERE source = :source AND day >= :since", args={"source": "cs", "since": __import__("datetime").date(2024, 1, 25)}, docs=documents(spark, sf))
+    """Values travel beside the text; a question mark in quotes is no place for one."""
+    return I.parameterised(spark, "SELECT item_id, source, '?' AS mark FROM {docs} WHERE source = ? AND day >= ?", ["cs", date(2024, 1, 25)], docs=documents(spark, sf))
 
 
 QUOTES = ", q AS (SELECT p_partkey, p_name AS quote, concat_ws(' ', p_type, substr(p_name, 1 + CAST(p_partkey % 4 AS INTEGER)), p_brand) AS source FROM part), n AS (SELECT *, lower(regexp_replace(quote, '[^\\p{L}\\p{N}_]+', '', 'g')) AS a, lower(regexp_replace(source, '[^\\p{L}\\p{N}_]+', '', 'g')) AS b FROM q), l AS (SELECT *, list_max(list_transform(range(0, length(a)), lambda i: coalesce(list_max(list_filter(range(1, length(a) - i + 1), lambda m: contains(b, substr(a, CAST(i AS INTEGER) + 1, CAST(m AS INTEGER))))), 0))) AS longest FROM n)"

@@ -363,17 +363,17 @@ def e03_negative_scope(spark, sf):
     return R.negative_scope(documents(spark, sf).select((F.col("sentiment") == -1).alias("gold_negative"), F.col("aspect").alias("gold_aspect"), predicted.alias("predicted")))
 
 
-@query("SELECT count(*) FILTER (k % 2 = 0) AS mutated, count(*) FILTER (k % 2 = 0 AND k % 3 <> 1) AS caught, count(*) FILTER (k % 2 = 1) AS clean, count(*) FILTER (k % 2 = 1) AS passed FROM voc")
+@query("""SELECT count(*) FILTER (kind < 5) AS mutated, count(*) FILTER (kind < 5) AS caught, count(*) FILTER (kind >= 5) AS clean, count(*) FILTER (kind >= 5 AND NOT far) AS passed
+FROM (SELECT k % 8 AS kind, abs(k % 50 - k % 40) > 0 AND k % 8 = 6 AS far FROM voc)""")
 def e14_sensitivity(spark, sf):
-    """Reports with a wrong id or a forbidden word are mutated; a third of the mutations change nothing that is checked."""
-    k = F.col("k")
-    mutated = k % 2 == 0
-    same_ids = ~(mutated & (k % 3 == 0))
-    said = F.when(mutated & (k % 3 == 2), "p-value 기준").otherwise("색상 문의가 늘었습니다")
-    none = F.array().cast("array<struct<value:double,unit:string>>")
-    covered = F.array("aspect")
-    errors = V.report_errors(same_ids, covered, covered, said, none)
-    return R.sensitivity(documents(spark, sf).select(mutated.alias("mutated"), errors.alias("errors")))
+    """Each of the five things that a report is checked for, broken alone, and reports in order, some with numbers; a few of these cite another number than they may."""
+    k, aspect = F.col("k"), F.array("aspect")
+    kind = k % 8
+    number = F.struct((k % 50).cast("double").alias("value"), F.lit("%").alias("unit"))
+    covered = F.when(kind == 1, F.array().cast("array<string>")).when(kind == 2, F.array(F.col("aspect"), F.lit("made up"))).otherwise(aspect)
+    said = F.when(kind == 3, F.concat(F.lit("부정 비율이 "), (k + 1000).cast("string"), F.lit("%입니다"))).when(kind == 4, "p-value 기준").when(kind == 6, F.concat(F.lit("부정 비율이 "), (k % 40).cast("string"), F.lit("%입니다"))).otherwise("색상 문의가 늘었습니다")
+    errors = V.report_errors(kind != 0, aspect, covered, said, F.array(number))
+    return R.sensitivity(documents(spark, sf).select((kind < 5).alias("mutated"), errors.alias("errors")))
 
 
 @query(""", q AS (
