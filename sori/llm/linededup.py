@@ -94,7 +94,9 @@ def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     spaces = np.array([x.count(b" ") for x in lines], np.int64)
     keys = np.zeros((len(lines), 3, KEYS), np.uint64)
     for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
-        rows = np.flatnonzero((chars >= low) & (chars <= high) & ((t < len(TIERS) - 1) | (chars > WIDE * (spaces + 1))))
+        wide = chars > WIDE * (spaces + 1)
+        own = wide if t == len(TIERS) - 1 else ~wide | (spaces + 1 >= q) if unit == "words" else True  # few words make no n-gram that tells lines apart
+        rows = np.flatnonzero((chars >= low) & (chars <= high) & own)
         if not len(rows):
             continue
         chosen = [lines[i] for i in rows]

@@ -386,6 +386,21 @@ def test_short_lines(spark):
     assert gone == {2: [0, 2], 4: [0, 1]}
 
 
+def test_long_lines_of_few_words_share_no_key():
+    """Unrelated addresses and lines in a script without spaces meet nobody; copies with a few edits still meet."""
+    r = random.Random(12)
+    urls = [("https www.example.org " + "".join(r.choice("abcdefghijklmnop/0123456789") for _ in range(r.randint(120, 140)))).encode() for _ in range(200)]
+    han = [("版权" + "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(r.randint(118, 150)))).encode() for _ in range(200)]
+    for lines in (urls, han):
+        _, keys = linededup.sketches(lines)
+        times = Counter(int(k) for row in keys for k in set(row[row != 0].ravel().tolist()))
+        assert max(times.values()) <= 12
+    near = [urls[0][:60] + b"x" + urls[0][61:100] + b"yy" + urls[0][102:], han[0].decode().replace(han[0].decode()[70], "").encode()]
+    for line, other in zip((urls[0], han[0]), near, strict=True):
+        _, keys = linededup.sketches([line, other])
+        assert set(keys[0].ravel().tolist()) & set(keys[1].ravel().tolist()) - {0}
+
+
 def toxic_corpus(n=600):
     r, bad = random.Random(6), ["blockhead", "scoundrel"]
     rows, labels = [], []
