@@ -31,7 +31,9 @@ def fisher_greater(a: Column, n1: Column, c: Column, n2: Column) -> Column:
     term that has underflowed while later ones have not.
     """
     a, n1, m, total = (x.cast("double") for x in (a, n1, a + c, n1 + n2))
-    log_term = lambda k: log_choose(m, k) + log_choose(total - m, n1 - k) - log_choose(total, n1)
+    chosen = lambda n, k, sign: F.struct(n.alias("n"), k.alias("k"), F.lit(sign).alias("sign"))
+    # one fold over the three binomials, so that the long series stands in the plan once and not nine times
+    log_term = lambda k: F.aggregate(F.array(chosen(m, k, 1.0), chosen(total - m, n1 - k, 1.0), chosen(total, n1, -1.0)), F.lit(0.0), lambda s, x: s + x["sign"] * log_choose(x["n"], x["k"]))
     share = F.try_divide(m, total)
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.coalesce(n1 * share * (1 - share) * F.try_divide(total - n1, total - 1), F.lit(0.0))))
     mode = F.floor((n1 + 1) * (m + 1) / (total + 2))
