@@ -51,9 +51,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with a header behind a byte order mark, so that spreadsheets read them as UTF-8.
 
     Values are quoted where they have to be; the first header stays unquoted, so that the mark is what a file begins
-    with. Each part file is complete, mark and header included.
+    with. Each part file is complete, mark and header included. Null is empty; in a table of one column it is a pair of
+    quotes, as readers skip blank lines.
     """
     first, *names = rows.columns
+    if not names:
+        rows = rows.select(F.coalesce(F.col(first).cast("string"), F.lit("")).alias(first))
     rows.toDF("\ufeff" + first, *names).write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
