@@ -23,10 +23,11 @@ MIN_BYTES, FUZZY_BYTES = 11, 20
 #: Lines of so many words count and are compared even if they have fewer bytes.
 MIN_WORDS = 5
 #: Sketches of lines of so many characters: (unit, units in an n-gram, from, to, permutations in a key, keys). Ranges overlap by
-#: the tenth that similar lines may differ in length. A word counts by its first letter and its class of length, so that of
-#: edits scattered over a line few reach an n-gram. The last tier is for lines of more than WIDE characters a word.
-TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("bytes", 10, 57, 130, 2, 20), ("words", 7, 117, 1 << 62, 1, 10), ("bytes", 12, 117, 1 << 62, 2, 10))
-KEYS, WIDE, WORD_LENGTHS = 28, 10, (3, 4, 6, 9)
+#: the tenth that similar lines may differ in length. Long lines have keys of two kinds, as edits scattered over a line spare
+#: the one or the other: a word counts by its first letter only, which edits inside words leave alone; letters are bytes
+#: without spaces, which edits at spaces leave alone. Lines of more than WIDE characters a word have the tier "wide" instead.
+TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("letters", 14, 57, 130, 1, 20), ("words", 8, 117, 1 << 62, 1, 7), ("wide", 12, 117, 1 << 62, 2, 10), ("letters", 16, 117, 1 << 62, 1, 7))
+KEYS, SLOTS, WIDE = 28, 4, 10
 #: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared in blocks.
 SMALL_GROUP = 32
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
@@ -73,7 +74,7 @@ def ngrams(codes: np.ndarray, starts: np.ndarray, amounts: np.ndarray, q: int) -
 
 
 def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, of its first letter and its class of length, and the number of words of each line."""
+    """A number for each word, of its first letter, and the number of words of each line."""
     buf = np.frombuffer(b" ".join(lines) + b"   ", np.uint8)
     ends = np.flatnonzero(buf[:-2] == 32)
     begins = np.r_[0, ends[:-1] + 1]
@@ -81,32 +82,32 @@ def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = LETTERS[0][head]
     wide = np.flatnonzero(head >= 0xC0)  # letters of two bytes or three
     code[wide] += LETTERS[1][buf[begins[wide] + 1]] + LETTERS[2][buf[begins[wide] + 2]] * (head[wide] >= 0xE0)
-    return mix(code + np.searchsorted(WORD_LENGTHS, ends - begins, "right").astype(np.uint64)), np.array([x.count(b" ") + 1 for x in lines], np.int64)
+    return mix(code), np.array([x.count(b" ") + 1 for x in lines], np.int64)
 
 
 def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths in characters, and keys (lines x 3 x KEYS, 0 for none) for a line's tiers in turn.
+    """Lengths in characters, and keys (lines x SLOTS x KEYS, 0 for none) for a line's tiers in turn.
 
     A key holds the n-gram that comes first in one permutation, or in each of two or three. It agrees with the
     Jaccard coefficient of two lines' n-grams, or its power, as probability.
     """
     chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
     spaces = np.array([x.count(b" ") for x in lines], np.int64)
-    keys = np.zeros((len(lines), 3, KEYS), np.uint64)
+    keys = np.zeros((len(lines), SLOTS, KEYS), np.uint64)
+    wide = chars > WIDE * (spaces + 1)
     for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
-        wide = chars > WIDE * (spaces + 1)
-        own = wide if t == len(TIERS) - 1 else ~wide | (spaces + 1 >= q) if unit == "words" else True  # few words make no n-gram that tells lines apart
+        own = {"wide": wide, "words": spaces + 1 >= q}.get(unit, ~wide | (chars <= 130))  # few words make no n-gram that tells lines apart
         rows = np.flatnonzero((chars >= low) & (chars <= high) & own)
         if not len(rows):
             continue
-        chosen = [lines[i] for i in rows]
+        chosen = [lines[i].replace(b" ", b"") if unit == "letters" else lines[i] for i in rows]
         codes, amounts = word_codes(chosen) if unit == "words" else (LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], np.array([len(x) for x in chosen], np.int64))
         h, first = ngrams(codes, np.cumsum(amounts) - amounts, amounts, q)
         for k, factors in enumerate(FACTORS[:count]):
             key = np.full(len(rows), t * KEYS + k + 1, np.uint64)
             for f in factors[:permutations]:
                 key = mix(key * GOLD + np.minimum.reduceat(h * f, first))
-            keys[rows, t % 3, k] = key
+            keys[rows, t % SLOTS, k] = key
     return chars, keys
 
 
@@ -231,7 +232,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     if h not in known and counts(lines[i], FUZZY_BYTES):
                         known.add(h)
                         fresh[i] = True
-                chars, keys = np.zeros(len(lines), np.int32), np.zeros((len(lines), 3, KEYS), np.uint64)
+                chars, keys = np.zeros(len(lines), np.int32), np.zeros((len(lines), SLOTS, KEYS), np.uint64)
                 if fresh.any():
                     chars[fresh], keys[fresh] = sketches([x for x, f in zip(lines, fresh, strict=True) if f])
                 there = keys != 0
