@@ -249,38 +249,38 @@ def close(a: str, b: str) -> F.Column:
     return F.abs(F.col(a) - F.col(b)) * 10 <= F.greatest(a, b)
 
 
+def windows() -> F.Column:
+    """The two overlapping windows of length that a line lies in. Lines that :func:`close` allows share one at least.
+
+    Windows are as wide as two allowed differences of length, on a logarithmic scale, and each begins in another's middle.
+    """
+    scaled = F.log("chars") / F.lit(-2.002 * log(EDIT_SIMILARITY))
+    return F.explode(F.array(2 * F.floor(scaled), 2 * F.floor(scaled + 0.5) + 1)).alias("window")
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """Groups of different lines that share a key: key, line, chars, class (of lengths), lead, lead_chars, n.
+    """Groups of different lines that share a key and a window of length: key, line, chars, lead, lead_chars, n.
 
     Lines of nearly equal length in one group are candidates, whatever its size. Lines without any such partner are
-    left out; classes are so wide that lines of similar length lie in the same or in neighbouring ones. A group's lead
-    is the line that meets most others in all its groups: of a family, the one that its variants come from.
+    left out. A group's lead is the line that meets most others in all its groups: of a family, the one that its
+    variants come from.
     """
     keys = lines.select(F.explode("keys").alias("key"), "line", "chars")
     shared = keys.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key")
     shared = cut(shared, "shared-keys")
-    class_ = F.floor(F.log("chars") / F.lit(-log(EDIT_SIMILARITY))).cast("int")
-    rows = keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line", "chars").agg(F.lit(1)).select("key", "line", "chars", class_.alias("class"))
-    rows = cut(rows, "keyed-lines")
-    counts = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
-    around = counts.select("key", neighbours(), "n").groupBy("key", "class").agg(F.sum("n").alias("n")).where("n > 1").select("key", "class")
-    rows = rows.join(around, ["key", "class"], "left_semi")
-    rows = cut(rows, "partnered-lines")
+    rows = keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line", "chars").agg(F.lit(1)).select("key", "line", "chars")
+    keyed = cut(rows, "keyed-lines")
+    rows = keyed.select("key", "line", "chars", windows()).select(F.xxhash64("key", "window").alias("key"), "line", "chars")
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = cut(rows.join(sizes, "key"), "sized-groups")
     rated = sized.join(sized.groupBy("line").agg(F.sum("n").alias("degree")), "line")  # how many lines a line meets in all its groups
     leads = rated.groupBy("key").agg(F.max(F.struct("degree", "line", "chars")).alias("top")).select("key", F.col("top.line").alias("lead"), F.col("top.chars").alias("lead_chars"))
     out = cut(sized.join(leads, "key"), "groups-of-lines")
-    for t in (shared, rows, sized):
+    for t in (shared, keyed, sized):
         drop_table(t)
     return out
 
 
-def neighbours() -> F.Column:
-    """A class of lengths and those beside it."""
-    return F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-
-
 def leading_pairs(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of groups' leads and lines of nearly equal length."""
     return groups.where((F.col("line") != F.col("lead")) & close("chars", "lead_chars")).select(F.least("lead", "line").alias("a"), F.greatest("lead", "line").alias("b")).distinct()

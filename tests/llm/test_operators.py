@@ -378,6 +378,44 @@ def test_lines_recall(spark):
     assert pairs >= 95 and found >= 0.97 * pairs and gone <= {b for _, b in near}
 
 
+def edited(r, line, kind, share):
+    """A line with a share of its letters replaced, inserted or deleted, or as many spaces taken away or put into words."""
+    out = list(line)
+    for at in sorted(r.sample(range(1, len(line) - 1), int(share * len(line))), reverse=True):
+        if kind == "inserted":
+            out.insert(at, r.choice("etaoinshrdlu"))
+        elif kind == "deleted":
+            del out[at]
+        elif kind == "replaced":
+            out[at] = r.choice("etaoinshrdlu")
+        else:
+            out[at] = "" if out[at] == " " else out[at] + " "
+    return " ".join("".join(out).split())
+
+
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "deleted", "spaces"])
+def test_lines_share_a_key_after_each_kind_of_edit(kind):
+    """Of pairs that brute force finds similar, with six edits scattered over each hundred characters."""
+    r, met, pairs = random.Random(7), 0, 0
+    word = lambda: "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(2, 8)))
+    for words in (6, 10, 15, 20, 30, 60, 150):
+        lines = [" ".join(word() for _ in range(words)) for _ in range(60)]
+        both = [(x, y) for x in lines if linededup.similar(x, y := edited(r, x, kind, 0.06))]
+        keys = [linededup.sketches([x.encode() for x in side])[1] for side in zip(*both, strict=True)]
+        pairs += len(both)
+        met += sum(bool(set(a[a != 0].tolist()) & set(b[b != 0].tolist())) for a, b in zip(*keys, strict=True))
+    assert pairs > 300 and met >= 0.93 * pairs
+
+
+def test_similar_lengths_share_a_window(spark):
+    rows = spark.createDataFrame([(i,) for i in [*range(11, 400), *range(1000, 1250)]], "chars int")
+    here = {}
+    for x in rows.select("chars", linededup.windows()).collect():
+        here.setdefault(x.chars, set()).add(x.window)
+    assert all(here[a] & here[b] for a in here for b in here if a <= b and (b - a) * 10 <= b)
+    assert not here[11] & here[300]
+
+
 def test_short_lines(spark):
     """Short boilerplate, long lines without spaces and scripts without spaces count; very short fragments stay."""
     url = "https://example.org/" + "a/long/path/" * 9
