@@ -191,19 +191,46 @@ def apart(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return gross + abs(net) > 6 * most
 
 
-def similar(a: str, b: str) -> bool:
-    """Whether the edit similarity is high enough.
+def profiles(texts: list[str]) -> np.ndarray:
+    """The profiles of many texts, one in a row."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "replace") + bytes(8), np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = np.arange(len(row)) + 2 < np.repeat(np.cumsum(sizes), sizes)
+    triples = (c[:-2] * np.uint32(961) + c[1:-1] * np.uint32(31) + c[2:]) & np.uint32(1023)
+    return np.bincount((row * 1024 + triples)[inside], minlength=1024 * len(texts)).reshape(-1, 1024)
+
+
+def all_apart(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`apart` for the pairs of two lists, in parts of bounded size."""
+    out = np.zeros(len(left), bool)
+    most = np.array([allowed(a, b) for a, b in zip(left, right, strict=True)], np.int64)
+    ends = np.cumsum([len(a) + len(b) for a, b in zip(left, right, strict=True)])
+    at = 0
+    while at < len(left):
+        to = min(at + 128, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000))))
+        more = profiles(left[at:to]) - profiles(right[at:to])
+        out[at:to] = np.abs(more).sum(axis=1) + np.abs(more.sum(axis=1)) > 6 * most[at:to]
+        at = to
+    return out
 
-    An alignment by words accepts most lines that are. An edit takes away three triples of characters at most and brings
-    three: counts of triples rule out most lines that are not. The edit distance settles the rest.
-    """
+
+def settled(a: str, b: str) -> bool:
+    """Whether the edit similarity is high enough, for lines whose profiles allow it."""
     most = allowed(a, b)
     if abs(len(a) - len(b)) > most:
         return False
     x, y = a.split(" "), b.split(" ")
-    if 2 * len(set(x) & set(y)) >= len(x) / 2 and within(x, y, most):
-        return True
-    return not apart(profile(a), profile(b), most) and edit_distance(a, b, most) <= most
+    return 2 * len(set(x) & set(y)) >= len(x) / 2 and within(x, y, most) or edit_distance(a, b, most) <= most
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is high enough.
+
+    An edit takes away three triples of characters at most and brings three: counts of triples rule out most lines
+    that are not. An alignment by words accepts most lines that are. The edit distance settles the rest.
+    """
+    return not apart(profile(a), profile(b), allowed(a, b)) and settled(a, b)
 
 
 def row_key() -> F.Column:
@@ -325,7 +352,8 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            good = [similar(x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            left, right = ([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (2, 3))
+            good = [not far and settled(x, y) for x, y, far in zip(left, right, all_apart(left, right), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
@@ -350,7 +378,7 @@ def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int,
             good = gross + net <= 6 * most[fit]
             fit, gross = fit[good], gross[good]
         for p in fit[np.argsort(gross, kind="stable")]:
-            if group[p] != group[k] and similar(texts[k], texts[p]):
+            if group[p] != group[k] and settled(texts[k], texts[p]):
                 out.append((ids[k], ids[p]))
                 group[group == group[k]] = group[p]
     return out
@@ -387,6 +415,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
     classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
     groups = candidates(lines)
+    keyed, lines = lines, cut(lines.select("doc_id", "row", "line_no", "line"), "lines-without-keys")
+    drop_table(keyed)
     payloads = cut(payloads_of(docs, classes, groups.select(F.col("line").alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
     edges = pair_edges(leading_pairs(groups), payloads, "line-links")
     open_ = cut(marked(groups, edges), "open-groups")
@@ -400,7 +430,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     linked = cut(grouped.where("linked"), "linked-lines")
     firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
     repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
-    gone = lines.drop("keys").join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
+    gone = lines.join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
     out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
     for t in (lines, classes, edges, *more, groups, linked, repeated):
         drop_table(t)
