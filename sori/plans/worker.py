@@ -184,13 +184,14 @@ def k06_tables(spark, sf):
         letters = (item % 10000 == 4321) & (F.col("source") == "cs")
         return docs.withColumns({"amount": F.when(letters, "n/a").otherwise(F.col("k").cast("string")), "product": F.when(item % 10000 == 1234, None).otherwise(F.col("product"))})
 
-    amount = F.col("amount").try_cast("int")
-    strict = F.when(amount.isNull(), F.expr("CAST(amount AS INT)")).otherwise(amount) if spark.conf.get("spark.sql.ansi.enabled") == "true" else required(amount, "amount")
-    columns = ("item_id", required(F.col("product"), "product").alias("product"), strict.alias("amount"))
+    number = F.col("amount").try_cast("int")
+    amount = F.when(F.col("amount").isNotNull(), required(number, "amount")).alias("amount")
+    letters, nameless = {"[CAST_INVALID_INPUT]": F.col("amount").isNotNull() & number.isNull()}, {"[USER_RAISED_EXCEPTION] product is missing": F.col("product").isNull()}
+    columns = ("item_id", required(F.col("product"), "product").alias("product"), amount)
     tables = {
-        "inquiries": Table(F.col("source") == "cs", columns),
-        "reviews": Table(F.col("source") == "review", columns),
-        "negatives": Table(F.col("sentiment") == -1, ("item_id", "aspect", strict.alias("amount"))),
+        "inquiries": Table(F.col("source") == "cs", columns, letters | nameless),
+        "reviews": Table(F.col("source") == "review", columns, letters | nameless),
+        "negatives": Table(F.col("sentiment") == -1, ("item_id", "aspect", amount), letters),
     }
     follow_tables(spark, f"{sf}/event[s].parquet", events.schema, path, prepare, tables, "item_id")
     out = None
@@ -198,8 +199,7 @@ def k06_tables(spark, sf):
         rows = read_table(spark, f"{path}/batches", name, "item_id long, amount int").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).select(F.lit(name).alias("table_name"), F.lit("taken").alias("outcome"), "n", "amount")
         out = rows if out is None else out.unionByName(rows)
     aside = read_table(spark, f"{path}/batches", "aside", "table_name string, key string, reason string")
-    reason = F.when(F.col("reason").startswith("[CAST_INVALID_INPUT]"), "[CAST_INVALID_INPUT]").otherwise(F.col("reason"))
-    return out.unionByName(aside.groupBy("table_name", reason.alias("outcome")).agg(F.count("*").alias("n")).withColumn("amount", F.lit(0).cast("long")))
+    return out.unionByName(aside.groupBy("table_name", F.col("reason").alias("outcome")).agg(F.count("*").alias("n")).withColumn("amount", F.lit(0).cast("long")))
 
 
 @query(RESULTS + """, f AS (SELECT item_id, k, sentiment, aspect, 1 + k % 4 AS attempts FROM x WHERE bad)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -17,10 +17,14 @@ ASIDE = "table_name string, key string, reason string"
 
 @dataclass(frozen=True)
 class Table:
-    """Which rows of a batch a table takes, and its columns as expressions that raise an error for what it refuses."""
+    """Which rows of a batch a table takes, and its columns as expressions that raise an error for what it refuses.
+
+    ``refused`` names what can be foreseen (reason: condition): such rows are put aside in one pass, however many.
+    """
 
     rows: Column
     columns: tuple[Column, ...]
+    refused: dict[str, Column] = field(default_factory=dict)
 
 
 def required(value: Column, name: str) -> Column:
@@ -33,7 +37,7 @@ def isolated(rows: DataFrame, key: str, write: Callable[[DataFrame, str], None],
 
     ``write(part, name)`` writes a part under a name of its own or raises. As long as nothing fails there is one part;
     a part that fails is cut in two by a hash of the key, down to single keys, so one bad row among n costs about
-    2 log2(n) writes of shrinking parts. Foreseeable refusals belong into a filter before (``partitioned_or_aside``);
+    2 log2(n) writes of shrinking parts. Foreseeable refusals belong into a filter before (``Table.refused``);
     more than ``most`` bad keys raise the last error, as then the sink is at fault and not a row.
     """
     bad: list[tuple[str, str]] = []
@@ -65,12 +69,13 @@ def _reason(error: PySparkException) -> str:
 def write_batch(batch: DataFrame, batch_id: int, path: str, tables: dict[str, Table], key: str, most: int = 1000) -> None:
     """Write a batch's rows to their tables under its number; the same batch again replaces itself.
 
+    Rows that a table foreseeably refuses never reach it: they go aside with their reason by one pass for each table.
     The table ``aside`` (table_name, key, reason) is written last and makes the batch count: readers see all tables of a
     batch or none. A row that no table takes is left out, one that several take goes to each.
     """
     spark, at = batch.sparkSession, f"{path}/{batch_id}"
     delete(spark, at)
-    batch, bad = batch.persist(), []
+    batch, bad, foreseen = batch.persist(), [], []
     try:
         for name, table in tables.items():
             columns = list(table.columns)
@@ -78,8 +83,13 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, tables: dict[str, Ta
             def write(part: DataFrame, part_name: str, name=name, columns=columns) -> None:
                 part.select(*columns).write.mode("overwrite").parquet(f"{at}/{name}/{part_name}")
 
-            bad += [(name, k, reason) for k, reason in isolated(batch.where(table.rows), key, write, most)]
-        spark.createDataFrame(bad, ASIDE).coalesce(1).write.mode("overwrite").parquet(f"{at}/aside")
+            rows = batch.where(table.rows)
+            if table.refused:
+                reason = F.coalesce(*(F.when(when, why) for why, when in table.refused.items()))
+                foreseen.append(rows.where(reason.isNotNull()).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), reason.alias("reason")))
+                rows = rows.where(reason.isNull())
+            bad += [(name, k, reason) for k, reason in isolated(rows, key, write, most)]
+        reduce(DataFrame.unionByName, foreseen, spark.createDataFrame(bad, ASIDE).coalesce(1)).write.mode("overwrite").parquet(f"{at}/aside")
     finally:
         batch.unpersist()
 

@@ -200,6 +200,24 @@ def test_bad_rows_stand_alone(spark, tmp_path):
         sinks.write_batch(df, 1, path, tables, "id", most=1)
 
 
+def test_foreseen_refusals_go_aside_in_one_pass(spark, tmp_path):
+    """Many refused rows cost no writes of parts and count to no limit; what is not foreseen still stands alone."""
+    from sori.streaming import sinks
+
+    rows = [(i, "x" if i % 3 == 0 else "?" if i == 7 else None if i == 8 else str(i), None if i % 6 == 0 else "p", "own") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, amount string, name string, reason string")
+    number = F.expr("CAST(amount AS INT) AS amount")
+    refused = {"nameless": F.col("name").isNull(), "letters": F.col("amount") == "x"}
+    path = str(tmp_path / "s")
+    sinks.write_batch(df, 0, path, {"a": sinks.Table(F.lit(True), ("id", number, "reason"), refused), "b": sinks.Table(F.col("id") > 99, ("id",), refused)}, "id", most=1)
+    got = sinks.read_table(spark, path, "a", "id long, amount int, reason string").collect()
+    assert sorted(r.id for r in got) == [i for i in range(60) if i % 3 and i != 7] and {r.reason for r in got} == {"own"}
+    assert len(list((tmp_path / "s/0/a").iterdir())) < 20  # parts for the one row that was not foreseen
+    aside = {int(r.key): r.reason for r in sinks.read_table(spark, path, "aside", sinks.ASIDE).collect()}
+    assert aside.pop(7).startswith("[CAST_INVALID_INPUT]")
+    assert aside == {i: "nameless" if i % 6 == 0 else "letters" for i in range(0, 60, 3)}
+
+
 def test_sliding_windows_take_late_days(spark, tmp_path):
     """Days in no order, one of them 30 days late; a repeated run adds nothing."""
     from sori.streaming.windows import keep_updates, newest_counts, sliding_counts
