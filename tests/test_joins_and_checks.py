@@ -114,3 +114,25 @@ def test_replay_publishes_once_and_then_suppresses(spark, tmp_path):
     out = replay(docs, str(date.fromordinal(738931)), str(date.fromordinal(738933)), f"{tmp_path}/replay").orderBy("window_end").collect()
     assert [r.decision for r in out][0] == "publish" and all(r.channel == "NAVER" for r in out) and {r.decision for r in out[1:]} <= {"update", "suppress"}
     assert len(out) == 3
+
+
+def test_keyword_overlap_keeps_every_pair_without_expanding_copies(spark, tmp_path):
+    """All pairs that overlap follow from classes and their links; a class of copies costs a row for each copy."""
+    from itertools import combinations
+
+    from sori.plans.registry import QUERIES
+
+    names = ["red bolt", "bolt red", "red rod", "old pipe gear", "red red bolt", "blue", "", None, "one two three four red"]
+    rows = [(i, names[i % len(names)], None if i % 10 == 9 else f"B{i % 2}") for i in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["a35_keyword_overlap"](spark, str(tmp_path)).collect()
+    of = {r.a: r.b for r in got if r.kind == "member"}
+    links = {(r.a, r.b): r.jaccard for r in got if r.kind == "link"}
+    assert sorted(of) == [i for i, *_ in rows] and len(got) < 230
+    want = {}
+    for (i, x, p), (j, y, q) in combinations([r for r in rows if r[1] is not None and r[2]], 2):
+        x, y = set(x.split(" ")), set(y.split(" "))
+        if p == q and len(x & y) / len(x | y) > 0.3:
+            want[i, j] = round(len(x & y) / len(x | y), 9)
+    pairs = ((i, j, *sorted((of[i], of[j]))) for i, j in combinations(sorted(of), 2))
+    assert {(i, j): 1.0 if x == y else links[x, y] for i, j, x, y in pairs if x == y or (x, y) in links} == want
