@@ -94,3 +94,23 @@ def test_wilson_and_names(spark):
     assert (r.l, r.h) == pytest.approx((0.2366, 0.7634), abs=1e-4)
     names = [("g", "NAVER", "a"), ("g", "NAVER", "a"), ("g", "NAVER", "b"), ("g", "COUPANG", "b"), ("g", "ZIGZAG", "c")]
     assert product_names(spark.createDataFrame(names, "product string, channel string, name string")).first().product_name == "c"
+
+
+def test_exact_test_over_all_tables(spark):
+    """Against plain enumeration with exact integers; far apart, equal, empty and one-sided tables; large counts in few steps."""
+    from sori.operators.monthly import exact_test
+
+    def bits(a, b, n, k):
+        part = lambda p, q: p * math.log2(2 * p / (p + q)) if p else 0.0
+        return sum(part(p, q) + part(q, p) for p, q in ((a / n, b / k), (1 - a / n, 1 - b / k))) / 2
+
+    cases = [(40, 30, 42, 45), (3, 9, 20, 60), (10, 30, 100, 300), (0, 5, 7, 9), (0, 0, 4, 5), (7, 9, 7, 9), (200, 10, 400, 500), (1, 900, 3, 1000), (5, 5, 5, 50), (900, 20, 1000, 1000)]
+    got = spark.createDataFrame(cases, "x long, y long, n long, k long").select(*(c.alias(a) for c, a in zip(exact_test(*map(F.col, "xynk")), ("baseline", "p"), strict=True))).collect()
+    for (x, y, n, k), r in zip(cases, got, strict=True):
+        m, seen = x + y, bits(x, y, n, k)
+        chance = {i: comb(m, i) * comb(n + k - m, n - i) for i in range(max(0, m - k), min(n, m) + 1)}
+        whole = comb(n + k, n)
+        assert r.baseline == pytest.approx(sum(w / whole * bits(i, m - i, n, k) for i, w in chance.items()), rel=1e-9, abs=1e-15)
+        assert r.p == pytest.approx(float(Fraction(sum(w for i, w in chance.items() if bits(i, m - i, n, k) >= seen - 1e-12), whole)), rel=1e-8)
+    large = spark.range(1).select(*exact_test(F.lit(20_100_000), F.lit(19_900_000), F.lit(100_000_000), F.lit(100_000_000))).first()  # 40 million tables
+    assert large[0] == pytest.approx(1 / (8 * math.log(2) * 100_000_000 * 0.5), rel=0.5) and large[1] < 1e-200
