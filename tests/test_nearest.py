@@ -25,3 +25,26 @@ def test_index_finds_the_same_and_compares_less(spark):
     visited = compared.agg(F.sum("compared")).first()[0]
     every = queries.join(df.groupBy("label").count(), "label").agg(F.sum("count")).first()[0]
     assert visited < every / 3, (visited, every)
+
+
+def test_pairs_never_carry_vectors(spark, tmp_path):
+    """Copies, null vectors and more rows than a block; what is exchanged after vectors met are ids and distances, k from each block."""
+    from sori.operators import nearest as N
+
+    rows = clustered(n=300) + [(1000 + i, [0.5] * 8, 0) for i in range(50)] + [(2000, None, 0), (2001, [1.0] * 8, None), (2002, None, 9), (2003, [2.0] * 8, 9), (2004, [None, *[1.0] * 7], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = df.where("vec_id % 10 = 0 AND embedding IS NOT NULL OR vec_id = 2003").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    want = {}
+    for i, q, label in ((r.query_id, r.q, r.label) for r in queries.collect()):
+        apart = lambda v: round(sum((a - b) ** 2 for a, b in zip(q, v)) ** 0.5, 9) if v and None not in v else None  # noqa: B023, E731
+        near = sorted(((apart(v), j) for j, v, own in rows if own == label and label is not None and j != i), key=lambda t: (t[0] is None, t))
+        want |= {(i, r): (j, d) for r, (d, j) in enumerate(near[:3], 1)}
+    before, N.BLOCK = N.BLOCK, 20
+    try:
+        met = N._met(queries, df, ["label"], 3, 4)
+        best = nearest(queries, df, 3)
+        assert {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in best.collect()} == want
+    finally:
+        N.BLOCK = before
+    assert met.columns == ["query_id", "vec_id", "distance"]
+    assert met.where("query_id BETWEEN 1000 AND 1049").groupBy("query_id").count().agg(F.max("count")).first()[0] < 3 * 40  # not every copy
