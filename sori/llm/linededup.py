@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sori.llm.blocks import candidate_blocks, verified_edges
 from sori.llm.graph import components
 from sori.llm.minhash import GOLD, mix
 from sori.llm.store import cut, drop_table, heavy, small_batches
@@ -28,8 +27,14 @@ MIN_WORDS = 5
 #: without spaces, which edits at spaces leave alone. Lines of more than WIDE characters a word have the tier "wide" instead.
 TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("letters", 14, 57, 130, 1, 20), ("words", 8, 117, 1 << 62, 1, 7), ("wide", 12, 117, 1 << 62, 2, 10), ("letters", 16, 117, 1 << 62, 1, 7))
 KEYS, SLOTS, WIDE = 28, 4, 10
-#: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared in blocks.
+#: The place of an n-gram that may lie anywhere in a line.
+ANYWHERE = 0xFFFF
+#: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared later.
 SMALL_GROUP = 32
+#: Bytes of text whose lines' keys make one part, about. Members of a large group that are compared in one task.
+PART_BYTES, JOB_LINES = 16_000_000, 2000
+#: A line's key, the line, its characters and the key's place (both at most ANYWHERE).
+ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("chars", "<u2"), ("place", "<u2")])
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
 AHEAD = ((16, 2), (1024, 2), (16, 1))
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
@@ -73,8 +78,8 @@ def ngrams(codes: np.ndarray, starts: np.ndarray, amounts: np.ndarray, q: int) -
     return mix((before[at + np.repeat(np.minimum(amounts, q), n)] - before[at]) * inverse[at]), first
 
 
-def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, of its first letter, and the number of words of each line."""
+def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each word, of its first letter, the place of that letter in the joined lines, and the number of words of each line."""
     buf = np.frombuffer(b" ".join(lines) + b"   ", np.uint8)
     ends = np.flatnonzero(buf[:-2] == 32)
     begins = np.r_[0, ends[:-1] + 1]
@@ -82,33 +87,76 @@ def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     code = LETTERS[0][head]
     wide = np.flatnonzero(head >= 0xC0)  # letters of two bytes or three
     code[wide] += LETTERS[1][buf[begins[wide] + 1]] + LETTERS[2][buf[begins[wide] + 2]] * (head[wide] >= 0xE0)
-    return mix(code), np.array([x.count(b" ") + 1 for x in lines], np.int64)
+    return mix(code), begins, np.array([x.count(b" ") + 1 for x in lines], np.int64)
 
 
-def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths in characters, and keys (lines x SLOTS x KEYS, 0 for none) for a line's tiers in turn.
+def repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether an n-gram occurs more than once in its line (a few that do are overlooked)."""
+    bits = max(10, len(h).bit_length() + 1)
+    slot = ((h + row.astype(np.uint64)) * GOLD) >> np.uint64(64 - bits)
+    last = np.empty(1 << bits, np.int32)  # only places that are written are read
+    last[slot] = np.arange(len(h), dtype=np.int32)
+    other = last[slot]
+    twice = (h == h[other]) & (row == row[other]) & (other != np.arange(len(h)))
+    twice[other[twice]] = True
+    return twice
+
+
+def placed_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths in characters, keys (lines x SLOTS x KEYS, 0 for none) for a line's tiers in turn, and each key's place.
 
     A key holds the n-gram that comes first in one permutation, or in each of two or three. It agrees with the
-    Jaccard coefficient of two lines' n-grams, or its power, as probability.
+    Jaccard coefficient of two lines' n-grams, or its power, as probability. The place is the character of the line
+    that a key's only n-gram begins with; ANYWHERE for keys of several n-grams and for n-grams that occur more than once.
     """
     chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
     spaces = np.array([x.count(b" ") for x in lines], np.int64)
-    keys = np.zeros((len(lines), SLOTS, KEYS), np.uint64)
+    keys, places = np.zeros((len(lines), SLOTS, KEYS), np.uint64), np.full((len(lines), SLOTS, KEYS), ANYWHERE, np.uint16)
     wide = chars > WIDE * (spaces + 1)
     for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
         own = {"wide": wide, "words": spaces + 1 >= q}.get(unit, ~wide | (chars <= 130))  # few words make no n-gram that tells lines apart
         rows = np.flatnonzero((chars >= low) & (chars <= high) & own)
         if not len(rows):
             continue
-        chosen = [lines[i].replace(b" ", b"") if unit == "letters" else lines[i] for i in rows]
-        codes, amounts = word_codes(chosen) if unit == "words" else (LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], np.array([len(x) for x in chosen], np.int64))
+        chosen = [lines[i] for i in rows]
+        buf = np.frombuffer(b" ".join([*chosen, b""]), np.uint8)
+        if unit == "words":
+            codes, at, amounts = word_codes(chosen)
+        elif unit == "letters":
+            at = np.flatnonzero(buf != 32)
+            codes, amounts = LETTERS[0][buf[at]], np.array([len(x) for x in chosen], np.int64) - spaces[rows]
+        else:
+            codes, amounts = LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], np.array([len(x) for x in chosen], np.int64)
         h, first = ngrams(codes, np.cumsum(amounts) - amounts, amounts, q)
+        placed = permutations == 1
+        if placed:
+            n = np.diff(np.r_[first, len(h)])
+            row = np.repeat(np.arange(len(rows)), n)
+            before = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]  # characters before each byte
+            sizes = np.array([len(x) for x in chosen], np.int64) + 1
+            starts = np.arange(len(h)) + np.repeat(np.cumsum(amounts) - amounts - first, n)
+            place = before[at[starts]] - np.repeat(before[np.cumsum(sizes) - sizes], n)
+            place[(place > ANYWHERE) | repeats(h, row)] = ANYWHERE
+            place = place.astype(np.uint64)
+            h &= np.uint64((1 << 64) - 1 - ANYWHERE)
         for k, factors in enumerate(FACTORS[:count]):
             key = np.full(len(rows), t * KEYS + k + 1, np.uint64)
             for f in factors[:permutations]:
-                key = mix(key * GOLD + np.minimum.reduceat(h * f, first))
+                v = h * f
+                if placed:
+                    v |= place  # the lowest 16 bits are zero there
+                least = np.minimum.reduceat(v, first)
+                if placed:
+                    places[rows, t % SLOTS, k] = least & np.uint64(ANYWHERE)
+                    least >>= np.uint64(16)
+                key = mix(key * GOLD + least)
             keys[rows, t % SLOTS, k] = key
-    return chars, keys
+    return chars, keys, places
+
+
+def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths in characters and keys, as of :func:`placed_sketches`."""
+    return placed_sketches(lines)[:2]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -238,46 +286,94 @@ def row_key() -> F.Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (number of the document), line_no, line (64-bit identity), chars, keys (sketch; null in repeats) of all lines that count."""
+def lines_of(batch: pa.RecordBatch, least: int):
+    """doc_id, row, line_no and normalised line, as four sequences, of the lines of documents that count, for up to 64 documents in turn."""
+    ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
+    for at in range(0, len(texts), 64):
+        found = [(d, r, n, x) for d, r, t in zip(ids[at : at + 64], rows[at : at + 64], texts[at : at + 64], strict=True) if t for n, x in enumerate(normalise(t)) if counts(x, least)]
+        if found:
+            yield zip(*found, strict=True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, row (number of the document), text of the documents with an id."""
     small_batches(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (number of the document), line_no, line (64-bit identity) of all lines that count."""
+
+    def run(batches):
+        for b in batches:
+            for doc, row, no, lines in lines_of(b, MIN_BYTES):
+                line = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(line.view(np.int64))], ["doc_id", "row", "line_no", "line"])
+
+    return numbered(docs).mapInArrow(run, "doc_id long, row long, line_no int, line long")
+
+
+def keyed_lines(docs: DataFrame, parts: int) -> DataFrame:
+    """part, entries: the keys of all lines that are compared with unequal ones, dealt to parts by key, as many ENTRYs in one value.
+
+    A line that a task meets again mostly gets no second entries. Keys travel as arrays and not as rows, which would
+    cost more than all the rest.
+    """
 
     def run(batches):
         known: set[int] = set()  # lines whose keys this task has returned already
+        held, amount = [], 0
+
+        def dealt():
+            e = np.concatenate(held)
+            part = ((e["key"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            e, part = e[order], part[order]
+            begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            entries = [e[x:y].tobytes() for x, y in zip(begins, [*begins[1:], len(e)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[begins]), pa.array(entries, pa.binary())], ["part", "entries"])
+
         for b in batches:
-            ids, rows, texts = (b.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(texts), 64):
-                found = [(d, r, n, x) for d, r, t in zip(ids[at : at + 64], rows[at : at + 64], texts[at : at + 64], strict=True) if t for n, x in enumerate(normalise(t)) if counts(x, MIN_BYTES)]
-                if not found:
-                    continue
-                doc, row, no, lines = zip(*found, strict=True)
-                line = [xxhash.xxh3_64_intdigest(x) for x in lines]
+            for _, _, _, lines in lines_of(b, FUZZY_BYTES):
                 if len(known) > 200_000:
                     known.clear()
-                fresh = np.zeros(len(lines), bool)
-                for i, h in enumerate(line):
-                    if h not in known and counts(lines[i], FUZZY_BYTES):
+                fresh = {}
+                for x in lines:
+                    h = xxhash.xxh3_64_intdigest(x)
+                    if h not in known:
                         known.add(h)
-                        fresh[i] = True
-                chars, keys = np.zeros(len(lines), np.int32), np.zeros((len(lines), SLOTS, KEYS), np.uint64)
-                if fresh.any():
-                    chars[fresh], keys[fresh] = sketches([x for x, f in zip(lines, fresh, strict=True) if f])
-                there = keys != 0
-                ends = np.r_[0, np.cumsum(there.sum(axis=(1, 2)))].astype(np.int32)
-                cols = [pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(chars), pa.ListArray.from_arrays(ends, pa.array(keys[there].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line_no", "line", "chars", "keys"])
-
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
-    return found.mapInArrow(run, "doc_id long, row long, line_no int, line long, chars int, keys array<long>")
-
-
-def close(a: str, b: str) -> F.Column:
-    """Whether two lengths allow the edit similarity."""
-    return F.abs(F.col(a) - F.col(b)) * 10 <= F.greatest(a, b)
+                        fresh[h] = x
+                if not fresh:
+                    continue
+                chars, keys, places = placed_sketches(list(fresh.values()))
+                i, slot, k = np.nonzero(keys)
+                e = np.empty(len(i), ENTRY)
+                e["key"], e["line"] = keys[i, slot, k], np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[i]
+                e["chars"], e["place"] = np.minimum(chars, ANYWHERE)[i], np.where(chars[i] < ANYWHERE, places[i, slot, k], ANYWHERE)
+                held.append(e)
+                amount += len(e)
+                if amount > 1_000_000:
+                    yield dealt()
+                    held, amount = [], 0
+        if amount:
+            yield dealt()
+
+    return numbered(docs).mapInArrow(run, "part int, entries binary")
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lengths and places of a shared key allow the edit similarity, for ENTRYs side by side.
+
+    Lines that are aligned at a shared n-gram need as many edits before it as it is displaced, and so do the rests.
+    Lengths of more than ANYWHERE characters count as that many and lie anywhere, which rules out no pair that is similar.
+    """
+    a, b, p, q = (v.astype(np.int64) for v in (x["chars"], y["chars"], x["place"], y["place"]))
+    most = np.maximum(a, b) // 10
+    return (np.abs(a - b) <= most) & ((p == ANYWHERE) | (q == ANYWHERE) | (np.abs(p - q) + np.abs(a - p - b + q) <= most))
 
 
 def windows() -> F.Column:
-    """The two overlapping windows of length that a line lies in. Lines that :func:`close` allows share one at least.
+    """The two overlapping windows of length that a line lies in. Lines whose lengths :func:`fit` share one at least.
 
     Windows are as wide as two allowed differences of length, on a logarithmic scale, and each begins in another's middle.
     """
@@ -285,47 +381,118 @@ def windows() -> F.Column:
     return F.explode(F.array(2 * F.floor(scaled), 2 * F.floor(scaled + 0.5) + 1)).alias("window")
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Groups of different lines that share a key and a window of length: key, line, chars, lead, lead_chars, n.
+def candidates(docs: DataFrame) -> DataFrame:
+    """Candidates among different lines, as a table of pairs and members: key, a, b, chars, place, n.
 
-    Lines of nearly equal length in one group are candidates, whatever its size. Lines without any such partner are
-    left out. A group's lead is the line that meets most others in all its groups: of a family, the one that its
-    variants come from.
+    Lines with a common key whose lengths and places :func:`fit` are candidates, however many have that key. Rows
+    without a key are pairs (a < b); n is 1 for those with a group's lead, its smallest line. Groups of more than
+    SMALL_GROUP lines give only pairs with the lead, and rows with a key, one for each member: a (the line), b (the lead), n
+    (the number of members).
+    """
+    amount = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts, most = max(8, int(amount // PART_BYTES)), SMALL_GROUP
+
+    def pairs_of(e, begins, sizes):
+        """Fitting pairs in groups: the first member with each other one; in small groups, each two."""
+        rank = np.arange(len(e)) - np.repeat(begins, sizes)
+        times = np.where(np.repeat(sizes, sizes) <= most, rank, np.minimum(rank, 1))
+        ends = np.cumsum(times)
+        at = 0
+        while at < len(e):  # portions of a million pairs or so
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+            right = np.repeat(np.arange(at, to), times[at:to])
+            nth = np.arange(len(right)) - np.repeat(np.cumsum(times[at:to]) - times[at:to], times[at:to])
+            left = right - rank[right] + nth
+            good = fit(e[left], e[right])
+            yield e["line"][left[good]], e["line"][right[good]], nth[good] == 0
+            at = to
+
+    def run(table: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
+        e = e[np.argsort(e["key"])]
+        same = e["key"][1:] == e["key"][:-1]
+        e = e[np.r_[False, same] | np.r_[same, False]]
+        e = e[np.lexsort((e["line"], e["key"]))]
+        e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["line"][1:] != e["line"][:-1])][: len(e)]]
+        begins = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]][: len(e)])
+        sizes = np.diff(np.r_[begins, len(e)])
+        a, b, star = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)), *pairs_of(e, begins, sizes), strict=True))
+        order = np.lexsort((~star, b, a))
+        a, b, star = a[order], b[order], star[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        a, b, star = a[new], b[new], star[new]
+        n, lead = np.repeat(sizes, sizes), np.repeat(e["line"][begins], sizes)
+        large = n > most
+        e, n, lead = e[large], n[large], lead[large]
+        none, some = np.zeros(len(a), np.int64), np.zeros(len(e), bool)
+        cols = [
+            pa.array(np.r_[none, e["key"].view(np.int64) if len(e) else e["key"].astype(np.int64)], pa.int64(), mask=np.r_[np.ones(len(a), bool), some]),
+            pa.array(np.r_[a, e["line"]], pa.int64()), pa.array(np.r_[b, lead], pa.int64()),
+            pa.array(np.r_[none, e["chars"]].astype(np.int32)), pa.array(np.r_[none, e["place"]].astype(np.int32)), pa.array(np.r_[star, n].astype(np.int32)),
+        ]
+        return pa.table(cols, ["key", "a", "b", "chars", "place", "n"])
+
+    return cut(keyed_lines(docs, parts).groupBy("part").applyInArrow(run, "key long, a long, b long, chars int, place int, n int"), "candidates")
+
+
+def labels_of(edges: DataFrame) -> DataFrame:
+    """line, label: the smallest line that a linked line is or has a link to. Lines of one label belong together."""
+    return edges.select(F.explode(F.array("a", "b")).alias("line"), "a").groupBy("line").agg(F.min("a").alias("label"))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fitting pairs (a, b) of the members of large groups that have different labels, without those with the lead.
+
+    Groups are dealt by windows of length; what is still large is dealt to parts that meet once.
     """
-    keys = lines.select(F.explode("keys").alias("key"), "line", "chars")
-    shared = keys.groupBy("key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("key")
-    shared = cut(shared, "shared-keys")
-    rows = keys.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line", "chars").agg(F.lit(1)).select("key", "line", "chars")
-    keyed = cut(rows, "keyed-lines")
-    rows = keyed.select("key", "line", "chars", windows()).select(F.xxhash64("key", "window").alias("key"), "line", "chars")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = cut(rows.join(sizes, "key"), "sized-groups")
-    rated = sized.join(sized.groupBy("line").agg(F.sum("n").alias("degree")), "line")  # how many lines a line meets in all its groups
-    leads = rated.groupBy("key").agg(F.max(F.struct("degree", "line", "chars")).alias("top")).select("key", F.col("top.line").alias("lead"), F.col("top.chars").alias("lead_chars"))
-    out = cut(sized.join(leads, "key"), "groups-of-lines")
-    for t in (shared, keyed, sized):
+    parts = F.ceil(F.col("n") / JOB_LINES).cast("int")
+    rows = members.select("key", F.col("a").alias("line"), F.col("b").alias("lead"), "chars", "place", parts.alias("parts"))
+    rows = rows.join(labels, "line", "left").withColumn("label", F.coalesce("label", "line")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    rows = rows.select("*", windows()).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        chars, place, line, lead, label, own = (table[c].to_numpy() for c in ("chars", "place", "line", "lead", "label", "own"))
+        across = table["x"][0].as_py() != table["y"][0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names, number, times = np.unique(label, return_inverse=True, return_counts=True)
+        if len(names) > 1:
+            most = chars // 10
+            main = number == times.argmax()  # of two lines with different labels one is outside the most frequent
+            for i in np.flatnonzero((line != lead) & ~main):
+                rest = np.flatnonzero(np.abs(chars - chars[i]) <= np.maximum(most, most[i]))
+                rest = rest[(number[rest] != number[i]) & (main[rest] | (line[rest] > line[i])) & (line[rest] != lead[rest])]
+                if across:
+                    rest = rest[own[rest] != own[i]]
+                if place[i] != ANYWHERE:
+                    shift = place[rest] - place[i]
+                    rest = rest[(place[rest] == ANYWHERE) | (np.abs(shift) + np.abs(chars[rest] - chars[i] - shift) <= np.maximum(most[rest], most[i]))]
+                a.append(np.minimum(line[i], line[rest]))
+                b.append(np.maximum(line[i], line[rest]))
+        return pa.table([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+
+    jobs = rows.select("key", "window", "x", "y", "line", "lead", "chars", "place", "label", "own")
+    return jobs.groupBy("key", "window", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def remaining_pairs(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates (a, b) other than the leads' own whose lines have no common label yet."""
+    labels = cut(labels_of(edges), "line-labels")
+    side = lambda c: labels.select(F.col("line").alias(c), F.col("label").alias(f"label_{c}"))
+    small = found.where("key IS NULL AND n = 0").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    small = small.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    with heavy(found.sparkSession, 500):
+        large = cut(open_pairs(found.where("key IS NOT NULL"), labels).distinct(), "open-pairs")
+    out = small.unionByName(large).distinct().join(leading_pairs(found), ["a", "b"], "left_anti")
+    out = cut(out, "remaining-pairs")
+    for t in (labels, large):
         drop_table(t)
     return out
 
 
-def leading_pairs(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of groups' leads and lines of nearly equal length."""
-    return groups.where((F.col("line") != F.col("lead")) & close("chars", "lead_chars")).select(F.least("lead", "line").alias("a"), F.greatest("lead", "line").alias("b")).distinct()
-
-
-def marked(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Groups with linked: whether a line is its group's lead or linked to it. Groups of linked lines only are left out."""
-    links = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("lead"), F.col("b").alias("line"), F.lit(True).alias("linked"))
-    rows = groups.join(links, ["lead", "line"], "left").withColumn("linked", F.col("linked").isNotNull() | (F.col("line") == F.col("lead")))
-    rows = cut(rows, "marked-groups")
-    return rows.join(rows.where("NOT linked").select("key").distinct(), "key", "left_semi")
-
-
-def remaining_pairs(small: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small groups that their leads have not settled: neither the lead's own nor both linked to it."""
-    side = lambda line, chars, linked: small.select("key", "lead", F.col("line").alias(line), F.col("chars").alias(chars), F.col("linked").alias(linked))
-    both = side("a", "x", "p").join(side("b", "y", "q").drop("lead"), "key").where("a < b AND a <> lead AND b <> lead AND NOT (p AND q)")
-    return both.where(close("x", "y")).select("a", "b").distinct()
+def leading_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups' leads and other lines."""
+    return found.where("key IS NULL AND n = 1").select("a", "b").distinct()
 
 
 def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -362,44 +529,6 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
         return cut(both.mapInArrow(run, "a long, b long"), name)
 
 
-def verify(ids: list[int], payloads: list[bytes], split: int) -> list[tuple[int, int]]:
-    """Spanning links of similar lines; a payload is a label of eight bytes and the line. Equal labels are linked already."""
-    texts = [p[8:].decode("utf-8", "replace") for p in payloads]
-    _, group = np.unique(np.array([p[:8] for p in payloads]), return_inverse=True)
-    size, counts = np.array([len(t) for t in texts]), np.array([profile(t) for t in texts])
-    coarse = counts.reshape(len(texts), 64, -1).sum(axis=2, dtype=np.int32)  # rules most lines out with less work
-    place, out = np.arange(len(ids)), []
-    for k in range(split or len(ids)):
-        most = (0.1 * np.maximum(size, size[k]) + 1e-9).astype(np.int64)
-        fit = np.flatnonzero((np.abs(size - size[k]) <= most) & (group != group[k]) & (place >= max(k + 1, split)))
-        for table in (coarse, counts):
-            more = table[fit] - table[k]
-            gross, net = np.abs(more).sum(axis=1), np.abs(more.sum(axis=1))
-            good = gross + net <= 6 * most[fit]
-            fit, gross = fit[good], gross[good]
-        for p in fit[np.argsort(gross, kind="stable")]:
-            if group[p] != group[k] and settled(texts[k], texts[p]):
-                out.append((ids[k], ids[p]))
-                group[group == group[k]] = group[p]
-    return out
-
-
-def block_edges(rows: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Links within large groups, in blocks of bounded size that meet once, however many groups their lines share.
-
-    Lines that are linked to the same lead carry its label and are one from the start.
-    """
-    sizes = rows.groupBy(F.col("line").alias("id")).agg(F.min(F.when(F.col("linked"), F.col("lead")).otherwise(F.col("line"))).alias("label"), F.max(F.greatest(F.lit(100), F.ceil(F.col("chars") / 4))).alias("size"))
-    sizes = cut(sizes, "sizes")
-    members, block_pairs = candidate_blocks(rows.select("key", F.col("line").alias("id"), "n"), sizes.select("id", "size"), 1)
-    label = F.to_binary(F.lpad(F.hex("label"), 16, "0"), F.lit("hex"))
-    labelled = payloads.join(sizes, "id").select("id", F.concat(label, "payload").alias("payload"))
-    out = verified_edges(members, block_pairs, labelled, verify)
-    for t in (members, block_pairs, sizes):
-        drop_table(t)
-    return out
-
-
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """Lines that repeat an earlier one of their group: doc_id, row (:func:`row_key` of the document), lines (numbers from 0, ascending).
 
@@ -414,17 +543,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs), "lines")
     first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
     classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
-    groups = candidates(lines)
-    keyed, lines = lines, cut(lines.select("doc_id", "row", "line_no", "line"), "lines-without-keys")
-    drop_table(keyed)
-    payloads = cut(payloads_of(docs, classes, groups.select(F.col("line").alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
-    edges = pair_edges(leading_pairs(groups), payloads, "line-links")
-    open_ = cut(marked(groups, edges), "open-groups")
-    small, large = open_.where(F.col("n") <= SMALL_GROUP), open_.where(F.col("n") > SMALL_GROUP)
-    more = pair_edges(remaining_pairs(small), payloads, "more-line-links"), block_edges(large, payloads)
-    for t in (payloads, groups, open_):
+    found = candidates(docs)
+    payloads = cut(payloads_of(docs, classes, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
+    edges = pair_edges(leading_pairs(found), payloads, "line-links")
+    rest = remaining_pairs(found, edges)
+    drop_table(found)
+    more = pair_edges(rest, payloads, "more-line-links")
+    for t in (payloads, rest):
         drop_table(t)
-    groups = cut(components(edges.unionByName(more[0]).unionByName(more[1])), "line-groups")
+    groups = cut(components(edges.unionByName(more)), "line-groups")
     grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
     alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
     linked = cut(grouped.where("linked"), "linked-lines")
@@ -432,7 +559,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
     gone = lines.join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
     out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
-    for t in (lines, classes, edges, *more, groups, linked, repeated):
+    for t in (lines, classes, edges, more, groups, linked, repeated):
         drop_table(t)
     return out
 

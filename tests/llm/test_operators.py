@@ -407,6 +407,21 @@ def test_lines_share_a_key_after_each_kind_of_edit(kind):
     assert pairs > 300 and met >= 0.93 * pairs
 
 
+def test_lines_with_a_shared_stretch_at_another_place_are_no_candidates(spark):
+    """Unrelated lines that share one long passage, each at another place, are not compared, however many they are."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(2, 8)))
+    passage = [word() for _ in range(24)]
+    lines = []
+    for i in range(60):
+        own = [word() for _ in range(60)]
+        lines.append(" ".join([*own[: i], *passage, *own[i:]])[:400])
+    assert not any(linededup.similar(x, y) for x, y in combinations(lines, 2))
+    found = linededup.candidates(frame(spark, list(enumerate(lines))))
+    pairs = linededup.remaining_pairs(found, spark.createDataFrame([], "a long, b long")).count() + linededup.leading_pairs(found).count()
+    assert pairs < 60 * 59 / 2 * 0.4
+
+
 def test_similar_lengths_share_a_window(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(11, 400), *range(1000, 1250)]], "chars int")
     here = {}
