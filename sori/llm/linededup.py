@@ -29,10 +29,10 @@ TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("letters", 14
 KEYS, SLOTS, WIDE = 28, 4, 10
 #: The place of an n-gram that may lie anywhere in a line.
 ANYWHERE = 0xFFFF
-#: Groups of up to so many lines give pairs; in larger ones, lines that are not linked to the group's lead are compared later.
+#: Groups of up to so many lines leave out members that fit none but the group's lead.
 SMALL_GROUP = 32
-#: Bytes of text whose lines' keys make one part, about. Members of a large group that are compared in one task.
-PART_BYTES, JOB_LINES = 16_000_000, 2000
+#: Bytes of text whose lines' keys make one part, about. Members of a group that meet in one block. Bytes of members in a task, about.
+PART_BYTES, JOB_LINES, JOB_BYTES = 16_000_000, 1000, 3_000_000
 #: A line's key, the line, its characters and the key's place (both at most ANYWHERE).
 ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("chars", "<u2"), ("place", "<u2")])
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
@@ -263,6 +263,27 @@ def all_apart(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def binned(payloads: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Texts and their profiles, each count 255 at most."""
+    texts = [x.decode("utf-8", "replace") for x in payloads]
+    bins = np.empty((len(texts), 1024), np.uint8)
+    for at in range(0, len(texts), 256):
+        bins[at : at + 256] = np.minimum(profiles(texts[at : at + 256]), 255)
+    return texts, bins
+
+
+def distances(chars: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How far pairs of :func:`binned` texts, of so many characters, are :func:`apart`: above 1 they are. Counts cut at 255 rule out no pair that is similar."""
+    out = np.empty(len(left))
+    for at in range(0, len(left), 2048):
+        i, j = left[at : at + 2048], right[at : at + 2048]
+        x, y = bins[i], bins[j]
+        gross = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.uint32).astype(np.int64)
+        most = 6 * (np.maximum(chars[i], chars[j]) // 10)
+        out[at : at + 2048] = (gross + np.abs(chars[i] - chars[j])) / np.maximum(most, 1) + (most == 0) * 2.0
+    return out
+
+
 def settled(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough, for lines whose profiles allow it."""
     most = allowed(a, b)
@@ -272,6 +293,12 @@ def settled(a: str, b: str) -> bool:
     return 2 * len(set(x) & set(y)) >= len(x) / 2 and within(x, y, most) or edit_distance(a, b, most) <= most
 
 
+def similar_at(a: str, b: str, far: float) -> bool:
+    """As :func:`settled`, for lines whose distance of profiles is known: no alignment by words is tried where it would hardly succeed."""
+    most = allowed(a, b)
+    return settled(a, b) if far <= 0.6 or len(a) > 5000 else abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+
+
 def similar(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough.
 
@@ -372,41 +399,48 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (np.abs(a - b) <= most) & ((p == ANYWHERE) | (q == ANYWHERE) | (np.abs(p - q) + np.abs(a - p - b + q) <= most))
 
 
-def windows() -> F.Column:
+def window_array() -> F.Column:
     """The two overlapping windows of length that a line lies in. Lines whose lengths :func:`fit` share one at least.
 
     Windows are as wide as two allowed differences of length, on a logarithmic scale, and each begins in another's middle.
     """
     scaled = F.log("chars") / F.lit(-2.002 * log(EDIT_SIMILARITY))
-    return F.explode(F.array(2 * F.floor(scaled), 2 * F.floor(scaled + 0.5) + 1)).alias("window")
+    return F.array(2 * F.floor(scaled), 2 * F.floor(scaled + 0.5) + 1)
+
+
+def windows() -> F.Column:
+    """A row for each of :func:`window_array`."""
+    return F.explode(window_array()).alias("window")
+
+
+def ranks(sizes: np.ndarray) -> np.ndarray:
+    """The place of each member in its group, for groups one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def meetings(rank: np.ndarray, times: np.ndarray):
+    """Pairs of members of groups one after the other, in portions of a million or so: each member with the first ``times`` of its group."""
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(rank):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+        right = np.repeat(np.arange(at, to), times[at:to])
+        nth = ranks(times[at:to])
+        yield right - rank[right] + nth, right, nth
+        at = to
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Candidates among different lines, as a table of pairs and members: key, a, b, chars, place, n.
+    """Candidates among different lines, as a table of leads' pairs and members: key, a, b, chars, place, n.
 
     Lines with a common key whose lengths and places :func:`fit` are candidates, however many have that key. Rows
-    without a key are pairs (a < b); n is 1 for those with a group's lead, its smallest line. Groups of more than
-    SMALL_GROUP lines give only pairs with the lead, and rows with a key, one for each member: a (the line), b (the lead), n
-    (the number of members).
+    without a key are pairs of a group's lead, its smallest line, with another one (a < b). The others' pairs are not
+    listed: rows with a key are members that fit another one than the lead (in groups of more than SMALL_GROUP: all but
+    the lead): a (the line), n (the number of lines of the group).
     """
     amount = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts, most = max(8, int(amount // PART_BYTES)), SMALL_GROUP
 
-    def pairs_of(e, begins, sizes):
-        """Fitting pairs in groups: the first member with each other one; in small groups, each two."""
-        rank = np.arange(len(e)) - np.repeat(begins, sizes)
-        times = np.where(np.repeat(sizes, sizes) <= most, rank, np.minimum(rank, 1))
-        ends = np.cumsum(times)
-        at = 0
-        while at < len(e):  # portions of a million pairs or so
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
-            right = np.repeat(np.arange(at, to), times[at:to])
-            nth = np.arange(len(right)) - np.repeat(np.cumsum(times[at:to]) - times[at:to], times[at:to])
-            left = right - rank[right] + nth
-            good = fit(e[left], e[right])
-            yield e["line"][left[good]], e["line"][right[good]], nth[good] == 0
-            at = to
-
     def run(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
         e = e[np.argsort(e["key"])]
@@ -416,19 +450,25 @@ def candidates(docs: DataFrame) -> DataFrame:
         e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["line"][1:] != e["line"][:-1])][: len(e)]]
         begins = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]][: len(e)])
         sizes = np.diff(np.r_[begins, len(e)])
-        a, b, star = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)), *pairs_of(e, begins, sizes), strict=True))
-        order = np.lexsort((~star, b, a))
-        a, b, star = a[order], b[order], star[order]
+        rank, n = ranks(sizes), np.repeat(sizes, sizes)
+        a, b, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], (n > most) & (rank > 0)
+        for left, right, nth in meetings(rank, np.where(n <= most, rank, np.minimum(rank, 1))):
+            good = fit(e[left], e[right])
+            star, rest = good & (nth == 0), good & (nth > 0)
+            a.append(e["line"][left[star]])
+            b.append(e["line"][right[star]])
+            member[left[rest]] = member[right[rest]] = True
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-        a, b, star = a[new], b[new], star[new]
-        n, lead = np.repeat(sizes, sizes), np.repeat(e["line"][begins], sizes)
-        large = n > most
-        e, n, lead = e[large], n[large], lead[large]
-        none, some = np.zeros(len(a), np.int64), np.zeros(len(e), bool)
+        a, b = a[new], b[new]
+        e, n = e[member], n[member]
+        pairs, none, some = np.zeros(len(a), np.int64), np.ones(len(a), bool), np.zeros(len(e), bool)
         cols = [
-            pa.array(np.r_[none, e["key"].view(np.int64) if len(e) else e["key"].astype(np.int64)], pa.int64(), mask=np.r_[np.ones(len(a), bool), some]),
-            pa.array(np.r_[a, e["line"]], pa.int64()), pa.array(np.r_[b, lead], pa.int64()),
-            pa.array(np.r_[none, e["chars"]].astype(np.int32)), pa.array(np.r_[none, e["place"]].astype(np.int32)), pa.array(np.r_[star, n].astype(np.int32)),
+            pa.array(np.r_[pairs, e["key"].view(np.int64) if len(e) else e["key"].astype(np.int64)], pa.int64(), mask=np.r_[none, some]),
+            pa.array(np.r_[a, e["line"]], pa.int64()), pa.array(np.r_[b, e["line"]], pa.int64()),
+            pa.array(np.r_[pairs, e["chars"]].astype(np.int32)), pa.array(np.r_[pairs, e["place"]].astype(np.int32)), pa.array(np.r_[pairs, n].astype(np.int32)),
         ]
         return pa.table(cols, ["key", "a", "b", "chars", "place", "n"])
 
@@ -440,59 +480,110 @@ def labels_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("line"), "a").groupBy("line").agg(F.min("a").alias("label"))
 
 
-def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fitting pairs (a, b) of the members of large groups that have different labels, without those with the lead.
+def members_of(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """line, chars, label, places (key, window, place, parts): the members that share a key with a line that they are not linked to.
 
-    Groups are dealt by windows of length; what is still large is dealt to parts that meet once.
+    Groups of more than JOB_LINES lines are dealt by windows of length, and what is still large to parts.
     """
-    parts = F.ceil(F.col("n") / JOB_LINES).cast("int")
-    rows = members.select("key", F.col("a").alias("line"), F.col("b").alias("lead"), "chars", "place", parts.alias("parts"))
-    rows = rows.join(labels, "line", "left").withColumn("label", F.coalesce("label", "line")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
-    rows = rows.select("*", windows()).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    window = F.explode(F.when(F.col("n") <= JOB_LINES, F.array(F.lit(0).cast("long"))).otherwise(window_array())).alias("window")
+    rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("line"), "chars", "place", "n").join(labels_of(edges), "line", "left")
+    rows = cut(rows.select("key", window, "line", "chars", "place", F.coalesce("label", "line").alias("label")), "line-members")
+    live = rows.groupBy("key", "window").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / JOB_LINES).cast("int").alias("parts"))
+    rows = rows.join(live.where("low < high").drop("low", "high"), ["key", "window"])
+    return rows.groupBy("line", "chars", "label").agg(F.array_sort(F.collect_list(F.struct("key", "window", "place", "parts"))).alias("places"))
+
+
+def first_fit(x: tuple, y: tuple, chars: tuple[int, int]) -> tuple | None:
+    """The first (key, window) that two lines have in common and that allows the edit similarity, for ascending (key, window, place)."""
+    i = j = 0
+    a, b = chars
+    most = max(a, b) // 10
+    while i < len(x) and j < len(y):
+        if x[i][:2] == y[j][:2]:
+            p, q = x[i][2], y[j][2]
+            if p == ANYWHERE or q == ANYWHERE or abs(p - q) + abs(a - p - b + q) <= most:
+                return x[i][:2]
+            i, j = i + 1, j + 1
+        elif x[i][:2] < y[j][:2]:
+            i += 1
+        else:
+            j += 1
+    return None
+
+
+def remaining_pairs(found: DataFrame, edges: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """Candidates (a, b) other than the leads' own whose lines ``edges`` does not link; with ``payloads``, links among these.
+
+    With ``payloads`` the lines' texts travel to the groups, once for each key that they share, and pairs are compared
+    there: a pair at the first key that allows it, and none whose lines the links found there join already. So no row
+    is a pair that is not similar, and what travels grows with the lines and not with the pairs.
+    """
+    compare = payloads is not None
+    members = cut(members_of(found, edges), "open-members")
+    rows = members.withColumn("payload", F.lit(None).cast("binary")) if not compare else members.join(payloads, members["line"] == payloads["id"]).drop("id")
+    amount = members.agg(F.sum(F.size("places") * (F.col("chars") + 30 * F.size("places")))).first()[0] or 0
+    jobs = max(8, int(amount // JOB_BYTES))
+    rows = rows.withColumn("at", F.explode("places")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("at.parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1)))
     rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    rows = rows.select("at.key", "at.window", "at.place", "x", "y", "own", "line", "chars", "label", "payload", "places").withColumn("job", F.pmod(F.xxhash64("key", "window", "x", "y"), F.lit(jobs)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        chars, place, line, lead, label, own = (table[c].to_numpy() for c in ("chars", "place", "line", "lead", "label", "own"))
-        across = table["x"][0].as_py() != table["y"][0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        names, number, times = np.unique(label, return_inverse=True, return_counts=True)
-        if len(names) > 1:
-            most = chars // 10
-            main = number == times.argmax()  # of two lines with different labels one is outside the most frequent
-            for i in np.flatnonzero((line != lead) & ~main):
-                rest = np.flatnonzero(np.abs(chars - chars[i]) <= np.maximum(most, most[i]))
-                rest = rest[(number[rest] != number[i]) & (main[rest] | (line[rest] > line[i])) & (line[rest] != lead[rest])]
-                if across:
-                    rest = rest[own[rest] != own[i]]
-                if place[i] != ANYWHERE:
-                    shift = place[rest] - place[i]
-                    rest = rest[(place[rest] == ANYWHERE) | (np.abs(shift) + np.abs(chars[rest] - chars[i] - shift) <= np.maximum(most[rest], most[i]))]
-                a.append(np.minimum(line[i], line[rest]))
-                b.append(np.maximum(line[i], line[rest]))
-        return pa.table([np.concatenate(a), np.concatenate(b)], ["a", "b"])
-
-    jobs = rows.select("key", "window", "x", "y", "line", "lead", "chars", "place", "label", "own")
-    return jobs.groupBy("key", "window", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def remaining_pairs(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates (a, b) other than the leads' own whose lines have no common label yet."""
-    labels = cut(labels_of(edges), "line-labels")
-    side = lambda c: labels.select(F.col("line").alias(c), F.col("label").alias(f"label_{c}"))
-    small = found.where("key IS NULL AND n = 0").select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    small = small.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+        table = table.combine_chunks()
+        key, window, place, x, y, own, line, chars, label = (table[c].to_numpy().astype(np.int64) for c in ("key", "window", "place", "x", "y", "own", "line", "chars", "label"))
+        order = np.lexsort((line, y, x, window, key))
+        key, window, place, x, y, own, line, chars, label = (c[order] for c in (key, window, place, x, y, own, line, chars, label))
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in (key, window, x, y)], axis=0)]
+        sizes = np.diff(np.r_[np.flatnonzero(new), len(key)])
+        group, rank = np.cumsum(new) - 1, ranks(sizes)
+        names, slot = np.unique(line, return_inverse=True)
+        row_of = np.empty(len(names), np.int64)
+        row_of[slot] = order  # any of a line's rows
+        e = np.empty(len(key), [("chars", np.int64), ("place", np.int64)])
+        e["chars"], e["place"] = chars, place
+        texts, bins = binned(table["payload"].take(pa.array(row_of)).to_pylist()) if compare else (None, None)
+        links: list[tuple[int, int]] = []
+        chars_of = np.array([len(t) for t in texts or []], np.int64)
+        places: dict[int, list] = {}
+
+        def places_of(i: int) -> list:
+            if (at := int(slot[i])) not in places:
+                places[at] = [tuple(p.values()) for p in table["places"][int(row_of[at])].as_py()]
+            return places[at]
+
+        node = np.unique(np.stack([group, label]), axis=1, return_inverse=True)[1].ravel()
+        joined = np.arange(len(key))  # for each label of a group, what the links found there join
+        for left, right, _ in meetings(rank, rank):
+            good = (joined[node[left]] != joined[node[right]]) & ((x[left] == y[left]) | (own[left] != own[right]))
+            left, right = left[good], right[good]
+            good = fit(e[left], e[right])
+            left, right = left[good], right[good]
+            if compare:  # the nearest first, as those that are joined by others need no comparison
+                far = distances(chars_of, bins, slot[left], slot[right])
+                order = np.argsort(far)[: int((far <= 1).sum())]
+                left, right, far = left[order], right[order], far[order]
+            for i, j, d in zip(left.tolist(), right.tolist(), far.tolist() if compare else left.tolist(), strict=True):
+                u, v = joined[node[i]], joined[node[j]]
+                if u == v or first_fit(places_of(i), places_of(j), (int(chars[i]), int(chars[j]))) != (key[i], window[i]):
+                    continue
+                if not compare:
+                    links.append((i, j))
+                elif similar_at(texts[slot[i]], texts[slot[j]], d):
+                    joined[joined == u] = v
+                    links.append((i, j))
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        a, b = line[a], line[b]
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
+
     with heavy(found.sparkSession, 500):
-        large = cut(open_pairs(found.where("key IS NOT NULL"), labels).distinct(), "open-pairs")
-    out = small.unionByName(large).distinct().join(leading_pairs(found), ["a", "b"], "left_anti")
-    out = cut(out, "remaining-pairs")
-    for t in (labels, large):
-        drop_table(t)
+        out = cut(rows.groupBy("job").applyInArrow(run, "a long, b long"), "more-line-links")
+    drop_table(members)
     return out
 
 
 def leading_pairs(found: DataFrame) -> DataFrame:
     """Pairs (a, b) of groups' leads and other lines."""
-    return found.where("key IS NULL AND n = 1").select("a", "b").distinct()
+    return found.where("key IS NULL").select("a", "b").distinct()
 
 
 def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -546,12 +637,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     found = candidates(docs)
     payloads = cut(payloads_of(docs, classes, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
     edges = pair_edges(leading_pairs(found), payloads, "line-links")
-    rest = remaining_pairs(found, edges)
-    drop_table(found)
-    more = pair_edges(rest, payloads, "more-line-links")
-    for t in (payloads, rest):
+    linked = cut(components(edges).select(F.col("component").alias("a"), F.col("id").alias("b")), "lead-groups")
+    more = remaining_pairs(found, linked, payloads)
+    for t in (found, payloads, edges):
         drop_table(t)
-    groups = cut(components(edges.unionByName(more)), "line-groups")
+    groups = cut(components(linked.unionByName(more)), "line-groups")
+    drop_table(linked)
     grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
     alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
     linked = cut(grouped.where("linked"), "linked-lines")
@@ -559,7 +650,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
     gone = lines.join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
     out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
-    for t in (lines, classes, edges, more, groups, linked, repeated):
+    for t in (lines, classes, more, groups, linked, repeated):
         drop_table(t)
     return out
 

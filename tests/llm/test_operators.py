@@ -422,6 +422,29 @@ def test_lines_with_a_shared_stretch_at_another_place_are_no_candidates(spark):
     assert pairs < 60 * 59 / 2 * 0.4
 
 
+def test_groups_of_unlike_lines_list_no_pairs(spark):
+    """Lines that share a passage at one place give rows that grow with the lines; links among them are found all the same."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(4, 6)))
+    passage, lines = [word() for _ in range(40)], []
+    for _ in range(30):
+        line = [*passage, *(word() for _ in range(30))]
+        lines += [" ".join(line)[:380], " ".join([*line[:40], word(), *line[41:]])[:380]]
+    lines = list(dict.fromkeys(x.strip() for x in lines))
+    near = [(x, y) for x, y in combinations(range(len(lines)), 2) if linededup.similar(lines[x], lines[y])]
+    docs = frame(spark, list(enumerate(lines)))
+    found = linededup.candidates(docs)
+    assert found.where("key IS NULL").select("a", "b").distinct().count() < len(lines) * (len(lines) - 1) / 2 * 0.4
+    ids = [int(np.uint64(linededup.xxhash.xxh3_64_intdigest(x.encode())).astype(np.int64)) for x in lines]
+    payloads = spark.createDataFrame([(i, x.encode()) for i, x in zip(ids, lines, strict=True)], "id long, payload binary")
+    edges = linededup.pair_edges(linededup.leading_pairs(found), payloads, "links")
+    more = linededup.remaining_pairs(found, edges, payloads)
+    links = edges.unionByName(more)
+    assert {tuple(sorted((ids.index(x.a), ids.index(x.b)))) for x in links.collect()} <= set(near)
+    group = {x.id: x.component for x in graph.components(links).collect()}
+    assert len(near) >= 20 and all(group[ids[x]] == group[ids[y]] for x, y in near)
+
+
 def test_similar_lengths_share_a_window(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(11, 400), *range(1000, 1250)]], "chars int")
     here = {}
