@@ -27,14 +27,21 @@ MIN_WORDS = 5
 #: without spaces, which edits at spaces leave alone. Lines of more than WIDE characters a word have the tier "wide" instead.
 TIERS = (("bytes", 3, 1, 30, 3, 28), ("bytes", 5, 27, 64, 3, 28), ("letters", 14, 57, 130, 1, 20), ("words", 8, 117, 1 << 62, 1, 7), ("wide", 12, 117, 1 << 62, 2, 10), ("letters", 16, 117, 1 << 62, 1, 7))
 KEYS, SLOTS, WIDE = 28, 4, 10
+#: N-grams of a line, about, that keys of 16 letters are chosen from: those with the smallest hashes, of lines of like length mostly
+#: the same. Lines with fewer than LEAST_SAMPLE of these (all repetitions) use all.
+SAMPLE, LEAST_SAMPLE = 64, 16
+#: Of 16 marks of second and third letters of the words of a shared n-gram, so many may differ; unrelated lines mostly differ in more.
+MARKS = 6
 #: The place of an n-gram that may lie anywhere in a line.
 ANYWHERE = 0xFFFF
 #: Groups of up to so many lines leave out members that fit none but the group's lead.
 SMALL_GROUP = 32
 #: Bytes of text whose lines' keys make one part, about. Members of a group that meet in one block. Bytes of members in a task, about.
 PART_BYTES, JOB_LINES, JOB_BYTES = 16_000_000, 1000, 3_000_000
-#: A line's key, the line, its characters and the key's place (both at most ANYWHERE).
-ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("chars", "<u2"), ("place", "<u2")])
+#: The lower half of a line's key (the part has the rest), its marks (0: none), the line, its characters and the key's place (both at most ANYWHERE).
+ENTRY = np.dtype([("key", "<u4"), ("marks", "<u4"), ("line", "<i8"), ("chars", "<u2"), ("place", "<u2")])
+#: A line, and where it stands: document, its number, number of the line.
+SEEN = np.dtype([("line", "<i8"), ("doc_id", "<i8"), ("row", "<i8"), ("line_no", "<i4")])
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
 AHEAD = ((16, 2), (1024, 2), (16, 1))
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
@@ -68,18 +75,31 @@ def powers(n: int, known: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa:
 
 
 def ngrams(codes: np.ndarray, starts: np.ndarray, amounts: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the stretches of ``q`` codes (of all, if there are fewer) of each line, and where each line's begin."""
+    """Hashes, still to be mixed, of the stretches of ``q`` codes (of all, if there are fewer) of each line, and where each line's begin."""
     power, inverse = powers(len(codes) + 1)
     before = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * power[: len(codes)], out=before[1:])
     n = np.maximum(amounts - q + 1, 1)
     first = np.cumsum(n) - n
+    if len(amounts) and amounts.min() >= q:
+        at = np.arange(int(n.sum())) + np.repeat(starts - first, n)
+        return (before[at + q] - before[at]) * inverse[at], first
     at = np.arange(int(n.sum())) + np.repeat(starts - first, n)
-    return mix((before[at + np.repeat(np.minimum(amounts, q), n)] - before[at]) * inverse[at]), first
+    return (before[at + np.repeat(np.minimum(amounts, q), n)] - before[at]) * inverse[at], first
 
 
-def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each word, of its first letter, the place of that letter in the joined lines, and the number of words of each line."""
+def sampled(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The n-grams among which a line's keys are chosen, as ascending numbers: those of the smallest hashes, SAMPLE or so a line."""
+    n = np.diff(np.r_[first, len(h)])
+    limit = np.full(len(n), np.uint64((1 << 64) - 1))
+    limit[n > SAMPLE] = (SAMPLE / n[n > SAMPLE] * 2.0**64).astype(np.uint64)
+    some = h <= np.repeat(limit, n)
+    few = np.add.reduceat(some, first, dtype=np.int64) < np.minimum(LEAST_SAMPLE, n)
+    return np.flatnonzero(some | np.repeat(few, n)) if few.any() else np.flatnonzero(some)
+
+
+def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each word, of its first letter, the place of that letter in the joined lines, four bits of the next two bytes, and the number of words of each line."""
     buf = np.frombuffer(b" ".join(lines) + b"   ", np.uint8)
     ends = np.flatnonzero(buf[:-2] == 32)
     begins = np.r_[0, ends[:-1] + 1]
@@ -87,7 +107,9 @@ def word_codes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = LETTERS[0][head]
     wide = np.flatnonzero(head >= 0xC0)  # letters of two bytes or three
     code[wide] += LETTERS[1][buf[begins[wide] + 1]] + LETTERS[2][buf[begins[wide] + 2]] * (head[wide] >= 0xE0)
-    return mix(code), begins, np.array([x.count(b" ") + 1 for x in lines], np.int64)
+    second = buf[begins + 1]
+    marks = (second * np.uint8(0x9D) >> 6 & 3) << 2 | (np.where(second == 32, 0, buf[begins + 2]) * np.uint8(0x9D) >> 6 & 3)
+    return mix(code), begins, marks.astype(np.uint64), np.array([x.count(b" ") + 1 for x in lines], np.int64)
 
 
 def repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -102,16 +124,18 @@ def repeats(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return twice
 
 
-def placed_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths in characters, keys (lines x SLOTS x KEYS, 0 for none) for a line's tiers in turn, and each key's place.
+def placed_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths in characters, keys (lines x SLOTS x KEYS, 0 for none) for a line's tiers in turn, and each key's place and marks.
 
     A key holds the n-gram that comes first in one permutation, or in each of two or three. It agrees with the
     Jaccard coefficient of two lines' n-grams, or its power, as probability. The place is the character of the line
     that a key's only n-gram begins with; ANYWHERE for keys of several n-grams and for n-grams that occur more than once.
+    Marks tell of the words of such an n-gram what its first letters leave out; 0 where there are none.
     """
     chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines], np.int64)
     spaces = np.array([x.count(b" ") for x in lines], np.int64)
-    keys, places = np.zeros((len(lines), SLOTS, KEYS), np.uint64), np.full((len(lines), SLOTS, KEYS), ANYWHERE, np.uint16)
+    shape = (len(lines), SLOTS, KEYS)
+    keys, places, marks = np.zeros(shape, np.uint64), np.full(shape, ANYWHERE, np.uint16), np.zeros(shape, np.uint32)
     wide = chars > WIDE * (spaces + 1)
     for t, (unit, q, low, high, permutations, count) in enumerate(TIERS):
         own = {"wide": wide, "words": spaces + 1 >= q}.get(unit, ~wide | (chars <= 130))  # few words make no n-gram that tells lines apart
@@ -120,38 +144,51 @@ def placed_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
             continue
         chosen = [lines[i] for i in rows]
         buf = np.frombuffer(b" ".join([*chosen, b""]), np.uint8)
+        sizes = np.array([len(x) for x in chosen], np.int64)
+        word_marks = None
         if unit == "words":
-            codes, at, amounts = word_codes(chosen)
+            codes, at, word_marks, amounts = word_codes(chosen)
         elif unit == "letters":
             at = np.flatnonzero(buf != 32)
-            codes, amounts = LETTERS[0][buf[at]], np.array([len(x) for x in chosen], np.int64) - spaces[rows]
+            codes, amounts = LETTERS[0][buf[at]], sizes - spaces[rows]
         else:
-            codes, amounts = LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], np.array([len(x) for x in chosen], np.int64)
-        h, first = ngrams(codes, np.cumsum(amounts) - amounts, amounts, q)
+            codes, amounts = LETTERS[0][np.frombuffer(b"".join(chosen), np.uint8)], sizes
+        begins = np.cumsum(amounts) - amounts
+        h, first = ngrams(codes, begins, amounts, q)
         placed = permutations == 1
         if placed:
             n = np.diff(np.r_[first, len(h)])
-            row = np.repeat(np.arange(len(rows)), n)
+            some = sampled(h, first) if unit == "letters" else np.arange(len(h))
+            row = np.repeat(np.arange(len(rows)), n)[some]
+            starts = some + (begins - first)[row]  # of the n-grams, among the codes
+            h, first = mix(h[some]), np.searchsorted(row, np.arange(len(rows)))
             before = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]  # characters before each byte
-            sizes = np.array([len(x) for x in chosen], np.int64) + 1
-            starts = np.arange(len(h)) + np.repeat(np.cumsum(amounts) - amounts - first, n)
-            place = before[at[starts]] - np.repeat(before[np.cumsum(sizes) - sizes], n)
-            place[(place > ANYWHERE) | repeats(h, row)] = ANYWHERE
-            place = place.astype(np.uint64)
+            place = before[at[starts]] - before[np.cumsum(sizes + 1) - sizes - 1][row]
+            more = sum((word_marks[np.minimum(starts + k, len(word_marks) - 1)] << np.uint64(4 * k) for k in range(q)), np.uint64(0)) if word_marks is not None else np.zeros(len(h), np.uint64)
+            again = repeats(h, row)
+            place[(place > ANYWHERE) | again] = ANYWHERE
+            more[again] = 0
+            nth = (np.arange(len(h)) - first[row])
+            nth = np.minimum(nth, ANYWHERE).astype(np.uint64)
             h &= np.uint64((1 << 64) - 1 - ANYWHERE)
+        else:
+            h = mix(h)
         for k, factors in enumerate(FACTORS[:count]):
             key = np.full(len(rows), t * KEYS + k + 1, np.uint64)
             for f in factors[:permutations]:
                 v = h * f
                 if placed:
-                    v |= place  # the lowest 16 bits are zero there
+                    v |= nth  # the lowest 16 bits are zero there
                 least = np.minimum.reduceat(v, first)
                 if placed:
-                    places[rows, t % SLOTS, k] = least & np.uint64(ANYWHERE)
+                    which = (least & np.uint64(ANYWHERE)).astype(np.int64)
+                    best = np.minimum(first + which, len(h) - 1)
+                    places[rows, t % SLOTS, k] = np.where(which < ANYWHERE, place[best], ANYWHERE)
+                    marks[rows, t % SLOTS, k] = np.where(which < ANYWHERE, more[best], 0)
                     least >>= np.uint64(16)
                 key = mix(key * GOLD + least)
             keys[rows, t % SLOTS, k] = key
-    return chars, keys, places
+    return chars, keys, places, marks
 
 
 def sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,20 +286,6 @@ def profiles(texts: list[str]) -> np.ndarray:
     return np.bincount((row * 1024 + triples)[inside], minlength=1024 * len(texts)).reshape(-1, 1024)
 
 
-def all_apart(left: list[str], right: list[str]) -> np.ndarray:
-    """:func:`apart` for the pairs of two lists, in parts of bounded size."""
-    out = np.zeros(len(left), bool)
-    most = np.array([allowed(a, b) for a, b in zip(left, right, strict=True)], np.int64)
-    ends = np.cumsum([len(a) + len(b) for a, b in zip(left, right, strict=True)])
-    at = 0
-    while at < len(left):
-        to = min(at + 128, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000))))
-        more = profiles(left[at:to]) - profiles(right[at:to])
-        out[at:to] = np.abs(more).sum(axis=1) + np.abs(more.sum(axis=1)) > 6 * most[at:to]
-        at = to
-    return out
-
-
 def binned(payloads: list[bytes]) -> tuple[list[str], np.ndarray]:
     """Texts and their profiles, each count 255 at most."""
     texts = [x.decode("utf-8", "replace") for x in payloads]
@@ -284,6 +307,100 @@ def distances(chars: np.ndarray, bins: np.ndarray, left: np.ndarray, right: np.n
     return out
 
 
+def near(left: list[str], right: list[str]) -> np.ndarray:
+    """Whether the edit similarity of pairs of texts is high enough, many pairs at a time."""
+    out = np.zeros(len(left), bool)
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    most = np.maximum(m, n) // 10
+    able = np.flatnonzero((np.abs(m - n) <= most) & (m > 0) & (n > 0))
+    able = able[np.lexsort((n[able], m[able]))]
+    at = 0
+    while at < len(able):
+        blocks = int(m[able[at]]) // 64 + 1
+        to = at + max(1, min(2048, 8192 // blocks))
+        to = at + int(np.searchsorted(m[able[at:to]], 1.25 * m[able[at]] + 64, "right"))  # of about one length
+        rows = able[at:to]
+        if len(rows) < 8 * (int(most[rows].max()) // 32 + 2):
+            out[rows] = [settled(left[i], right[i]) for i in rows]
+        else:
+            out[rows] = side_by_side([left[i] for i in rows], [right[i] for i in rows], most[rows])
+        at = to
+    return out | ((m == n) & (m == 0))
+
+
+def side_by_side(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether Levenshtein distances of pairs are at most ``most``, by bit-parallel rows in blocks of 64 characters, all pairs at once.
+
+    Only blocks that touch the diagonals up to the largest of ``most`` are computed; what lies beyond counts as larger, which it is.
+    """
+    m, n = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    order = np.argsort(n, kind="stable")
+    m, n, most = m[order], n[order], most[order]
+    amount, width, blocks, far = len(m), int(n.max()), int((m.max() + 63) // 64), int(most.max()) + 1
+    a, b = (np.frombuffer("".join([side[i] for i in order]).encode("utf-32-le", "replace"), np.uint32) for side in (left, right))
+    letters, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    kinds = len(letters) + 1
+    if kinds * blocks * amount > 8_000_000 and amount > 1:  # scripts of many characters
+        half, out = amount // 2, np.empty(amount, bool)
+        for part in (slice(0, half), slice(half, amount)):
+            out[order[part]] = side_by_side([left[i] for i in order[part]], [right[i] for i in order[part]], most[part])
+        return out
+    pattern, text = np.full((amount, blocks * 64), kinds - 1, np.int32), np.full((amount, width), kinds - 1, np.int32)
+    pattern[np.arange(blocks * 64) < m[:, None]] = codes[: len(a)]
+    text[np.arange(width) < n[:, None]] = codes[len(a) :]
+    base = np.arange(amount) * kinds
+    text = text.T + base
+    has = np.zeros((blocks, amount * kinds), np.uint64)  # the places of each letter in each text of the left
+    for w in range(blocks):
+        for i in range(64):
+            has[w, base + pattern[:, 64 * w + i]] |= np.uint64(1 << i)
+    one, top = np.uint64(1), np.uint64(63)
+    plus, minus = np.full((blocks, amount), np.uint64((1 << 64) - 1)), np.zeros((blocks, amount), np.uint64)
+    score = np.repeat((np.arange(blocks, dtype=np.int64) + 1)[:, None] * 64, amount, axis=1)  # at the bottom of each block
+    ends = np.searchsorted(n, np.arange(width + 2))  # pairs ended before each row
+    last_of, out, last = (m - 1) // 64, np.zeros(amount, bool), min(blocks - 1, far // 64)
+    high = ~((np.uint64(2) << ((m - 1) % 64).astype(np.uint64)) - one)
+    for j in range(width):
+        if last < (reach := min(blocks - 1, (j + far) // 64)):
+            last = reach
+            score[last] = score[last - 1] + 64
+        low = max(0, j - far) // 64
+        up, down = np.ones(amount, np.uint64), np.zeros(amount, np.uint64)
+        for w in range(low, last + 1):
+            p, q = plus[w], minus[w]
+            eq = has[w].take(text[j])
+            x = eq | q
+            eq |= down
+            h = eq & p
+            h += p
+            h ^= p
+            h |= eq
+            fall = p & h
+            h |= p
+            rise = np.invert(h, out=h)
+            rise |= q
+            up_next, down_next = rise >> top, fall >> top
+            score[w] += up_next.view(np.int64)
+            score[w] -= down_next.view(np.int64)
+            rise <<= one
+            rise |= up
+            np.bitwise_and(rise, x, out=q)
+            x |= rise
+            fall <<= one
+            fall |= down
+            np.invert(x, out=p)
+            p |= fall
+            up, down = up_next, down_next
+        if ends[j + 1] < ends[j + 2]:
+            i = np.arange(ends[j + 1], ends[j + 2])
+            w = last_of[i]
+            d = score[w, i] - np.bitwise_count(plus[w, i] & high[i]) + np.bitwise_count(minus[w, i] & high[i])
+            out[i] = (w >= low) & (w <= last) & (d <= most[i])
+    back = np.empty(amount, bool)
+    back[order] = out
+    return back
+
+
 def settled(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough, for lines whose profiles allow it."""
     most = allowed(a, b)
@@ -293,12 +410,6 @@ def settled(a: str, b: str) -> bool:
     return 2 * len(set(x) & set(y)) >= len(x) / 2 and within(x, y, most) or edit_distance(a, b, most) <= most
 
 
-def similar_at(a: str, b: str, far: float) -> bool:
-    """As :func:`settled`, for lines whose distance of profiles is known: no alignment by words is tried where it would hardly succeed."""
-    most = allowed(a, b)
-    return settled(a, b) if far <= 0.6 or len(a) > 5000 else abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
-
-
 def similar(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough.
 
@@ -328,75 +439,74 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (number of the document), line_no, line (64-bit identity) of all lines that count."""
-
-    def run(batches):
-        for b in batches:
-            for doc, row, no, lines in lines_of(b, MIN_BYTES):
-                line = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(no, pa.int32()), pa.array(line.view(np.int64))], ["doc_id", "row", "line_no", "line"])
-
-    return numbered(docs).mapInArrow(run, "doc_id long, row long, line_no int, line long")
-
-
-def keyed_lines(docs: DataFrame, parts: int) -> DataFrame:
-    """part, entries: the keys of all lines that are compared with unequal ones, dealt to parts by key, as many ENTRYs in one value.
+def surveyed_lines(docs: DataFrame, parts: int) -> DataFrame:
+    """part, entries: all lines that count, dealt by line to parts below 0, as many SEENs in one value; and the keys of those that
+    are compared with unequal ones, dealt by key to parts from 0 on, as ENTRYs.
 
-    A line that a task meets again mostly gets no second entries. Keys travel as arrays and not as rows, which would
-    cost more than all the rest.
+    A line that a task meets again mostly gets no second keys. Lines and keys travel as arrays and not as rows, which
+    would cost more than all the rest.
     """
 
     def run(batches):
         known: set[int] = set()  # lines whose keys this task has returned already
-        held, amount = [], 0
+        held, seen, amount = [], [], 0
 
         def dealt():
-            e = np.concatenate(held)
-            part = ((e["key"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
-            begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            entries = [e[x:y].tobytes() for x, y in zip(begins, [*begins[1:], len(e)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part[begins]), pa.array(entries, pa.binary())], ["part", "entries"])
+            for all_of, below in ((held, False), (seen, True)):
+                if not all_of:
+                    continue
+                e, part = (np.concatenate([x[i] for x in all_of]) for i in range(2))
+                order = np.argsort(part, kind="stable")
+                e, part = e[order], part[order]
+                begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                entries = [e[x:y].tobytes() for x, y in zip(begins, [*begins[1:], len(e)], strict=True)]
+                numbers = part[begins].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - numbers if below else numbers), pa.array(entries, pa.binary())], ["part", "entries"])
 
         for b in batches:
-            for _, _, _, lines in lines_of(b, FUZZY_BYTES):
+            for doc, row, no, lines in lines_of(b, MIN_BYTES):
+                names = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+                e = np.empty(len(lines), SEEN)
+                e["line"], e["doc_id"], e["row"], e["line_no"] = names.view(np.int64), doc, row, no
+                seen.append((e, (names >> np.uint64(32)) % np.uint64(parts)))
+                amount += len(e)
                 if len(known) > 200_000:
                     known.clear()
                 fresh = {}
-                for x in lines:
-                    h = xxhash.xxh3_64_intdigest(x)
-                    if h not in known:
+                for h, x in zip(names.tolist(), lines, strict=True):
+                    if h not in known and counts(x, FUZZY_BYTES):
                         known.add(h)
                         fresh[h] = x
-                if not fresh:
-                    continue
-                chars, keys, places = placed_sketches(list(fresh.values()))
-                i, slot, k = np.nonzero(keys)
-                e = np.empty(len(i), ENTRY)
-                e["key"], e["line"] = keys[i, slot, k], np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[i]
-                e["chars"], e["place"] = np.minimum(chars, ANYWHERE)[i], np.where(chars[i] < ANYWHERE, places[i, slot, k], ANYWHERE)
-                held.append(e)
-                amount += len(e)
+                if fresh:
+                    chars, keys, places, marks = placed_sketches(list(fresh.values()))
+                    i, slot, k = np.nonzero(keys)
+                    key = keys[i, slot, k]
+                    e = np.empty(len(i), ENTRY)
+                    e["key"], e["marks"], e["line"] = key & np.uint64(0xFFFFFFFF), marks[i, slot, k], np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[i]
+                    e["chars"], e["place"] = np.minimum(chars, ANYWHERE)[i], np.where(chars[i] < ANYWHERE, places[i, slot, k], ANYWHERE)
+                    held.append((e, (key >> np.uint64(32)) % np.uint64(parts)))
+                    amount += len(e)
                 if amount > 1_000_000:
-                    yield dealt()
-                    held, amount = [], 0
-        if amount:
-            yield dealt()
+                    yield from dealt()
+                    held, seen, amount = [], [], 0
+        yield from dealt()
 
     return numbered(docs).mapInArrow(run, "part int, entries binary")
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether lengths and places of a shared key allow the edit similarity, for ENTRYs side by side.
+    """Whether lengths and places of a shared key allow the edit similarity, and marks make it likely, for ENTRYs side by side.
 
     Lines that are aligned at a shared n-gram need as many edits before it as it is displaced, and so do the rests.
     Lengths of more than ANYWHERE characters count as that many and lie anywhere, which rules out no pair that is similar.
     """
     a, b, p, q = (v.astype(np.int64) for v in (x["chars"], y["chars"], x["place"], y["place"]))
     most = np.maximum(a, b) // 10
-    return (np.abs(a - b) <= most) & ((p == ANYWHERE) | (q == ANYWHERE) | (np.abs(p - q) + np.abs(a - p - b + q) <= most))
+    good = (np.abs(a - b) <= most) & ((p == ANYWHERE) | (q == ANYWHERE) | (np.abs(p - q) + np.abs(a - p - b + q) <= most))
+    s, t = x["marks"], y["marks"]
+    unlike = s ^ t
+    unlike = (unlike | unlike >> np.uint32(1)) & np.uint32(0x55555555)
+    return good & ((s == 0) | (t == 0) | (np.bitwise_count(unlike) <= MARKS))
 
 
 def window_array() -> F.Column:
@@ -430,18 +540,28 @@ def meetings(rank: np.ndarray, times: np.ndarray):
         at = to
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Candidates among different lines, as a table of leads' pairs and members: key, a, b, chars, place, n.
+def survey(docs: DataFrame) -> DataFrame:
+    """Lines and candidates, in one pass over the documents: kind, key, a, b, chars, place, marks, n.
 
-    Lines with a common key whose lengths and places :func:`fit` are candidates, however many have that key. Rows
-    without a key are pairs of a group's lead, its smallest line, with another one (a < b). The others' pairs are not
-    listed: rows with a key are members that fit another one than the lead (in groups of more than SMALL_GROUP: all but
-    the lead): a (the line), n (the number of lines of the group).
+    Of kind 0, :func:`candidates`. Of kind 1, the first row (by doc_id, row, line_no) with each line: key (doc_id),
+    a (the line), b (row), n (line_no). Of kind 2, the others with an equal line, likewise.
     """
     amount = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts, most = max(8, int(amount // PART_BYTES)), SMALL_GROUP
+    names = ["kind", "key", "a", "b", "chars", "place", "marks", "n"]
+
+    def repeated(table: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(table["entries"].to_pylist()), SEEN)
+        e = e[np.lexsort((e["line_no"], e["row"], e["doc_id"], e["line"]))]
+        e = e[np.r_[True, e[1:] != e[:-1]][: len(e)]]
+        first = np.r_[True, e["line"][1:] != e["line"][:-1]][: len(e)]
+        none = pa.nulls(len(e), pa.int32())
+        return pa.table([pa.array(np.where(first, 1, 2).astype(np.int32)), e["doc_id"].copy(), e["line"].copy(), e["row"].copy(), none, none, none, e["line_no"].copy()], names)
 
     def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part < 0:
+            return repeated(table)
         e = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
         e = e[np.argsort(e["key"])]
         same = e["key"][1:] == e["key"][:-1]
@@ -465,14 +585,30 @@ def candidates(docs: DataFrame) -> DataFrame:
         a, b = a[new], b[new]
         e, n = e[member], n[member]
         pairs, none, some = np.zeros(len(a), np.int64), np.ones(len(a), bool), np.zeros(len(e), bool)
+        whole = lambda name: pa.array(np.r_[pairs, e[name]].astype(np.int32))
         cols = [
-            pa.array(np.r_[pairs, e["key"].view(np.int64) if len(e) else e["key"].astype(np.int64)], pa.int64(), mask=np.r_[none, some]),
-            pa.array(np.r_[a, e["line"]], pa.int64()), pa.array(np.r_[b, e["line"]], pa.int64()),
-            pa.array(np.r_[pairs, e["chars"]].astype(np.int32)), pa.array(np.r_[pairs, e["place"]].astype(np.int32)), pa.array(np.r_[pairs, n].astype(np.int32)),
+            pa.array(np.zeros(len(a) + len(e), np.int32)), pa.array(np.r_[pairs, np.int64(part) << 32 | e["key"].astype(np.int64)], pa.int64(), mask=np.r_[none, some]),
+            pa.array(np.r_[a, e["line"]], pa.int64()), pa.array(np.r_[b, e["line"]], pa.int64()), whole("chars"), whole("place"),
+            pa.array(np.r_[pairs, e["marks"]].astype(np.uint32).view(np.int32)), pa.array(np.r_[pairs, n].astype(np.int32)),
         ]
-        return pa.table(cols, ["key", "a", "b", "chars", "place", "n"])
+        return pa.table(cols, names)
+
+    return cut(surveyed_lines(docs, parts).groupBy("part").applyInArrow(run, "kind int, key long, a long, b long, chars int, place int, marks int, n int"), "survey")
 
-    return cut(keyed_lines(docs, parts).groupBy("part").applyInArrow(run, "key long, a long, b long, chars int, place int, n int"), "candidates")
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """Candidates among different lines, as a table of leads' pairs and members: key, a, b, chars, place, marks, n.
+
+    Lines with a common key that :func:`fit` are candidates, however many have that key. Rows without a key are pairs
+    of a group's lead, its smallest line, with another one (a < b). The others' pairs are not listed: rows with a key
+    are members that fit another one than the lead (in groups of more than SMALL_GROUP: all but the lead): a (the
+    line), n (the number of lines of the group).
+    """
+    return candidates_of(survey(docs))
+
+
+def candidates_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 0").drop("kind")
 
 
 def labels_of(edges: DataFrame) -> DataFrame:
@@ -481,102 +617,87 @@ def labels_of(edges: DataFrame) -> DataFrame:
 
 
 def members_of(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """line, chars, label, places (key, window, place, parts): the members that share a key with a line that they are not linked to.
+    """line, chars, label, places (key, window, place, marks, parts): the members that share a key with a line that they are not linked to.
 
     Groups of more than JOB_LINES lines are dealt by windows of length, and what is still large to parts.
     """
     window = F.explode(F.when(F.col("n") <= JOB_LINES, F.array(F.lit(0).cast("long"))).otherwise(window_array())).alias("window")
-    rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("line"), "chars", "place", "n").join(labels_of(edges), "line", "left")
-    rows = cut(rows.select("key", window, "line", "chars", "place", F.coalesce("label", "line").alias("label")), "line-members")
+    rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("line"), "chars", "place", "marks", "n").join(labels_of(edges), "line", "left")
+    rows = cut(rows.select("key", window, "line", "chars", "place", "marks", F.coalesce("label", "line").alias("label")), "line-members")
     live = rows.groupBy("key", "window").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / JOB_LINES).cast("int").alias("parts"))
     rows = rows.join(live.where("low < high").drop("low", "high"), ["key", "window"])
-    return rows.groupBy("line", "chars", "label").agg(F.array_sort(F.collect_list(F.struct("key", "window", "place", "parts"))).alias("places"))
-
-
-def first_fit(x: tuple, y: tuple, chars: tuple[int, int]) -> tuple | None:
-    """The first (key, window) that two lines have in common and that allows the edit similarity, for ascending (key, window, place)."""
-    i = j = 0
-    a, b = chars
-    most = max(a, b) // 10
-    while i < len(x) and j < len(y):
-        if x[i][:2] == y[j][:2]:
-            p, q = x[i][2], y[j][2]
-            if p == ANYWHERE or q == ANYWHERE or abs(p - q) + abs(a - p - b + q) <= most:
-                return x[i][:2]
-            i, j = i + 1, j + 1
-        elif x[i][:2] < y[j][:2]:
-            i += 1
-        else:
-            j += 1
-    return None
+    return rows.groupBy("line", "chars", "label").agg(F.array_sort(F.collect_list(F.struct("key", "window", "place", "marks", "parts"))).alias("places"))
 
 
 def remaining_pairs(found: DataFrame, edges: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     """Candidates (a, b) other than the leads' own whose lines ``edges`` does not link; with ``payloads``, links among these.
 
     With ``payloads`` the lines' texts travel to the groups, once for each key that they share, and pairs are compared
-    there: a pair at the first key that allows it, and none whose lines the links found there join already. So no row
-    is a pair that is not similar, and what travels grows with the lines and not with the pairs.
+    there, none whose lines the links found there join already. So no row is a pair that is not similar, and what
+    travels grows with the lines and not with the pairs.
     """
     compare = payloads is not None
     members = cut(members_of(found, edges), "open-members")
     rows = members.withColumn("payload", F.lit(None).cast("binary")) if not compare else members.join(payloads, members["line"] == payloads["id"]).drop("id")
-    amount = members.agg(F.sum(F.size("places") * (F.col("chars") + 30 * F.size("places")))).first()[0] or 0
+    amount = members.agg(F.sum(F.size("places") * (F.col("chars") + 60))).first()[0] or 0
     jobs = max(8, int(amount // JOB_BYTES))
     rows = rows.withColumn("at", F.explode("places")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("at.parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1)))
     rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    rows = rows.select("at.key", "at.window", "at.place", "x", "y", "own", "line", "chars", "label", "payload", "places").withColumn("job", F.pmod(F.xxhash64("key", "window", "x", "y"), F.lit(jobs)).cast("int"))
+    rows = rows.select("at.key", "at.window", "at.place", "at.marks", "x", "y", "own", "line", "chars", "label", "payload").withColumn("job", F.pmod(F.xxhash64("key", "window", "x", "y"), F.lit(jobs)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        key, window, place, x, y, own, line, chars, label = (table[c].to_numpy().astype(np.int64) for c in ("key", "window", "place", "x", "y", "own", "line", "chars", "label"))
-        order = np.lexsort((line, y, x, window, key))
-        key, window, place, x, y, own, line, chars, label = (c[order] for c in (key, window, place, x, y, own, line, chars, label))
+        cols = {c: table[c].to_numpy().astype(np.int64) for c in ("key", "window", "x", "y", "own", "line", "chars", "place", "marks", "label")}
+        order = np.lexsort([cols[c] for c in ("line", "y", "x", "window", "key")])
+        key, window, x, y, own, line, chars, place, marks, label = (c[order] for c in cols.values())
         new = np.r_[True, np.any([c[1:] != c[:-1] for c in (key, window, x, y)], axis=0)]
         sizes = np.diff(np.r_[np.flatnonzero(new), len(key)])
         group, rank = np.cumsum(new) - 1, ranks(sizes)
         names, slot = np.unique(line, return_inverse=True)
         row_of = np.empty(len(names), np.int64)
         row_of[slot] = order  # any of a line's rows
-        e = np.empty(len(key), [("chars", np.int64), ("place", np.int64)])
-        e["chars"], e["place"] = chars, place
-        texts, bins = binned(table["payload"].take(pa.array(row_of)).to_pylist()) if compare else (None, None)
-        links: list[tuple[int, int]] = []
-        chars_of = np.array([len(t) for t in texts or []], np.int64)
-        places: dict[int, list] = {}
-
-        def places_of(i: int) -> list:
-            if (at := int(slot[i])) not in places:
-                places[at] = [tuple(p.values()) for p in table["places"][int(row_of[at])].as_py()]
-            return places[at]
-
+        e = np.empty(len(key), [("chars", np.int64), ("place", np.int64), ("marks", np.uint32)])
+        e["chars"], e["place"], e["marks"] = chars, place, marks.astype(np.uint32)
         node = np.unique(np.stack([group, label]), axis=1, return_inverse=True)[1].ravel()
         joined = np.arange(len(key))  # for each label of a group, what the links found there join
+        found, texts, bins = [np.zeros((0, 2), np.int64)], None, None
         for left, right, _ in meetings(rank, rank):
             good = (joined[node[left]] != joined[node[right]]) & ((x[left] == y[left]) | (own[left] != own[right]))
             left, right = left[good], right[good]
             good = fit(e[left], e[right])
             left, right = left[good], right[good]
-            if compare:  # the nearest first, as those that are joined by others need no comparison
-                far = distances(chars_of, bins, slot[left], slot[right])
-                order = np.argsort(far)[: int((far <= 1).sum())]
-                left, right, far = left[order], right[order], far[order]
-            for i, j, d in zip(left.tolist(), right.tolist(), far.tolist() if compare else left.tolist(), strict=True):
-                u, v = joined[node[i]], joined[node[j]]
-                if u == v or first_fit(places_of(i), places_of(j), (int(chars[i]), int(chars[j]))) != (key[i], window[i]):
-                    continue
-                if not compare:
-                    links.append((i, j))
-                elif similar_at(texts[slot[i]], texts[slot[j]], d):
-                    joined[joined == u] = v
-                    links.append((i, j))
-        a, b = np.array(links, np.int64).reshape(-1, 2).T
-        a, b = line[a], line[b]
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
+            if not compare:
+                found.append(np.stack([left, right], axis=1))
+                continue
+            if not len(left):
+                continue
+            if texts is None:
+                texts, bins = binned(table["payload"].take(pa.array(row_of)).to_pylist())
+                chars_of = np.array([len(t) for t in texts], np.int64)
+            # the nearest first, as those that are joined by others need no comparison; pairs of several groups are compared once
+            far = distances(chars_of, bins, slot[left], slot[right])
+            order = np.argsort(far)[: int((far <= 1).sum())]
+            left, right = left[order], right[order]
+            pair, of = np.unique(np.minimum(slot[left], slot[right]) * len(names) + np.maximum(slot[left], slot[right]), return_inverse=True)
+            said = np.full(len(pair), -1, np.int8)
+            for at in range(0, len(left), 2048):
+                part = np.arange(at, min(at + 2048, len(left)))
+                part = part[joined[node[left[part]]] != joined[node[right[part]]]]
+                asked = np.unique(of[part][said[of[part]] < 0])
+                said[asked] = near([texts[i] for i in pair[asked] // len(names)], [texts[i] for i in pair[asked] % len(names)])
+                for i, j in np.stack([left[part], right[part]], axis=1)[said[of[part]] == 1].tolist():
+                    u, v = joined[node[i]], joined[node[j]]
+                    if u != v:
+                        joined[joined == u] = v
+                        found.append(np.array([[i, j]]))
+        a, b = line[np.concatenate(found).T]
+        ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table([ends[0], ends[1]], ["a", "b"])
 
     with heavy(found.sparkSession, 500):
-        out = cut(rows.groupBy("job").applyInArrow(run, "a long, b long"), "more-line-links")
+        out = rows.groupBy("job").applyInArrow(run, "a long, b long")
+        out = cut(out if compare else out.distinct(), "more-line-links")
     drop_table(members)
     return out
 
@@ -586,9 +707,9 @@ def leading_pairs(found: DataFrame) -> DataFrame:
     return found.where("key IS NULL").select("a", "b").distinct()
 
 
-def payloads_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, payload: the normalised bytes of the lines ``ids``, taken from the first document that has each."""
-    wanted = classes.join(ids, classes["line"] == ids["id"]).select("id", F.col("first.row").alias("_row"), F.col("first.line_no").alias("line_no"))
+def payloads_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, payload: the normalised bytes of lines (line, first), taken from the first document that has each."""
+    wanted = classes.select(F.col("line").alias("id"), F.col("first.row").alias("_row"), F.col("first.line_no").alias("line_no"))
     wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
     texts = docs.where("doc_id IS NOT NULL").select(row_key().alias("row"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["_row"]).select("text", "wanted.line_no", "wanted.id")
@@ -611,12 +732,11 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
     def run(batches):
         for b in batches:
             left, right = ([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (2, 3))
-            good = [not far and settled(x, y) for x, y, far in zip(left, right, all_apart(left, right), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(near(left, right), pa.bool_()))
 
     left = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
     both = left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y")
-    with heavy(pairs.sparkSession, 500):
+    with heavy(pairs.sparkSession, 3000):
         return cut(both.mapInArrow(run, "a long, b long"), name)
 
 
@@ -631,26 +751,25 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     count as one document. Null doc_id or text, empty text: no lines. Very long lines: compared whole. Ties (equal
     lines): the first stays. Empty table: no rows. Other columns are ignored.
     """
-    lines = cut(line_rows(docs), "lines")
-    first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")
-    classes = cut(lines.groupBy("line").agg(first, F.count("*").alias("n")), "line-classes")
-    found = candidates(docs)
-    payloads = cut(payloads_of(docs, classes, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()).dropDuplicates(["id"]), "line-texts")
-    edges = pair_edges(leading_pairs(found), payloads, "line-links")
+    found = survey(docs)
+    seen = [found.where(F.col("kind") == k).select(F.col("a").alias("line"), F.struct(F.col("key").alias("doc_id"), F.col("b").alias("row"), F.col("n").alias("line_no")).alias("first")) for k in (1, 2)]
+    open_lines = candidates_of(found)
+    ids = open_lines.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    classes = cut(seen[0].join(ids, seen[0]["line"] == ids["id"], "left_semi"), "line-classes")
+    payloads = cut(payloads_of(docs, classes).dropDuplicates(["id"]), "line-texts")
+    edges = pair_edges(leading_pairs(open_lines), payloads, "line-links")
     linked = cut(components(edges).select(F.col("component").alias("a"), F.col("id").alias("b")), "lead-groups")
-    more = remaining_pairs(found, linked, payloads)
-    for t in (found, payloads, edges):
+    more = remaining_pairs(open_lines, linked, payloads)
+    for t in (payloads, edges):
         drop_table(t)
     groups = cut(components(linked.unionByName(more)), "line-groups")
     drop_table(linked)
-    grouped = classes.join(groups, classes["line"] == groups["id"], "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"), F.col("component").isNotNull().alias("linked"))
-    alone = grouped.where("NOT linked AND n > 1").select("line", F.col("first").alias("keep"))
-    linked = cut(grouped.where("linked"), "linked-lines")
-    firsts = linked.groupBy("component").agg(F.min("first").alias("keep"))
-    repeated = cut(alone.unionByName(linked.join(firsts, "component").select("line", "keep")), "repeated-lines")
-    gone = lines.join(repeated, "line").where(F.struct("doc_id", "row", "line_no") > F.col("keep")).select("doc_id", "row", "line_no").distinct()
+    grouped = cut(classes.join(groups, classes["line"] == groups["id"]).select("component", "first"), "linked-lines")
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("keep"))
+    later = grouped.join(firsts, "component").where(F.col("first") > F.col("keep")).select("first.*")
+    gone = later.unionByName(seen[1].select("first.*"))  # the first of a line that others precede, and all that have an equal one before them
     out = cut(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("line_no")).alias("lines")), "gone-lines")  # lines of one document
-    for t in (lines, classes, more, groups, linked, repeated):
+    for t in (found, classes, more, groups, grouped):
         drop_table(t)
     return out
 

@@ -445,6 +445,36 @@ def test_groups_of_unlike_lines_list_no_pairs(spark):
     assert len(near) >= 20 and all(group[ids[x]] == group[ids[y]] for x, y in near)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abc版", min_size=1, max_size=150), st.integers(0, 20), st.randoms(use_true_random=False)), min_size=1, max_size=12))
+def test_edit_distances_of_many_pairs(cases):
+    left, right = [x for x, _, _ in cases], []
+    for x, edits, r in cases:
+        y = list(x)
+        for _ in range(edits):
+            at = r.randrange(len(y))
+            y[at : at + r.randrange(2)] = r.choice(["", "a", "bc"])
+            y = y or ["a"]
+        right.append("".join(y))
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(left, right, strict=True)])
+    want = [levenshtein(x, y) <= k for x, y, k in zip(left, right, most.tolist(), strict=True)]
+    assert linededup.side_by_side(left, right, most).tolist() == want and linededup.near(left, right).tolist() == want
+
+
+def test_words_with_equal_first_letters_only_are_no_candidates(spark):
+    """Unrelated lines whose words begin alike are not listed as candidates, near copies of one of them are."""
+    r = random.Random(6)
+    heads = [r.choice("abcdefghijklmnop") for _ in range(40)]
+    word = lambda c: c + "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(4))
+    lines = [" ".join(map(word, heads)) for _ in range(30)]
+    docs = frame(spark, list(enumerate(lines)))
+    found = linededup.candidates(docs)
+    none = spark.createDataFrame([], "a long, b long")
+    assert linededup.leading_pairs(found).count() + linededup.remaining_pairs(found, none).count() < 30 * 29 / 2 * 0.05
+    near = [*lines, lines[0].replace(lines[0][30], "x", 2)]
+    assert {x.doc_id for x in linededup.duplicate_lines(frame(spark, list(enumerate(near)))).collect()} == {30}
+
+
 def test_similar_lengths_share_a_window(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(11, 400), *range(1000, 1250)]], "chars int")
     here = {}
