@@ -44,6 +44,8 @@ ENTRY = np.dtype([("key", "<u4"), ("marks", "<u4"), ("line", "<i8"), ("chars", "
 SEEN = np.dtype([("line", "<i8"), ("doc_id", "<i8"), ("row", "<i8"), ("line_no", "<i4")])
 #: Words in which an alignment looks for the next equal ones, and how many of these on end, in turn.
 AHEAD = ((16, 2), (1024, 2), (16, 1))
+#: Lines whose :func:`distances` are not above this are mostly similar, which an alignment by words then shows fastest.
+ALIGNED = 0.3
 #: Edit similarity, 1 - distance / longer length, that linked lines reach.
 EDIT_SIMILARITY = 0.9
 #: Bytes that normalising leaves out, and white space other than the space.
@@ -318,7 +320,7 @@ def near(left: list[str], right: list[str]) -> np.ndarray:
     while at < len(able):
         blocks = int(m[able[at]]) // 64 + 1
         to = at + max(1, min(2048, 8192 // blocks))
-        to = at + int(np.searchsorted(m[able[at:to]], 1.25 * m[able[at]] + 64, "right"))  # of about one length
+        to = at + int(np.searchsorted(m[able[at:to]], 1.5 * m[able[at]] + 64, "right"))  # of about one length
         rows = able[at:to]
         if len(rows) < 8 * (int(most[rows].max()) // 32 + 2):
             out[rows] = [settled(left[i], right[i]) for i in rows]
@@ -401,6 +403,13 @@ def side_by_side(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
     return back
 
 
+def binned_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`distances` of texts side by side."""
+    texts, bins = binned([x.encode("utf-8", "replace") for x in [*left, *right]])
+    i = np.arange(len(left))
+    return distances(np.array([len(t) for t in texts], np.int64), bins, i, i + len(left))
+
+
 def settled(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough, for lines whose profiles allow it."""
     most = allowed(a, b)
@@ -681,8 +690,9 @@ def remaining_pairs(found: DataFrame, edges: DataFrame, payloads: DataFrame | No
             left, right = left[order], right[order]
             pair, of = np.unique(np.minimum(slot[left], slot[right]) * len(names) + np.maximum(slot[left], slot[right]), return_inverse=True)
             said = np.full(len(pair), -1, np.int8)
-            for at in range(0, len(left), 2048):
-                part = np.arange(at, min(at + 2048, len(left)))
+            step = 2048 if len(left) > 50_000 else 8192
+            for at in range(0, len(left), step):
+                part = np.arange(at, min(at + step, len(left)))
                 part = part[joined[node[left[part]]] != joined[node[right[part]]]]
                 asked = np.unique(of[part][said[of[part]] < 0])
                 said[asked] = near([texts[i] for i in pair[asked] // len(names)], [texts[i] for i in pair[asked] % len(names)])
@@ -732,7 +742,12 @@ def pair_edges(pairs: DataFrame, payloads: DataFrame, name: str) -> DataFrame:
     def run(batches):
         for b in batches:
             left, right = ([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (2, 3))
-            yield b.select(["a", "b"]).filter(pa.array(near(left, right), pa.bool_()))
+            bins = binned_pairs(left, right)
+            good = bins <= 1
+            good[good] = [settled(left[i], right[i]) if far <= ALIGNED else True for i, far in zip(np.flatnonzero(good), bins[good], strict=True)]
+            rest = np.flatnonzero(good & (bins > ALIGNED))
+            good[rest] = near([left[i] for i in rest], [right[i] for i in rest])
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
     both = left.join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b").select("a", "b", "x", "y")
