@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sori.llm.graph import components
 from sori.llm.minhash import GOLD, mix
-from sori.llm.store import cut, drop_table, heavy, small_batches
+from sori.llm.store import cut, drop_table, heavy, settings, small_batches
 
 #: Bytes (UTF-8, after normalising) from which lines count at all, and from which they are also compared with unequal ones.
 MIN_BYTES, FUZZY_BYTES = 11, 20
@@ -35,10 +35,14 @@ MARKS = 6
 #: The place of an n-gram that may lie anywhere in a line.
 ANYWHERE = 0xFFFF
 #: Groups of up to so many lines leave out members that fit none but the group's lead.
-SMALL_GROUP = 32
-#: Bytes of text whose lines' keys make one part, about. Members of a group that meet in one block. Bytes of members in a task, about.
-PART_BYTES, JOB_LINES, JOB_BYTES = 16_000_000, 1000, 3_000_000
-#: The lower half of a line's key (the part has the rest), its marks (0: none), the line, its characters and the key's place (both at most ANYWHERE).
+SMALL_GROUP = 512
+#: Bytes of text whose lines' keys make one part, about. Members of a group that meet in one block. Bytes and pairs of members in a task, about.
+PART_BYTES, JOB_LINES, JOB_BYTES, JOB_PAIRS = 16_000_000, 1000, 16_000_000, 1_500_000
+#: Lists that a task gathers in memory before it sorts.
+GROUPS = 100_000
+#: Lowest bits of a key that hold its slot: two lines share a key only in one slot.
+SLOT_BITS = 7
+#: The lower half of a line's key (the part has the rest; the lowest bits are the slot), its marks (0: none), the line, its characters and the key's place (both at most ANYWHERE).
 ENTRY = np.dtype([("key", "<u4"), ("marks", "<u4"), ("line", "<i8"), ("chars", "<u2"), ("place", "<u2")])
 #: A line, and where it stands: document, its number, number of the line.
 SEEN = np.dtype([("line", "<i8"), ("doc_id", "<i8"), ("row", "<i8"), ("line_no", "<i4")])
@@ -164,32 +168,36 @@ def placed_sketches(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
             row = np.repeat(np.arange(len(rows)), n)[some]
             starts = some + (begins - first)[row]  # of the n-grams, among the codes
             h, first = mix(h[some]), np.searchsorted(row, np.arange(len(rows)))
-            before = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]  # characters before each byte
-            place = before[at[starts]] - before[np.cumsum(sizes + 1) - sizes - 1][row]
-            more = sum((word_marks[np.minimum(starts + k, len(word_marks) - 1)] << np.uint64(4 * k) for k in range(q)), np.uint64(0)) if word_marks is not None else np.zeros(len(h), np.uint64)
             again = repeats(h, row)
-            place[(place > ANYWHERE) | again] = ANYWHERE
-            more[again] = 0
-            nth = (np.arange(len(h)) - first[row])
-            nth = np.minimum(nth, ANYWHERE).astype(np.uint64)
+            nth = np.minimum(np.arange(len(h)) - first[row], ANYWHERE).astype(np.uint64)
             h &= np.uint64((1 << 64) - 1 - ANYWHERE)
         else:
             h = mix(h)
+        least = np.empty((permutations, count, len(rows)), np.uint64)
         for k, factors in enumerate(FACTORS[:count]):
-            key = np.full(len(rows), t * KEYS + k + 1, np.uint64)
-            for f in factors[:permutations]:
+            for f, into in zip(factors, least[:, k], strict=False):
                 v = h * f
                 if placed:
                     v |= nth  # the lowest 16 bits are zero there
-                least = np.minimum.reduceat(v, first)
-                if placed:
-                    which = (least & np.uint64(ANYWHERE)).astype(np.int64)
-                    best = np.minimum(first + which, len(h) - 1)
-                    places[rows, t % SLOTS, k] = np.where(which < ANYWHERE, place[best], ANYWHERE)
-                    marks[rows, t % SLOTS, k] = np.where(which < ANYWHERE, more[best], 0)
-                    least >>= np.uint64(16)
-                key = mix(key * GOLD + least)
-            keys[rows, t % SLOTS, k] = key
+                np.minimum.reduceat(v, first, out=into)
+        if placed:
+            which = (least[0] & np.uint64(ANYWHERE)).astype(np.int64).T
+            chosen_of = np.where(which < ANYWHERE, first[:, None] + which, -1)  # n-grams of each line's keys
+            least >>= np.uint64(16)
+        key = np.arange(t * KEYS + 1, t * KEYS + count + 1, dtype=np.uint64)[:, None]
+        for part in least:
+            key = mix(key * GOLD + part)
+        keys[rows, t % SLOTS, :count] = key.T
+        if placed:
+            known = (chosen_of >= 0) & ~again[chosen_of]
+            start = starts[chosen_of]
+            before = at[start] if buf.max() < 128 else np.r_[0, np.cumsum((buf & 0xC0) != 0x80)][at[start]]  # characters before the n-gram's byte
+            line_at = np.cumsum(chars[rows] + 1) - chars[rows] - 1
+            place = before - line_at[:, None]
+            places[rows, t % SLOTS, :count] = np.where(known & (place < ANYWHERE), place, ANYWHERE)
+            if word_marks is not None:
+                more = sum((word_marks[np.minimum(start + k, len(word_marks) - 1)] << np.uint64(4 * k) for k in range(q)), np.uint64(0))
+                marks[rows, t % SLOTS, :count] = np.where(known, more, 0)
     return chars, keys, places, marks
 
 
@@ -241,7 +249,10 @@ def within(x: list[str], y: list[str], most: int) -> bool:
     i = j = cost = 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            i, j = i + 1, j + 1
+            while x[i : i + 16] == y[j : j + 16] and i < len(x):
+                i, j = i + 16, j + 16
+            while i < len(x) and j < len(y) and x[i] == y[j]:
+                i, j = i + 1, j + 1
             continue
         best = None
         for ahead, run in AHEAD:
@@ -258,7 +269,7 @@ def within(x: list[str], y: list[str], most: int) -> bool:
         if cost > most:
             return False
         i, j = i + d, j + e
-    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
+    return cost + max(sum(map(len, x[i:])) + max(len(x) - i, 0), sum(map(len, y[j:])) + max(len(y) - j, 0)) <= most
 
 
 def profile(text: str) -> np.ndarray:
@@ -334,14 +345,17 @@ def side_by_side(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
     """Whether Levenshtein distances of pairs are at most ``most``, by bit-parallel rows in blocks of 64 characters, all pairs at once.
 
     Only blocks that touch the diagonals up to the largest of ``most`` are computed; what lies beyond counts as larger, which it is.
+    Pairs that have ended, or whose distance on the diagonal to the end is too large already (it never falls there), are left out from time to time.
     """
     m, n = (np.array([len(x) for x in side], np.int64) for side in (left, right))
     order = np.argsort(n, kind="stable")
     m, n, most = m[order], n[order], most[order]
     amount, width, blocks, far = len(m), int(n.max()), int((m.max() + 63) // 64), int(most.max()) + 1
     a, b = (np.frombuffer("".join([side[i] for i in order]).encode("utf-32-le", "replace"), np.uint32) for side in (left, right))
-    letters, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    kinds = len(letters) + 1
+    codes = np.concatenate([a, b])
+    numbers = np.bincount(codes) > 0
+    kinds = int(numbers.sum()) + 1
+    codes = (np.cumsum(numbers) - 1)[codes]
     if kinds * blocks * amount > 8_000_000 and amount > 1:  # scripts of many characters
         half, out = amount // 2, np.empty(amount, bool)
         for part in (slice(0, half), slice(half, amount)):
@@ -356,18 +370,24 @@ def side_by_side(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
     for w in range(blocks):
         for i in range(64):
             has[w, base + pattern[:, 64 * w + i]] |= np.uint64(1 << i)
-    one, top = np.uint64(1), np.uint64(63)
+    one, top, which = np.uint64(1), np.uint64(63), np.arange(amount)  # of the pairs that are left
     plus, minus = np.full((blocks, amount), np.uint64((1 << 64) - 1)), np.zeros((blocks, amount), np.uint64)
     score = np.repeat((np.arange(blocks, dtype=np.int64) + 1)[:, None] * 64, amount, axis=1)  # at the bottom of each block
     ends = np.searchsorted(n, np.arange(width + 2))  # pairs ended before each row
-    last_of, out, last = (m - 1) // 64, np.zeros(amount, bool), min(blocks - 1, far // 64)
-    high = ~((np.uint64(2) << ((m - 1) % 64).astype(np.uint64)) - one)
+    out, last = np.zeros(amount, bool), min(blocks - 1, far // 64)
+
+    def at_row(i: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Distances of beginnings of the left texts, of so many characters, from what has been read of the right ones."""
+        w, above = (row - 1) // 64, ~((np.uint64(2) << ((row - 1) % 64).astype(np.uint64)) - one)
+        d = score[w, i] - np.bitwise_count(plus[w, i] & above) + np.bitwise_count(minus[w, i] & above)
+        return np.where((w >= low) & (w <= last), d, far)
+
     for j in range(width):
         if last < (reach := min(blocks - 1, (j + far) // 64)):
             last = reach
             score[last] = score[last - 1] + 64
         low = max(0, j - far) // 64
-        up, down = np.ones(amount, np.uint64), np.zeros(amount, np.uint64)
+        up, down = np.ones(len(which), np.uint64), np.zeros(len(which), np.uint64)
         for w in range(low, last + 1):
             p, q = plus[w], minus[w]
             eq = has[w].take(text[j])
@@ -395,9 +415,19 @@ def side_by_side(left: list[str], right: list[str], most: np.ndarray) -> np.ndar
             up, down = up_next, down_next
         if ends[j + 1] < ends[j + 2]:
             i = np.arange(ends[j + 1], ends[j + 2])
-            w = last_of[i]
-            d = score[w, i] - np.bitwise_count(plus[w, i] & high[i]) + np.bitwise_count(minus[w, i] & high[i])
-            out[i] = (w >= low) & (w <= last) & (d <= most[i])
+            out[which[i]] = at_row(i, m[i]) <= most[i]
+        if j % 32 == 31:
+            row = m - n + j + 1
+            left_over = np.flatnonzero(n > j + 1)
+            left_over = left_over[(row[left_over] <= 0) | (at_row(left_over, np.maximum(row[left_over], 1)) <= most[left_over])]
+            if not len(left_over):
+                break
+            if len(left_over) < 0.8 * len(which):
+                which, m, n, most = which[left_over], m[left_over], n[left_over], most[left_over]
+                plus, minus, score = plus[:, left_over], minus[:, left_over], score[:, left_over]
+                has = has.reshape(blocks, -1, kinds)[:, left_over].reshape(blocks, -1)
+                text = text[:, left_over] - base[left_over] + base[: len(which)]
+                base, ends = base[: len(which)], np.searchsorted(n, np.arange(width + 2))
     back = np.empty(amount, bool)
     back[order] = out
     return back
@@ -465,7 +495,7 @@ def surveyed_lines(docs: DataFrame, parts: int) -> DataFrame:
                 if not all_of:
                     continue
                 e, part = (np.concatenate([x[i] for x in all_of]) for i in range(2))
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
                 e, part = e[order], part[order]
                 begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 entries = [e[x:y].tobytes() for x, y in zip(begins, [*begins[1:], len(e)], strict=True)]
@@ -491,7 +521,8 @@ def surveyed_lines(docs: DataFrame, parts: int) -> DataFrame:
                     i, slot, k = np.nonzero(keys)
                     key = keys[i, slot, k]
                     e = np.empty(len(i), ENTRY)
-                    e["key"], e["marks"], e["line"] = key & np.uint64(0xFFFFFFFF), marks[i, slot, k], np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[i]
+                    e["key"] = key & np.uint64(0xFFFFFFFF - (1 << SLOT_BITS) + 1) | (slot * KEYS + k).astype(np.uint64)
+                    e["marks"], e["line"] = marks[i, slot, k], np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[i]
                     e["chars"], e["place"] = np.minimum(chars, ANYWHERE)[i], np.where(chars[i] < ANYWHERE, places[i, slot, k], ANYWHERE)
                     held.append((e, (key >> np.uint64(32)) % np.uint64(parts)))
                     amount += len(e)
@@ -626,16 +657,22 @@ def labels_of(edges: DataFrame) -> DataFrame:
 
 
 def members_of(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """line, chars, label, places (key, window, place, marks, parts): the members that share a key with a line that they are not linked to.
+    """line, chars, label, places (key, window, place, marks, size): the members that share a key with a line that they are not linked to.
 
-    Groups of more than JOB_LINES lines are dealt by windows of length, and what is still large to parts.
+    Groups of more than JOB_LINES lines are dealt by windows of length.
     """
     window = F.explode(F.when(F.col("n") <= JOB_LINES, F.array(F.lit(0).cast("long"))).otherwise(window_array())).alias("window")
     rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("line"), "chars", "place", "marks", "n").join(labels_of(edges), "line", "left")
-    rows = cut(rows.select("key", window, "line", "chars", "place", "marks", F.coalesce("label", "line").alias("label")), "line-members")
-    live = rows.groupBy("key", "window").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / JOB_LINES).cast("int").alias("parts"))
-    rows = rows.join(live.where("low < high").drop("low", "high"), ["key", "window"])
-    return rows.groupBy("line", "chars", "label").agg(F.array_sort(F.collect_list(F.struct("key", "window", "place", "marks", "parts"))).alias("places"))
+    rows = rows.select("key", window, "line", "chars", "place", "marks", F.coalesce("label", "line").alias("label"))
+    met = Window.partitionBy("key", "window")
+    rows = rows.select("*", F.min("label").over(met).alias("low"), F.max("label").over(met).alias("high"), F.count("*").over(met).cast("int").alias("size")).where("low < high")
+    return rows.groupBy("line", "chars", "label").agg(F.array_sort(F.collect_list(F.struct("key", F.col("window").cast("int").alias("window"), "place", "marks", "size"))).alias("places"))
+
+
+def flat(column: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+    """The values of a column of lists, in another order of rows: the row of each, and the values."""
+    lists = column.combine_chunks().take(pa.array(order))
+    return np.repeat(np.arange(len(order)), pc.list_value_length(lists).to_numpy()), lists.flatten()
 
 
 def remaining_pairs(found: DataFrame, edges: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
@@ -643,91 +680,127 @@ def remaining_pairs(found: DataFrame, edges: DataFrame, payloads: DataFrame | No
 
     With ``payloads`` the lines' texts travel to the groups, once for each key that they share, and pairs are compared
     there, none whose lines the links found there join already. So no row is a pair that is not similar, and what
-    travels grows with the lines and not with the pairs.
+    travels grows with the lines and not with the pairs. A pair that shares several keys is compared in the group of
+    the first of these that it fits: members know their lower keys.
     """
     compare = payloads is not None
     members = cut(members_of(found, edges), "open-members")
     rows = members.withColumn("payload", F.lit(None).cast("binary")) if not compare else members.join(payloads, members["line"] == payloads["id"]).drop("id")
-    amount = members.agg(F.sum(F.size("places") * (F.col("chars") + 60))).first()[0] or 0
-    jobs = max(8, int(amount // JOB_BYTES))
-    rows = rows.withColumn("at", F.explode("places")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("at.parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at.parts") - 1)))
+    size = F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.least(x["size"], F.lit(JOB_LINES)))
+    amount, pairs = members.agg(F.sum(F.size("places") * (F.col("chars") + 60)), F.sum(size) / 2).first()
+    jobs = max(8, int((amount or 0) // JOB_BYTES), int((pairs or 0) // JOB_PAIRS))
+    earlier = F.transform(F.slice("places", 1, F.col("pos")), lambda x: F.struct(x["key"].alias("key"), x["place"].alias("place"), x["marks"].alias("marks"))).alias("earlier")
+    rows = rows.select("line", "chars", "label", "payload", "places", F.posexplode("places").alias("pos", "at")).select("line", "chars", "label", "payload", "at.*", earlier)
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / JOB_LINES).cast("int")).withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    rows = rows.select("at.key", "at.window", "at.place", "at.marks", "x", "y", "own", "line", "chars", "label", "payload").withColumn("job", F.pmod(F.xxhash64("key", "window", "x", "y"), F.lit(jobs)).cast("int"))
+    rows = rows.select("key", "window", window_array()[0].alias("even"), "place", "marks", "x", "y", "own", "line", "chars", "label", "payload", "earlier").withColumn("job", F.pmod(F.xxhash64("key", "window", "x", "y"), F.lit(jobs)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        cols = {c: table[c].to_numpy().astype(np.int64) for c in ("key", "window", "x", "y", "own", "line", "chars", "place", "marks", "label")}
-        order = np.lexsort([cols[c] for c in ("line", "y", "x", "window", "key")])
-        key, window, x, y, own, line, chars, place, marks, label = (c[order] for c in cols.values())
-        new = np.r_[True, np.any([c[1:] != c[:-1] for c in (key, window, x, y)], axis=0)]
-        sizes = np.diff(np.r_[np.flatnonzero(new), len(key)])
-        group, rank = np.cumsum(new) - 1, ranks(sizes)
-        names, slot = np.unique(line, return_inverse=True)
-        row_of = np.empty(len(names), np.int64)
-        row_of[slot] = order  # any of a line's rows
-        e = np.empty(len(key), [("chars", np.int64), ("place", np.int64), ("marks", np.uint32)])
-        e["chars"], e["place"], e["marks"] = chars, place, marks.astype(np.uint32)
-        node = np.unique(np.stack([group, label]), axis=1, return_inverse=True)[1].ravel()
-        joined = np.arange(len(key))  # for each label of a group, what the links found there join
-        found, texts, bins = [np.zeros((0, 2), np.int64)], None, None
-        for left, right, _ in meetings(rank, rank):
-            good = (joined[node[left]] != joined[node[right]]) & ((x[left] == y[left]) | (own[left] != own[right]))
-            left, right = left[good], right[good]
-            good = fit(e[left], e[right])
-            left, right = left[good], right[good]
-            if not compare:
-                found.append(np.stack([left, right], axis=1))
-                continue
-            if not len(left):
-                continue
-            if texts is None:
-                texts, bins = binned(table["payload"].take(pa.array(row_of)).to_pylist())
-                chars_of = np.array([len(t) for t in texts], np.int64)
-            # the nearest first, as those that are joined by others need no comparison; pairs of several groups are compared once
-            far = distances(chars_of, bins, slot[left], slot[right])
-            order = np.argsort(far)[: int((far <= 1).sum())]
-            left, right = left[order], right[order]
-            pair, of = np.unique(np.minimum(slot[left], slot[right]) * len(names) + np.maximum(slot[left], slot[right]), return_inverse=True)
-            said = np.full(len(pair), -1, np.int8)
-            step = 2048 if len(left) > 50_000 else 8192
-            for at in range(0, len(left), step):
-                part = np.arange(at, min(at + step, len(left)))
-                part = part[joined[node[left[part]]] != joined[node[right[part]]]]
-                asked = np.unique(of[part][said[of[part]] < 0])
-                said[asked] = near([texts[i] for i in pair[asked] // len(names)], [texts[i] for i in pair[asked] % len(names)])
-                for i, j in np.stack([left[part], right[part]], axis=1)[said[of[part]] == 1].tolist():
-                    u, v = joined[node[i]], joined[node[j]]
-                    if u != v:
-                        joined[joined == u] = v
-                        found.append(np.array([[i, j]]))
-        a, b = line[np.concatenate(found).T]
-        ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table([ends[0], ends[1]], ["a", "b"])
+        return meet(table, compare)
 
     with heavy(found.sparkSession, 500):
         out = rows.groupBy("job").applyInArrow(run, "a long, b long")
-        out = cut(out if compare else out.distinct(), "more-line-links")
+        out = cut(out, "more-line-links")
     drop_table(members)
     return out
 
 
+def meet(table: pa.Table, compare: bool) -> pa.Table:
+    """The pairs (a, b) of one task's members of groups, each in the first of its groups that it fits; if ``compare``, links among them."""
+    table = table.combine_chunks()
+    cols = {c: table[c].to_numpy().astype(np.int64) for c in ("key", "window", "x", "y", "own", "line", "chars", "place", "marks", "label", "even")}
+    order = np.lexsort([cols[c] for c in ("line", "y", "x", "window", "key")])
+    key, window, x, y, own, line, chars, place, marks, label, even = (c[order] for c in cols.values())
+    new = np.r_[True, np.any([c[1:] != c[:-1] for c in (key, window, x, y)], axis=0)]
+    sizes = np.diff(np.r_[np.flatnonzero(new), len(key)])
+    group, rank = np.cumsum(new) - 1, ranks(sizes)
+    names, some, slot = np.unique(line, return_index=True, return_inverse=True)
+    e = np.empty(len(key), [("chars", np.int64), ("place", np.int64), ("marks", np.uint32)])
+    e["chars"], e["place"], e["marks"] = chars, place, marks.astype(np.uint32)
+    # lower keys of each line, a column for each slot
+    row, values = flat(table["earlier"], order)
+    lower, lower_place, lower_marks = (values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "place", "marks"))
+    of = slot[row]
+    used, column = np.unique(lower & (1 << SLOT_BITS) - 1, return_inverse=True)
+    shape = (len(used), len(names))
+    keys, known = np.full(shape, -1), np.zeros(shape, e.dtype)
+    keys[column, of] = lower
+    known["chars"] = chars[some]
+    known["place"][column, of], known["marks"][column, of] = lower_place, lower_marks.astype(np.uint32)
+
+    def first(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pairs meet in no earlier group."""
+        out = (window[left] == even[left]) | (window[left] == 0) | (even[left] != even[right])
+        for mine, facts in zip(keys, known, strict=True):
+            rest = np.flatnonzero(out)
+            i, j = slot[left[rest]], slot[right[rest]]
+            both = mine[i]
+            same = (both == mine[j]) & (both >= 0) & (both < key[left[rest]])
+            rest, i, j = rest[same], i[same], j[same]
+            out[rest[fit(facts[i], facts[j])]] = False
+        return out
+
+    pairs = [np.zeros((2, 0), np.int64)]
+    for left, right, _ in meetings(rank, rank):
+        good = (label[left] != label[right]) & ((x[left] == y[left]) | (own[left] != own[right]))
+        left, right = left[good], right[good]
+        good = fit(e[left], e[right])
+        left, right = left[good], right[good]
+        good = first(left, right)
+        pairs.append(np.stack([left[good], right[good]]))
+    pairs = np.concatenate(pairs, axis=1)
+    if compare:
+        pairs = joining(pairs, group, slot, label, table["payload"].take(pa.array(order[some])).to_pylist())
+    ends = np.unique(np.sort(line[pairs], axis=0), axis=1)
+    return pa.table([ends[0], ends[1]], ["a", "b"])
+
+
+def joining(pairs: np.ndarray, group: np.ndarray, slot: np.ndarray, label: np.ndarray, payloads: list[bytes]) -> np.ndarray:
+    """Those of the pairs of members that are similar and join labels of their group that others of them don't join.
+
+    ``slot`` has the number of each member's text. The nearest are compared first, as those that are joined by others need no comparison.
+    """
+    texts, bins = binned(payloads)
+    left, right = pairs
+    far = distances(np.array([len(t) for t in texts], np.int64), bins, slot[left], slot[right])
+    order = np.argsort(far, kind="stable")[: int((far <= 1).sum())]
+    left, right = left[order], right[order]
+    node = np.unique(np.stack([group, label]), axis=1, return_inverse=True)[1].ravel()
+    joined, found, at, step = np.arange(len(group)), [], 0, 2048
+    while at < len(left):
+        part = np.arange(at, min(at + step, len(left)))
+        at, step = at + step, min(2 * step, 16384)
+        part = part[joined[node[left[part]]] != joined[node[right[part]]]]
+        good = near([texts[i] for i in slot[left[part]]], [texts[i] for i in slot[right[part]]])
+        for i, j in zip(left[part[good]].tolist(), right[part[good]].tolist(), strict=True):
+            u, v = joined[node[i]], joined[node[j]]
+            if u != v:
+                joined[joined == u] = v
+                found.append((i, j))
+    return np.array(found, np.int64).reshape(-1, 2).T
+
+
 def leading_pairs(found: DataFrame) -> DataFrame:
     """Pairs (a, b) of groups' leads and other lines."""
     return found.where("key IS NULL").select("a", "b").distinct()
 
 
 def payloads_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, payload: the normalised bytes of lines (line, first), taken from the first document that has each."""
+    """id, payload: the normalised bytes of lines (line, first), taken from the first document that has each (rarely twice, if that is there twice)."""
     wanted = classes.select(F.col("line").alias("id"), F.col("first.row").alias("_row"), F.col("first.line_no").alias("line_no"))
     wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
     texts = docs.where("doc_id IS NOT NULL").select(row_key().alias("row"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["_row"]).select("text", "wanted.line_no", "wanted.id")
+    texts = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["_row"]).select("text", "wanted.line_no", "wanted.id", "row")
 
     def pick(batches):
+        done: set[int] = set()  # equal rows mostly are one task's
         for b in batches:
             ids, payloads = [], []
-            for text, places, group in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for text, places, group, row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if row in done:
+                    continue
+                done.add(row)
                 parts = text.split("\n")
                 ids += group
                 payloads += [normalise(parts[n])[0] for n in places]
@@ -766,12 +839,17 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     count as one document. Null doc_id or text, empty text: no lines. Very long lines: compared whole. Ties (equal
     lines): the first stays. Empty table: no rows. Other columns are ignored.
     """
-    found = survey(docs)
+    with settings(docs.sparkSession, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=str(GROUPS)):
+        return gone_lines(docs, survey(docs))
+
+
+def gone_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """:func:`duplicate_lines` of documents, from their :func:`survey`."""
     seen = [found.where(F.col("kind") == k).select(F.col("a").alias("line"), F.struct(F.col("key").alias("doc_id"), F.col("b").alias("row"), F.col("n").alias("line_no")).alias("first")) for k in (1, 2)]
     open_lines = candidates_of(found)
     ids = open_lines.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     classes = cut(seen[0].join(ids, seen[0]["line"] == ids["id"], "left_semi"), "line-classes")
-    payloads = cut(payloads_of(docs, classes).dropDuplicates(["id"]), "line-texts")
+    payloads = cut(payloads_of(docs, classes), "line-texts")
     edges = pair_edges(leading_pairs(open_lines), payloads, "line-links")
     linked = cut(components(edges).select(F.col("component").alias("a"), F.col("id").alias("b")), "lead-groups")
     more = remaining_pairs(open_lines, linked, payloads)

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -445,6 +446,25 @@ def test_groups_of_unlike_lines_list_no_pairs(spark):
     assert len(near) >= 20 and all(group[ids[x]] == group[ids[y]] for x, y in near)
 
 
+def test_lines_that_share_many_keys_are_compared_once(monkeypatch):
+    """In the first of their groups, in order of keys, that a pair fits; in one window of length, if they share both."""
+    texts = [prose(1, 30), edit(prose(1, 30), 3), prose(2, 30)]
+    keys = [(k << 7) + k for k in range(1, 6)]
+    asked, near = [], linededup.near
+    monkeypatch.setattr(linededup, "near", lambda x, y: asked.extend(zip(x, y, strict=True)) or near(x, y))
+    monkeypatch.setattr(linededup, "distances", lambda chars, bins, left, right: np.zeros(len(left)))
+    rows = []
+    for line, text in enumerate(texts):
+        places = [{"key": k, "place": 100 * line if k == keys[0] else linededup.ANYWHERE, "marks": 0} for k in keys]
+        for i, k in enumerate(keys):
+            for window in (8, 9) if k == keys[1] else (0,):
+                rows.append({"key": k, "window": window, "even": 8, "place": places[i]["place"], "marks": 0, "x": 0, "y": 0, "own": 0, "line": line, "chars": 200, "label": line, "payload": text.encode(), "earlier": places[:i]})
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "window", "even", "place", "marks", "x", "y", "own", "line", "chars", "label")] + [("payload", pa.binary()), ("earlier", pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "place", "marks")])))])
+    assert linededup.meet(pa.Table.from_pylist(rows, schema), False).num_rows == 3
+    links = linededup.meet(pa.Table.from_pylist(rows, schema), True).to_pylist()
+    assert links == [{"a": 0, "b": 1}] and len(asked) == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("abc版", min_size=1, max_size=150), st.integers(0, 20), st.randoms(use_true_random=False)), min_size=1, max_size=12))
 def test_edit_distances_of_many_pairs(cases):
